@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pauta.llm.cross_split import cross_split_pairs, cross_split_report
+from pauta.llm.encoding import encode, token_counts
+from pauta.llm.grouped_splits import group_pairs, grouped_splits, split_report
 from pauta.llm.leakage import leak_report, leaks
 from pauta.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
+from pauta.llm.lookalikes import odd_records, one_form, records_of
+from pauta.llm.personal_data import mentions, redacted
 from pauta.llm.repetition import line_frequency, repeated_share, repetitive_documents
 
 
@@ -33,6 +37,43 @@ def p3_groups(spark, d):
     return near_duplicate_groups(_read(spark, d, "dataset"))
 
 
+def p4_found(spark, d):
+    return group_pairs(_read(spark, d, "test_dataset"))
+
+
+def p4_splits(spark, d):
+    return grouped_splits(_read(spark, d, "test_dataset"), _read(spark, d, "split_targets"))
+
+
+def p4_report(spark, d):
+    targets = _read(spark, d, "split_targets")
+    return split_report(grouped_splits(_read(spark, d, "test_dataset"), targets), targets)
+
+
+def p5_found(spark, d):
+    return mentions(_read(spark, d, "test_dataset"))
+
+
+def p5_redacted(spark, d):
+    return redacted(_read(spark, d, "test_dataset"))
+
+
+def p6_found(spark, d):
+    return odd_records(_read(spark, d, "test_dataset"), _read(spark, d, "topic_extraction_holdout"))
+
+
+def p6_plain(spark, d):
+    return one_form(records_of(_read(spark, d, "test_dataset"), _read(spark, d, "topic_extraction_holdout"))).select("tbl", "rec_id", "plain").distinct()
+
+
+def p7_ids(spark, d):
+    return encode(_read(spark, d, "documents"))
+
+
+def p7_counts(spark, d):
+    return token_counts(_read(spark, d, "documents"))
+
+
 def p8_found(spark, d):
     return leaks(_read(spark, d, "documents"), _read(spark, d, "benchmark")).select("doc_id", "item_id")
 
@@ -55,7 +96,7 @@ def p9_lines(spark, d):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_report, p3_found, p3_groups, p8_found, p8_report, p9_found, p9_shares, p9_lines)
+    f.__name__: f for f in (p1_found, p1_report, p3_found, p3_groups, p4_found, p4_splits, p4_report, p5_found, p5_redacted, p6_found, p6_plain, p7_ids, p7_counts, p8_found, p8_report, p9_found, p9_shares, p9_lines)
 }
 
 SQL: dict[str, str] = {}
