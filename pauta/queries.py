@@ -5,6 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from pauta.timestamps import LISBON, instants, zone_violations
+
+
+def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{table}.parquet")
+
+
+def p2_found(spark, d):
+    return instants(_read(spark, d, "test_dataset"), "id", ["sent_datetime", "time_expression"])
+
+
+def p2_zones(spark, d):
+    """The wall clocks of imported mails without their offsets: the zone found against ingestion times."""
+    mails = _read(spark, d, "imported_emails").select(F.substring("sent_datetime", 1, 19).alias("sent_local"), "imported_at")
+    return zone_violations(mails, "sent_local", "imported_at", [LISBON, "Atlantic/Azores", "Europe/Madrid", "UTC"])
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_zones)}
 SQL: dict[str, str] = {}
