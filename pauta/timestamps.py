@@ -77,7 +77,7 @@ def _wall(p: dict[str, Column]) -> Column:
     year = F.when(F.length(p["year"]) == 2, F.concat(F.lit("20"), p["year"])).otherwise(p["year"])
     named = F.element_at(F.create_map(*[x for k, names in enumerate(MONTHS, 1) for n in names.split("|") for x in (F.lit(n), F.lit(str(k)))]), F.lower(p["name"]))
     month = F.when(p["name"] != "", named).otherwise(p["month"])
-    date = F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(p["day"], 2, "0")).try_cast("date")
+    date = F.concat(year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(p["day"], 2, "0")).try_cast("date")
     half = F.lower(F.substring(p["half"], 1, 1))
     raw, minute, second = _number(p["hour"]), F.coalesce(_number(p["minute"]), F.lit(0)), F.coalesce(_number(p["second"]), F.lit(0))
     hour = F.when(half == "", raw).when(raw.between(1, 12), raw % 12 + F.when(half == "p", 12).otherwise(0))
