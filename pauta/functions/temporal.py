@@ -237,8 +237,7 @@ def normalize(expression: Column, reference: Column) -> Column:
 
 def canonical(n: Column) -> Column:
     """Interval ``a/b``, else date-time, else date, else time."""
-    interval = F.concat(n["interval_start"], F.lit("/"), n["interval_end"])
-    return F.coalesce(interval, n["datetime"], n["date"], n["time"])
+    return let(n, lambda x: F.coalesce(F.concat(x["interval_start"], F.lit("/"), x["interval_end"]), x["datetime"], x["date"], x["time"]))
 
 
 def parse_reference(*values: Column) -> Column:

@@ -202,3 +202,9 @@ def combine_fields(subject: Column, body: Column, subject_weight: int = 1, body_
 def fingerprint(c: Column) -> Column:
     """SHA-256 of the trimmed text; null where it is empty."""
     return F.sha2(truthy(strip(c)), 256)
+
+
+def label_key(c: Column) -> Column:
+    """A label in one spelling: folded, with underscores; null and empty give ``''``."""
+    plain = F.regexp_replace(fold_accents(F.lower(F.trim(F.coalesce(c, F.lit(""))))), "[^a-z0-9]+", "_")
+    return F.regexp_replace(plain, "^_+|_+$", "")

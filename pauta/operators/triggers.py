@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pauta.functions.text import squeeze, strip, truthy
+from pauta.functions.text import let, squeeze, strip, truthy
 
 #: Phrases and patterns of each intent.
 PHRASES = {
@@ -53,11 +53,7 @@ def folded(text: Column) -> Column:
 
 
 def _exact(text: Column, phrases: list[str]) -> Column:
-    """The first of the phrases, longest first, that stands in the text as words.
-
-    One alternation, longest first, decides whether any stands there and gives the whole
-    list of hits; the longest hit wins.
-    """
+    """The first of the phrases, longest first, that stands in the text as words."""
     ordered = sorted(dict.fromkeys(phrases), key=len, reverse=True)
     return F.coalesce(*[F.when(text.rlike(rf"(?U)\b{re.escape(p)}\b"), F.lit(p)) for p in ordered])
 
@@ -68,10 +64,16 @@ def _pattern(text: Column, patterns: list[str]) -> Column:
 
 def trigger(text: Column, intent: Column) -> Column:
     """``struct<trigger, method>`` with method ``exact`` or ``regex``; null where nothing fits."""
-    t = folded(text)
-    out = F.lit(None).cast(KIND)
-    for k, phrases in PHRASES.items():
-        exact, found = _exact(t, phrases), _pattern(t, PATTERNS[k])
-        both = F.when(exact.isNotNull(), F.struct(exact.alias("trigger"), F.lit("exact").alias("method"))).when(found.isNotNull(), F.struct(found.alias("trigger"), F.lit("regex").alias("method")))
-        out = F.when((intent == k) & (t != ""), both).otherwise(out)
-    return out
+
+    def by_intent(t: Column) -> Column:
+        out = F.lit(None).cast(KIND)
+        for k, phrases in PHRASES.items():
+            found = F.coalesce(_labelled(_exact(t, phrases), "exact"), _labelled(_pattern(t, PATTERNS[k]), "regex"))
+            out = F.when((intent == k) & (t != ""), found).otherwise(out)
+        return out
+
+    return let(folded(text), by_intent)
+
+
+def _labelled(found: Column, method: str) -> Column:
+    return let(found, lambda x: F.when(x.isNotNull(), F.struct(x.alias("trigger"), F.lit(method).alias("method"))))

@@ -1,28 +1,828 @@
-"""Registered queries of the core and their SQL."""
+"""Registered queries of the core and, where SQL can express them on whole tables, their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pauta.functions import spans as S
+from pauta.functions import temporal as N
+from pauta.functions import text as X
+from pauta.operators import annotate, anonymize, arguments, metrics, ml, qa, splits, validate
+from pauta.operators.triggers import trigger
+from pauta.plans import pipelines
 from pauta.timestamps import LISBON, instants, zone_violations
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def _mails(spark, d, *cols) -> DataFrame:
+    """Distinct records of the largest table, the given columns only."""
+    return _read(spark, d, "dataset").select("id", *cols).distinct()
+
+
+def _tests(spark, d, *cols) -> DataFrame:
+    return _read(spark, d, "test_dataset").select("id", *cols).distinct()
+
+
+# ---------------------------------------------------------------- timestamps
+
+
+@query()
 def p2_found(spark, d):
     return instants(_read(spark, d, "test_dataset"), "id", ["sent_datetime", "time_expression"])
 
 
+@query()
 def p2_zones(spark, d):
     """The wall clocks of imported mails without their offsets: the zone found against ingestion times."""
     mails = _read(spark, d, "imported_emails").select(F.substring("sent_datetime", 1, 19).alias("sent_local"), "imported_at")
     return zone_violations(mails, "sent_local", "imported_at", [LISBON, "Atlantic/Azores", "Europe/Madrid", "UTC"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_zones)}
-SQL: dict[str, str] = {}
+# ---------------------------------------------------------------- text functions
+
+_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_NORMAL = r"regexp_replace(regexp_replace(regexp_replace(body, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'), '[^\p{L}\p{N}_\s.,!?@:/\-]', '', 'g')"
+
+
+def _sql_tails(expr: str, tails: list[str], flags: str = "(?s)") -> str:
+    for p in tails:
+        inner = p.replace(".*", "[^\\n]*")
+        expr = f"regexp_replace({expr}, '{flags}(?:{inner}).*$', '')"
+    return rf"regexp_replace({expr}, '^\s+|\s+$', '', 'g')"
+
+
+@query(rf"SELECT DISTINCT id, {_NORMAL} AS clean FROM dataset")
+def text_normalize(spark, d):
+    return _mails(spark, d, "body").select("id", X.normalize(F.col("body")).alias("clean")).distinct()
+
+
+@query(f"SELECT DISTINCT id, {_sql_tails(_sql_tails(_NORMAL, X.HISTORY_TAILS), X.SIGNATURE_TAILS)} AS clean FROM dataset")
+def text_clean_body(spark, d):
+    return _mails(spark, d, "body").select("id", X.clean_body(F.col("body")).alias("clean")).distinct()
+
+
+_MODEL = f"lower({_NORMAL.replace('body', _sql_tails(_sql_tails('body', X.THREAD_TAILS, '(?is)'), X.LONG_SIGNATURE_TAILS, '(?is)'))})"
+_STOP = "[" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + "]"
+
+
+@query(
+    rf"""SELECT DISTINCT id, array_to_string(list_filter(string_split_regex(regexp_replace(regexp_replace({_MODEL}, '[.,!?;:-]', '', 'g'), '\d+', '', 'g'), '\s+'), lambda w: w <> '' AND NOT list_contains({_STOP}, w)), ' ') AS clean FROM dataset"""
+)
+def text_preprocess(spark, d):
+    return _mails(spark, d, "body").select("id", X.preprocess(F.col("body"), punctuation=True, digits=True, stopwords=True).alias("clean")).distinct()
+
+
+_ENTITY_SQL = "t"
+for _k, _v in X.ENTITIES.items():
+    _ENTITY_SQL = "replace({}, '{}', '{}')".format(_ENTITY_SQL, _k, _v.replace("'", "''"))
+
+
+@query(
+    rf"""WITH a AS (SELECT DISTINCT email_id, regexp_replace(regexp_replace(regexp_replace(body, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g') AS t FROM imported_emails)
+SELECT DISTINCT email_id, regexp_replace(regexp_replace({_ENTITY_SQL}, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS body_text FROM a"""
+)
+def text_html(spark, d):
+    return _read(spark, d, "imported_emails").select("email_id", X.html_to_text(F.col("body")).alias("body_text")).distinct()
+
+
+@query("SELECT DISTINCT id, coalesce(contains(subject, 'Re:'), false) OR coalesce(contains(body, '>'), false) AS is_reply, length(body) - length(replace(body, '>', '')) AS thread_level FROM dataset")
+def text_reply(spark, d):
+    return _mails(spark, d, "subject", "body").select("id", X.is_reply(F.col("subject"), F.col("body")).alias("is_reply"), X.thread_level(F.col("body")).cast("bigint").alias("thread_level")).distinct()
+
+
+@query(r"SELECT DISTINCT id, regexp_replace(time_expression, '(\d{1,2})h', '\1:00', 'g') AS t FROM dataset")
+def text_hours(spark, d):
+    return _mails(spark, d, "time_expression").select("id", X.normalize_hours(F.col("time_expression")).alias("t")).distinct()
+
+
+@query(rf"SELECT DISTINCT id, {_STRIP.format("coalesce(subject, '') || ' ' || coalesce(subject, '') || ' ' || coalesce(body, '')")} AS t FROM dataset")
+def text_combine(spark, d):
+    return _mails(spark, d, "subject", "body").select("id", X.combine_fields(F.col("subject"), F.col("body"), 2, 1).alias("t")).distinct()
+
+
+@query("SELECT DISTINCT id, array_to_string(regexp_extract_all(strip_accents(lower(subject)), '[a-z0-9]+'), ' ') AS t FROM dataset")
+def text_topic_tokens(spark, d):
+    return _mails(spark, d, "subject").select("id", F.array_join(X.topic_tokens(F.col("subject")), " ").alias("t")).distinct()
+
+
+@query(
+    r"""WITH p AS (SELECT DISTINCT id, unnest(participants) AS name FROM dataset)
+SELECT regexp_replace(trim(regexp_replace(replace(lower(name), '.', ' '), '\s+', ' ', 'g')), '^(?:(?:professora?|profa?|doutora?|dra?|eng|enga|sra?|senhora?) )+', '') AS person, count(*) AS n FROM p GROUP BY 1"""
+)
+def text_person_keys(spark, d):
+    p = _read(spark, d, "dataset").select("id", "participants").distinct().select("id", F.explode("participants").alias("name")).distinct()
+    return p.groupBy(X.person_key(F.col("name")).alias("person")).agg(F.count("*").alias("n"))
+
+
+@query(
+    r"""SELECT DISTINCT id, regexp_replace(regexp_replace(regexp_replace(coalesce(time_expression, ''), '^\s+|\s+$', '', 'g'), '[,;:.!?]+$', ''), '\s+', ' ', 'g') AS answer,
+regexp_matches(lower(coalesce(topic, '')), '^\s*(não|nenhum|nenhuma|nada|vazio|sem|ausente|falta)') OR coalesce(topic, '') = '' AS empty FROM dataset"""
+)
+def text_answers(spark, d):
+    return _mails(spark, d, "time_expression", "topic").select("id", X.clean_answer(F.col("time_expression")).alias("answer"), X.is_empty_answer(F.col("topic")).alias("empty")).distinct()
+
+
+@query(
+    r"""WITH a AS (SELECT DISTINCT sha256(regexp_replace(body, '^\s+|\s+$', '', 'g')) AS f FROM dataset WHERE regexp_replace(body, '^\s+|\s+$', '', 'g') <> ''),
+b AS (SELECT DISTINCT sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS f FROM documents WHERE regexp_replace(text, '^\s+|\s+$', '', 'g') <> '')
+SELECT (SELECT count(*) FROM a) AS mails, (SELECT count(*) FROM b) AS documents, (SELECT count(*) FROM a JOIN b USING (f)) AS shared"""
+)
+def text_fingerprints(spark, d):
+    a = _read(spark, d, "dataset").select(X.fingerprint(F.col("body")).alias("f")).where("f is not null").distinct()
+    b = _read(spark, d, "documents").select(X.fingerprint(F.col("text")).alias("f")).where("f is not null").distinct()
+    both = a.select("f", F.lit(1).alias("a"), F.lit(0).alias("b")).union(b.select("f", F.lit(0), F.lit(1))).groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return both.agg(F.sum("a").alias("mails"), F.sum("b").alias("documents"), F.sum(F.col("a") * F.col("b")).alias("shared"))
+
+
+# ---------------------------------------------------------------- spans and extraction
+
+
+@query(
+    r"""WITH t AS (SELECT DISTINCT id, body FROM dataset WHERE body IS NOT NULL)
+SELECT id, CAST(coalesce(list_sum(list_transform(regexp_extract_all(body, '[0-9]+'), lambda x: length(x))), 0) AS BIGINT) AS covered, CAST(len(regexp_extract_all(body, '[0-9]+')) AS BIGINT) AS n FROM t"""
+)
+def span_numbers(spark, d):
+    m = S.matches(F.col("body"), "[0-9]+")
+    covered = F.aggregate(m, F.lit(0).cast("bigint"), lambda a, x: a + (x["end"] - x["start"]))
+    return _mails(spark, d, "body").where("body is not null").select("id", covered.alias("covered"), F.size(m).cast("bigint").alias("n"))
+
+
+@query()
+def span_times(spark, d):
+    return _mails(spark, d, "body").select("id", F.explode(arguments.time_spans(F.coalesce("body", F.lit("")))).alias("s")).select("id", "s.*")
+
+
+@query()
+def span_places(spark, d):
+    return _mails(spark, d, "body").select("id", F.explode(arguments.place_spans(F.coalesce("body", F.lit("")))).alias("s")).select("id", "s.*")
+
+
+@query()
+def span_hints(spark, d):
+    return _mails(spark, d, "body").select("id", F.explode(arguments.hint_spans(F.coalesce("body", F.lit("")))).alias("s")).select("id", "s.*")
+
+
+@query()
+def extract_triggers(spark, d):
+    t = trigger(F.col("body"), X.label_key(F.col("label")))
+    return _mails(spark, d, "body", "label").withColumn("t", t).select("id", "t.trigger", "t.method")
+
+
+@query()
+def extract_topics(spark, d):
+    t = arguments.topic_spans(F.col("body"), F.col("subject"), X.label_key(F.col("label")))
+    return _mails(spark, d, "body", "subject", "label").select("id", F.get(t, F.lit(0))["text"].alias("topic"))
+
+
+_PLACE_SQL = r"regexp_replace(regexp_replace(location, '^\s+|\s+$', '', 'g'), '(?i)^\s*(?:em|no|na|por|via)\s+', '')"
+
+
+@query(
+    rf"""WITH a AS (SELECT DISTINCT id, nullif({_PLACE_SQL}, '') AS t FROM dataset),
+b AS (SELECT id, t, lower(regexp_extract(t, '(?i)\b(zoom|teams|microsoft\s+teams|google\s+meet|meet|online|remot[ao])\b')) AS r, regexp_extract(t, '(?i)\bsala(?:\s+de\s+reuni(?:ao|oes|ões))?(?:\s+[A-Za-z0-9]+(?:[.\-][A-Za-z0-9]+)?)?(?:\s+do\s+departamento)?\b') AS s FROM a)
+SELECT id, CASE WHEN t IS NULL THEN NULL WHEN r <> '' THEN 'remoto - ' || CASE WHEN contains(r, 'team') THEN 'teams' WHEN contains(r, 'meet') THEN 'google meet' ELSE 'zoom' END WHEN s <> '' THEN 'presencial - ' || trim(s) ELSE NULL END AS place FROM b"""
+)
+def extract_places(spark, d):
+    return _mails(spark, d, "location").select("id", arguments.canonical_place(F.col("location")).alias("place"))
+
+
+@query()
+def extract_mail_places(spark, d):
+    return _mails(spark, d, "body", "label").select("id", arguments.place_of_mail(F.col("body"), X.label_key(F.col("label"))).alias("place"))
+
+
+@query()
+def extract_annotations(spark, d):
+    a = annotate.annotation(X.first_text(F.col("body"), F.col("subject")))
+    return _mails(spark, d, "body", "subject").select("id", a.alias("a")).select("id", "a.trigger", F.to_json("a.arguments").alias("arguments"), F.to_json("a.confidence").alias("confidence"))
+
+
+@query()
+def extract_records(spark, d):
+    out = pipelines.records(_mails(spark, d, "subject", "body", "label", "sent_datetime"))
+    return out.select("id", "trigger.trigger", F.to_json("times").alias("times"), F.array_join("locations", "; ").alias("locations"), F.array_join("participants", "; ").alias("participants"), "topic")
+
+
+@query()
+def flagship(spark, d):
+    """Trigger, time spans with canonical times, places, participants and topic of every mail."""
+    return extract_records(spark, d)
+
+
+@query()
+def anonymized(spark, d):
+    base = _read(spark, d, "imported_emails").select("email_id", "subject", "body", "sender").distinct()
+    return anonymize.anonymize(base, ["subject", "body", "sender"]).select("email_id", "subject", "body", "sender", F.size("anonymization.entities").alias("entities"))
+
+
+@query(
+    r"""WITH t AS (SELECT DISTINCT email_id, coalesce(body, '') AS b FROM imported_emails)
+SELECT CAST(sum(len(regexp_extract_all(b, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b'))) AS BIGINT) AS addresses, CAST(sum(len(regexp_extract_all(b, '(?i)\b(?:https?://|www\.)[^\s<>"]+'))) AS BIGINT) AS links FROM t"""
+)
+def anonymize_counts(spark, d):
+    b = F.coalesce("body", F.lit(""))
+    count = lambda p: F.sum(F.size(F.regexp_extract_all(b, F.lit(p), F.lit(0)))).cast("bigint")
+    t = _read(spark, d, "imported_emails").select("email_id", b.alias("body")).distinct()
+    return t.agg(count(r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b").alias("addresses"), count(r"(?i)\b(?:https?://|www\.)[^\s<>\"]+").alias("links"))
+
+
+# ---------------------------------------------------------------- temporal rules
+
+_REF = "try_cast(regexp_replace(sent_datetime, '(?:Z|[+-][0-9]{2}:?[0-9]{2})$', '') AS TIMESTAMP)"
+_EXPR = r"trim(regexp_replace(lower(strip_accents(coalesce(time_expression, ''))), '\s+', ' ', 'g'))"
+_CLOCK = r"regexp_extract(e, '([0-9]{1,2})(?:h([0-9]{2})?|:([0-9]{1,2}))$', 1)"
+_MINUTE = r"coalesce(nullif(regexp_extract(e, '([0-9]{1,2})(?:h([0-9]{2})?|:([0-9]{1,2}))$', 2), ''), nullif(regexp_extract(e, '([0-9]{1,2})(?:h([0-9]{2})?|:([0-9]{1,2}))$', 3), ''), '0')"
+_TEMPORAL = f"WITH a AS (SELECT DISTINCT id, {_EXPR} AS e, {_REF} AS r FROM dataset), "
+
+
+def _temporal(spark, d, where: str) -> DataFrame:
+    m = _mails(spark, d, "time_expression", "sent_datetime").withColumn("e", X.plain_key(F.coalesce("time_expression", F.lit(""))))
+    n = N.normalize(F.col("time_expression"), N.parse_reference(F.col("sent_datetime")))
+    return m.where(F.col("e").rlike(where)).withColumn("n", n).where("n is not null")
+
+
+@query(
+    _TEMPORAL
+    + rf"""b AS (SELECT id, r, regexp_extract(e, '^(segunda|terca|quarta|quinta|sexta|sabado|domingo)', 1) AS w, CAST({_CLOCK} AS INT) AS h, CAST({_MINUTE} AS INT) AS m FROM a
+WHERE r IS NOT NULL AND regexp_matches(e, '^(segunda|terca|quarta|quinta|sexta|sabado|domingo) as [0-9]{{1,2}}(h([0-9]{{2}})?|:[0-9]{{2}})$')),
+c AS (SELECT *, CASE w WHEN 'segunda' THEN 0 WHEN 'terca' THEN 1 WHEN 'quarta' THEN 2 WHEN 'quinta' THEN 3 WHEN 'sexta' THEN 4 WHEN 'sabado' THEN 5 ELSE 6 END - (isodow(r) - 1) AS ahead FROM b),
+e AS (SELECT id, CAST(date_trunc('day', r) AS TIMESTAMP) + to_days(CAST(CASE WHEN ahead < 0 THEN ahead + 7 WHEN ahead = 0 THEN CASE WHEN h * 3600 + m * 60 > hour(r) * 3600 + minute(r) * 60 + second(r) THEN 0 ELSE 7 END ELSE ahead END AS INT)) + to_minutes(h * 60 + m) AS t FROM c)
+SELECT id, strftime(t, '%Y-%m-%dT%H:%M:%S') AS value FROM e"""
+)
+def temporal_weekday(spark, d):
+    w = r"^(segunda|terca|quarta|quinta|sexta|sabado|domingo) as [0-9]{1,2}(h([0-9]{2})?|:[0-9]{2})$"
+    return _temporal(spark, d, w).select("id", "n.datetime").withColumnRenamed("datetime", "value")
+
+
+@query(
+    _TEMPORAL
+    + rf"""b AS (SELECT id, r, CAST(regexp_extract(e, '^dia ([0-9]{{1,2}})', 1) AS INT) AS n, CAST({_CLOCK} AS INT) AS h, CAST({_MINUTE} AS INT) AS m FROM a WHERE r IS NOT NULL AND regexp_matches(e, '^dia [0-9]{{1,2}} as [0-9]{{1,2}}(h([0-9]{{2}})?|:[0-9]{{2}})$')),
+c AS (SELECT b.id, b.r, try_cast(strftime(date_trunc('month', r) + to_months(CAST(k AS INT)), '%Y-%m-') || lpad(CAST(n AS VARCHAR), 2, '0') AS TIMESTAMP) + to_minutes(h * 60 + m) AS t FROM b, range(13) x(k))
+SELECT id, strftime(min(t), '%Y-%m-%dT%H:%M:%S') AS value FROM c WHERE t > r GROUP BY id, r"""
+)
+def temporal_day_of_month(spark, d):
+    return _temporal(spark, d, r"^dia [0-9]{1,2} as [0-9]{1,2}(h([0-9]{2})?|:[0-9]{2})$").select("id", F.col("n.datetime").alias("value"))
+
+
+@query(
+    _TEMPORAL
+    + rf"""b AS (SELECT id, CAST(date_trunc('day', r) AS TIMESTAMP) + to_days(CASE WHEN e LIKE 'depois de amanha%' THEN 2 WHEN e LIKE 'amanha%' THEN 1 WHEN e LIKE 'ontem%' THEN -1 ELSE 0 END) + to_minutes(CAST({_CLOCK} AS INT) * 60 + CAST({_MINUTE} AS INT)) AS t FROM a
+WHERE r IS NOT NULL AND regexp_matches(e, '^(depois de amanha|amanha|hoje|ontem) as [0-9]{{1,2}}(h([0-9]{{2}})?|:[0-9]{{2}})$'))
+SELECT id, strftime(t, '%Y-%m-%dT%H:%M:%S') AS value FROM b"""
+)
+def temporal_relative_day(spark, d):
+    return _temporal(spark, d, r"^(depois de amanha|amanha|hoje|ontem) as [0-9]{1,2}(h([0-9]{2})?|:[0-9]{2})$").select("id", F.col("n.datetime").alias("value"))
+
+
+@query(
+    _TEMPORAL
+    + rf"""b AS (SELECT id, CAST(date_trunc('day', r + to_days(CAST(regexp_extract(e, '^daqui a ([0-9]+)', 1) AS INT))) AS TIMESTAMP) + to_minutes(CAST({_CLOCK} AS INT) * 60 + CAST({_MINUTE} AS INT)) AS t FROM a
+WHERE r IS NOT NULL AND regexp_matches(e, '^daqui a [0-9]+ dias? as [0-9]{{1,2}}(h([0-9]{{2}})?|:[0-9]{{2}})$'))
+SELECT id, strftime(t, '%Y-%m-%dT%H:%M:%S') AS value FROM b"""
+)
+def temporal_offset(spark, d):
+    return _temporal(spark, d, r"^daqui a [0-9]+ dias? as [0-9]{1,2}(h([0-9]{2})?|:[0-9]{2})$").select("id", F.col("n.datetime").alias("value"))
+
+
+@query(
+    _TEMPORAL
+    + r"""b AS (SELECT id, r, e, CAST(regexp_extract(e, '([0-9]{1,2}) de', 1) AS INT) AS n, list_position(['janeiro','fevereiro','marco','abril','maio','junho','julho','agosto','setembro','outubro','novembro','dezembro'], regexp_extract(e, 'de ([a-z]+)', 1)) AS k FROM a
+WHERE r IS NOT NULL AND regexp_matches(e, '^(dia )?[0-9]{1,2} de [a-z]+ (de manha|a tarde)$')),
+c AS (SELECT id, e, try_cast(year(r) || '-' || lpad(CAST(k AS VARCHAR), 2, '0') || '-' || lpad(CAST(n AS VARCHAR), 2, '0') AS TIMESTAMP) AS t FROM b)
+SELECT id, CASE WHEN e LIKE '%de manha' THEN strftime(t, '%Y-%m-%dT06:00:00') || '/' || strftime(t, '%Y-%m-%dT12:00:00') ELSE strftime(t, '%Y-%m-%dT12:00:00') || '/' || strftime(t, '%Y-%m-%dT18:00:00') END AS value FROM c WHERE t IS NOT NULL"""
+)
+def temporal_explicit_period(spark, d):
+    out = _temporal(spark, d, r"^(dia )?[0-9]{1,2} de [a-z]+ (de manha|a tarde)$")
+    return out.where("n.precision = 'time_of_day' and n.confidence = 0.95").select("id", N.canonical(F.col("n")).alias("value"))
+
+
+@query(
+    "WITH a AS (SELECT DISTINCT o_orderkey AS k, CAST(o_orderdate AS TIMESTAMP) AS r FROM orders) SELECT k, strftime(date_trunc('week', r), '%Y-%m-%dT%H:%M:%S') || '/' || strftime(date_trunc('week', r) + INTERVAL 7 DAY - INTERVAL 1 SECOND, '%Y-%m-%dT%H:%M:%S') AS this_week, strftime(date_trunc('month', r) + INTERVAL 1 MONTH, '%Y-%m-%dT%H:%M:%S') || '/' || strftime(date_trunc('month', r) + INTERVAL 2 MONTH - INTERVAL 1 SECOND, '%Y-%m-%dT%H:%M:%S') AS next_month, strftime(date_trunc('week', r) + INTERVAL 6 DAY, '%Y-%m-%d') AS week_end FROM a"
+)
+def temporal_week_month(spark, d):
+    ref = F.col("o_orderdate").cast("timestamp").cast("timestamp_ntz")
+    say = lambda e: N.canonical(N.normalize(F.lit(e), ref))
+    return _read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), say("esta semana").alias("this_week"), say("próximo mês").alias("next_month"), say("fim da semana").alias("week_end")).distinct()
+
+
+@query()
+def temporal_normalize(spark, d):
+    n = N.normalize(F.col("time_expression"), N.parse_reference(F.col("sent_datetime")))
+    return _mails(spark, d, "time_expression", "sent_datetime").withColumn("n", n).select("id", "n.type", N.canonical(F.col("n")).alias("canonical"), "n.precision", "n.confidence")
+
+
+@query(
+    """SELECT DISTINCT id, strftime(coalesce(try_cast(regexp_replace(sent_datetime, '(?:Z|[+-][0-9]{2}:?[0-9]{2})$', '') AS TIMESTAMP), try_cast(regexp_replace(time_expression, '(?:Z|[+-][0-9]{2}:?[0-9]{2})$', '') AS TIMESTAMP)), '%Y-%m-%dT%H:%M:%S') AS reference FROM dataset"""
+)
+def temporal_reference(spark, d):
+    ref = N.parse_reference(F.col("sent_datetime"), F.col("time_expression"))
+    return _mails(spark, d, "sent_datetime", "time_expression").select("id", F.date_format(ref, "yyyy-MM-dd'T'HH:mm:ss").alias("reference")).distinct()
+
+
+# ---------------------------------------------------------------- joins
+
+_LABEL = "regexp_replace(regexp_replace(strip_accents(lower(trim(coalesce({0}, '')))), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
+_L, _I = _LABEL.format("label"), _LABEL.format("intent")
+
+
+def _pairs(spark, d) -> DataFrame:
+    """Every annotation with its mail's label: the annotation's intent is the prediction."""
+    gold = _read(spark, d, "gold_annotations").select("id", "dataset_id", X.label_key(F.col("intent")).alias("predicted_label")).distinct()
+    mails = _tests(spark, d, "label").groupBy("id").agg(F.min(X.label_key(F.col("label"))).alias("true_label"))
+    return gold.join(mails.withColumnRenamed("id", "dataset_id"), "dataset_id")
+
+
+_PAIRS = f"WITH g AS (SELECT DISTINCT id, dataset_id, {_I} AS p FROM gold_annotations), m AS (SELECT id AS dataset_id, min({_L}) AS t FROM test_dataset GROUP BY 1), x AS (SELECT g.id, g.dataset_id, g.p, m.t FROM g JOIN m USING (dataset_id)) "
+
+
+@query(_PAIRS + "SELECT id, dataset_id, p AS predicted_label, t AS true_label FROM x")
+def join_gold_mails(spark, d):
+    return _pairs(spark, d).select("id", "dataset_id", "predicted_label", "true_label")
+
+
+@query(
+    f"""WITH g AS (SELECT dataset_id, id, {_I} AS intent, row_number() OVER (PARTITION BY dataset_id ORDER BY id DESC, {_I} DESC) AS r FROM gold_annotations WHERE dataset_id IS NOT NULL)
+SELECT m.id, g.id AS gold_id, g.intent FROM (SELECT DISTINCT id FROM test_dataset) m JOIN (SELECT * FROM g WHERE r = 1) g ON g.dataset_id = m.id"""
+)
+def join_last_gold(spark, d):
+    """Inner join in which the last annotation of a mail wins."""
+    g = _read(spark, d, "gold_annotations").where("dataset_id is not null").select("dataset_id", F.col("id").alias("gold_id"), X.label_key(F.col("intent")).alias("intent"))
+    last = g.groupBy("dataset_id").agg(F.max(F.struct("gold_id", "intent")).alias("g")).select(F.col("dataset_id").alias("id"), "g.gold_id", "g.intent")
+    return _tests(spark, d).join(last, "id")
+
+
+@query(
+    """WITH m AS (SELECT DISTINCT id FROM test_dataset), g AS (SELECT DISTINCT dataset_id AS id FROM gold_annotations WHERE dataset_id IS NOT NULL)
+SELECT 'missing' AS kind, count(*) AS n FROM m WHERE id NOT IN (SELECT id FROM g) UNION ALL SELECT 'extra', count(*) FROM g WHERE id NOT IN (SELECT id FROM m) UNION ALL SELECT 'both', count(*) FROM m JOIN g USING (id)"""
+)
+def join_missing_extra(spark, d):
+    m = _tests(spark, d).select("id", F.lit(1).alias("m"))
+    g = _read(spark, d, "gold_annotations").where("dataset_id is not null").select(F.col("dataset_id").alias("id"), F.lit(1).alias("g")).distinct()
+    both = m.join(g, "id", "full")
+    kind = F.when(F.col("g").isNull(), "missing").when(F.col("m").isNull(), "extra").otherwise("both")
+    counts = both.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+    return spark.createDataFrame([("missing",), ("extra",), ("both",)], "kind string").join(counts, "kind", "left").select("kind", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(
+    """WITH g AS (SELECT dataset_id AS id, count(DISTINCT id) AS n FROM gold_annotations GROUP BY 1) SELECT m.id, coalesce(g.n, 0) AS annotations FROM (SELECT DISTINCT id FROM test_dataset) m LEFT JOIN g USING (id)"""
+)
+def join_left_outer(spark, d):
+    g = _read(spark, d, "gold_annotations").groupBy(F.col("dataset_id").alias("id")).agg(F.countDistinct("id").alias("n"))
+    return _tests(spark, d).join(g, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("annotations"))
+
+
+_KEY = r"trim(regexp_replace(lower({0}), '\s+', ' ', 'g'))"
+
+
+@query(
+    f"""WITH g AS (SELECT DISTINCT id, text FROM gold_annotations), m AS (SELECT DISTINCT id, body FROM test_dataset),
+t AS (SELECT {_KEY.format("body")} AS k, min(id) AS tid FROM m WHERE {_KEY.format("body")} <> '' GROUP BY 1)
+SELECT g.id, coalesce(a.id, b.id, t.tid) AS mail_id, CASE WHEN a.id IS NOT NULL THEN 'id' WHEN b.id IS NOT NULL THEN 'shifted' WHEN t.tid IS NOT NULL THEN 'text' ELSE 'none' END AS how
+FROM g LEFT JOIN (SELECT DISTINCT id FROM m) a ON a.id = g.id LEFT JOIN (SELECT DISTINCT id FROM m) b ON b.id = g.id - 1 LEFT JOIN t ON t.k = {_KEY.format("g.text")}"""
+)
+def join_lookup_cascade(spark, d):
+    """Annotation to mail by id, else by the id before, else by the normalised text."""
+    key = lambda c: F.trim(F.regexp_replace(F.lower(F.col(c)), r"[\t\n\f\r ]+", " "))
+    g = _read(spark, d, "gold_annotations").select("id", "text").distinct().withColumn("k", key("text"))
+    m = _tests(spark, d, "body")
+    ids = m.select("id").distinct()
+    t = m.select(key("body").alias("k"), "id").where("k <> ''").groupBy("k").agg(F.min("id").alias("tid"))
+    out = g.join(ids.withColumn("a", F.col("id")), "id", "left").join(ids.select((F.col("id") + 1).alias("id"), F.col("id").alias("b")), "id", "left").join(t, "k", "left")
+    how = F.when(F.col("a").isNotNull(), "id").when(F.col("b").isNotNull(), "shifted").when(F.col("tid").isNotNull(), "text").otherwise("none")
+    return out.select("id", F.coalesce("a", "b", "tid").alias("mail_id"), how.alias("how"))
+
+
+@query(
+    """WITH p AS (SELECT DISTINCT sender, sender_role FROM dataset WHERE sender IS NOT NULL), r AS (SELECT DISTINCT recipient, recipient_role FROM dataset WHERE recipient IS NOT NULL)
+SELECT sender_role AS role, count(*) AS pairs FROM p JOIN r ON sender_role = recipient_role AND sender <> recipient GROUP BY 1"""
+)
+def join_role_pairs(spark, d):
+    """Counts of sender and recipient pairs with one role and different names, from the roles' name counts."""
+    m = _read(spark, d, "dataset")
+    p = m.where("sender is not null").select(F.col("sender_role").alias("role"), F.col("sender").alias("name")).distinct()
+    r = m.where("recipient is not null").select(F.col("recipient_role").alias("role"), F.col("recipient").alias("name")).distinct()
+    n = p.groupBy("role").agg(F.count("*").alias("a")).join(r.groupBy("role").agg(F.count("*").alias("b")), "role")
+    same = p.join(r, ["role", "name"]).groupBy("role").agg(F.count("*").alias("c"))
+    return n.join(same, "role", "left").select("role", (F.col("a") * F.col("b") - F.coalesce("c", F.lit(0))).alias("pairs")).where("pairs > 0")
+
+
+# ---------------------------------------------------------------- classification metrics
+
+_CLASS = _PAIRS + ", l AS (SELECT DISTINCT t AS label FROM x UNION SELECT DISTINCT p FROM x), c AS (SELECT label, (SELECT count(*) FROM x WHERE t = label AND p = label) AS tp, (SELECT count(*) FROM x WHERE p = label AND t <> label) AS fp, (SELECT count(*) FROM x WHERE t = label AND p <> label) AS fn FROM l), f AS (SELECT *, tp + fn AS support, CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp::DOUBLE / (tp + fp) END AS precision, CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp::DOUBLE / (tp + fn) END AS recall, CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END AS f1 FROM c) "
+
+
+def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+@query(_CLASS + "SELECT label, tp, fp, fn, support, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM f")
+def class_report(spark, d):
+    return _rounded(metrics.class_metrics(_pairs(spark, d)))
+
+
+@query(
+    _CLASS
+    + "SELECT CAST(sum(support) AS BIGINT) AS rows, round(sum(tp)::DOUBLE / sum(support), 6) AS accuracy, round(avg(precision), 6) AS macro_precision, round(avg(recall), 6) AS macro_recall, round(avg(f1), 6) AS macro_f1, round(sum(precision * support) / sum(support), 6) AS weighted_precision, round(sum(recall * support) / sum(support), 6) AS weighted_recall, round(sum(f1 * support) / sum(support), 6) AS weighted_f1 FROM f"
+)
+def class_summary(spark, d):
+    return _rounded(metrics.summary_metrics(_pairs(spark, d)))
+
+
+@query(_CLASS + "SELECT a.label AS true_label, b.label AS predicted_label, (SELECT count(*) FROM x WHERE t = a.label AND p = b.label) AS n FROM l a, l b")
+def confusion_matrix(spark, d):
+    return metrics.confusion(_pairs(spark, d))
+
+
+@query(
+    _PAIRS
+    + """, e AS (SELECT * FROM x WHERE t <> p) SELECT 'true' AS kind, t AS key, count(*) AS n FROM e GROUP BY t UNION ALL SELECT 'predicted', p, count(*) FROM e GROUP BY p UNION ALL SELECT 'pair', t || ' -> ' || p, count(*) FROM e GROUP BY t, p UNION ALL SELECT 'total', '', count(*) FROM e"""
+)
+def error_analysis(spark, d):
+    return metrics.error_analysis(_pairs(spark, d))
+
+
+@query(f"WITH m AS (SELECT DISTINCT id, {_L} AS value FROM dataset) SELECT value, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS percent FROM m GROUP BY value")
+def class_distribution(spark, d):
+    return metrics.distribution(_mails(spark, d, "label").select("id", X.label_key(F.col("label")).alias("value")).distinct(), "value")
+
+
+_VOTES = f"WITH m AS (SELECT id, min({_L}) AS a, max({_L}) AS b, min(substr({_L}, 1, 6)) AS c FROM test_dataset GROUP BY id), g AS (SELECT dataset_id AS id, min({_I}) AS v1, max({_I}) AS v2 FROM gold_annotations WHERE dataset_id IS NOT NULL GROUP BY 1) "
+
+
+@query(_VOTES + "SELECT m.id, a AS lr, v1 AS nb, v2 AS dt, CASE WHEN v1 = v2 THEN v1 ELSE a END AS intent FROM m JOIN g USING (id)")
+def majority_vote(spark, d):
+    m = _tests(spark, d, "label").groupBy("id").agg(F.min(X.label_key(F.col("label"))).alias("lr"))
+    k = X.label_key(F.col("intent"))
+    g = _read(spark, d, "gold_annotations").where("dataset_id is not null").groupBy(F.col("dataset_id").alias("id")).agg(F.min(k).alias("nb"), F.max(k).alias("dt"))
+    return m.join(g, "id").withColumn("intent", metrics.vote("lr", "nb", "dt"))
+
+
+@query(f"SELECT (SELECT count(*) FROM (SELECT DISTINCT {_L} FROM dataset EXCEPT SELECT DISTINCT {_I} FROM gold_annotations)) AS only_mails, (SELECT count(*) FROM (SELECT DISTINCT {_I} FROM gold_annotations EXCEPT SELECT DISTINCT {_L} FROM dataset)) AS only_gold, (SELECT count(*) FROM (SELECT DISTINCT {_L} FROM dataset UNION SELECT DISTINCT {_I} FROM gold_annotations)) AS either")
+def set_operations(spark, d):
+    a = _read(spark, d, "dataset").select(X.label_key(F.col("label")).alias("x")).distinct()
+    b = _read(spark, d, "gold_annotations").select(X.label_key(F.col("intent")).alias("x")).distinct()
+    s = a.withColumn("a", F.lit(1)).join(b.withColumn("b", F.lit(1)), "x", "full")
+    return s.agg(F.count_if(F.col("b").isNull()).alias("only_mails"), F.count_if(F.col("a").isNull()).alias("only_gold"), F.count("*").alias("either"))
+
+
+# ---------------------------------------------------------------- spans and answers
+
+
+_CLEAN = "list_distinct(list_filter(list_transform(coalesce({0}, []), lambda v: trim(coalesce(v, ''))), lambda v: v <> ''))"
+
+
+def _argument_rows(spark, d) -> DataFrame:
+    """(kind, gold, predicted) arrays: annotations against the mails' own fields."""
+    kinds = ["participants", "time", "location", "topic"]
+    gold = _read(spark, d, "gold_annotations").where("dataset_id is not null").select("id", "dataset_id", "arguments").distinct()
+    one = lambda c: F.when(F.col(c).isNotNull(), F.array(c)).otherwise(F.array().cast("array<string>"))
+    mails = _read(spark, d, "test_dataset").groupBy(F.col("id").alias("dataset_id")).agg(F.min("participants").alias("participants"), F.min("time_expression").alias("time"), F.min("location").alias("location"), F.min("topic").alias("topic"))
+    mails = mails.select("dataset_id", F.col("participants").alias("p_participants"), one("time").alias("p_time"), one("location").alias("p_location"), one("topic").alias("p_topic"))
+    rows = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"arguments.{k}").alias("gold"), F.col(f"p_{k}").alias("predicted")) for k in kinds])
+    return gold.join(mails, "dataset_id").select("id", F.explode(rows).alias("x")).select("id", "x.*")
+
+
+_ARGS = (
+    """WITH m AS (SELECT id AS dataset_id, min(participants) AS participants, min(time_expression) AS time, min(location) AS location, min(topic) AS topic FROM test_dataset GROUP BY 1),
+g AS (SELECT DISTINCT id, dataset_id, arguments FROM gold_annotations WHERE dataset_id IS NOT NULL),
+j AS (SELECT g.id, g.arguments AS a, m.* FROM g JOIN m USING (dataset_id)),
+r AS (SELECT id, 'participants' AS kind, a.participants AS gold, participants AS predicted FROM j UNION ALL SELECT id, 'time', a.time, CASE WHEN time IS NULL THEN [] ELSE [time] END FROM j UNION ALL SELECT id, 'location', a.location, CASE WHEN location IS NULL THEN [] ELSE [location] END FROM j UNION ALL SELECT id, 'topic', a.topic, CASE WHEN topic IS NULL THEN [] ELSE [topic] END FROM j),
+"""
+    + f"s AS (SELECT kind, {_CLEAN.format('gold')} AS g, {_CLEAN.format('predicted')} AS p FROM r), "
+    + "t AS (SELECT kind, len(list_intersect(g, p)) AS tp, len(p) - len(list_intersect(g, p)) AS fp, len(g) - len(list_intersect(g, p)) AS fn FROM s), "
+    + "k AS (SELECT kind AS scope, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM t GROUP BY 1), "
+    + "z AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0 ELSE tp::DOUBLE / (tp + fp) END AS precision, CASE WHEN tp + fn = 0 THEN 0 ELSE tp::DOUBLE / (tp + fn) END AS recall, CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2.0 * tp / (2 * tp + fp + fn) END AS f1 FROM k), "
+    + "y AS (SELECT sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM k) "
+)
+
+
+@query(
+    _ARGS
+    + """SELECT scope, tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM z
+UNION ALL SELECT 'MICRO', tp, fp, fn, round(tp::DOUBLE / (tp + fp), 6), round(tp::DOUBLE / (tp + fn), 6), round(2.0 * tp / (2 * tp + fp + fn), 6) FROM y
+UNION ALL SELECT 'MACRO', sum(tp)::BIGINT, sum(fp)::BIGINT, sum(fn)::BIGINT, round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6) FROM z
+UNION ALL SELECT 'WEIGHTED', sum(tp)::BIGINT, sum(fp)::BIGINT, sum(fn)::BIGINT, round(sum(precision * (tp + fn)) / sum(tp + fn), 6), round(sum(recall * (tp + fn)) / sum(tp + fn), 6), round(sum(f1 * (tp + fn)) / sum(tp + fn), 6) FROM z"""
+)
+def argument_metrics(spark, d):
+    r = _argument_rows(spark, d).withColumn("c", metrics.set_counts(F.col("gold"), F.col("predicted"))).select("kind", "c.*")
+    out = metrics.aggregate_counts(r.withColumns({k: F.col(k).cast("bigint") for k in ("tp", "fp", "fn")}), "kind")
+    return _rounded(out)
+
+
+@query()
+def argument_pairs(spark, d):
+    """Greedy one-to-one pairs of annotated and given values with their match type."""
+    r = _argument_rows(spark, d)
+    empty = F.array().cast("array<string>")
+    p = metrics.pair_spans(F.filter(F.coalesce("gold", empty), lambda x: x.isNotNull()), F.filter(F.coalesce("predicted", empty), lambda x: x.isNotNull()))
+    return r.select("kind", F.explode(p).alias("x")).groupBy("kind", "x.match").agg(F.count("*").alias("n"))
+
+
+_TOK = r"list_distinct(list_filter(string_split_regex(lower(coalesce({0}, '')), '\s+'), lambda w: w <> ''))"
+
+
+@query(
+    f"""WITH a AS (SELECT DISTINCT id, {_TOK.format("subject")} AS p, {_TOK.format("topic")} AS r FROM dataset), b AS (SELECT id, len(p) AS n, len(r) AS m, len(list_intersect(p, r)) AS c FROM a)
+SELECT id, round(CASE WHEN n = 0 AND m = 0 THEN 1 WHEN n = 0 OR m = 0 THEN 0 ELSE c::DOUBLE / n END, 6) AS precision, round(CASE WHEN n = 0 AND m = 0 THEN 1 WHEN n = 0 OR m = 0 THEN 0 ELSE c::DOUBLE / m END, 6) AS recall, round(CASE WHEN n = 0 AND m = 0 THEN 1 WHEN n = 0 OR m = 0 THEN 0 ELSE 2.0 * c / (n + m) END, 6) AS f1 FROM b"""
+)
+def token_scores(spark, d):
+    m = _mails(spark, d, "subject", "topic").withColumn("s", metrics.token_scores(F.col("subject"), F.col("topic")))
+    return _rounded(m.select("id", "s.precision", "s.recall", "s.f1").distinct())
+
+
+@query(
+    """WITH a AS (SELECT DISTINCT id, coalesce(subject, '') AS s, coalesce(topic, '') AS t FROM dataset), b AS (SELECT id, s, t, list_distinct(string_split(s, '')) AS x, list_distinct(string_split(t, '')) AS y FROM a)
+SELECT id, round(CASE WHEN s = '' AND t = '' THEN 1 WHEN s = '' OR t = '' THEN 0 ELSE len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))) END, 6) AS jaccard FROM b"""
+)
+def char_jaccard(spark, d):
+    m = _mails(spark, d, "subject", "topic").select("id", F.coalesce("subject", F.lit("")).alias("s"), F.coalesce("topic", F.lit("")).alias("t")).distinct()
+    return m.select("id", F.round(metrics.char_jaccard(F.col("s"), F.col("t")), 6).alias("jaccard"))
+
+
+@query()
+def overlap_ratios(spark, d):
+    m = _mails(spark, d, "subject", "topic").select("id", F.coalesce("subject", F.lit("")).alias("s"), F.coalesce("topic", F.lit("")).alias("t")).distinct()
+    return m.select("id", F.round(metrics.overlap_ratio(F.col("s"), F.col("t")), 6).alias("ratio"), metrics.match_type(F.col("t"), F.col("s")).alias("match"))
+
+
+def _answers(spark, d) -> DataFrame:
+    """Answer rows: the mails' topic and time against the subject and the body."""
+    m = _mails(spark, d, "subject", "body", "topic", "time_expression")
+    rows = F.array(F.struct(F.lit("topic").alias("category"), F.col("subject").alias("predicted"), F.col("topic").alias("reference")), F.struct(F.lit("time").alias("category"), F.col("time_expression").alias("predicted"), F.col("topic").alias("reference")))
+    return m.select("id", F.coalesce("body", F.lit("")).alias("body"), F.explode(rows).alias("x")).select("id", "body", "x.*").distinct()
+
+
+_ANS = r"""WITH m AS (SELECT DISTINCT id, coalesce(body, '') AS body, subject, topic, time_expression FROM dataset), a AS (SELECT DISTINCT id, body, 'topic' AS category, coalesce(subject, '') AS p, coalesce(topic, '') AS r FROM m UNION SELECT DISTINCT id, body, 'time', coalesce(time_expression, ''), coalesce(topic, '') FROM m), """
+
+
+@query(
+    _ANS
+    + r"""e AS (SELECT CASE WHEN trim(p) = '' THEN 'LOW_CONFIDENCE' WHEN trim(regexp_replace(lower(p), '\s+', ' ', 'g')) = trim(regexp_replace(lower(r), '\s+', ' ', 'g')) THEN 'EXACT_MATCH' WHEN NOT contains(body, p) AND NOT contains(lower(body), lower(p)) THEN 'HALLUCINATION' WHEN contains(lower(r), lower(p)) OR contains(lower(p), lower(r)) THEN 'TRUNCATION'
+WHEN len(list_intersect(list_filter(string_split_regex(lower(p), '\s+'), lambda w: w <> ''), list_filter(string_split_regex(lower(r), '\s+'), lambda w: w <> ''))) > 0 THEN 'PARTIAL_MATCH' ELSE 'WRONG_ANSWER' END AS error, category FROM a) SELECT category, error, count(*) AS n FROM e GROUP BY 1, 2"""
+)
+def answer_errors(spark, d):
+    e = metrics.answer_error(F.col("predicted"), F.col("reference"), F.lit(0.4), F.col("body"))
+    a = _answers(spark, d).select("id", "body", "category", F.coalesce("predicted", F.lit("")).alias("predicted"), F.coalesce("reference", F.lit("")).alias("reference")).distinct()
+    return a.groupBy("category", e.alias("error")).agg(F.count("*").alias("n"))
+
+
+@query()
+def answer_summary(spark, d):
+    a = _answers(spark, d).withColumn("s", metrics.token_scores(F.col("predicted"), F.col("reference"))).select("category", "s.*", F.lit(0.5).alias("confidence"))
+    return _rounded(metrics.answer_summary(a))
+
+
+@query()
+def answer_comparison(spark, d):
+    a = _answers(spark, d).withColumn("s", metrics.token_scores(F.col("predicted"), F.col("reference"))).select("category", "s.*", F.lit(0.5).alias("confidence"))
+    b = _answers(spark, d).withColumn("s", metrics.token_scores(F.col("body"), F.col("reference"))).select("category", "s.*", F.lit(0.5).alias("confidence"))
+    return _rounded(metrics.compare_methods(metrics.answer_summary(a), metrics.answer_summary(b)))
+
+
+@query(
+    f"""WITH m AS (SELECT DISTINCT id, {_L} AS label, length(coalesce(body, '')) AS n FROM dataset), g AS (SELECT label, avg(n) AS score FROM m GROUP BY 1)
+SELECT first(label ORDER BY score DESC, label) AS best, first(label ORDER BY score, label) AS worst, round(avg(score), 6) AS mean, round(quantile_cont(score, 0.5), 6) AS median, round(coalesce(stddev_samp(score), 0), 6) AS stddev, round(stddev_pop(score), 6) AS stddev_pop FROM g"""
+)
+def score_stats(spark, d):
+    m = _mails(spark, d, "label", "body").select("id", X.label_key(F.col("label")).alias("label"), F.length(F.coalesce("body", F.lit(""))).alias("n")).distinct()
+    return _rounded(metrics.score_stats(m.groupBy("label").agg(F.avg("n").alias("score")), "label", "score"))
+
+
+@query(
+    r"""WITH c AS (SELECT DISTINCT id, array_to_string(regexp_extract_all(strip_accents(lower(coalesce(gold_topic, ''))), '[a-z0-9]+'), ' ') AS g, array_to_string(regexp_extract_all(strip_accents(lower(coalesce(regexp_extract(subject, '(?i)reunião (?:sobre|d[aeo]s?) (.+)$', 1), ''))), '[a-z0-9]+'), ' ') AS p FROM topic_extraction_holdout WHERE NOT regexp_matches(coalesce(gold_topic, ''), '[^ -~À-ÿ]'))
+SELECT count(*) AS cases, count_if(g = '' AND p <> '') AS spurious, count_if(g <> '' AND p = '') AS missed, round(avg(CASE WHEN g = p THEN 1.0 ELSE 0.0 END), 6) AS exact FROM c"""
+)
+def topic_detection(spark, d):
+    c = _read(spark, d, "topic_extraction_holdout").where(~F.coalesce("gold_topic", F.lit("")).rlike("[^ -~À-ÿ]"))
+    said = F.regexp_extract("subject", r"(?iU)reunião (?:sobre|d[aeo]s?) (.+)$", 1)
+    m = metrics.topic_metrics(c.select("id", F.col("gold_topic").alias("gold"), F.coalesce(said, F.lit("")).alias("predicted")).distinct())
+    return m.select("cases", "spurious", "missed", F.round("exact", 6).alias("exact"))
+
+
+@query()
+def topic_report(spark, d):
+    """The topic extractor on all labelled cases."""
+    c = _read(spark, d, "topic_extraction_holdout").select("id", "subject", "body", "label", "gold_topic").distinct()
+    t = arguments.topic_spans(F.col("body"), F.col("subject"), X.label_key(F.col("label")))
+    return _rounded(metrics.topic_metrics(c.select(F.col("gold_topic").alias("gold"), F.get(t, F.lit(0))["text"].alias("predicted"))))
+
+
+@query(
+    f"""WITH g AS (SELECT DISTINCT id, {_I} AS intent, len(coalesce(trigger, [])) AS t, len(coalesce(arguments.time, [])) AS w FROM gold_annotations)
+SELECT intent, count(*) AS n, count_if(t > 0) AS with_trigger, round(100.0 * count_if(w > 0) / count(*), 4) AS time_coverage FROM g GROUP BY 1"""
+)
+def gold_report(spark, d):
+    size = lambda c: F.size(F.coalesce(c, F.array().cast("array<string>")))
+    g = _read(spark, d, "gold_annotations").select("id", X.label_key(F.col("intent")).alias("intent"), size(F.col("trigger")).alias("t"), size(F.col("arguments.time")).alias("w")).distinct()
+    return g.groupBy("intent").agg(F.count("*").alias("n"), F.count_if(F.col("t") > 0).alias("with_trigger"), F.round(100.0 * F.count_if(F.col("w") > 0) / F.count("*"), 4).alias("time_coverage"))
+
+
+# ---------------------------------------------------------------- windows, sets, limits
+
+
+@query("WITH m AS (SELECT DISTINCT id, sender_email FROM dataset) SELECT id, row_number() OVER (PARTITION BY coalesce(sender_email, '') ORDER BY id, sender_email) - 1 AS position FROM m")
+def window_positions(spark, d):
+    """A record's place among its sender's records."""
+    w = W.partitionBy(F.coalesce("sender_email", F.lit(""))).orderBy("id", "sender_email")
+    return _mails(spark, d, "sender_email").select("id", (F.row_number().over(w) - 1).cast("bigint").alias("position"))
+
+
+@query(
+    f"""WITH g AS (SELECT DISTINCT id, {_I} AS intent, dataset_id FROM gold_annotations WHERE dataset_id IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY length(intent) DESC, id, intent) AS k FROM g) SELECT dataset_id, id, intent FROM r WHERE k = 1"""
+)
+def window_best_per_key(spark, d):
+    """One row a key: the best, of equals the first."""
+    g = _read(spark, d, "gold_annotations").where("dataset_id is not null").select("id", X.label_key(F.col("intent")).alias("intent"), "dataset_id").distinct()
+    best = g.groupBy("dataset_id").agg(F.min(F.struct((-F.length("intent")).alias("n"), "id", "intent")).alias("b"))
+    return best.select("dataset_id", "b.id", "b.intent")
+
+
+@query("WITH m AS (SELECT DISTINCT id, participants FROM dataset WHERE participants IS NOT NULL) SELECT id, array_to_string(list_sort(list_distinct(participants)), '; ') AS names FROM m")
+def array_distinct_names(spark, d):
+    return _read(spark, d, "dataset").where("participants is not null").select("id", "participants").distinct().select("id", F.array_join(F.array_sort(F.array_distinct("participants")), "; ").alias("names"))
+
+
+@query(
+    f"""WITH t AS (SELECT DISTINCT * FROM (SELECT id, {_L} AS label, unnest(regexp_extract_all(lower(strip_accents(coalesce(subject, ''))), '[a-z0-9]+')) AS term FROM dataset)), c AS (SELECT label, term, count(*) AS n FROM t GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, term) AS rank FROM c) SELECT label, term, n, rank FROM r WHERE rank <= 10"""
+)
+def top_terms_per_label(spark, d):
+    m = _mails(spark, d, "subject", "label").select("id", X.label_key(F.col("label")).alias("label"), F.explode(X.topic_tokens(F.coalesce("subject", F.lit("")))).alias("term")).distinct()
+    c = m.groupBy("label", "term").agg(F.count("*").alias("n"))
+    return c.withColumn("rank", F.row_number().over(W.partitionBy("label").orderBy(F.desc("n"), "term")).cast("bigint")).where("rank <= 10")
+
+
+@query("SELECT DISTINCT event_id, ts FROM events ORDER BY event_id DESC LIMIT 50")
+def last_events(spark, d):
+    """The newest records: the limit is the feature."""
+    return _read(spark, d, "events").select("event_id", "ts").distinct().orderBy(F.desc("event_id")).limit(50)
+
+
+# ---------------------------------------------------------------- validation
+
+
+@query(f"WITH m AS (SELECT DISTINCT id, trim(coalesce(body, '')) AS b, trim(coalesce(subject, '')) AS s, trim(coalesce(label, '')) AS l FROM dataset) SELECT count(*) AS records, count_if(l = '') AS missing_label, count_if(b = '') AS empty_body, count_if(b = '' AND s = '') AS empty_mail, count_if(l <> '' AND l NOT IN ('agendamento_reuniao', 'cancelamento_reuniao', 'reuniao_confirmada', 'nao_reuniao')) AS unknown_label FROM m")
+def validate_dataset(spark, d):
+    m = _mails(spark, d, "subject", "body", "label").select("id", *[F.trim(F.coalesce(c, F.lit(""))).alias(c) for c in ("subject", "body", "label")]).distinct()
+    return validate.dataset_report(m)
+
+
+@query(
+    """WITH g AS (SELECT DISTINCT id, text, intent, trigger, arguments FROM gold_annotations)
+SELECT DISTINCT id, 'error' AS level, 'missing_text' AS rule FROM g WHERE trim(coalesce(text, '')) = '' UNION SELECT id, 'error', 'missing_intent' FROM g WHERE coalesce(intent, '') = '' UNION SELECT id, 'error', 'unknown_intent' FROM g WHERE intent <> '' AND intent NOT IN ('agendamento_reuniao', 'cancelamento_reuniao', 'reuniao_confirmada')
+UNION SELECT id, 'error', 'missing_arguments' FROM g WHERE arguments IS NULL UNION SELECT id, 'warning', 'empty_trigger' FROM g WHERE len(coalesce(trigger, [])) = 0 UNION SELECT id, 'warning', 'no_participants' FROM g WHERE arguments IS NOT NULL AND arguments.participants IS NULL UNION SELECT id, 'warning', 'no_time' FROM g WHERE arguments IS NOT NULL AND arguments.time IS NULL UNION SELECT id, 'warning', 'no_location' FROM g WHERE arguments IS NOT NULL AND arguments.location IS NULL UNION SELECT id, 'warning', 'no_topic' FROM g WHERE arguments IS NOT NULL AND arguments.topic IS NULL
+UNION SELECT id, 'error', 'blank_participants' FROM g WHERE len(list_filter(arguments.participants, lambda x: x IS NULL OR trim(x) = '')) > 0 UNION SELECT id, 'error', 'blank_time' FROM g WHERE len(list_filter(arguments.time, lambda x: x IS NULL OR trim(x) = '')) > 0 UNION SELECT id, 'error', 'blank_location' FROM g WHERE len(list_filter(arguments.location, lambda x: x IS NULL OR trim(x) = '')) > 0 UNION SELECT id, 'error', 'blank_topic' FROM g WHERE len(list_filter(arguments.topic, lambda x: x IS NULL OR trim(x) = '')) > 0
+UNION SELECT id, 'error', 'duplicate_id' FROM (SELECT id FROM g GROUP BY id HAVING count(*) > 1)"""
+)
+def validate_gold(spark, d):
+    return validate.validate_annotations(_read(spark, d, "gold_annotations").select("id", "text", "intent", "trigger", "arguments"))
+
+
+@query()
+def validate_triggers(spark, d):
+    return validate.trigger_mismatch(_read(spark, d, "gold_annotations"))
+
+
+@query(
+    """WITH g AS (SELECT DISTINCT id, text, intent, trigger, arguments FROM gold_annotations) SELECT id, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS text, regexp_replace(coalesce(intent, ''), '^\\s+|\\s+$', '', 'g') AS intent, array_to_string(list_filter(list_transform(coalesce(trigger, []), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), '|') AS trigger, array_to_string(list_filter(list_transform(coalesce(arguments.time, []), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), '|') AS time FROM g""".replace("\\\\", "\\")
+)
+def normalized_gold(spark, d):
+    g = _read(spark, d, "gold_annotations").select("id", "text", "intent", "trigger", "arguments").distinct()
+    return validate.normalize_annotation(g).select("id", "text", "intent", F.array_join("trigger", "|").alias("trigger"), F.array_join("arguments.time", "|").alias("time"))
+
+
+# ---------------------------------------------------------------- splits and models
+
+
+def _labelled(spark, d) -> DataFrame:
+    return _mails(spark, d, "label").groupBy("id").agg(F.min(X.label_key(F.col("label"))).alias("label"))
+
+
+_LABELLED = f"WITH m AS (SELECT id, min({_L}) AS label FROM dataset GROUP BY id), o AS (SELECT *, md5(CAST(id AS VARCHAR) || '-42') AS h FROM m), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h, id) AS k, count(*) OVER (PARTITION BY label) AS n FROM o) "
+
+
+@query(_LABELLED + "SELECT id, label FROM r WHERE k <= 50")
+def split_sample(spark, d):
+    return splits.per_label_sample(_labelled(spark, d), "id", "label", 50).select("id", "label")
+
+
+@query(_LABELLED + "SELECT id, label, CASE WHEN k <= ceil(0.2 * n) THEN 'test' ELSE 'train' END AS part FROM r")
+def split_stratified(spark, d):
+    return splits.stratified_split(_labelled(spark, d), "id", "label").select("id", "label", "part")
+
+
+@query(f"WITH m AS (SELECT id, min({_L}) AS label FROM dataset GROUP BY id) SELECT id, CAST(CAST('0x' || substr(md5(label || '-' || CAST(id AS VARCHAR) || '-42'), 1, 7) AS BIGINT) % 5 AS INT) AS fold FROM m")
+def split_folds(spark, d):
+    return splits.folds(_labelled(spark, d), "id", "label").select("id", "fold")
+
+
+@query("WITH g AS (SELECT DISTINCT id, coalesce(dataset_id, -1) AS mail FROM gold_annotations), h AS (SELECT *, CAST('0x' || substr(md5(CAST(mail AS VARCHAR) || '-42'), 1, 7) AS BIGINT) / 268435456.0 AS u FROM g) SELECT id, mail, CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.9 THEN 'validation' ELSE 'test' END AS part FROM h")
+def split_grouped(spark, d):
+    g = _read(spark, d, "gold_annotations").select("id", F.coalesce("dataset_id", F.lit(-1)).alias("mail")).distinct()
+    return splits.group_split(g, "mail", [("train", 0.8), ("validation", 0.1), ("test", 0.1)]).select("id", "mail", "part")
+
+
+_TFIDF_SQL = r"""WITH m AS (SELECT id, min(coalesce(subject, '')) AS t FROM dataset GROUP BY id), w AS (SELECT id, regexp_extract_all(lower(t), '[\p{L}\p{N}_][\p{L}\p{N}_]+') AS ws FROM m),
+x AS (SELECT id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM w), c AS (SELECT id, term, count(*) AS tf FROM x GROUP BY 1, 2),
+v AS (SELECT term, sum(tf) AS total, count(*) AS df FROM c GROUP BY 1 ORDER BY total DESC, term LIMIT 500) """
+
+
+@query(_TFIDF_SQL + ", s AS (SELECT c.id, c.term, tf * (ln((1.0 + (SELECT count(*) FROM m)) / (1 + df)) + 1) AS w FROM c JOIN v USING (term)), n AS (SELECT id, sqrt(sum(w * w)) AS norm FROM s GROUP BY 1) SELECT id, term, round(w / norm, 6) AS weight FROM s JOIN n USING (id)")
+def tfidf_weights(spark, d):
+    m = _mails(spark, d, "subject").groupBy("id").agg(F.min(F.coalesce("subject", F.lit(""))).alias("t"))
+    return _rounded(ml.tfidf(m, "id", "t", 500))
+
+
+@query(
+    _TFIDF_SQL
+    + f", l AS (SELECT id, min({_L}) AS label FROM dataset GROUP BY id), b AS (SELECT label, term, sum(tf) AS n FROM c JOIN v USING (term) JOIN l USING (id) GROUP BY 1, 2), t AS (SELECT label, sum(n) AS total FROM b GROUP BY 1) SELECT t.label, v.term, round(ln((coalesce(b.n, 0) + 1.0) / (t.total + 500)), 6) AS log_prob FROM t CROSS JOIN v LEFT JOIN b ON b.label = t.label AND b.term = v.term"
+)
+def naive_bayes_table(spark, d):
+    m = _mails(spark, d, "subject", "label").groupBy("id").agg(F.min(F.coalesce("subject", F.lit(""))).alias("t"), F.min(X.label_key(F.col("label"))).alias("label"))
+    return _rounded(ml.naive_bayes_table(m, "id", "t", "label", 500))
+
+
+def _texts(spark, d) -> DataFrame:
+    m = _mails(spark, d, "subject", "body", "label").where("label is not null")
+    text = X.preprocess(X.combine_fields(F.col("subject"), F.col("body")))
+    return m.select("id", text.alias("text"), X.label_key(F.col("label")).alias("label")).dropDuplicates(["id"])
+
+
+@query()
+def model_metrics(spark, d):
+    """Accuracy, macro and weighted F1 of three models on a stratified test part."""
+    parts = splits.stratified_split(_texts(spark, d), "id", "label")
+    train, test = parts.where("part = 'train'"), parts.where("part = 'test'")
+    truth = test.select("id", F.col("label").alias("true_label"))
+    out = None
+    for kind in ("logistic_regression", "naive_bayes", "decision_tree"):
+        p = ml.predict(ml.fit(train, kind), test, "id")
+        one = metrics.summary_metrics(truth.join(p, "id")).select(F.lit(kind).alias("model"), "rows", "accuracy", "macro_f1", "weighted_f1")
+        out = one if out is None else out.union(one)
+    return _rounded(out)
+
+
+# ---------------------------------------------------------------- questions and answers
+
+
+@query("WITH m AS (SELECT DISTINCT id, body FROM dataset), q AS (SELECT * FROM (VALUES ('participants', 'Quem são os participantes da reunião?'), ('time', 'Quando é a reunião?'), ('location', 'Onde é a reunião?'), ('topic', 'Qual é o tema da reunião?')) q(category, question)) SELECT category, question, count(*) AS n, CAST(sum(length(coalesce(body, ''))) AS BIGINT) AS characters FROM m CROSS JOIN q GROUP BY 1, 2")
+def qa_questions(spark, d):
+    q = qa.questions(_mails(spark, d, "body"), context="body")
+    return q.groupBy("category", "question").agg(F.count("*").alias("n"), F.sum(F.length(F.coalesce("context", F.lit("")))).alias("characters"))
+
+
+@query()
+def qa_fallbacks(spark, d):
+    """Fallbacks around answers taken from the mails' own fields."""
+    m = _read(spark, d, "dataset").select("id", "subject", "body", "label", "sender", "location", "sent_datetime", "topic", "time_expression").dropDuplicates(["id"])
+    given = {"participants": F.lit(None).cast("string"), "time": F.col("time_expression"), "location": F.col("location"), "topic": F.col("topic")}
+    for k, c in given.items():
+        m = m.withColumns({f"{k}_answer": c, f"{k}_confidence": F.lit(0.6)})
+    out = qa.apply_fallbacks(m.withColumn("label", X.label_key(F.col("label"))))
+    cols = [F.col(f"{c}.{p}").alias(f"{c}_{n}") for c in ("participants", "time", "time_normalized", "location", "topic") for p, n in (("answer", "text"), ("fallback_source", "source"))]
+    return out.select("id", *cols)
+
+
+@query(
+    """WITH g AS (SELECT DISTINCT id, coalesce(text, '') AS context, arguments AS a FROM gold_annotations), r AS (SELECT id, context, 'participants' AS category, coalesce(a.participants, []) AS v FROM g UNION ALL SELECT id, context, 'time', coalesce(a.time, []) FROM g UNION ALL SELECT id, context, 'location', coalesce(a.location, []) FROM g UNION ALL SELECT id, context, 'topic', coalesce(a.topic, []) FROM g), s AS (SELECT *, array_to_string(v, '; ') AS answer FROM r)
+SELECT id || '-' || category AS example_id, category, answer, CAST(CASE WHEN answer = '' THEN -1 ELSE instr(context, string_split(answer, '; ')[1]) - 1 END AS INT) AS answer_start, answer = '' AS is_impossible FROM s"""
+)
+def qa_examples(spark, d):
+    g = _read(spark, d, "gold_annotations").select("id", "text", "arguments").distinct()
+    return qa.qa_examples(g).select("example_id", "category", "answer", F.col("answer_start").cast("int").alias("answer_start"), "is_impossible")
+
+
+@query()
+def qa_contexts(spark, d):
+    g = _read(spark, d, "gold_annotations").select("id", "text", "arguments").dropDuplicates(["id"])
+    return qa.by_context(qa.qa_examples(g)).select("id", "context", F.size("qas").alias("questions"))
+
+
+# ---------------------------------------------------------------- scale checks on the star tables
+
+
+@query("SELECT n_name AS nation, count(*) AS orders, CAST(round(sum(o_totalprice), 0) AS BIGINT) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def star_join(spark, d):
+    o, c, n = _read(spark, d, "orders"), _read(spark, d, "customer"), _read(spark, d, "nation")
+    j = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
+    return j.groupBy(F.col("n_name").alias("nation")).agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 0).cast("bigint").alias("total"))
