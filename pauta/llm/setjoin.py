@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pauta.cluster import bounded_rows, cut_lineage
-from pauta.llm.wordhash import distinct_per_row, mix, ngrams, word_hashes
+from pauta.llm.wordhash import ROW_BITS, distinct_per_row, mix, ngrams, word_hashes
 
 STAGE_WORDS = 5
 BUCKET_BITS = 22
@@ -54,12 +54,11 @@ def _stage_grams(texts: list, min_words: int) -> tuple:
     h, o = word_hashes(texts)
     long_enough = np.diff(o) >= min_words
     g, row, _ = ngrams(h, o, STAGE_WORDS)
-    keep = long_enough[row]
-    g, row = distinct_per_row(g[keep], row[keep])
     n = np.bincount(row, minlength=len(texts))
     level = np.floor(np.log2(np.maximum(n, 16) / 16)).astype(np.uint64)
-    picked = (g & ((U64(1) << level[row]) - U64(1))) == 0
-    return h, o, long_enough, g[picked], row[picked]
+    keep = long_enough[row] & ((g & ((U64(1) << level[row]) - U64(1))) == 0)
+    g, row = distinct_per_row(g[keep], row[keep])
+    return h, o, long_enough, g, row
 
 
 def _bucket(g: np.ndarray) -> np.ndarray:
@@ -247,7 +246,7 @@ def overlaps(texts_a: list, texts_b: list) -> tuple[np.ndarray, np.ndarray, np.n
         sets.append(distinct_per_row(g, r))
     n = len(texts_a)
     g, r = np.concatenate([sets[0][0], sets[1][0]]), np.concatenate([sets[0][1], sets[1][1]])
-    order = np.lexsort((g, r))
+    order = np.argsort((r.astype(U64) << U64(64 - ROW_BITS)) | (g >> U64(ROW_BITS)))
     g, r = g[order], r[order]
     both = r[1:][(g[1:] == g[:-1]) & (r[1:] == r[:-1])]
     return np.bincount(sets[0][1], minlength=n), np.bincount(sets[1][1], minlength=n), np.bincount(both, minlength=n)

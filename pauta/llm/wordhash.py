@@ -125,11 +125,23 @@ def ngrams(hashes: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
     return g[at], row[at], at
 
 
+ROW_BITS = 20
+
+
 def distinct_per_row(grams: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The set of n-grams of each row, as flat arrays ordered by (row, gram)."""
-    order = np.lexsort((grams, row))
-    grams, row = grams[order], row[order]
+    """The set of n-grams of each row, as flat arrays ordered by row.
+
+    Row and the upper 44 bits of the hash share one 64-bit key, so one fast sort does; the
+    hashes come back with their lower bits cleared, the same for every batch of rows.
+    """
     if not len(grams):
         return grams, row
-    keep = np.concatenate(([True], (grams[1:] != grams[:-1]) | (row[1:] != row[:-1])))
-    return grams[keep], row[keep]
+    shift, cut = np.uint64(64 - ROW_BITS), np.uint64(ROW_BITS)
+    if int(row[-1]) >> ROW_BITS or int(row.max()) >> ROW_BITS:
+        half = int(row.max()) // 2
+        parts = [distinct_per_row(grams[m], row[m] - low) for m, low in ((row <= half, 0), (row > half, half + 1))]
+        return np.concatenate([parts[0][0], parts[1][0]]), np.concatenate([parts[0][1], parts[1][1] + half + 1])
+    key = (row.astype(np.uint64) << shift) | (grams >> cut)
+    key.sort()
+    key = key[np.concatenate(([True], key[1:] != key[:-1]))]
+    return key << cut, (key >> shift).astype(np.int64)
