@@ -35,11 +35,11 @@ LETTERS = {
     "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "Օ": "O", "Տ": "S", "ı": "i", "ɑ": "a", "ɡ": "g", "ⅼ": "l", "ꞑ": "n",
 }
 #: Other characters that look like typed ones.
-OTHERS = {"‐": "-", "‑": "-", " ": "\n", " ": "\n", "\u0085": "\n", " ": " ", "᠎": "", "⠀": " ", "ㅤ": "", "ᅟ": "", "ᅠ": "", "ﾠ": "", "͏": ""}
+OTHERS = {"\u2010": "-", "\u2011": "-", "\u2028": "\n", "\u2029": "\n", "\u0085": "\n", "\u1680": " ", "\u180e": "", "\u2800": " ", "\u3164": "", "\u115f": "", "\u1160": "", "\uffa0": "", "\u034f": ""}
 
 _TYPED = {chr(c) for c in range(32, 127)} | set("\n\r\t") | {chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7)}
 _SAFE = re.compile("[^\t\n\r -~\xa1-\xac\xae-\xff–—‘-‟…€]")
-_HIDDEN = "­​‌‍‎‏⁠⁡⁢⁣⁤﻿؜"
+_HIDDEN = "\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\u2061\u2062\u2063\u2064\ufeff\u061c"
 
 
 class _Union:
@@ -64,7 +64,7 @@ def _links():
             continue
         ch = chr(c)
         kind, tag = unicodedata.category(ch), unicodedata.decomposition(ch)
-        if ch in OTHERS or ch == "️":
+        if ch in OTHERS or ch == "\ufe0f":
             continue
         if kind == "Zs":
             yield ch, " "
@@ -148,7 +148,7 @@ class Rewriter:
             start = end - len(key) + 1
             if key in self.foreign and not self._in_latin_word(text, start):
                 continue
-            if key in "️‍" and start and unicodedata.category(text[start - 1]) in ("So", "Sk", "Mn"):
+            if key in ("\ufe0f", "\u200d") and start and unicodedata.category(text[start - 1]) in ("So", "Sk", "Mn"):
                 continue  # part of an emoji
             out += (text[done:start], value)
             if source is not None:
