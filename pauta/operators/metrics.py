@@ -44,7 +44,7 @@ def summary_metrics(df: DataFrame, true: str = "true_label", pred: str = "predic
     m = class_metrics(df, true, pred)
     s = F.sum("support")
     weighted = lambda c: ratio(F.sum(F.col(c) * F.col("support")), s).alias(f"weighted_{c}")
-    return m.agg(s.alias("rows"), ratio(F.sum("tp"), s).alias("accuracy"), *[F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")], *[weighted(c) for c in ("precision", "recall", "f1")])
+    return m.agg(F.coalesce(s, F.lit(0)).alias("rows"), ratio(F.sum("tp"), s).alias("accuracy"), *[F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")], *[weighted(c) for c in ("precision", "recall", "f1")])
 
 
 def confusion(df: DataFrame, true: str = "true_label", pred: str = "predicted_label") -> DataFrame:
@@ -58,10 +58,11 @@ def confusion(df: DataFrame, true: str = "true_label", pred: str = "predicted_la
 def error_analysis(df: DataFrame, true: str = "true_label", pred: str = "predicted_label") -> DataFrame:
     """(kind, key, n) of the errors by true label, predicted label and pair, and in total."""
     c = pair_counts(df, true, pred).where("t <> p")
-    g = c.groupingSets([["t"], ["p"], ["t", "p"], []], "t", "p").agg(F.sum("n").alias("n"), F.grouping_id().alias("g"))
-    kind = F.when(F.col("g") == 1, "true").when(F.col("g") == 2, "predicted").when(F.col("g") == 0, "pair").otherwise("total")
-    key = F.when(F.col("g") == 1, F.col("t")).when(F.col("g") == 2, F.col("p")).when(F.col("g") == 0, F.concat("t", F.lit(" -> "), "p")).otherwise("")
-    return g.select(kind.alias("kind"), key.alias("key"), F.coalesce("n", F.lit(0)).alias("n"))
+    g = c.groupingSets([["t"], ["p"], ["t", "p"]], "t", "p").agg(F.sum("n").alias("n"), F.grouping_id().alias("g"))
+    kind = F.when(F.col("g") == 1, "true").when(F.col("g") == 2, "predicted").otherwise("pair")
+    key = F.when(F.col("g") == 1, F.col("t")).when(F.col("g") == 2, F.col("p")).otherwise(F.concat("t", F.lit(" -> "), "p"))
+    total = c.agg(F.lit("total").alias("kind"), F.lit("").alias("key"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return g.select(kind.alias("kind"), key.alias("key"), "n").union(total)
 
 
 def distribution(df: DataFrame, column: str) -> DataFrame:

@@ -14,15 +14,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pauta.functions.text import fingerprint, let
+from pauta.operators.metrics import summary_metrics, vote
+from pauta.operators.splits import folds
+
 VOCABULARY = 5000
 FIT_ROWS = 200_000
 
 
 def terms(text: Column) -> Column:
     """Lower-case words of two letters or more and their pairs."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.concat(words, F.filter(pairs, lambda x: x.isNotNull()))
+
+    def with_pairs(words: Column) -> Column:
+        pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.concat(words, F.filter(pairs, lambda x: x.isNotNull()))
+
+    return let(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), with_pairs)
 
 
 def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -109,8 +116,6 @@ def predict(model: PipelineModel, df: DataFrame, key: str, text: str = "text") -
 
 def consensus(predictions: dict[str, DataFrame], key: str) -> DataFrame:
     """(key, one column a model, intent): the majority of three models, else the first."""
-    from pauta.operators.metrics import vote
-
     names = list(predictions)
     out = None
     for name, p in predictions.items():
@@ -121,9 +126,6 @@ def consensus(predictions: dict[str, DataFrame], key: str) -> DataFrame:
 
 def cross_validate(df: DataFrame, kind: str, key: str, text: str = "text", label: str = "label", k: int = 5) -> DataFrame:
     """(fold, accuracy, macro_f1, weighted_f1): vectoriser and model are fitted anew in each fold."""
-    from pauta.operators.metrics import summary_metrics
-    from pauta.operators.splits import folds
-
     parts = folds(df.where(F.col(label).isNotNull()), key, label, k)
     out = None
     for i in range(k):
@@ -137,8 +139,6 @@ def cross_validate(df: DataFrame, kind: str, key: str, text: str = "text", label
 
 def leaked_texts(train: DataFrame, test: DataFrame, text: str = "text") -> DataFrame:
     """Fingerprints that stand in both: the guard against evaluating on training texts."""
-    from pauta.functions.text import fingerprint
-
     a, b = (d.select(fingerprint(F.col(text)).alias("fingerprint")).where("fingerprint is not null") for d in (train, test))
     return a.intersect(b)
 
