@@ -96,10 +96,18 @@ def fit(df: DataFrame, kind: str, text: str = "text", label: str = "label", fit_
     sizes = rows.groupBy("label").agg(F.count("*").alias("c"))
     k = sizes.count()
     total = sizes.agg(F.sum("c")).first()[0]
-    weighted = rows.join(F.broadcast(sizes), "label").withColumn("weight", F.lit(float(total)) / (k * F.col("c"))).withColumn("terms", terms(F.col("text")))
+    weighted = rows.join(F.broadcast(sizes), "label").withColumn("weight", F.lit(float(total)) / (k * F.col("c"))).select("label", "weight", terms(F.col("text")).alias("terms"))
     index = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc", handleInvalid="keep")
-    stages = [index, *features(size), classifier(kind)]
-    return Pipeline(stages=stages).fit(weighted)
+    weighted.persist()  # read once by each stage; bounded by ``fit_rows``
+    try:
+        shared = Pipeline(stages=[index, *features(size)]).fit(weighted)
+        ready = shared.transform(weighted).select("y", "weight", "features").persist()
+        try:
+            return PipelineModel(stages=[*shared.stages, classifier(kind).fit(ready)])
+        finally:
+            ready.unpersist()
+    finally:
+        weighted.unpersist()
 
 
 def predict(model: PipelineModel, df: DataFrame, key: str, text: str = "text") -> DataFrame:

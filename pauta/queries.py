@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pauta.cluster import cut_lineage
 from pauta.functions import spans as S
 from pauta.functions import temporal as N
 from pauta.functions import text as X
@@ -73,12 +74,12 @@ def _sql_tails(expr: str, tails: list[str], flags: str = "(?s)") -> str:
 
 @query(rf"SELECT DISTINCT id, {_NORMAL} AS clean FROM dataset")
 def text_normalize(spark, d):
-    return _mails(spark, d, "body").select("id", X.normalize(F.col("body")).alias("clean")).distinct()
+    return _mails(spark, d, "body").select("id", X.normalize(F.col("body")).alias("clean"))
 
 
 @query(f"SELECT DISTINCT id, {_sql_tails(_sql_tails(_NORMAL, X.HISTORY_TAILS), X.SIGNATURE_TAILS)} AS clean FROM dataset")
 def text_clean_body(spark, d):
-    return _mails(spark, d, "body").select("id", X.clean_body(F.col("body")).alias("clean")).distinct()
+    return _mails(spark, d, "body").select("id", X.clean_body(F.col("body")).alias("clean"))
 
 
 _MODEL = f"lower({_NORMAL.replace('body', _sql_tails(_sql_tails('body', X.THREAD_TAILS, '(?is)'), X.LONG_SIGNATURE_TAILS, '(?is)'))})"
@@ -89,7 +90,7 @@ _STOP = "[" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + "]"
     rf"""SELECT DISTINCT id, array_to_string(list_filter(string_split_regex(regexp_replace(regexp_replace({_MODEL}, '[.,!?;:-]', '', 'g'), '\d+', '', 'g'), '\s+'), lambda w: w <> '' AND NOT list_contains({_STOP}, w)), ' ') AS clean FROM dataset"""
 )
 def text_preprocess(spark, d):
-    return _mails(spark, d, "body").select("id", X.preprocess(F.col("body"), punctuation=True, digits=True, stopwords=True).alias("clean")).distinct()
+    return _mails(spark, d, "body").select("id", X.preprocess(F.col("body"), punctuation=True, digits=True, stopwords=True).alias("clean"))
 
 
 _ENTITY_SQL = "t"
@@ -102,7 +103,7 @@ for _k, _v in X.ENTITIES.items():
 SELECT DISTINCT email_id, regexp_replace(regexp_replace({_ENTITY_SQL}, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS body_text FROM a"""
 )
 def text_html(spark, d):
-    return _read(spark, d, "imported_emails").select("email_id", X.html_to_text(F.col("body")).alias("body_text")).distinct()
+    return _read(spark, d, "imported_emails").select("email_id", "body").distinct().select("email_id", X.html_to_text(F.col("body")).alias("body_text"))
 
 
 @query("SELECT DISTINCT id, coalesce(contains(subject, 'Re:'), false) OR coalesce(contains(body, '>'), false) AS is_reply, length(body) - length(replace(body, '>', '')) AS thread_level FROM dataset")
@@ -771,7 +772,7 @@ def _texts(spark, d) -> DataFrame:
 @query()
 def model_metrics(spark, d):
     """Accuracy, macro and weighted F1 of three models on a stratified test part."""
-    parts = splits.stratified_split(_texts(spark, d), "id", "label")
+    parts = cut_lineage(splits.stratified_split(_texts(spark, d), "id", "label"))
     train, test = parts.where("part = 'train'"), parts.where("part = 'test'")
     truth = test.select("id", F.col("label").alias("true_label"))
     out = None
