@@ -99,4 +99,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p1_report, p3_found, p3_groups, p4_found, p4_splits, p4_report, p5_found, p5_redacted, p6_found, p6_plain, p7_ids, p7_counts, p8_found, p8_report, p9_found, p9_shares, p9_lines)
 }
 
-SQL: dict[str, str] = {}
+_ORDINALS = "translate({0}, 'ªº²³¹', 'ao231')"  # letters and digits by compatibility; other such characters don't occur in these texts
+_WORDS = "regexp_extract_all(strip_accents(lower(" + _ORDINALS + ")), '[a-z0-9]+')"
+_TRIGRAMS = "SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM t, range(1, 3000) r(i) WHERE i <= len(w) - 2"
+_PAIRS = "s AS (SELECT id, count(*) AS n FROM g GROUP BY id), c AS (SELECT a.id AS x, b.id AS y, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2), p AS (SELECT x, y FROM c JOIN s a ON a.id = x JOIN s b ON b.id = y WHERE 3 * k >= a.n + b.n)"
+
+SQL: dict[str, str] = {
+    "p1_found": f"""WITH t AS (SELECT DISTINCT id, lower(trim(split)) AS split, {_WORDS.format("coalesce(body, '')")} AS w FROM topic_extraction_holdout WHERE lower(trim(split)) IN ('train', 'dev', 'holdout')),
+g AS ({_TRIGRAMS} AND len(w) >= 15), {_PAIRS} SELECT x AS id_a, y AS id_b FROM p JOIN t a ON a.id = x JOIN t b ON b.id = y WHERE (a.split = 'train') <> (b.split = 'train')""",
+    "p3_found": f"""WITH t AS (SELECT DISTINCT id, {_WORDS.format("coalesce(subject, '') || ' ' || coalesce(body, '')")} AS w FROM dataset), g AS ({_TRIGRAMS} AND len(w) >= 30), {_PAIRS} SELECT x AS id_a, y AS id_b FROM p""",
+    "p8_found": f"""WITH t AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents), b AS (SELECT item_id, {_WORDS.format("text")} AS w FROM benchmark),
+d AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 11], ' ') AS g FROM t, range(1, 100000) r(i) WHERE i <= len(w) - 11), e AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM b, range(1, 1000) r(i) WHERE i <= len(w) - 11) SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (g)""",
+    "p9_shares": f"""WITH t AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents), g AS (SELECT doc_id, count(*) AS n, count(DISTINCT w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) AS k FROM t, range(1, 100000) r(i) WHERE i <= len(w) - 3 GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_sequences, coalesce(k, 0) AS n_distinct, round(CASE WHEN coalesce(n, 0) = 0 THEN 0 ELSE 1 - k / n END, 6) AS repeated_share FROM t LEFT JOIN g USING (doc_id)""",
+    "p9_found": f"""WITH t AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents), g AS (SELECT doc_id, count(*) AS n, count(DISTINCT w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) AS k FROM t, range(1, 100000) r(i) WHERE i <= len(w) - 3 AND len(w) >= 20 GROUP BY 1) SELECT doc_id FROM g WHERE 10 * k <= 7 * n""",
+    "p9_lines": r"""WITH t AS (SELECT DISTINCT doc_id, coalesce(source, '') AS host, text FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, host, lower(trim(regexp_replace(unnest(string_split_regex(text, '\r?\n')), '[\s\x0b\x1c-\x1f\x85\p{Z}]+', ' ', 'g'))) AS line FROM t), p AS (SELECT doc_id, host, line, count(*) AS times, length(line) AS width FROM l WHERE line <> '' GROUP BY 1, 2, 3),
+h AS (SELECT host, count(DISTINCT doc_id) AS n FROM t GROUP BY 1), f AS (SELECT host, line FROM p JOIN h USING (host) GROUP BY host, line, n HAVING count(*) > 20 AND count(*) > 0.05 * n)
+SELECT doc_id, CAST(sum(times) AS BIGINT) AS n_lines, CAST(sum(CASE WHEN f.line IS NOT NULL THEN times ELSE 0 END) AS BIGINT) AS n_removed, round(sum(CASE WHEN f.line IS NULL THEN times * width ELSE 0 END)::DOUBLE / sum(times * width), 6) AS kept_share, sum(CASE WHEN f.line IS NULL THEN times * width ELSE 0 END)::DOUBLE / sum(times * width) < 0.5 AS rejected FROM p LEFT JOIN f ON f.host = p.host AND f.line = p.line GROUP BY 1""",
+}
