@@ -12,9 +12,10 @@ from pauta.cluster import cut_lineage
 from pauta.functions import spans as S
 from pauta.functions import temporal as N
 from pauta.functions import text as X
-from pauta.operators import annotate, anonymize, arguments, metrics, ml, qa, splits, validate
+from pauta.operators import annotate, anonymize, arguments, errors, metrics, ml, qa, splits, validate
 from pauta.operators.triggers import trigger
 from pauta.plans import pipelines
+from pauta.sources import generate
 from pauta.timestamps import LISBON, instants, zone_violations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -540,6 +541,32 @@ def argument_pairs(spark, d):
     return r.select("kind", F.explode(p).alias("x")).groupBy("kind", "x.match").agg(F.count("*").alias("n"))
 
 
+@query()
+def argument_errors(spark, d):
+    return errors.error_summary(errors.error_records(errors.paired(_argument_rows(spark, d))))
+
+
+@query()
+def argument_match_types(spark, d):
+    return _rounded(errors.by_match_type(errors.paired(_argument_rows(spark, d))))
+
+
+@query(_ARGS + "SELECT first(scope ORDER BY f1 DESC, scope) AS best, first(scope ORDER BY f1, scope) AS worst FROM z")
+def argument_best_worst(spark, d):
+    r = _argument_rows(spark, d).withColumn("c", metrics.set_counts(F.col("gold"), F.col("predicted"))).select("kind", "c.*")
+    m = metrics.aggregate_counts(r, "kind").where("scope not in ('MICRO', 'MACRO', 'WEIGHTED')")
+    return errors.best_and_worst(m, "scope", "f1")
+
+
+@query(
+    """WITH g AS (SELECT DISTINCT id, trigger, arguments FROM gold_annotations), c AS (SELECT count(*) AS n, count_if(len(coalesce(trigger, [])) > 0) AS a, count_if(len(coalesce(arguments.participants, [])) > 0) AS b, count_if(len(coalesce(arguments.time, [])) > 0) AS c, count_if(len(coalesce(arguments.location, [])) > 0) AS d, count_if(len(coalesce(arguments.topic, [])) > 0) AS e FROM g)
+SELECT 'trigger' AS "column", a AS filled, round(a / n, 6) AS share FROM c UNION ALL SELECT 'arguments.participants', b, round(b / n, 6) FROM c UNION ALL SELECT 'arguments.time', c, round(c / n, 6) FROM c UNION ALL SELECT 'arguments.location', d, round(d / n, 6) FROM c UNION ALL SELECT 'arguments.topic', e, round(e / n, 6) FROM c"""
+)
+def gold_coverage(spark, d):
+    g = _read(spark, d, "gold_annotations").select("id", "trigger", "arguments").distinct()
+    return errors.coverage(g, ["trigger", *[f"arguments.{k}" for k in ("participants", "time", "location", "topic")]])
+
+
 _TOK = r"list_distinct(list_filter(string_split_regex(lower(coalesce({0}, '')), '\s+'), lambda w: w <> ''))"
 
 
@@ -769,6 +796,29 @@ def _texts(spark, d) -> DataFrame:
     return m.select("id", text.alias("text"), X.label_key(F.col("label")).alias("label")).dropDuplicates(["id"])
 
 
+@query()
+def model_folds(spark, d):
+    """Accuracy and F1 of the Bayes model in each of three folds, everything fitted anew."""
+    return _rounded(ml.cross_validate(cut_lineage(_texts(spark, d)), "naive_bayes", "id", k=3))
+
+
+@query()
+def model_consensus(spark, d):
+    """Confusion counts of the three models' majority on a stratified test part."""
+    parts = cut_lineage(splits.stratified_split(_texts(spark, d), "id", "label"))
+    train, test = parts.where("part = 'train'"), parts.where("part = 'test'")
+    kinds = {"lr": "logistic_regression", "nb": "naive_bayes", "dt": "decision_tree"}
+    both = ml.consensus({k: ml.predict(ml.fit(train, v), test, "id") for k, v in kinds.items()}, "id")
+    return metrics.confusion(test.select("id", F.col("label").alias("true_label")).join(both.select("id", F.col("intent").alias("predicted_label")), "id"))
+
+
+@query()
+def generated_mails(spark, d):
+    """Label shares of synthetic mails, as many as the largest table has rows."""
+    n = _read(spark, d, "dataset").count()
+    return metrics.distribution(generate.mails(spark, n), "label")
+
+
 @query()
 def model_metrics(spark, d):
     """Accuracy, macro and weighted F1 of three models on a stratified test part."""
