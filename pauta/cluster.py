@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,3 +34,23 @@ def shared_folder(spark: SparkSession) -> str:
 def bounded_rows(df: DataFrame, most: int) -> bool:
     """Whether ``df`` has at most ``most`` rows; it looks at no more than one row beyond."""
     return df.limit(most + 1).count() <= most
+
+
+def share_code(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, wherever they start.
+
+    The package goes once a context as a small zip file through Spark's own file
+    distribution; it is written to the shared folder where that is a plain path.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_pauta_shared", False):
+        return
+    here = Path(__file__).resolve().parent
+    folder = shared_folder(spark).removeprefix("file://")
+    target = Path(folder if folder.startswith("/") else tempfile.mkdtemp(prefix="pauta-code-")) / f"pauta-{sc.applicationId}.zip"
+    target.parent.mkdir(parents=True, exist_ok=True)
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f"pauta/{f.relative_to(here)}")
+    sc.addPyFile(str(target))
+    sc._pauta_shared = True
