@@ -29,7 +29,8 @@ from pauta.llm.lookalikes import jvm_plain
 LARGE = 1e-4
 BUCKETS = 1024
 
-PROCESS = r"(?iu)(?<![\p{L}\p{N}])(?:processos?|procs?\.?|p\.?\s?º)[\s:]*(?:n\.?\s?[ºo°]\.?)?\s*[-–]?\s*([0-9]{4})\s*[/.–-]\s*([0-9]{1,12})(?![0-9])"
+PROCESS = r"(?iu)(?<![\p{L}\p{N}])(?:processos?|procs?\.?[ºo°]?|p\.?\s?[ºo°]\.?)[\s:]*(?:n\.?\s?[ºo°]\.?|num\.|número)?\s*[-–]?\s*([0-9]{1,12})\s*[/.–-]\s*([0-9]{1,12})(?![0-9])"
+YEAR = "^(?:19|20)[0-9]{2}$"
 
 
 def mailbox(address: Column) -> Column:
@@ -43,10 +44,12 @@ def mailbox(address: Column) -> Column:
 
 
 def processes(body: Column) -> Column:
-    """Distinct process keys ``year/number`` (leading zeros dropped) that a text names."""
+    """Distinct process keys ``year/number`` that a text names; leading zeros dropped, the year on either side."""
     text = jvm_plain(body)
-    years, numbers = F.regexp_extract_all(text, F.lit(PROCESS), F.lit(1)), F.regexp_extract_all(text, F.lit(PROCESS), F.lit(2))
-    return F.array_distinct(F.zip_with(years, numbers, lambda y, n: F.concat(y, F.lit("/"), F.regexp_replace(n, "^0+(?=[0-9])", ""))))
+    first, second = F.regexp_extract_all(text, F.lit(PROCESS), F.lit(1)), F.regexp_extract_all(text, F.lit(PROCESS), F.lit(2))
+    bare = lambda n: F.regexp_replace(n, "^0+(?=[0-9])", "")
+    key = lambda a, b: F.when(a.rlike(YEAR), F.concat(a, F.lit("/"), bare(b))).when(b.rlike(YEAR), F.concat(b, F.lit("/"), bare(a)))
+    return F.array_distinct(F.array_compact(F.zip_with(first, second, key)))
 
 
 def related(mails: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pauta.llm.setjoin import _batches
 KINDS = ("email", "id_number", "phone", "address", "name")
 PLACEHOLDERS = {"email": "[EMAIL]", "id_number": "[ID]", "phone": "[TELEFONE]", "address": "[MORADA]", "name": "[PESSOA]"}
 NAME_TOKENS = 1_000_000
-LINKS = ("de", "da", "do", "dos", "das", "e", "d'")
+LINKS = ("de", "da", "do", "dos", "das", "d'")
 
 #: Spellings of the at-sign, identifier labels, street types, currencies.
 AT = ("@", "(at)", "[at]", "{at}", "(arroba)", "[arroba]", " arroba ")
@@ -192,7 +192,7 @@ class Finder:
         if not m or "\n\n" in m.group() or _PERIODS.match(low, m.end()):
             return None
         named = plain[m.start(1) : m.end(1)]
-        words = [w for w in re.findall(r"[^\s,]+", named) if w.lower() not in (*LINKS, "à", "ao", "às", "aos", "a", "o")]
+        words = [w for w in re.findall(r"[^\s,]+", named) if w.lower() not in (*LINKS, "e", "à", "ao", "às", "aos", "a", "o")]
         if not words or any(w.endswith(".") and len(w) > 4 for w in words):
             return None
         if m.group(2) is None and not all(w[0].isupper() for w in words):
