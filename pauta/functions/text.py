@@ -185,7 +185,14 @@ def first_sentence(c: Column) -> Column:
 def person_key(c: Column) -> Column:
     """A participant's key: lower case, dots as blanks, leading titles dropped."""
     c = F.trim(squeeze(F.replace(F.lower(c), F.lit("."), F.lit(" "))))
-    return F.regexp_replace(c, r"^(?:(?:professora?|profa?|doutora?|dra?|eng|enga|sra?|senhora?) )+", "")
+    return F.regexp_replace(c, r"^(?:(?:professora?|prof|dra?) )+", "")
+
+
+def unique_people(a: Column) -> Column:
+    """Array of names trimmed, empty ones dropped, the first spelling of each person kept."""
+    named = F.filter(F.transform(a, strip), lambda x: x.isNotNull() & (x != ""))
+    start = F.expr("cast(array() as array<string>)")
+    return F.aggregate(named, start, lambda acc, x: F.when(F.exists(acc, lambda k: person_key(k) == person_key(x)), acc).otherwise(F.concat(acc, F.array(x))))
 
 
 def clean_list(a: Column) -> Column:

@@ -19,25 +19,29 @@ TRIGGERS = {
     "falar": [r"\bfalar(?:\s+(?:com|sobre))?", r"\bconversa(?:r|ção)?\b"],
     "discutir": [r"\bdiscutir", r"\bdiscussão\b"],
 }
+#: A pattern, and the least length of a name.
 PEOPLE = [
-    (r"(?:Olá|Oi|Caro|Cara|Prezado|Prezada|Exmo|Exma|Boas)\s+([A-Z][a-zá-ú]+(?:\s+[A-Z][a-zá-ú]+)?)", 1),
-    (r"(?:com|a|para|pelo|pela)\s+(?:Professor|Professora|Dr\.|Dra\.|Eng\.|Enga\.|Prof\.)\s+([A-Z][a-zá-ú]+(?:\s+[A-Z][a-zá-ú]+)?)", 1),
-    (r"@([a-zA-Z][a-zA-Z0-9]*)", 1),
-    (r"(?:com|a|para|junto de)\s+([A-Z][a-zá-ú]+(?:\s+[A-Z][a-zá-ú]+)?)", 1),
+    (r"(?:Olá|Oi|Caro|Cara|Prezado|Prezada|Exmo|Exma|Boas)\s+([A-Z][a-zá-ú]+(?:\s+[A-Z][a-zá-ú]+)?)", 2),
+    (r"(?:com|a|para|pelo|pela)\s+(?:Professor|Professora|Dr\.|Dra\.|Eng\.|Enga\.|Prof\.)\s+([A-Z][a-zá-ú]+(?:\s+[A-Z][a-zá-ú]+)?)", 2),
+    (r"@([a-zA-Z][a-zA-Z0-9]*)", 2),
+    (r"(?:com|a|para|junto de)\s+([A-Z][a-zá-ú]+(?:\s+[A-Z][a-zá-ú]+)?)", 3),
+    (r"(?:você|tu|ele|ela|eles|elas|nós|a|o)\s+([A-Z][a-zá-ú]+)", 3),
 ]
+TITLES = ["Professor", "Professora", "Prof.", "Dr.", "Dra.", "Eng.", "Enga.", "Sr.", "Sra.", "Senhor", "Senhora"]
 _DAYS = "segunda|terça|quarta|quinta|sexta|sábado|domingo"
 TIMES = [
-    r"\b(?:amanhã|hoje|ontem|agora)\b", rf"\b(?:{_DAYS})(?:-feira)?\b", r"\b(?:esta|próxima|semana\s+que\s+vem)\s+semana\b", r"\b(?:na|para\s+a)\s+(?:próxima\s+)?semana\b", r"\b(?:às|ao|a(?:s)?)\s*\d{1,2}(?:\s*[:h]\s*)?(?:\d{2})?\s*(?:h|horas)?\b",
-    r"\d{1,2}:\d{2}", r"\b(?:meio-dia|meia-noite)\b", r"\b(?:de\s+)?(?:manhã|manha)\b", r"\b(?:à\s+)?tarde\b", r"\b(?:à\s+)?noite\b", r"\b(?:depois\s+de\s+)?almoço\b", r"\b(?:depois\s+de\s+)?intervalo\b", r"\b(?:mais\s+)?logo\b",
-    r"\b(?:em\s+breve|brevemente)\b", r"\b(?:ao\s+fim\s+da\s+tarde|final\s+da\s+tarde)\b",
+    r"\b(?:amanhã|hoje|ontem|agora)\b", rf"\b(?:{_DAYS})(?:-feira)?\b", rf"\b(?:próximo|próxima|seguinte)?\s*(?:{_DAYS})(?:-feira)?\b", r"\b(?:esta|próxima|semana\s+que\s+vem)\s+semana\b", r"\b(?:na|para\s+a)\s+(?:próxima\s+)?semana\b",
+    r"\b(?:às|ao|a(?:s)?)\s*\d{1,2}(?:\s*[:h]\s*)?(?:\d{2})?\s*(?:h|horas)?\b", r"\d{1,2}:\d{2}", r"\b(?:meio-dia|meia-noite)\b", r"\b(?:de\s+)?(?:manhã|manha)\b", r"\b(?:à\s+)?(?:tarde|à tarde)\b", r"\b(?:à\s+)?(?:noite|à noite)\b",
+    r"\b(?:depois\s+de\s+)?almoço\b", r"\b(?:depois\s+de\s+)?intervalo\b", r"\b(?:mais\s+)?logo\b", r"\b(?:em\s+breve|brevemente)\b", r"\b(?:ao\s+fim\s+da\s+tarde|final\s+da\s+tarde)\b",
 ]
 PLACES = [
-    r"\b(?:MS\s+)?Teams\b", r"\bZoom\b", r"\bDiscord\b", r"\bSkype\b", r"\bGoogle\s+Meet\b", r"\bsala\s+(?:\d+[.-]?\d*|[A-Z]\d+)", r"\b(?:auditório|anfiteatro|sala\s+de\s+aula)\b", r"\baula\s+\d+", r"\bbiblioteca\b", r"\blaboratório\b",
+    r"\b(?:MS\s+)?Teams\b", r"\bZoom\b", r"\bDiscord\b", r"\bSkype\b", r"\bGoogle\s+Meet\b", r"\bMicrosoft\s+Teams\b", r"\bsala\s+(?:\d+[.-]?\d*|[A-Z]\d+)", r"\b(?:auditório|anfiteatro|sala\s+de\s+aula)\b", r"\baula\s+\d+", r"\bbiblioteca\b", r"\blaboratório\b",
     r"\blab\b", r"\boficina\b", r"\bcafetaria\b", r"\bcantina\b", r"\b(?:edifício|bloco)\s+[A-Z0-9]+", r"\bDepartamento\b",
 ]
 TOPICS = [
     r"\bdissertação\b", r"\btese\b", r"\brelatório\b", r"\b(?:trabalho|projeto|assignment)\b", r"\bartigo\b", r"\bpaper\b", r"\b(?:pipeline|NLP|IA|AI|machine\s+learning|deep\s+learning)\b", r"\b(?:BERT|GPT|RNN|LSTM|CNN)\b",
     r"\b(?:dataset|corpus|embeddings?)\b", r"\b(?:precisão|recall|F1|accuracy|métrica)\b", r"\b(?:classificação|segmentação|extração|análise)\b", r"\b(?:linguística|processamento|computacional)\b",
+    r"\b(?:inteligência\s+artificial|artificial\s+intelligence)\b",
 ]
 
 
@@ -47,8 +51,16 @@ def _all(text: Column, patterns: list[str]) -> Column:
 
 
 def _people(text: Column) -> Column:
-    found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(f"(?iU){p}"), F.lit(g)) for p, g in PEOPLE]))
-    return F.array_sort(F.array_distinct(F.filter(F.transform(found, strip), lambda x: F.length(x) > 2)))
+    every = []
+    for p, least in PEOPLE:
+        names = F.transform(F.regexp_extract_all(text, F.lit(f"(?iU){p}"), F.lit(1)), strip)
+        every.append(F.filter(names, _at_least(least)))
+    found = F.array_distinct(F.flatten(F.array(*every)))
+    return F.array_sort(F.filter(found, lambda x: ~F.get(F.split(x, r"\s+"), F.lit(0)).isin(TITLES)))
+
+
+def _at_least(n: int):
+    return lambda x: F.length(x) >= n
 
 
 def annotation(text: Column) -> Column:

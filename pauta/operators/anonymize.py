@@ -29,6 +29,7 @@ NAMES = "ana joão joao maria rita paulo pedro vasco silva costa santos sofia mi
 PLATFORMS = ["teams", "microsoft teams", "zoom", "discord", "moodle", "github", "google meet", "outlook", "gmail", "slack", "trello", "notion"]
 PREFIX = {"EMAIL": "EMAIL", "PHONE": "TELEFONE", "URL": "URL", "STUDENT_ID": "ID_ALUNO", "PERSON": "PESSOA", "ORG": "ORG", "LOCAL": "LOCAL", "UNIVERSITY": "UNIVERSIDADE", "INSTITUTION": "INSTITUICAO"}
 ENTITY = "struct<text:string,start:int,end:int,type:string,priority:int,method:string>"
+FOUND = "struct<text:string,start:int,end:int,type:string,priority:int,method:string,field:int>"
 REGISTERED = "struct<text:string,start:int,end:int,type:string,priority:int,method:string,field:int,replacement:string>"
 _CAPITAL = r"[A-ZÁÉÍÓÚÀÂÊÕÇ][\wÀ-ÿ-]+"
 
@@ -70,12 +71,33 @@ def _of_field(i: int):
     return lambda x: x["field"] == i
 
 
+def _in_items(base: int):
+    """Entities of the items of an array field, numbered from ``base``."""
+    tag = lambda j: lambda x: F.struct(*[x[k].alias(k) for k in ("text", "start", "end", "type", "priority", "method")], (F.lit(base) + j).cast("int").alias("field"))
+    return lambda item, j: F.transform(F.coalesce(entities(item), F.expr(f"cast(array() as array<{ENTITY}>)")), tag(j))
+
+
+def _replace_items(base: int):
+    mine = lambda j: lambda x: x["field"] == F.lit(base) + j
+    return lambda item, j: F.when(item.isNotNull(), replace_spans(item, F.filter("__all", mine(j))))
+
+
+ITEMS = 1_000_000
+
+
 def anonymize(df: DataFrame, fields: list[str], pseudonymize: bool = False) -> DataFrame:
     """``df`` with the fields' texts replaced, ``anonymization`` (mode, entities and, in
-    pseudonymise mode, the mapping) added. Fields are numbered in the order given."""
+    pseudonymise mode, the mapping) added. Fields may be texts or arrays of texts (their
+    items are named ``field[i]``) and are numbered in the order given."""
+    types = dict(df.dtypes)
+    arrays = {f for f in fields if types[f].startswith("array")}
     out = df
     for i, f in enumerate(fields):
-        out = out.withColumn(f"__e{i}", F.transform(entities(F.col(f)), _in_field(i)))
+        if f in arrays:
+            found = F.coalesce(F.flatten(F.transform(F.col(f), _in_items(i * ITEMS))), F.expr(f"cast(array() as array<{FOUND}>)"))
+        else:
+            found = F.transform(entities(F.col(f)), _in_field(i * ITEMS))
+        out = out.withColumn(f"__e{i}", found)
     prefixes = F.create_map(*[x for k, v in PREFIX.items() for x in (F.lit(k), F.lit(v))])
     key = lambda x: F.concat(x["type"], F.lit(":"), squeeze(F.lower(strip(x["text"]))))
     start = F.expr(f"cast(array() as array<{REGISTERED}>)")
@@ -89,12 +111,22 @@ def anonymize(df: DataFrame, fields: list[str], pseudonymize: bool = False) -> D
 
     out = out.withColumn("__all", F.aggregate(F.concat(*[F.col(f"__e{i}") for i in range(len(fields))]), start, register))
     for i, f in enumerate(fields):
-        out = out.withColumn(f, F.when(F.col(f).isNotNull(), replace_spans(F.col(f), F.filter("__all", _of_field(i)))))
+        if f in arrays:
+            out = out.withColumn(f, F.transform(F.col(f), _replace_items(i * ITEMS)))
+        else:
+            out = out.withColumn(f, F.when(F.col(f).isNotNull(), replace_spans(F.col(f), F.filter("__all", _of_field(i * ITEMS)))))
     names = F.array(*[F.lit(f) for f in fields])
+    listed = F.array(*[F.lit(f in arrays) for f in fields])
+
+    def field_name(x: Column) -> Column:
+        i = F.floor(x["field"] / ITEMS).cast("int")
+        item = F.concat(F.lit("["), (x["field"] % ITEMS).cast("string"), F.lit("]"))
+        return F.concat(F.get(names, i), F.when(F.get(listed, i), item).otherwise(""))
+
     shown = F.transform(
         "__all",
         lambda x: F.struct(
-            *([x["text"].alias("original")] if pseudonymize else []), x["replacement"].alias("replacement"), x["type"].alias("type"), x["start"].alias("start"), x["end"].alias("end"), x["method"].alias("method"), F.get(names, x["field"]).alias("field")
+            *([x["text"].alias("original")] if pseudonymize else []), x["replacement"].alias("replacement"), x["type"].alias("type"), x["start"].alias("start"), x["end"].alias("end"), x["method"].alias("method"), field_name(x).alias("field")
         ),
     )
     parts = [F.lit("pseudonymize" if pseudonymize else "anonymize").alias("mode"), shown.alias("entities")]

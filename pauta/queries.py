@@ -129,7 +129,7 @@ def text_topic_tokens(spark, d):
 
 @query(
     r"""WITH p AS (SELECT DISTINCT id, unnest(participants) AS name FROM dataset)
-SELECT regexp_replace(trim(regexp_replace(replace(lower(name), '.', ' '), '\s+', ' ', 'g')), '^(?:(?:professora?|profa?|doutora?|dra?|eng|enga|sra?|senhora?) )+', '') AS person, count(*) AS n FROM p GROUP BY 1"""
+SELECT regexp_replace(trim(regexp_replace(replace(lower(name), '.', ' '), '\s+', ' ', 'g')), '^(?:(?:professora?|prof|dra?) )+', '') AS person, count(*) AS n FROM p GROUP BY 1"""
 )
 def text_person_keys(spark, d):
     p = _read(spark, d, "dataset").select("id", "participants").distinct().select("id", F.explode("participants").alias("name")).distinct()
@@ -208,6 +208,14 @@ def extract_places(spark, d):
     return _mails(spark, d, "location").select("id", arguments.canonical_place(F.col("location")).alias("place"))
 
 
+@query()
+def extract_people(spark, d):
+    """A mail's people from its fields: each person once, in order of participants, sender, recipient."""
+    m = _read(spark, d, "dataset").select("id", "participants", "sender", "recipient").distinct()
+    empty = F.array().cast("array<string>")
+    return m.select("id", F.array_join(X.unique_people(F.concat(F.coalesce("participants", empty), F.array("sender", "recipient"))), "; ").alias("people"))
+
+
 @query()
 def extract_mail_places(spark, d):
     return _mails(spark, d, "body", "label").select("id", arguments.place_of_mail(F.col("body"), X.label_key(F.col("label"))).alias("place"))
@@ -215,7 +223,7 @@ def extract_mail_places(spark, d):
 
 @query()
 def extract_annotations(spark, d):
-    a = annotate.annotation(X.first_text(F.col("body"), F.col("subject")))
+    a = annotate.annotation(X.strip(F.concat_ws("\n", F.coalesce("subject", F.lit("")), F.coalesce("body", F.lit("")))))
     return _mails(spark, d, "body", "subject").select("id", a.alias("a")).select("id", "a.trigger", F.to_json("a.arguments").alias("arguments"), F.to_json("a.confidence").alias("confidence"))
 
 

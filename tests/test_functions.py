@@ -42,6 +42,7 @@ def test_answers(spark):
     assert one(spark, X.first_sentence(F.col("t")), t="Sim. Não.") == "Sim"
     assert one(spark, X.without_artifacts(F.col("t")), t="sala 2 😊 Enviado do telemóvel") == "sala 2"
     assert one(spark, X.person_key(F.col("t")), t="Prof. Dr. Ana  Silva") == "ana silva"
+    assert one(spark, X.unique_people(F.split("t", ",")), t="Ana Silva, ,Prof. Ana Silva,Rui") == ["Ana Silva", "Rui"]
 
 
 def test_spans_against_python(spark):
@@ -76,6 +77,7 @@ def test_extraction(spark):
     assert one(spark, trigger(F.col("t"), F.col("i")), t="Não posso ir", i="cancelamento_reuniao") == ("nao posso", "regex")
     assert one(spark, trigger(F.col("t"), F.col("i")), t="  ", i="cancelamento_reuniao") is None
     a = one(spark, annotate.annotation(F.col("t")), t="Olá Rui, marcar reunião amanhã no Zoom sobre a tese")
+    assert a["arguments"]["participants"][0] == "Rui"
     assert (a["trigger"], a["arguments"]["time"], a["arguments"]["location"], a["arguments"]["topic"]) == (["reunir"], ["amanhã"], ["Zoom"], ["tese"])
     assert one(spark, annotate.annotation(F.col("t")), t=None)["trigger"] == []
 
@@ -90,5 +92,10 @@ def test_anonymisation(spark):
     assert (r[2]["subject"], r[2]["body"], r[2]["anonymization"]["entities"]) == (None, "", [])
     assert r[3]["body"] == "Prof. [PESSOA_1] da [UNIVERSIDADE_1], aluno [ID_ALUNO_1]"
     assert r[1]["anonymization"]["mapping"]["EMAIL:ana@x.pt"] == "[EMAIL_1]"
+    lists = spark.createDataFrame([("Ana", ["Rita", "Ana e Rui", None]), (None, None)], "subject string, people array<string>")
+    rows = anonymize.anonymize(lists, ["subject", "people"]).collect()
+    assert (rows[0]["subject"], rows[0]["people"]) == ("[PESSOA_1]", ["[PESSOA_2]", "[PESSOA_1] e Rui", None])
+    assert [e["field"] for e in rows[0]["anonymization"]["entities"]] == ["subject", "people[0]", "people[1]"]
+    assert rows[1]["people"] is None and rows[1]["anonymization"]["entities"] == []
     plain = anonymize.anonymize(df, ["subject", "body"]).where("id = 1").first()["anonymization"]
     assert plain["mode"] == "anonymize" and "original" not in plain["entities"][0].asDict()
