@@ -13,7 +13,7 @@ from pauta.functions import spans as S
 from pauta.functions import temporal as N
 from pauta.functions import text as X
 from pauta.operators import annotate, anonymize, arguments, errors, metrics, ml, qa, splits, validate
-from pauta.operators.triggers import trigger
+from pauta.operators.triggers import PHRASES, trigger
 from pauta.plans import pipelines
 from pauta.sources import generate
 from pauta.timestamps import LISBON, instants, zone_violations
@@ -208,7 +208,10 @@ def extract_places(spark, d):
     return _mails(spark, d, "location").select("id", arguments.canonical_place(F.col("location")).alias("place"))
 
 
-@query()
+@query(
+    r"""WITH m AS (SELECT DISTINCT id, list_concat(coalesce(participants, []), [sender, recipient]) AS v FROM dataset), u AS (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM m), c AS (SELECT id, i, trim(x) AS x, regexp_replace(trim(regexp_replace(replace(lower(x), '.', ' '), '\s+', ' ', 'g')), '^(?:(?:professora?|prof|dra?) )+', '') AS k FROM u WHERE trim(coalesce(x, '')) <> ''),
+f AS (SELECT id, k, min(i) AS i, arg_min(x, i) AS x FROM c GROUP BY 1, 2) SELECT m.id, coalesce(string_agg(x, '; ' ORDER BY f.i), '') AS people FROM (SELECT DISTINCT id FROM m) m LEFT JOIN f USING (id) GROUP BY 1"""
+)
 def extract_people(spark, d):
     """A mail's people from its fields: each person once, in order of participants, sender, recipient."""
     m = _read(spark, d, "dataset").select("id", "participants", "sender", "recipient").distinct()
@@ -596,7 +599,12 @@ def char_jaccard(spark, d):
     return m.select("id", F.round(metrics.char_jaccard(F.col("s"), F.col("t")), 6).alias("jaccard"))
 
 
-@query()
+@query(
+    """WITH a AS (SELECT DISTINCT id, coalesce(subject, '') AS s, coalesce(topic, '') AS t FROM dataset), b AS (SELECT id, s, t, string_split(s, '') AS x, string_split(t, '') AS y, trim(regexp_replace(lower(t), '\\s+', ' ', 'g')) AS u, trim(regexp_replace(lower(s), '\\s+', ' ', 'g')) AS v FROM a),
+c AS (SELECT *, CASE WHEN s = '' AND t = '' THEN 1 WHEN s = '' OR t = '' THEN 0 ELSE len(list_filter(range(1, least(len(x), len(y)) + 1), lambda i: x[i] = y[i]))::DOUBLE / greatest(length(s), length(t)) END AS r,
+CASE WHEN u = '' AND v = '' THEN 1 WHEN u = '' OR v = '' THEN 0 ELSE len(list_intersect(list_distinct(string_split(u, '')), list_distinct(string_split(v, ''))))::DOUBLE / len(list_distinct(list_concat(string_split(u, ''), string_split(v, '')))) END AS j FROM b)
+SELECT id, round(r, 6) AS ratio, CASE WHEN u = v THEN 'exact' WHEN j >= 0.7 THEN 'partial' WHEN j >= 0.6 THEN 'fuzzy' ELSE 'none' END AS match FROM c"""
+)
 def overlap_ratios(spark, d):
     m = _mails(spark, d, "subject", "topic").select("id", F.coalesce("subject", F.lit("")).alias("s"), F.coalesce("topic", F.lit("")).alias("t")).distinct()
     return m.select("id", F.round(metrics.overlap_ratio(F.col("s"), F.col("t")), 6).alias("ratio"), metrics.match_type(F.col("t"), F.col("s")).alias("match"))
@@ -623,13 +631,25 @@ def answer_errors(spark, d):
     return a.groupBy("category", e.alias("error")).agg(F.count("*").alias("n"))
 
 
-@query()
+_SCORED = (
+    r"""WITH m AS (SELECT DISTINCT id, coalesce(body, '') AS body, subject, topic, time_expression FROM dataset), a AS (SELECT DISTINCT id, body, 'topic' AS category, subject AS p, topic AS r FROM m UNION SELECT DISTINCT id, body, 'time', time_expression, topic FROM m), """
+    + f"k AS (SELECT category, body, r, {_TOK.format('p')} AS x, {_TOK.format('r')} AS y, {_TOK.format('body')} AS z, trim(regexp_replace(lower(coalesce(p, '')), '\\s+', ' ', 'g')) AS pn, trim(regexp_replace(lower(coalesce(r, '')), '\\s+', ' ', 'g')) AS rn, trim(regexp_replace(lower(body), '\\s+', ' ', 'g')) AS bn FROM a), "
+    + "".join(
+        f"{n} AS (SELECT category, CASE WHEN {q} = rn THEN 1.0 ELSE 0.0 END AS exact, CASE WHEN len({t}) = 0 AND len(y) = 0 THEN 1.0 WHEN len({t}) = 0 OR len(y) = 0 THEN 0.0 ELSE len(list_intersect({t}, y))::DOUBLE / len({t}) END AS precision, CASE WHEN len({t}) = 0 AND len(y) = 0 THEN 1.0 WHEN len({t}) = 0 OR len(y) = 0 THEN 0.0 ELSE len(list_intersect({t}, y))::DOUBLE / len(y) END AS recall, CASE WHEN len({t}) = 0 AND len(y) = 0 THEN 1.0 WHEN len({t}) = 0 OR len(y) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect({t}, y)) / (len({t}) + len(y)) END AS f1 FROM k), "
+        + f"{n}s AS (SELECT coalesce(category, 'ALL') AS category, count(*) AS n, avg(exact) AS exact, avg(precision) AS precision, avg(recall) AS recall, avg(f1) AS f1 FROM {n} GROUP BY GROUPING SETS ((category), ()))"
+        + (", " if n == "u" else " ")
+        for n, t, q in (("u", "x", "pn"), ("v", "z", "bn"))
+    )
+)
+
+
+@query(_SCORED + "SELECT category, n, round(exact, 6) AS exact, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, 0.5 AS confidence FROM us")
 def answer_summary(spark, d):
     a = _answers(spark, d).withColumn("s", metrics.token_scores(F.col("predicted"), F.col("reference"))).select("category", "s.*", F.lit(0.5).alias("confidence"))
     return _rounded(metrics.answer_summary(a))
 
 
-@query()
+@query(_SCORED + "SELECT category, round(us.exact, 6) AS exact_a, round(vs.exact, 6) AS exact_b, round(us.f1, 6) AS f1_a, round(vs.f1, 6) AS f1_b, round(vs.f1 - us.f1, 6) AS f1_delta, CASE WHEN abs(vs.f1 - us.f1) < 1e-12 THEN 'tie' WHEN vs.f1 > us.f1 THEN 'b' ELSE 'a' END AS winner FROM us FULL JOIN vs USING (category)")
 def answer_comparison(spark, d):
     a = _answers(spark, d).withColumn("s", metrics.token_scores(F.col("predicted"), F.col("reference"))).select("category", "s.*", F.lit(0.5).alias("confidence"))
     b = _answers(spark, d).withColumn("s", metrics.token_scores(F.col("body"), F.col("reference"))).select("category", "s.*", F.lit(0.5).alias("confidence"))
@@ -734,7 +754,11 @@ def validate_gold(spark, d):
     return validate.validate_annotations(_read(spark, d, "gold_annotations").select("id", "text", "intent", "trigger", "arguments"))
 
 
-@query()
+@query(
+    "WITH p AS (SELECT * FROM (VALUES "
+    + ", ".join("('{}', [{}])".format(k, ", ".join("'" + x + "'" for x in v)) for k, v in PHRASES.items())
+    + ") p(intent, allowed)), g AS (SELECT DISTINCT id, intent, list_transform(trigger, lambda x: lower(trim(x))) AS t FROM gold_annotations) SELECT DISTINCT id FROM g JOIN p USING (intent) WHERE len(t) > 0 AND NOT list_has_any(t, allowed)"
+)
 def validate_triggers(spark, d):
     return validate.trigger_mismatch(_read(spark, d, "gold_annotations"))
 
@@ -871,7 +895,7 @@ def qa_examples(spark, d):
     return qa.qa_examples(g).select("example_id", "category", "answer", F.col("answer_start").cast("int").alias("answer_start"), "is_impossible")
 
 
-@query()
+@query("SELECT id, coalesce(text, '') AS context, 4 AS questions FROM (SELECT DISTINCT id, text FROM gold_annotations)")
 def qa_contexts(spark, d):
     g = _read(spark, d, "gold_annotations").select("id", "text", "arguments").dropDuplicates(["id"])
     return qa.by_context(qa.qa_examples(g)).select("id", "context", F.size("qas").alias("questions"))
