@@ -33,6 +33,7 @@ STAGE_WORDS = 5
 BUCKET_BITS = 22
 BLOCK_BITS = 16
 HOT = 32
+HOT_SHARE = 0.5
 BROADCAST_IDS = 500_000  # 8 bytes an id: a few MB at most
 U64 = np.uint64
 
@@ -137,9 +138,12 @@ def postings(texts: DataFrame, counts, min_words: int, id_type: str) -> DataFram
             first = np.concatenate(([0], np.cumsum(n)))[:-1]
             place = np.arange(len(g)) - first[row]
             prefix = np.maximum(np.ceil(n * 2 / 3) + 1, 8)
-            keep = (place < prefix[row]) & (est > 1)  # a bucket counted once: no partner has the gram
-            g, row, est = g[keep], row[keep], est[keep]
             hot = est > hot_from
+            # a pair that meets in frequent grams only shares at most its frequent grams: where they are
+            # less than HOT_SHARE of the text, the remaining length can't give the threshold
+            enough = np.bincount(row, weights=hot, minlength=len(t)) >= HOT_SHARE * n
+            keep = (place < prefix[row]) & (est > 1) & (~hot | enough[row])  # a bucket counted once: no partner has the gram
+            g, row, hot = g[keep], row[keep], hot[keep]
             nodes, rows = [g[~hot]], [row[~hot]]
             if hot.any():  # children: the frequent gram with each later frequent gram of the prefix
                 hg, hr = g[hot], row[hot]
