@@ -77,7 +77,7 @@ def features(size: int = VOCABULARY, min_df: float = 1.0) -> list:
 
 def classifier(kind: str):
     if kind == "logistic_regression":
-        return LogisticRegression(labelCol="y", weightCol="weight", family="multinomial", maxIter=100, tol=1e-4, regParam=1e-4, standardization=False)
+        return LogisticRegression(labelCol="y", weightCol="weight", family="multinomial", maxIter=50, tol=1e-4, regParam=1e-4, standardization=False)
     if kind == "naive_bayes":
         return NaiveBayes(labelCol="y", modelType="multinomial", smoothing=1.0)
     if kind == "decision_tree":
