@@ -5,14 +5,18 @@ Stages (each row-parallel; what is shuffled is said in brackets):
 1. ``collapse``: texts equal in every character become one class [three numbers a row].
 2. ``gram_counts``: one count array of fixed size (2**22 buckets) over the n-grams of all
    texts; it defines one global order, rarest first [counts, folded in two levels].
-3. ``postings``: every text gives its ordered set of five-word grams, thinned by hash to
-   some 16-31 grams a text (nested levels, so texts of different length stay comparable),
-   and of these the prefix that a partner must hit. A gram that is frequent is extended by
-   a second gram, one level down the prefix tree [a fixed number of rows a text].
-4. ``candidates``: in each tree node, members are met in order of set size; a member's
-   reach ends where the remaining length cannot give the threshold; a 256-bit summary of
-   the three-word grams drops nodes' chance meetings [pairs].
+3. ``postings``: every text gives the prefix of its ordered set of three-word grams that
+   any partner must hit: n - ceil(least * n) + 1 of n. A gram is a node
+   whatever its frequency [about half a row a word].
+4. ``candidates``: in each node, members are met in order of set size; a member's reach
+   ends where the remaining length behind the gram's place can't give the threshold; a
+   256-bit summary of the three-word grams drops chance meetings [pairs].
 5. ``verify``: exact resemblance of the candidate pairs [their texts].
+
+No stage estimates: a pair of resemblance ``least`` or more passes each of them. Its sets
+have at least ``least / (1 + least)`` of their total size in common, so the first common
+gram in the global order stands in both prefixes, with enough grams from there on in both
+sets, and the summaries differ in no more bits than the sets in grams.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 from pauta.cluster import bounded_rows, cut_lineage
 from pauta.llm.wordhash import ROW_BITS, distinct_per_row, mix, ngrams, word_hashes
 
-STAGE_WORDS = 5
+STAGE_WORDS = 3
 BUCKET_BITS = 22
 BLOCK_BITS = 16
 HOT = 32
@@ -49,16 +53,12 @@ def _batches(it: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[tupl
             yield part, part.column("text").to_pylist()
 
 
-def _stage_grams(texts: list, min_words: int) -> tuple:
-    """Sampled stage grams by row, and the words."""
+def _stage_grams(texts: list, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sets of grams of the texts of at least ``min_words`` words, and the row of each gram."""
     h, o = word_hashes(texts)
-    long_enough = np.diff(o) >= min_words
     g, row, _ = ngrams(h, o, STAGE_WORDS)
-    n = np.bincount(row, minlength=len(texts))
-    level = np.floor(np.log2(np.maximum(n, 16) / 16)).astype(np.uint64)
-    keep = long_enough[row] & ((g & ((U64(1) << level[row]) - U64(1))) == 0)
-    g, row = distinct_per_row(g[keep], row[keep])
-    return h, o, long_enough, g, row
+    keep = (np.diff(o) >= min_words)[row]
+    return distinct_per_row(g[keep], row[keep])
 
 
 def _bucket(g: np.ndarray) -> np.ndarray:
@@ -72,7 +72,7 @@ def gram_counts(texts: DataFrame, min_words: int) -> np.ndarray:
     def count(it):
         total = np.zeros(1 << BUCKET_BITS, np.uint64)
         for _, t in _batches(it):
-            g = _stage_grams(t, min_words)[3]
+            g = _stage_grams(t, min_words)[0]
             total += np.bincount(_bucket(g), minlength=1 << BUCKET_BITS).astype(np.uint64)
         yield _block_rows(total.reshape(blocks, -1), range(blocks), TaskContext.get().partitionId() % 32)
 
@@ -117,81 +117,69 @@ def _set_level(n: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(np.maximum(n, 256) / 256)).astype(np.int64)
 
 
-def postings(texts: DataFrame, counts, min_words: int, id_type: str) -> DataFrame:
-    """Rows (node, id, side, size, s0..s3) of the texts' prefixes in the tree of ordered grams."""
+def postings(texts: DataFrame, counts, min_words: int, least: float, id_type: str) -> DataFrame:
+    """Rows (node, id, side, size, place, s0..s3) of the texts' prefixes: the gram's place in the ordered set."""
     shared = texts.sparkSession.sparkContext.broadcast(counts)
     arrow_id = {"bigint": pa.int64(), "string": pa.string()}[id_type]
 
     def emit(it):
         counts = shared.value
         mean = counts.mean()
-        hot_from = mean + HOT + 3 * np.sqrt(mean)
         for b, t in _batches(it):
-            h, o, ok, g, row = _stage_grams(t, min_words)
+            g, row = _stage_grams(t, min_words)
             if not len(g):
                 continue
+            n = np.bincount(row, minlength=len(t))
+            sig = _signature(g, row, len(t)).view(np.int64)
             est = counts[_bucket(g)]
             order = np.lexsort((g, est, row))
             g, row, est = g[order], row[order], est[order]
-            n = np.bincount(row, minlength=len(t))
             first = np.concatenate(([0], np.cumsum(n)))[:-1]
             place = np.arange(len(g)) - first[row]
-            prefix = np.maximum(np.ceil(n * 2 / 3) + 1, 8)
+            prefix = n - np.ceil(n * least - 1e-9).astype(np.int64) + 1
             keep = (place < prefix[row]) & (est > 1)  # a bucket counted once: no partner has the gram
-            g, row, est = g[keep], row[keep], est[keep]
-            hot = est > hot_from
-            nodes, rows = [g[~hot]], [row[~hot]]
-            if hot.any():  # children: the frequent gram with each later frequent gram of the prefix
-                hg, hr = g[hot], row[hot]
-                at = np.searchsorted(hr, np.arange(len(t) + 1))
-                reach = at[hr + 1] - np.arange(len(hg)) - 1
-                i = np.repeat(np.arange(len(hg)), reach)
-                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(reach) - reach, reach)
-                nodes.append(mix(hg[i] * U64(0x9E3779B97F4A7C15) + mix(hg[j])))
-                rows.append(hr[i])
-            node, row = np.concatenate(nodes), np.concatenate(rows)
-            g3, r3, _ = ngrams(h, o, 3)
-            keep = ok[r3]
-            g3, r3 = distinct_per_row(g3[keep], r3[keep])
-            size = np.bincount(r3, minlength=len(t)).astype(np.int32)
-            sig = _signature(g3, r3, len(t)).view(np.int64)
-            out = [pa.array(node.view(np.int64)), b.column("id").take(pa.array(row)).cast(arrow_id), b.column("side").take(pa.array(row)), pa.array(size[row])]
-            yield pa.RecordBatch.from_arrays([*out, *(pa.array(np.ascontiguousarray(sig[row, k])) for k in range(4))], ["node", "id", "side", "size", "s0", "s1", "s2", "s3"])
-
-    return texts.mapInArrow(emit, f"node bigint, id {id_type}, side tinyint, size int, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
-
-
-def _plausible(size_i, size_j, sig_i, sig_j, least: float) -> np.ndarray:
-    """Whether the summaries leave a resemblance of ``least`` possible, three deviations allowed."""
-    union = np.bitwise_count(sig_i | sig_j).sum(axis=1).astype(np.float64)
-    same = _set_level(size_i) == _set_level(size_j)
-    scale = np.exp2(_set_level(size_i))
-    u = -256 * np.log1p(-np.minimum(union, 255.5) / 256) * scale
-    total = (size_i + size_j).astype(np.float64)
-    t = np.minimum(total / (1 + least) / scale / 256, 5)
-    spread = np.sqrt(256 * (np.exp(t) - t - 1)) * scale + np.where(scale > 1, np.sqrt(total * scale), 0)
-    return ~same | (union >= 250) | (u <= total / (1 + least) + 3.5 * spread)
+            g, row, place = g[keep], row[keep], place[keep]
+            out = [pa.array(g.view(np.int64)), b.column("id").take(pa.array(row)).cast(arrow_id), b.column("side").take(pa.array(row)), pa.array(n[row].astype(np.int32)), pa.array(place.astype(np.int32))]
+            names = ["node", "id", "side", "size", "place", "s0", "s1", "s2", "s3"]
+            for low in range(0, len(row), 200_000):
+                part = slice(low, low + 200_000)
+                yield pa.RecordBatch.from_arrays([*(x[part] for x in out), *(pa.array(np.ascontiguousarray(sig[row[part], c])) for c in range(4))], names)
+
+    return texts.mapInArrow(emit, f"node bigint, id {id_type}, side tinyint, size int, place int, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
+
+
+def _plausible(size: np.ndarray, place: np.ndarray, sig: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """Which of the pairs of rows (i, j) can reach ``least`` with the node's gram as their first common one."""
+    total = (size[i] + size[j]).astype(np.float64)
+    ok = np.minimum(size[i] - place[i], size[j] - place[j]) >= total * (least / (1 + least)) - 1e-6
+    at = np.flatnonzero(ok & (_set_level(size[i]) == _set_level(size[j])))
+    differ = np.bitwise_count(sig[i[at]] ^ sig[j[at]]).sum(axis=1)  # at most the grams of one side only
+    ok[at] = differ <= total[at] * ((1 - least) / (1 + least)) + 1e-6
+    return ok
 
 
 def candidates(posted: DataFrame, least: float, sides: bool, id_type: str) -> DataFrame:
     """Distinct pairs (a, b), a < b, or with sides a of side 0 and b of side 1, that meet in a node."""
     arrow_id = {"bigint": pa.int64(), "string": pa.string()}[id_type]
-    names = ["node", "id", "side", "size", "s0", "s1", "s2", "s3"]
+    names = ["node", "id", "side", "size", "place", "s0", "s1", "s2", "s3"]
 
     def pairs_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
         node = table.column("node").to_numpy()
         side = table.column("side").to_numpy()
-        size = table.column("size").to_numpy()
+        size = table.column("size").to_numpy().astype(np.int64)
+        place = table.column("place").to_numpy().astype(np.int64)
         sig = np.stack([table.column(f"s{k}").to_numpy() for k in range(4)], axis=1).view(np.uint64)
         ids = table.column("id").combine_chunks()
         ids = ids.to_numpy() if id_type == "bigint" else np.array(ids.to_pylist(), dtype=object)
         n = len(node)
-        # in a node rows are ordered by size: row i reaches up to size / least, the remaining-length bound
+        # in a node rows are ordered by size: row i reaches up to the size that its remaining length
+        # (the grams from its place on, all that can still be common) allows
+        most = np.floor(np.minimum(size / least, (size - place) * ((1 + least) / least) - size) + 1e-6).astype(np.int64)
         start = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
         end = np.repeat(np.append(start[1:], n), np.diff(np.append(start, n)))
         group = np.repeat(np.arange(len(start)), np.diff(np.append(start, n)))
         key = group * (1 << 32) + size
-        reach = np.minimum(end, np.searchsorted(key, group * (1 << 32) + np.minimum((size / least).astype(np.int64), (1 << 32) - 1), side="right"))
+        reach = np.minimum(end, np.searchsorted(key, group * (1 << 32) + np.clip(most, 0, (1 << 32) - 1), side="right"))
         span = np.maximum(reach - np.arange(n) - 1, 0)
         done = 0
         total = np.cumsum(span)
@@ -208,7 +196,7 @@ def candidates(posted: DataFrame, least: float, sides: bool, id_type: str) -> Da
                 if sides:
                     keep = side[i] != side[j]
                     i, j = i[keep], j[keep]
-                keep = _plausible(size[i], size[j], sig[i], sig[j], least) if len(i) else np.zeros(0, bool)
+                keep = _plausible(size, place, sig, i, j, least) if len(i) else np.zeros(0, bool)
                 a, b = ids[i[keep]], ids[j[keep]]
                 swap = side[i[keep]] > side[j[keep]] if sides else a > b
                 a, b = np.where(swap, b, a), np.where(swap, a, b)
@@ -297,7 +285,7 @@ def collapse(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 def similar_pairs(records: DataFrame, *, min_words: int, least: float, id_type: str, sides: bool = False) -> DataFrame:
     """Verified pairs (a, b, size_a, size_b, common) among ``records (id, side, text)`` without exact copies."""
     counts = gram_counts(records, min_words)
-    found = cut_lineage(candidates(postings(records, counts, min_words, id_type), least, sides, id_type))
+    found = cut_lineage(candidates(postings(records, counts, min_words, least, id_type), least, sides, id_type))
     return verify(found, records, least, id_type)
 
 

@@ -151,3 +151,30 @@ def test_hot_nodes_are_split(spark, corpus, monkeypatch):
     want = {tuple(r) for r in near_duplicate_pairs(df).collect()}
     monkeypatch.setattr(setjoin, "HOT", -1000)
     assert {tuple(r) for r in near_duplicate_pairs(df).collect()} == want
+
+
+def _scattered(rng, words_, low, high, fresh):
+    """A copy with single words replaced until the resemblance lies in [low, high); None if it jumps over."""
+    w = list(words_)
+    base = " ".join(words_)
+    while True:
+        w[rng.randrange(len(w))] = f"n{next(fresh)}"
+        r = resemblance(base, " ".join(w))
+        if r < high:
+            return " ".join(w) if r >= low else None
+
+
+def test_pairs_at_the_threshold_are_complete(spark):
+    """Pairs just above the threshold, of lengths around the former sample borders (64, 128 five-grams)."""
+    rng, fresh = random.Random(11), itertools.count()
+    texts = []
+    while len(texts) < 2400:
+        base = [f"v{rng.randrange(10**6)}" for _ in range(rng.choice([64, 66, 67, 68, 69, 72, 130, 132, 134, 300]))]
+        other = _scattered(rng, base, 0.5, 0.55, fresh)
+        if other:
+            cut = other.split()
+            texts += [" ".join(base), other if rng.random() < 0.5 else " ".join(cut[rng.randrange(4) :])]
+    df = spark.createDataFrame([(i, "", t) for i, t in enumerate(texts)], "id bigint, subject string, body string")
+    want = {(i, i + 1) for i in range(0, len(texts), 2) if resemblance(texts[i], texts[i + 1]) >= 0.5}
+    assert len(want) > 800
+    assert {tuple(r) for r in near_duplicate_pairs(df).collect()} == want
