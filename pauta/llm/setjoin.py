@@ -6,8 +6,8 @@ Stages (each row-parallel; what is shuffled is said in brackets):
 2. ``gram_counts``: one count array of fixed size (2**22 buckets) over the n-grams of all
    texts; it defines one global order, rarest first [counts, folded in two levels].
 3. ``postings``: every text gives the prefix of its ordered set of three-word grams that
-   any partner must hit: n - ceil(least * n) + 1 of n. A gram is a node
-   whatever its frequency [about half a row a word].
+   any partner must hit: n - ceil(least * n) + 1 of n. A gram of very many texts is spread
+   over cells, one a pair of blocks of texts [about half a row a word].
 4. ``candidates``: in each node, members are met in order of set size; a member's reach
    ends where the remaining length behind the gram's place can't give the threshold; a
    256-bit summary of the three-word grams drops chance meetings [pairs].
@@ -36,7 +36,8 @@ from pauta.llm.wordhash import ROW_BITS, distinct_per_row, mix, ngrams, word_has
 STAGE_WORDS = 3
 BUCKET_BITS = 22
 BLOCK_BITS = 16
-HOT = 32
+HOT = 16_384  # a gram of more texts, by its count above the mean, is spread over cells
+MAX_BLOCKS = 32  # blocks of texts a gram at most: a row is written that many times
 BROADCAST_IDS = 500_000  # 8 bytes an id: a few MB at most
 U64 = np.uint64
 
@@ -117,6 +118,12 @@ def _set_level(n: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(np.maximum(n, 256) / 256)).astype(np.int64)
 
 
+def _blocks(est: np.ndarray, mean: float, hot: int) -> np.ndarray:
+    """Into how many blocks the texts of a gram are dealt, by its bucket's count above the mean."""
+    above = est - mean - 3 * np.sqrt(mean)
+    return np.where(above > hot, np.clip(np.ceil(above / max(hot, 1)), 2, MAX_BLOCKS), 1).astype(np.int64)
+
+
 def postings(texts: DataFrame, counts, min_words: int, least: float, id_type: str) -> DataFrame:
     """Rows (node, id, side, size, place, s0..s3) of the texts' prefixes: the gram's place in the ordered set."""
     shared = texts.sparkSession.sparkContext.broadcast(counts)
@@ -138,7 +145,19 @@ def postings(texts: DataFrame, counts, min_words: int, least: float, id_type: st
             place = np.arange(len(g)) - first[row]
             prefix = n - np.ceil(n * least - 1e-9).astype(np.int64) + 1
             keep = (place < prefix[row]) & (est > 1)  # a bucket counted once: no partner has the gram
-            g, row, place = g[keep], row[keep], place[keep]
+            g, row, est, place = g[keep], row[keep], est[keep].astype(np.float64), place[keep]
+            k = _blocks(est, mean, HOT)
+            if (k > 1).any():  # cells (own block, any block) of a gram: every two of its texts share one
+                name = zlib.crc32 if id_type == "string" else None
+                ids = b.column("id").to_pylist()
+                key = mix(np.array([name(x.encode()) if name else x for x in ids], np.int64).view(U64))
+                one = np.repeat(np.arange(len(g)), k)
+                other = np.arange(len(one)) - np.repeat(np.cumsum(k) - k, k)
+                own = (key[row[one]] % k[one].astype(U64)).astype(np.int64)
+                cell = np.minimum(own, other) * MAX_BLOCKS + np.maximum(own, other)
+                spread = k[one] > 1
+                g, row, place = g[one], row[one], place[one]
+                g = np.where(spread, mix(g + cell.astype(U64) + U64(1)), g)
             out = [pa.array(g.view(np.int64)), b.column("id").take(pa.array(row)).cast(arrow_id), b.column("side").take(pa.array(row)), pa.array(n[row].astype(np.int32)), pa.array(place.astype(np.int32))]
             names = ["node", "id", "side", "size", "place", "s0", "s1", "s2", "s3"]
             for low in range(0, len(row), 200_000):

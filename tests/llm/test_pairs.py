@@ -178,3 +178,20 @@ def test_pairs_at_the_threshold_are_complete(spark):
     want = {(i, i + 1) for i in range(0, len(texts), 2) if resemblance(texts[i], texts[i + 1]) >= 0.5}
     assert len(want) > 800
     assert {tuple(r) for r in near_duplicate_pairs(df).collect()} == want
+
+
+@pytest.mark.parametrize("hot", [None, 8])
+def test_families_of_many_copies_are_complete(spark, monkeypatch, hot):
+    """Families whose shared grams are all frequent, as one node a gram and dealt to cells."""
+    rng, fresh = random.Random(3), itertools.count()
+    texts = []
+    for _ in range(8):
+        base = [f"v{rng.randrange(10**6)}" for _ in range(130)]
+        texts += [t for t in (_scattered(rng, base, 0.68, 0.73, fresh) for _ in range(60)) if t]
+    if hot is not None:
+        monkeypatch.setattr(setjoin, "HOT", hot)
+    sets = [grams(t) for t in texts]
+    want = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if 3 * len(sets[i] & sets[j]) >= len(sets[i]) + len(sets[j])}
+    assert len(want) > 3000
+    df = spark.createDataFrame([(i, "", t) for i, t in enumerate(texts)], "id bigint, subject string, body string")
+    assert {tuple(r) for r in near_duplicate_pairs(df).collect()} == want
