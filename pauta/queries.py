@@ -831,6 +831,25 @@ def naive_bayes_table(spark, d):
     return _rounded(ml.naive_bayes_table(m, "id", "t", "label", 500))
 
 
+def _whole_mails(spark, d) -> DataFrame:
+    """One row a mail: (id, t: subject and body, label); of several records of an id the least."""
+    m = _mails(spark, d, "subject", "body", "label")
+    t = F.concat_ws(" ", F.coalesce("subject", F.lit("")), F.coalesce("body", F.lit("")))
+    return m.groupBy("id").agg(F.min(t).alias("t"), F.min(X.label_key(F.col("label"))).alias("label"))
+
+
+@query()
+def tfidf_mails(spark, d):
+    """``tfidf_weights`` over subject and body with the operator's whole vocabulary."""
+    return _rounded(ml.tfidf(_whole_mails(spark, d), "id", "t"))
+
+
+@query()
+def naive_bayes_mails(spark, d):
+    """``naive_bayes_table`` over subject and body with the operator's whole vocabulary."""
+    return _rounded(ml.naive_bayes_table(_whole_mails(spark, d), "id", "t", "label"))
+
+
 def _texts(spark, d) -> DataFrame:
     m = _mails(spark, d, "subject", "body", "label").where("label is not null")
     text = X.preprocess(X.combine_fields(F.col("subject"), F.col("body")))
