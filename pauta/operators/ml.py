@@ -1,7 +1,8 @@
 """Intent models: TF-IDF, multinomial naive Bayes as tables, and Spark ML pipelines.
 
-Vocabulary and document counts run over all rows. The Spark ML classifiers may be fitted on
-a bounded sample: ``FIT_ROWS`` labelled rows by hash order, a documented parameter.
+Vocabulary, document counts and class weights run over all labelled rows. Only the Spark ML
+classifiers may be fitted on a bounded sample: ``FIT_ROWS`` labelled rows by hash order, a
+documented parameter; a class that the sample would miss gives its first rows of that order.
 """
 
 from __future__ import annotations
@@ -91,17 +92,20 @@ def fit(df: DataFrame, kind: str, text: str = "text", label: str = "label", fit_
     n = rows.count()
     if n == 0:
         raise ValueError("no labelled rows")
-    if n > fit_rows:
-        rows = rows.where(F.pmod(F.xxhash64("text", "label"), F.lit(1 << 20)) < int((1 << 20) * fit_rows / n))
-    sizes = rows.groupBy("label").agg(F.count("*").alias("c"))
+    cut = (1 << 20) if n <= fit_rows else int((1 << 20) * fit_rows / n)
+    order = F.pmod(F.xxhash64("text", "label"), F.lit(1 << 20))
+    sizes = rows.groupBy("label").agg(F.count("*").alias("c"), F.min(order).alias("low"))
     k = sizes.count()
-    total = sizes.agg(F.sum("c")).first()[0]
-    weighted = rows.join(F.broadcast(sizes), "label").withColumn("weight", F.lit(float(total)) / (k * F.col("c"))).select("label", "weight", terms(F.col("text")).alias("terms"))
+    weighted = rows.join(F.broadcast(sizes), "label").select(
+        "label", (F.lit(float(n)) / (k * F.col("c"))).alias("weight"), terms(F.col("text")).alias("terms"),
+        ((order < cut) | ((F.col("low") >= cut) & (order == F.col("low")))).alias("chosen"),
+    )
     index = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc", handleInvalid="keep")
-    weighted.persist()  # read once by each stage; bounded by ``fit_rows``
+    if n <= fit_rows:
+        weighted.persist()  # read once by each stage; bounded by ``fit_rows``
     try:
         shared = Pipeline(stages=[index, *features(size)]).fit(weighted)
-        ready = shared.transform(weighted).select("y", "weight", "features").persist()
+        ready = shared.transform(weighted.where("chosen")).select("y", "weight", "features").persist()
         try:
             return PipelineModel(stages=[*shared.stages, classifier(kind).fit(ready)])
         finally:

@@ -1,5 +1,6 @@
 """Queries that run over whole tables, on small ones written here."""
 
+from pauta.operators import ml
 from pauta.queries import QUERIES
 
 
@@ -24,3 +25,15 @@ def test_terms_of_whole_mails(spark, tmp_path):
     assert {(1, f"palavra{i:04d}") for i in range(700)} <= weights and (3, "corpo") in weights and (1, "obras palavra0000") in weights
     table = QUERIES["naive_bayes_mails"](spark, str(tmp_path)).collect()
     assert {r["term"] for r in table} == {t for _, t in weights} and {r["label"] for r in table} == {"a", "b"}
+
+
+def test_only_the_classifier_is_fitted_on_a_sample(spark):
+    rows = [(f"texto termo{i:03d}", "comum") for i in range(300)] + [("raro caso", "raro")]
+    df = spark.createDataFrame(rows, "text string, label string")
+    for kind in ("naive_bayes", "logistic_regression", "decision_tree"):
+        model = ml.fit(df, kind, fit_rows=30)
+        assert model.stages[0].labels == ["comum", "raro"]
+        assert {f"termo{i:03d}" for i in range(300)} <= set(model.stages[1].vocabulary)
+        assert model.stages[2].numDocs == 301
+        got = ml.predict(model, df.withColumn("id", df.text).where("label = 'raro'"), "id").first()
+        assert set(got["probabilities"]) == {"comum", "raro"}
