@@ -30,6 +30,8 @@ KINDS = ("email", "id_number", "phone", "address", "name")
 PLACEHOLDERS = {"email": "[EMAIL]", "id_number": "[ID]", "phone": "[TELEFONE]", "address": "[MORADA]", "name": "[PESSOA]"}
 NAME_TOKENS = 1_000_000
 LINKS = ("de", "da", "do", "dos", "das", "d'")
+SHORT = 3  # a token of so many letters at most is a name by its capital or beside another name only
+NO_NAMES = (*LINKS, "e", "dr", "dra", "sr", "sra", "eng", "arq")  # short words of name fields that are no names
 
 #: Spellings of the at-sign, identifier labels, street types, currencies.
 AT = ("@", "(at)", "[at]", "{at}", "(arroba)", "[arroba]", " arroba ")
@@ -145,7 +147,7 @@ class Finder:
         taken = bytearray(len(low))
         out = []
         for kind in KINDS:
-            spans = found[kind] if kind != "name" else self._names(low, tokens, taken)
+            spans = found[kind] if kind != "name" else self._names(low, self._named(plain, low, tokens), taken)
             for a, b in sorted(set(spans), key=lambda s: (s[0], -s[1])):
                 if not any(taken[a:b]):
                     taken[a:b] = b"\x01" * (b - a)
@@ -199,15 +201,29 @@ class Finder:
             return None
         return start, m.end()
 
+    @staticmethod
+    def _joined(gap: str) -> bool:
+        """Whether two tokens with this text between them are parts of one name."""
+        words = gap.split()
+        return "\n" not in gap and (gap.isspace() or (len(words) <= 2 and gap[:1] == " " and gap[-1:] == " " and all(w in LINKS for w in words)))
+
+    def _named(self, plain: str, low: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """The tokens without short ones that have neither a capital nor a name beside them."""
+        tokens = sorted(set(tokens))
+        sure = [b - a > SHORT or plain[a].isupper() for a, b in tokens]
+        for k in range(1, len(tokens)):  # onwards from a name, then back from one
+            sure[k] = sure[k] or (sure[k - 1] and self._joined(low[tokens[k - 1][1] : tokens[k][0]]))
+        for k in range(len(tokens) - 2, -1, -1):
+            sure[k] = sure[k] or (sure[k + 1] and self._joined(low[tokens[k][1] : tokens[k + 1][0]]))
+        return [t for t, ok in zip(tokens, sure) if ok]
+
     def _names(self, low: str, tokens: list[tuple[int, int]], taken: bytearray) -> list[tuple[int, int]]:
         out: list[tuple[int, int]] = []
         for a, b in sorted(set(tokens)):
             if taken[a] or _POSTAL.search(low, max(0, a - 12), a):
                 continue
             if out:
-                gap = low[out[-1][1] : a]
-                words = gap.split()
-                if "\n" not in gap and (gap.isspace() or (len(words) <= 2 and gap[:1] == " " and gap[-1:] == " " and all(w in LINKS for w in words))):
+                if self._joined(low[out[-1][1] : a]):
                     out[-1] = (out[-1][0], b)
                     continue
             out.append((a, b))
@@ -231,7 +247,7 @@ def name_tokens(mails: DataFrame, columns: tuple[str, ...] = ("sender", "recipie
     arrays = [F.coalesce(F.col(c).cast("array<string>"), F.array().cast("array<string>")) if types[c].startswith("array") else F.array(F.col(c).cast("string")) for c in columns if c in types]
     plain = F.translate(F.lower(F.col("name")), "áàâãäåéèêëíìîïóòôõöúùûüçñ", "aaaaaaeeeeiiiiooooouuuucn")
     names = mails.select(F.explode(F.concat(*arrays)).alias("name")).where("name is not null and instr(name, '@') = 0").distinct()
-    return names.select(F.explode(F.split(plain, "[^a-z]+")).alias("token")).where("length(token) > 3").distinct()
+    return names.select(F.explode(F.split(plain, "[^a-z]+")).alias("token")).where((F.length("token") > 1) & ~F.col("token").isin(*NO_NAMES)).distinct()
 
 
 def _finder(mails: DataFrame) -> Finder:

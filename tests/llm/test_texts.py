@@ -4,6 +4,7 @@ import base64
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pauta.llm import leakage
@@ -205,3 +206,15 @@ def test_mentions_of_tables(spark):
     out = {r["id"]: (r["subject"], r["body"]) for r in redacted(df).collect()}
     assert out == {1: ("de [PESSOA]", "Olá, [PESSOA]\n[TELEFONE]"), 2: (None, "")}
     assert mentions(df.limit(0)).collect() == []
+
+
+def test_short_names(spark):
+    from pauta.llm.personal_data import mentions, redacted
+
+    rows = [(1, "Ana Silva", "Luz de Sá <x@y.pt>", "Reunião", "A Ana Silva e a Ana vêm, o Dr. Silva não."), (2, "Dr. Rui Sousa e Eva", None, "rui sousa", "A luz falhou; Luz e Sá avisam a eva.")]
+    df = spark.createDataFrame(rows, "id bigint, sender string, recipient string, subject string, body string").withColumn("recipient", F.regexp_replace("recipient", " <.*", ""))
+    got = {(r["id"], r["field"], r["start_pos"]) for r in mentions(df).collect() if r["kind"] == "name"}
+    a, b = rows[0][4], rows[1][4]
+    assert got == {(1, "body", 2), (1, "body", a.index("Ana v")), (1, "body", a.index("Silva não")), (2, "subject", 0), (2, "body", b.index("Luz")), (2, "body", b.index("Sá"))}
+    text = {r["id"]: r["body"] for r in redacted(df).collect()}
+    assert "Ana" not in text[1] and "A luz falhou" in text[2]
