@@ -1,7 +1,8 @@
-"""Near-duplicate records with small edits: a prefix-tree join of n-gram sets.
+"""Near-duplicate records with small edits: a join of n-gram sets.
 
-The tree's first level is the key of a shuffle, its second level a composite key, so
-subtrees are met in parallel; see :mod:`pauta.llm.setjoin` for the stages and bounds.
+An inverted index over the prefixes of the ordered sets replaces a prefix tree: the gram is
+the key of a shuffle, so nodes are met in parallel; see :mod:`pauta.llm.setjoin` for the
+stages and bounds.
 
 Defined results: null fields count as empty texts; texts below ``min_words`` words take no
 part; repeated rows of one record count once; an empty table gives no rows; other columns
