@@ -8,18 +8,26 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder and read from there.
 
     The folder is the session's ``spark.checkpoint.dir``; only where that is unset (a test
     in local mode) a temporary folder is taken. Checkpoint files survive lost executors.
+    The shuffle files of the query that wrote them are removed when it has ended.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # the setting is read where a query is made
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
 
 
 def shared_folder(spark: SparkSession) -> str:
