@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pauta.llm.cross_split import cross_split_pairs, cross_split_report
+from pauta.llm.cross_split import cross_split_links, cross_split_pairs, cross_split_report
 from pauta.llm.encoding import encode, token_counts
 from pauta.llm.grouped_splits import group_pairs, grouped_splits, split_report
 from pauta.llm.leakage import leak_report, leaks
-from pauta.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
+from pauta.llm.near_duplicates import near_duplicate_groups, near_duplicate_links, near_duplicate_pairs
 from pauta.llm.lookalikes import odd_records, one_form, records_of
 from pauta.llm.personal_data import mentions, redacted
 from pauta.llm.repetition import line_frequency, repeated_share, repetitive_documents
@@ -25,6 +25,10 @@ def p1_found(spark, d):
     return cross_split_pairs(_read(spark, d, "topic_extraction_holdout"))
 
 
+def p1_links(spark, d):
+    return cross_split_links(_read(spark, d, "topic_extraction_holdout"))
+
+
 def p1_report(spark, d):
     return cross_split_report(_read(spark, d, "topic_extraction_holdout"))
 
@@ -33,6 +37,10 @@ def p3_found(spark, d):
     return near_duplicate_pairs(_read(spark, d, "dataset"))
 
 
+def p3_links(spark, d):
+    return near_duplicate_links(_read(spark, d, "dataset"))
+
+
 def p3_groups(spark, d):
     return near_duplicate_groups(_read(spark, d, "dataset"))
 
@@ -96,7 +104,7 @@ def p9_lines(spark, d):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_report, p3_found, p3_groups, p4_found, p4_splits, p4_report, p5_found, p5_redacted, p6_found, p6_plain, p7_ids, p7_counts, p8_found, p8_report, p9_found, p9_shares, p9_lines)
+    f.__name__: f for f in (p1_found, p1_links, p1_report, p3_found, p3_links, p3_groups, p4_found, p4_splits, p4_report, p5_found, p5_redacted, p6_found, p6_plain, p7_ids, p7_counts, p8_found, p8_report, p9_found, p9_shares, p9_lines)
 }
 
 _ORDINALS = "translate({0}, 'ªº²³¹', 'ao231')"  # letters and digits by compatibility; other such characters don't occur in these texts

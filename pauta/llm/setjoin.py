@@ -1,22 +1,29 @@
-"""Similarity join of texts by their sets of word n-grams, without comparing all pairs.
+"""Similarity join of texts by their sets of three-word grams, without comparing all pairs.
+
+A text's set is ordered by one global order, rarest gram first; the sets in this order are
+the paths of a prefix tree, and a pair of similar texts meets in the node of its first common
+gram. The tree is never held in one place: a node is a key of a shuffle.
 
 Stages (each row-parallel; what is shuffled is said in brackets):
 
-1. ``collapse``: texts equal in every character become one class [three numbers a row].
-2. ``gram_counts``: one count array of fixed size (2**22 buckets) over the n-grams of all
-   texts; it defines one global order, rarest first [counts, folded in two levels].
-3. ``postings``: every text gives the prefix of its ordered set of three-word grams that
-   any partner must hit: n - ceil(least * n) + 1 of n. A gram of very many texts is spread
-   over cells, one a pair of blocks of texts [about half a row a word].
-4. ``candidates``: in each node, members are met in order of set size; a member's reach
-   ends where the remaining length behind the gram's place can't give the threshold; a
-   256-bit summary of the three-word grams drops chance meetings [pairs].
-5. ``verify``: exact resemblance of the candidate pairs [their texts].
-
-No stage estimates: a pair of resemblance ``least`` or more passes each of them. Its sets
-have at least ``least / (1 + least)`` of their total size in common, so the first common
-gram in the global order stands in both prefixes, with enough grams from there on in both
-sets, and the summaries differ in no more bits than the sets in grams.
+1. ``gram_counts``: one count array of fixed size (2**22 buckets) over the grams of all
+   texts; it defines the global order [counts, folded in two levels].
+2. ``posted``: of n grams only those are nodes behind which enough grams remain for any
+   partner; a gram whose bucket was counted once has none. Exact copies of a text share one
+   key, so they are one member. A node of very many texts is dealt to cells, one a pair of
+   blocks of texts. Members leave a task as packed blocks of columns [blocks].
+3. ``met``: in a node, members are met in order of set size as far as the remaining length
+   behind the node can give the threshold; a 384-bit parity of the whole sets then drops
+   chance meetings [pairs]. Nodes are dealt to ``PASSES`` passes, so that a pass needs the
+   disk of that share of the blocks only; a pass's shuffle files go when it has ended.
+4. ``verified``: exact resemblance (or containment) of the remaining pairs [their texts].
+
+No stage estimates: a pair that reaches the threshold passes each of them. Its first common
+gram has, in both sets, at least as many grams from there on as must be common, so it lies in
+both prefixes; and two parities differ in no more bits than the sets do in grams.
+
+Keys: ``key`` and ``check`` are two hashes of a side and a text. Texts whose ``key`` collides
+meet under it and are told apart at the end by ``check`` and the texts themselves.
 """
 
 from __future__ import annotations
@@ -36,10 +43,22 @@ from pauta.llm.wordhash import ROW_BITS, distinct_per_row, mix, ngrams, word_has
 STAGE_WORDS = 3
 BUCKET_BITS = 22
 BLOCK_BITS = 16
-HOT = 16_384  # a gram of more texts, by its count above the mean, is spread over cells
+PASSES = 4
+GRAM_BITS = 44  # of a gram's hash; what falls together only meets once more
+ROWS = 256  # texts sorted at a time: their number takes 8 bits of a sort key
+SIG_WORDS = 6  # 64-bit words of a set's parity
+HOT = 16_384  # a gram of more texts, by its count above the mean, is dealt to cells
 MAX_BLOCKS = 32  # blocks of texts a gram at most: a row is written that many times
+HELD = 1_000_000  # members that a task collects before it writes blocks
+PART = 400_000  # members a part, on the average
 BROADCAST_IDS = 500_000  # 8 bytes an id: a few MB at most
 U64 = np.uint64
+BLOCK = "part int, node binary, key binary, size binary, place binary, sig binary"
+
+
+def keyed(records: DataFrame) -> DataFrame:
+    """``records (id, side, text)`` with ``key`` and ``check``, equal for copies on one side."""
+    return records.withColumns({"key": F.xxhash64("side", "text"), "check": F.xxhash64(F.lit(7), F.length("text"), "text")})
 
 
 def _batches(it: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
@@ -55,201 +74,290 @@ def _batches(it: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[tupl
 
 
 def _stage_grams(texts: list, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sets of grams of the texts of at least ``min_words`` words, and the row of each gram."""
+    """Grams (of ``GRAM_BITS``) of the texts of at least ``min_words`` words, and the row of each; not yet distinct."""
     h, o = word_hashes(texts)
     g, row, _ = ngrams(h, o, STAGE_WORDS)
     keep = (np.diff(o) >= min_words)[row]
-    return distinct_per_row(g[keep], row[keep])
+    return g[keep] >> U64(64 - GRAM_BITS), row[keep]
 
 
 def _bucket(g: np.ndarray) -> np.ndarray:
     return (mix(g) >> U64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def gram_counts(texts: DataFrame, min_words: int) -> np.ndarray:
-    """Bucket counts of the stage grams of all texts; the array's size doesn't depend on the data."""
+class Counts:
+    """Bucket counts of both sides, and in which buckets each side has grams."""
+
+    def __init__(self, by_side: list[np.ndarray]):
+        self.total = sum(by_side[1:], by_side[0])
+        self.seen = [x > 0 for x in by_side]
+        self.grams = int(self.total.sum(dtype=np.uint64))
+        self.mean = self.grams / len(self.total)
+
+
+def gram_counts(texts: DataFrame, min_words: int, sides: bool) -> Counts:
+    """Counts of the grams of all texts (column ``side`` is 0 or 1); the arrays' size doesn't depend on the data."""
     blocks = 1 << (BUCKET_BITS - BLOCK_BITS)
+    n_sides = 2 if sides else 1
 
     def count(it):
-        total = np.zeros(1 << BUCKET_BITS, np.uint64)
-        for _, t in _batches(it):
-            g = _stage_grams(t, min_words)[0]
-            total += np.bincount(_bucket(g), minlength=1 << BUCKET_BITS).astype(np.uint64)
-        yield _block_rows(total.reshape(blocks, -1), range(blocks), TaskContext.get().partitionId() % 32)
+        total = np.zeros((n_sides, 1 << BUCKET_BITS), np.uint32)
+        held: list[list[np.ndarray]] = [[] for _ in range(n_sides)]
+
+        def flush() -> None:
+            for s in range(n_sides):
+                if held[s]:
+                    total[s] += np.bincount(_bucket(np.concatenate(held[s])), minlength=1 << BUCKET_BITS).astype(np.uint32)
+                    held[s].clear()
+
+        for b, t in _batches(it):
+            g, row = _stage_grams(t, min_words)
+            side = b.column("side").to_numpy(zero_copy_only=False)
+            for s in range(n_sides):
+                held[s].append(g[side[row] == s] if sides else g)
+            if sum(map(len, held[0])) + (sum(map(len, held[1])) if sides else 0) > 4_000_000:
+                flush()
+        flush()
+        yield _block_rows(total.reshape(n_sides * blocks, -1), range(n_sides * blocks), TaskContext.get().partitionId() % 32)
 
     def add(it):
         total: dict[int, np.ndarray] = {}
         for b in it:
             for k, v in zip(b.column("block").to_pylist(), b.column("counts").to_pylist()):
-                x = np.frombuffer(zlib.decompress(v), np.uint64)
-                total[k] = total[k] + x if k in total else x
+                x = np.frombuffer(zlib.decompress(v), np.uint32)
+                total[k] = np.minimum(total[k].astype(np.uint64) + x, U64(0xFFFFFFFF)).astype(np.uint32) if k in total else x
         if total:
             yield _block_rows(list(total.values()), total.keys(), 0)
 
     schema = "block int, salt int, counts binary"
-    parts = texts.mapInArrow(count, schema)
-    folded = parts.repartition("block", "salt").mapInArrow(add, schema).repartition("block").mapInArrow(add, schema)
-    result = np.zeros((blocks, 1 << BLOCK_BITS), np.uint64)
+    folded = texts.mapInArrow(count, schema).repartition("block", "salt").mapInArrow(add, schema).repartition("block").mapInArrow(add, schema)
+    result = np.zeros((n_sides * blocks, 1 << BLOCK_BITS), np.uint32)
     for r in folded.toLocalIterator():
-        result[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint64)
-    return np.minimum(result.ravel(), U64(0xFFFFFFFF)).astype(np.uint32)
+        result[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
+    return Counts(list(result.reshape(n_sides, -1)))
 
 
 def _block_rows(arrays, keys, salt: int) -> pa.RecordBatch:
     keys = list(keys)
     return pa.RecordBatch.from_pydict(
-        {"block": pa.array(keys, pa.int32()), "salt": pa.array([salt] * len(keys), pa.int32()), "counts": pa.array([zlib.compress(np.ascontiguousarray(a, np.uint64).tobytes(), 1) for a in arrays], pa.binary())}
+        {"block": pa.array(keys, pa.int32()), "salt": pa.array([salt] * len(keys), pa.int32()), "counts": pa.array([zlib.compress(np.ascontiguousarray(a, np.uint32).tobytes(), 1) for a in arrays], pa.binary())}
     )
 
 
-def _signature(g3: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-    """256-bit summaries of the rows' three-word grams; long texts are thinned by their level."""
-    n = np.bincount(row, minlength=rows)
-    level = np.floor(np.log2(np.maximum(n, 256) / 256) + 0.0).astype(np.uint64)
-    m = mix(g3)
-    keep = (m & ((U64(1) << level[row]) - U64(1))) == 0
-    place = (m >> U64(56)).astype(np.int64)[keep]
-    bits = np.zeros((rows, 256), np.uint8)
-    bits[row[keep], place] = 1
-    return np.packbits(bits, axis=1).view(np.uint64)
+def _ordered_sets(g: np.ndarray, row: np.ndarray, rows: int, counts: Counts) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of each row in the global order: by count (on a fine logarithmic scale), then by hash."""
+    rank = np.floor(127 * np.log2(np.maximum(counts.total[_bucket(g)], 1))).astype(np.uint64)  # below 2**12
+    first = np.searchsorted(row, np.arange(0, rows + ROWS, ROWS))
+    out_g, out_row = [], []
+    for k in range(len(first) - 1):
+        part = slice(first[k], first[k + 1])
+        if first[k] == first[k + 1]:
+            continue
+        key = ((row[part] - k * ROWS).astype(np.uint64) << U64(56)) | (rank[part] << U64(GRAM_BITS)) | g[part]
+        key.sort()
+        key = key[np.concatenate(([True], key[1:] != key[:-1]))]
+        out_g.append(key & U64((1 << GRAM_BITS) - 1))
+        out_row.append((key >> U64(56)).astype(np.int64) + k * ROWS)
+    return (np.concatenate(out_g), np.concatenate(out_row)) if out_g else (g[:0], row[:0])
 
 
-def _set_level(n: np.ndarray) -> np.ndarray:
-    return np.floor(np.log2(np.maximum(n, 256) / 256)).astype(np.int64)
+def _parity(g: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """Of each row's set: for each of 384 classes of grams, whether it holds an odd number of them."""
+    width = SIG_WORDS * 64
+    at = ((mix(g ^ U64(0x5BD1E995)) >> U64(20)) % U64(width)).astype(np.int64)
+    odd = (np.bincount(row * width + at, minlength=rows * width) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(rows, width), axis=1).view(np.uint64)
 
 
-def _blocks(est: np.ndarray, mean: float, hot: int) -> np.ndarray:
-    """Into how many blocks the texts of a gram are dealt, by its bucket's count above the mean."""
-    above = est - mean - 3 * np.sqrt(mean)
-    return np.where(above > hot, np.clip(np.ceil(above / max(hot, 1)), 2, MAX_BLOCKS), 1).astype(np.int64)
+class Wanted:
+    """What makes two texts a pair: ``least`` of resemblance, or of containment of the side-1 text."""
 
+    def __init__(self, least: float, contained: bool = False):
+        self.least, self.contained = least, contained
 
-def postings(texts: DataFrame, counts, min_words: int, least: float, id_type: str) -> DataFrame:
-    """Rows (node, id, side, size, place, s0..s3) of the texts' prefixes: the gram's place in the ordered set."""
-    shared = texts.sparkSession.sparkContext.broadcast(counts)
-    arrow_id = {"bigint": pa.int64(), "string": pa.string()}[id_type]
+    def prefix(self, n: np.ndarray, side: np.ndarray) -> np.ndarray:
+        """How many of the rarest grams are nodes."""
+        own = n - np.ceil(n * self.least - 1e-9).astype(np.int64) + 1
+        return np.where(side == 1, own, n) if self.contained else own
+
+    def common(self, n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+        """How many grams two sets (the second of side 1) must have in common."""
+        return n1 * self.least if self.contained else (n0 + n1) * (self.least / (1 + self.least))
+
+    def sizes(self, n: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least and largest set size of a partner of a (side 1) set with ``rest`` grams from the node on."""
+        if self.contained:
+            return np.ceil(n * self.least - 1e-6), np.where(rest >= n * self.least - 1e-6, np.inf, -1.0)
+        return np.ceil(n * self.least - 1e-6), np.floor(np.minimum(n / self.least, rest * ((1 + self.least) / self.least) - n) + 1e-6)
+
+    def holds(self, n0: np.ndarray, n1: np.ndarray, common: np.ndarray) -> np.ndarray:
+        """Whether two sets with ``common`` grams in common are a pair."""
+        return (n0 + n1 > 0) & (common >= (self.least * n1 if self.contained else self.least * (n0 + n1 - common)) - 1e-9)
+
+
+def _planes(a: np.ndarray) -> bytes:
+    """Bytes of an integer array, all lowest bytes first: what is constant compresses away."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()
+
+
+def _from_planes(data: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).reshape(-1).view(kind)
+
+
+def _cells(node: np.ndarray, row: np.ndarray, place: np.ndarray, key: np.ndarray, above: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Members, with those of very large nodes in cells (own block, any block): every two texts share one."""
+    k = np.where(above > HOT, np.clip(np.ceil(above / HOT), 2, MAX_BLOCKS), 1).astype(np.int64)
+    if not (k > 1).any():
+        return node, row, place
+    one = np.repeat(np.arange(len(node)), k)
+    other = np.arange(len(one)) - np.repeat(np.cumsum(k) - k, k)
+    own = (mix(key[row[one]]) % k[one].astype(U64)).astype(np.int64)
+    cell = np.minimum(own, other) * MAX_BLOCKS + np.maximum(own, other)
+    split = mix((node[one] << U64(64 - GRAM_BITS)) + cell.astype(U64) + U64(1)) >> U64(64 - GRAM_BITS)
+    return np.where(k[one] > 1, split, node[one]), row[one], place[one]
+
+
+def posted(texts: DataFrame, shared, min_words: int, wanted: Wanted, sides: bool, turn: int, parts: int) -> DataFrame:
+    """Blocks of the members of the nodes of pass ``turn``; ``texts (key, side, text)``."""
 
     def emit(it):
-        counts = shared.value
-        mean = counts.mean()
+        counts: Counts = shared.value
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def blocks():
+            node, key, size, place, sig = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            part = (mix(node) // U64(PASSES) % U64(parts)).astype(np.int64)
+            order = np.lexsort((key, node, part))
+            order = order[_first(node[order], key[order])]  # copies of a text give one member
+            node, key, size, place, sig, part = (x[order] for x in (node, key, size, place, sig, part))
+            edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
+            rows = []
+            for low, high in zip(edge[:-1], edge[1:]):
+                one = slice(low, high)
+                rows.append([int(part[low]), _planes(np.diff(node[one], prepend=U64(0))), _planes(key[one]), _planes(size[one]), _planes(place[one]), sig[one].tobytes()])
+            for k in range(0, len(rows), 64):
+                columns = list(zip(*rows[k : k + 64]))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["part", "node", "key", "size", "place", "sig"])
+
         for b, t in _batches(it):
             g, row = _stage_grams(t, min_words)
             if not len(g):
                 continue
+            g, row = _ordered_sets(g, row, len(t), counts)
+            side = b.column("side").to_numpy(zero_copy_only=False).astype(np.int64)
+            key = b.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
             n = np.bincount(row, minlength=len(t))
-            sig = _signature(g, row, len(t)).view(np.int64)
-            est = counts[_bucket(g)]
-            order = np.lexsort((g, est, row))
-            g, row, est = g[order], row[order], est[order]
-            first = np.concatenate(([0], np.cumsum(n)))[:-1]
-            place = np.arange(len(g)) - first[row]
-            prefix = n - np.ceil(n * least - 1e-9).astype(np.int64) + 1
-            keep = (place < prefix[row]) & (est > 1)  # a bucket counted once: no partner has the gram
-            g, row, est, place = g[keep], row[keep], est[keep].astype(np.float64), place[keep]
-            k = _blocks(est, mean, HOT)
-            if (k > 1).any():  # cells (own block, any block) of a gram: every two of its texts share one
-                name = zlib.crc32 if id_type == "string" else None
-                ids = b.column("id").to_pylist()
-                key = mix(np.array([name(x.encode()) if name else x for x in ids], np.int64).view(U64))
-                one = np.repeat(np.arange(len(g)), k)
-                other = np.arange(len(one)) - np.repeat(np.cumsum(k) - k, k)
-                own = (key[row[one]] % k[one].astype(U64)).astype(np.int64)
-                cell = np.minimum(own, other) * MAX_BLOCKS + np.maximum(own, other)
-                spread = k[one] > 1
-                g, row, place = g[one], row[one], place[one]
-                g = np.where(spread, mix(g + cell.astype(U64) + U64(1)), g)
-            out = [pa.array(g.view(np.int64)), b.column("id").take(pa.array(row)).cast(arrow_id), b.column("side").take(pa.array(row)), pa.array(n[row].astype(np.int32)), pa.array(place.astype(np.int32))]
-            names = ["node", "id", "side", "size", "place", "s0", "s1", "s2", "s3"]
-            for low in range(0, len(row), 200_000):
-                part = slice(low, low + 200_000)
-                yield pa.RecordBatch.from_arrays([*(x[part] for x in out), *(pa.array(np.ascontiguousarray(sig[row[part], c])) for c in range(4))], names)
-
-    return texts.mapInArrow(emit, f"node bigint, id {id_type}, side tinyint, size int, place int, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
-
-
-def _plausible(size: np.ndarray, place: np.ndarray, sig: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
-    """Which of the pairs of rows (i, j) can reach ``least`` with the node's gram as their first common one."""
-    total = (size[i] + size[j]).astype(np.float64)
-    ok = np.minimum(size[i] - place[i], size[j] - place[j]) >= total * (least / (1 + least)) - 1e-6
-    at = np.flatnonzero(ok & (_set_level(size[i]) == _set_level(size[j])))
-    differ = np.bitwise_count(sig[i[at]] ^ sig[j[at]]).sum(axis=1)  # at most the grams of one side only
-    ok[at] = differ <= total[at] * ((1 - least) / (1 + least)) + 1e-6
-    return ok
-
-
-def candidates(posted: DataFrame, least: float, sides: bool, id_type: str) -> DataFrame:
-    """Distinct pairs (a, b), a < b, or with sides a of side 0 and b of side 1, that meet in a node."""
-    arrow_id = {"bigint": pa.int64(), "string": pa.string()}[id_type]
-    names = ["node", "id", "side", "size", "place", "s0", "s1", "s2", "s3"]
-
-    def pairs_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        node = table.column("node").to_numpy()
-        side = table.column("side").to_numpy()
-        size = table.column("size").to_numpy().astype(np.int64)
-        place = table.column("place").to_numpy().astype(np.int64)
-        sig = np.stack([table.column(f"s{k}").to_numpy() for k in range(4)], axis=1).view(np.uint64)
-        ids = table.column("id").combine_chunks()
-        ids = ids.to_numpy() if id_type == "bigint" else np.array(ids.to_pylist(), dtype=object)
-        n = len(node)
-        # in a node rows are ordered by size: row i reaches up to the size that its remaining length
-        # (the grams from its place on, all that can still be common) allows
-        most = np.floor(np.minimum(size / least, (size - place) * ((1 + least) / least) - size) + 1e-6).astype(np.int64)
-        start = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
-        end = np.repeat(np.append(start[1:], n), np.diff(np.append(start, n)))
-        group = np.repeat(np.arange(len(start)), np.diff(np.append(start, n)))
-        key = group * (1 << 32) + size
-        reach = np.minimum(end, np.searchsorted(key, group * (1 << 32) + np.clip(most, 0, (1 << 32) - 1), side="right"))
-        span = np.maximum(reach - np.arange(n) - 1, 0)
-        done = 0
-        total = np.cumsum(span)
-        while done < n:
-            upto = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + 500_000, side="right")))
-            for low in range(0, max(1, int(span[done])) if upto == done + 1 else 1, 500_000):
-                if upto == done + 1:  # one row with a wide reach: in pieces
-                    j = np.arange(done + 1 + low, min(done + 1 + low + 500_000, done + 1 + int(span[done])))
-                    i = np.full(len(j), done)
-                else:
-                    w = span[done:upto]
-                    i = np.repeat(np.arange(done, upto), w)
-                    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w)
-                if sides:
-                    keep = side[i] != side[j]
-                    i, j = i[keep], j[keep]
-                keep = _plausible(size, place, sig, i, j, least) if len(i) else np.zeros(0, bool)
-                a, b = ids[i[keep]], ids[j[keep]]
-                swap = side[i[keep]] > side[j[keep]] if sides else a > b
-                a, b = np.where(swap, b, a), np.where(swap, a, b)
-                differ = a != b
-                if differ.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(a[differ], arrow_id), pa.array(b[differ], arrow_id)], ["a", "b"])
-            done = upto
+            sig = _parity(g, row, len(t))
+            place = np.arange(len(g)) - (np.cumsum(n) - n)[row]
+            at = _bucket(g)
+            if sides:  # a text meets only grams that the other side has
+                partner = np.where(side[row] == 0, counts.seen[1][at], counts.seen[0][at])
+            else:
+                partner = counts.total[at] > 1
+            keep = (place < wanted.prefix(n, side)[row]) & partner
+            above = counts.total[at[keep]] - counts.mean - 3 * np.sqrt(counts.mean)
+            node, row, place = _cells(g[keep], row[keep], place[keep], key, above)
+            mine = mix(node) % U64(PASSES) == turn
+            node, row, place = node[mine], row[mine], place[mine]
+            if not len(node):
+                continue
+            held.append((node, key[row], (n[row] * 2 + side[row]).astype(np.uint32), place.astype(np.uint32), sig[row]))
+            if sum(len(x[0]) for x in held) >= HELD:
+                yield from blocks()
+        if held:
+            yield from blocks()
+
+    return texts.mapInArrow(emit, BLOCK)
+
+
+def _first(node: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Where an ordered (node, key) differs from the one before."""
+    new = np.ones(len(node), bool)
+    new[1:] = (node[1:] != node[:-1]) | (key[1:] != key[:-1])
+    return new
+
+
+def _spans(node: np.ndarray, size: np.ndarray, place: np.ndarray, side: np.ndarray, wanted: Wanted, sides: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(i, first, last, other): member i meets the members other[first:last]; the arrays are ordered by node and size."""
+    group = np.cumsum(np.concatenate(([0], node[1:] != node[:-1])))
+    edge = group << 32
+    key = edge + size
+    low, high = (np.clip(x, -1, 2**32 - 1).astype(np.int64) for x in wanted.sizes(size, size - place))
+    if sides:
+        other, i = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        first = np.searchsorted(key[other], edge[i] + low[i], side="left")
+        last = np.searchsorted(key[other], edge[i] + high[i], side="right")
+    else:
+        other = i = np.arange(len(node))
+        first = i + 1
+        last = np.searchsorted(key, edge + high, side="right")
+    return i, first, np.maximum(first, last), other
+
+
+def _pairs_of(node, key, size2, place, sig, wanted: Wanted, sides: bool, most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys (a, b) of the plausible pairs of a part's members, in pieces."""
+    size, side = (size2 >> np.uint32(1)).astype(np.int64), (size2 & np.uint32(1)).astype(np.int8)
+    order = np.lexsort((key, size, node))
+    order = order[_first(node[order], key[order])]
+    node, key, size, side, place, sig = node[order], key[order], size[order], side[order], place[order].astype(np.int64), sig[order]
+    i, first, last, other = _spans(node, size, place, side, wanted, sides)
+    width = last - first
+    total = np.cumsum(width)
+    for start in range(0, int(total[-1]) if len(total) else 0, most):
+        flat = np.arange(start, min(start + most, int(total[-1])))
+        at = np.searchsorted(total, flat, side="right")
+        x, y = i[at], other[first[at] + flat - (total[at] - width[at])]
+        n1, n0 = size[x], size[y]
+        common = wanted.common(n0, n1)
+        ok = np.minimum(n1 - place[x], n0 - place[y]) >= common - 1e-6
+        x, y, spare = x[ok], y[ok], (n0 + n1 - 2 * common)[ok]
+        ok = np.bitwise_count(sig[x] ^ sig[y]).sum(axis=1) <= spare + 1e-6
+        a, b = key[y[ok]].view(np.int64), key[x[ok]].view(np.int64)
+        yield (a, b) if sides else (np.minimum(a, b), np.maximum(a, b))
+
+
+def met(blocks: DataFrame, wanted: Wanted, sides: bool) -> DataFrame:
+    """Distinct pairs of keys (a, b), a < b, or with sides a of side 0 and b of side 1, that meet in a node."""
+
+    def part_pairs(held: list[dict]) -> Iterator[pa.RecordBatch]:
+        node = np.concatenate([np.cumsum(_from_planes(r["node"], np.uint64), dtype=np.uint64) for r in held])
+        key, size, place = (np.concatenate([_from_planes(r[c], kind) for r in held]) for c, kind in (("key", np.uint64), ("size", np.uint32), ("place", np.uint32)))
+        sig = np.concatenate([np.frombuffer(r["sig"], np.uint64).reshape(-1, SIG_WORDS) for r in held])
+        found, n = [], 0
+        for a, b in _pairs_of(node, key, size, place, sig, wanted, sides):
+            found.append(np.stack([a, b], axis=1)[a != b])
+            n += len(found[-1])
+            if n > 1_000_000:
+                yield _pair_rows(found)
+                found, n = [], 0
+        yield _pair_rows(found)
 
     def meet(it):
-        held: list[pa.RecordBatch] = []
+        held: list[dict] = []
         for b in it:
-            if not b.num_rows:
-                continue
-            held.append(b.select(names))
-            if sum(x.num_rows for x in held) < 20_000:
-                continue
-            table = pa.Table.from_batches(held)
-            node = table.column("node").to_numpy()
-            cut = int(np.searchsorted(node, node[-1]))  # the last node may go on in the next batch
-            if cut:
-                yield from pairs_of(table.slice(0, cut))
-                held = table.slice(cut).to_batches()
+            for r in b.to_pylist():
+                if held and held[0]["part"] != r["part"]:
+                    yield from part_pairs(held)
+                    held = []
+                held.append(r)
         if held:
-            yield from pairs_of(pa.Table.from_batches(held))
+            yield from part_pairs(held)
+
+    return blocks.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "a bigint, b bigint").distinct()
 
-    in_order = posted.repartition("node").sortWithinPartitions("node", "size")
-    return in_order.mapInArrow(meet, f"a {id_type}, b {id_type}").distinct()
+
+def _pair_rows(found: list[np.ndarray]) -> pa.RecordBatch:
+    p = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, 0]), pa.int64()), pa.array(np.ascontiguousarray(p[:, 1]), pa.int64())], ["a", "b"])
 
 
 def overlaps(texts_a: list, texts_b: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each pair of texts: sizes of the three-word sets and of their intersection."""
     sets = []
     for t in (texts_a, texts_b):
-        g, r, _ = ngrams(*word_hashes(t), 3)
+        g, r, _ = ngrams(*word_hashes(t), STAGE_WORDS)
         sets.append(distinct_per_row(g, r))
     n = len(texts_a)
     g, r = np.concatenate([sets[0][0], sets[1][0]]), np.concatenate([sets[0][1], sets[1][1]])
@@ -259,77 +367,53 @@ def overlaps(texts_a: list, texts_b: list) -> tuple[np.ndarray, np.ndarray, np.n
     return np.bincount(sets[0][1], minlength=n), np.bincount(sets[1][1], minlength=n), np.bincount(both, minlength=n)
 
 
-def verify(pairs: DataFrame, texts: DataFrame, least: float, id_type: str) -> DataFrame:
-    """Pairs with ``size_a, size_b, common`` whose exact resemblance is at least ``least``."""
-    arrow_id = {"bigint": pa.int64(), "string": pa.string()}[id_type]
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    if bounded_rows(wanted, BROADCAST_IDS):
-        wanted = F.broadcast(wanted)
-    mine = texts.select("id", "text").join(wanted, "id", "left_semi").dropDuplicates(["id"])
-    with_both = pairs.join(mine.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(mine.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+def only(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``column`` is among ``keys`` (one column); broadcast up to a checked number."""
+    keys = keys.toDF(column)
+    return df.join(F.broadcast(keys) if bounded_rows(keys, BROADCAST_IDS) else keys, column, "left_semi")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, wanted: Wanted) -> DataFrame:
+    """Pairs that reach the threshold: (a, a_check, b, b_check, size_a, size_b, common); one row a pair of texts."""
+    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    mine = only(texts.select("key", "check", "text"), "key", keys).groupBy("key", "check").agg(F.first("text").alias("text"))
+    end = lambda x: mine.select(F.col("key").alias(x), F.col("check").alias(f"{x}_check"), F.col("text").alias(f"text_{x}"))
 
     def check(it):
         for b in it:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
                 na, nb, common = overlaps(part.column("text_a").to_pylist(), part.column("text_b").to_pylist())
-                at = np.flatnonzero((na + nb > 0) & (common >= least * (na + nb - common) - 1e-9))
-                take = pa.array(at)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("a").take(take).cast(arrow_id), part.column("b").take(take).cast(arrow_id), *(pa.array(x[at].astype(np.int32)) for x in (na, nb, common))],
-                    ["a", "b", "size_a", "size_b", "common"],
-                )
-
-    return with_both.select("a", "b", "text_a", "text_b").mapInArrow(check, f"a {id_type}, b {id_type}, size_a int, size_b int, common int")
-
-
-def collapse(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, representatives) of ``records (id, side, text)``.
-
-    ``members (rep, side, id, n)``: for every text that stands under several ids of a side,
-    all ids but the smallest, and the class's size. ``representatives``: the records without
-    those ids. Repeated rows of one record stay one record.
-    """
-    key = records.select("id", "side", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text", F.length("text")).alias("k2"))
-    classes = key.groupBy("side", "k1", "k2").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep <> last").drop("last")
-    members = key.join(classes, ["side", "k1", "k2"]).where("id <> rep").select("rep", "side", "id").distinct()
-    members = cut_lineage(members)
-    sizes = members.groupBy("rep").agg((F.count("*") + 1).alias("n"))
-    dropped = members.select("id")
-    if bounded_rows(dropped, BROADCAST_IDS):
-        dropped = F.broadcast(dropped)
-    return members.join(sizes, "rep"), records.join(dropped, "id", "left_anti")
-
-
-def similar_pairs(records: DataFrame, *, min_words: int, least: float, id_type: str, sides: bool = False) -> DataFrame:
-    """Verified pairs (a, b, size_a, size_b, common) among ``records (id, side, text)`` without exact copies."""
-    counts = gram_counts(records, min_words)
-    found = cut_lineage(candidates(postings(records, counts, min_words, least, id_type), least, sides, id_type))
-    return verify(found, records, least, id_type)
-
-
-
-
-def expand(pairs: DataFrame, members: DataFrame, sides: bool, whole: int = 64) -> DataFrame:
-    """Pairs of ids (a, b) from pairs of representatives and the classes' other members.
-
-    Classes of up to ``whole`` equal texts are written out in full: every member with every
-    partner. Of a larger class each member is linked once, to its representative (with
-    sides: to its class's smallest partner), so the result stays linear in the class.
-    """
-    lists = members.where(F.col("n") <= whole).groupBy("rep").agg(F.collect_set("id").alias("others"))
-    big = members.where(F.col("n") > whole).select("rep", "id")
-    none = F.expr("cast(array() as array<%s>)" % dict(members.dtypes)["id"])
-    full = (
-        pairs.join(lists.select(F.col("rep").alias("a"), F.col("others").alias("xs")), "a", "left")
-        .join(lists.select(F.col("rep").alias("b"), F.col("others").alias("ys")), "b", "left")
-        .withColumn("x", F.explode(F.concat(F.array("a"), F.coalesce("xs", none))))
-        .withColumn("y", F.explode(F.concat(F.array("b"), F.coalesce("ys", none))))
-        .select(F.col("x").alias("a"), F.col("y").alias("b"))
-    )
-    if sides:
-        ends = pairs.select(F.col("a").alias("rep"), F.col("b").alias("partner")).union(pairs.select("b", "a"))
-        first = ends.groupBy("rep").agg(F.min("partner").alias("partner"))
-        return full.union(big.join(first, "rep").select("id", "partner"))
-    inside = lists.select(F.array_sort(F.concat(F.array("rep"), "others")).alias("all")).select("all", F.posexplode("all").alias("at", "a")).select("a", F.explode(F.expr("slice(all, at + 2, size(all))")).alias("b"))
-    return full.union(inside).union(big)
+                at = np.flatnonzero(wanted.holds(na, nb, common))
+                keep = part.select(["a", "a_check", "b", "b_check"]).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*keep.columns, *(pa.array(x[at].astype(np.int32)) for x in (na, nb, common))], ["a", "a_check", "b", "b_check", "size_a", "size_b", "common"])
+
+    both = pairs.join(end("a"), "a").join(end("b"), "b").select("a", "a_check", "b", "b_check", "text_a", "text_b")
+    return both.mapInArrow(check, "a bigint, a_check bigint, b bigint, b_check bigint, size_a int, size_b int, common int")
+
+
+def similar_texts(texts: DataFrame, wanted: Wanted, *, min_words: int, sides: bool = False) -> DataFrame:
+    """Verified pairs among ``texts (key, check, side, text)``; see :func:`keyed`. Written to the checkpoint folder."""
+    counts = gram_counts(texts, min_words, sides)
+    parts = max(16, -(-counts.grams // (2 * PASSES * PART)))
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+    turns = [cut_lineage(met(posted(texts, shared, min_words, wanted, sides, turn, parts), wanted, sides)) for turn in range(PASSES)]
+    found = turns[0]
+    for x in turns[1:]:
+        found = found.union(x)
+    out = cut_lineage(verified(found.distinct(), texts, wanted))
+    shared.unpersist()
+    return out
+
+
+def long_copies(texts: DataFrame, members: DataFrame, min_words: int) -> DataFrame:
+    """(key, check) of the texts that several ids share and that have at least ``min_words`` words."""
+    several = members.groupBy("key", "check").agg(F.min("id").alias("least"), F.max("id").alias("last")).where("least <> last").select("key")
+    heads = only(texts.select("key", "check", "text"), "key", several).groupBy("key", "check").agg(F.first("text").alias("text"))
+
+    def count(it):
+        for b in it:
+            ok = np.diff(word_hashes(b.column("text").to_pylist())[1]) >= min_words
+            yield b.select(["key", "check"]).filter(pa.array(ok))
+
+    return heads.mapInArrow(count, "key bigint, check bigint")

@@ -8,9 +8,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pauta.llm import setjoin
-from pauta.llm.cross_split import cross_split_pairs, cross_split_report
-from pauta.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
+from pauta.llm.cross_split import containments, cross_split_links, cross_split_pairs, cross_split_report
+from pauta.llm.near_duplicates import near_duplicate_groups, near_duplicate_links, near_duplicate_pairs
 from pauta.llm.wordhash import distinct_per_row, ngrams, word_hashes, words
+from pyspark.sql import functions as F
 
 VOCABULARY = [f"w{i}" for i in range(400)]
 
@@ -73,12 +74,18 @@ def test_groups_cover_the_pairs(spark, corpus):
     assert all(g <= i for i, g in group.items())
 
 
-def test_hot_group_of_copies_stays_linear(spark, corpus):
+@pytest.mark.parametrize("copies", [3, 200])
+def test_copies_in_both_forms(spark, corpus, copies):
+    """All pairs of ids, and the form linear in the copies; the same for classes of any size."""
     text = corpus[0] if len(words(corpus[0])) >= 30 else corpus[1]
-    rows = [(i, "", text) for i in range(300)] + [(1000, "", text + " fim"), (2000, "", "curto")]
+    rows = [(i, "", text) for i in range(copies)] + [(1000 + i, "", f"{text} fim{i}") for i in range(3)] + [(2000, "", "curto"), (2001, "", "curto")]
     df = spark.createDataFrame(rows, "id bigint, subject string, body string")
-    got = {tuple(r) for r in near_duplicate_pairs(df).collect()}
-    assert got == {(0, i) for i in range(1, 300)} | {(0, 1000)}
+    ids = [r[0] for r in rows if r[0] < 2000]
+    assert {tuple(r) for r in near_duplicate_pairs(df).collect()} == set(itertools.combinations(ids, 2))
+    links = {(r["class_a"], r["class_b"]) for r in near_duplicate_links(df).collect()}
+    assert links == set(itertools.combinations([0, 1000, 1001, 1002], 2))
+    groups = {r["id"]: (r["class_id"], r["group_id"], r["links"]) for r in near_duplicate_groups(df).collect()}
+    assert groups == {i: (0 if i < 1000 else i, 0, 3) for i in ids}
 
 
 def test_short_copies_take_no_part(spark):
@@ -113,12 +120,43 @@ def test_cross_split_against_brute_force(spark, corpus):
     assert cross_split_pairs(df.limit(0)).collect() == []
 
 
-def test_shuffled_copies_across_splits(spark):
+def test_copies_across_splits(spark):
     text = " ".join(VOCABULARY[:40])
     rows = [(f"t{i:03d}", "train", text) for i in range(80)] + [("e1", "dev", text), ("e2", "holdout", text)]
+    df = spark.createDataFrame(rows, "id string, split string, body string")
+    got = {tuple(r) for r in cross_split_pairs(df).collect()}
+    assert got == {(e, f"t{i:03d}") for e in ("e1", "e2") for i in range(80)}
+    assert [tuple(r) for r in cross_split_links(df).collect()] == [("t000", "e1", 80, 2, 1.0, 1.0)]
+
+
+def test_an_id_in_both_splits_and_under_two_texts(spark):
+    one, two = " ".join(VOCABULARY[:40]), " ".join(VOCABULARY[100:140])
+    rows = [("a", "train", one), ("a", "dev", one), ("b", "dev", one), ("b", "dev", two), ("c", "train", two), ("c", "train", one), ("d", "train", one)]
     got = {tuple(r) for r in cross_split_pairs(spark.createDataFrame(rows, "id string, split string, body string")).collect()}
-    # a class of more than 64 equal texts: every member once, with the partner's representative
-    assert {a for a, _ in got} == {"e1", "e2"} and {b for _, b in got} == {f"t{i:03d}" for i in range(80)}
+    assert got == {("a", "b"), ("a", "c"), ("a", "d"), ("b", "c"), ("b", "d")}
+
+
+def test_containment_of_short_records_in_long_ones(spark):
+    rng = random.Random(9)
+    long_texts = [[rng.choice(VOCABULARY) for _ in range(600)] for _ in range(20)]
+    rows = [(f"t{i}", "train", " ".join(w)) for i, w in enumerate(long_texts)]
+    for i, w in enumerate(long_texts):
+        part = w[100:160]
+        for k in range(i % 8):  # some fall below the share
+            part[k * 7 + 3] = f"n{i}x{k}"
+        rows.append((f"e{i}", "dev", " ".join(part)))
+    sets = {r[0]: grams(r[2]) for r in rows}
+    want = {}
+    for e in (r[0] for r in rows if r[1] == "dev"):
+        best = max(len(sets[e] & sets[t]) / len(sets[e]) for t in sets if t[0] == "t")
+        if best >= 0.8:
+            want[e] = best
+    df = spark.createDataFrame(rows, "id string, split string, body string").withColumn("source", F.lit("s"))
+    assert {r["id"]: pytest.approx(r["containment"]) for r in containments(df).collect()} == want
+    assert 5 < len(want) < 20
+    assert cross_split_pairs(df).collect() == []
+    (r,) = cross_split_report(df).collect()
+    assert (r["records"], r["leaked"], r["contained"]) == (20, 0, len(want))
 
 
 @settings(max_examples=60, deadline=None)
