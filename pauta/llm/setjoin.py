@@ -11,7 +11,8 @@ Stages (each row-parallel; what is shuffled is said in brackets):
 2. ``posted``: of n grams only those are nodes behind which enough grams remain for any
    partner; a gram whose bucket was counted once has none. Exact copies of a text share one
    key, so they are one member. A node of very many texts is dealt to cells, one a pair of
-   blocks of texts. Members leave a task as packed blocks of columns [blocks].
+   blocks of texts. The prefixes are written once, packed (``prefixes``) [nothing]; then
+   members leave a task as packed blocks of columns [blocks].
 3. ``met``: in a node, members are met in order of set size as far as the remaining length
    behind the node can give the threshold; a 384-bit parity of the whole sets then drops
    chance meetings [pairs]. Nodes are dealt to ``PASSES`` passes, so that a pass needs the
@@ -43,14 +44,14 @@ from pauta.llm.wordhash import ROW_BITS, distinct_per_row, mix, ngrams, word_has
 STAGE_WORDS = 3
 BUCKET_BITS = 22
 BLOCK_BITS = 16
-PASSES = 4
+PASSES = 8
 GRAM_BITS = 44  # of a gram's hash; what falls together only meets once more
 ROWS = 256  # texts sorted at a time: their number takes 8 bits of a sort key
 SIG_WORDS = 6  # 64-bit words of a set's parity
 HOT = 16_384  # a gram of more texts, by its count above the mean, is dealt to cells
 MAX_BLOCKS = 32  # blocks of texts a gram at most: a row is written that many times
 HELD = 1_000_000  # members that a task collects before it writes blocks
-PART = 400_000  # members a part, on the average
+PART = 100_000  # members a part, on the average
 BROADCAST_IDS = 500_000  # 8 bytes an id: a few MB at most
 U64 = np.uint64
 BLOCK = "part int, node binary, key binary, size binary, place binary, sig binary"
@@ -218,19 +219,52 @@ def _cells(node: np.ndarray, row: np.ndarray, place: np.ndarray, key: np.ndarray
     return np.where(k[one] > 1, split, node[one]), row[one], place[one]
 
 
-def posted(texts: DataFrame, shared, min_words: int, wanted: Wanted, sides: bool, turn: int, parts: int) -> DataFrame:
-    """Blocks of the members of the nodes of pass ``turn``; ``texts (key, side, text)``."""
+def prefixes(texts: DataFrame, shared, min_words: int, wanted: Wanted, sides: bool) -> DataFrame:
+    """Packed rows of whole batches of texts: keys, sizes, parities, and the nodes of each text with their places."""
 
     def emit(it):
         counts: Counts = shared.value
+        for b, t in _batches(it):
+            g, row = _stage_grams(t, min_words)
+            if not len(g):
+                continue
+            g, row = _ordered_sets(g, row, len(t), counts)
+            side = b.column("side").to_numpy(zero_copy_only=False).astype(np.int64)
+            key = b.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
+            n = np.bincount(row, minlength=len(t))
+            sig = _parity(g, row, len(t))
+            place = np.arange(len(g)) - (np.cumsum(n) - n)[row]
+            keep = np.flatnonzero(place < wanted.prefix(n, side)[row])
+            node, row, place = g[keep], row[keep], place[keep]
+            at = _bucket(node)
+            if sides:  # a text meets only grams that the other side has
+                partner = np.where(side[row] == 0, counts.seen[1][at], counts.seen[0][at])
+            else:
+                partner = counts.total[at] > 1
+            node, row, place, at = node[partner], row[partner], place[partner], at[partner]
+            above = counts.total[at] - counts.mean - 3 * np.sqrt(counts.mean)
+            node, row, place = _cells(node, row, place, key, above)
+            kept = np.bincount(row, minlength=len(t))
+            some = kept > 0
+            order = np.argsort(row, kind="stable")
+            packed = [key[some].tobytes(), (n[some] * 2 + side[some]).astype(np.uint32).tobytes(), sig[some].tobytes(), kept[some].astype(np.uint32).tobytes()]
+            packed += [_planes(node[order])[: 6 * len(node)], zlib.compress(_planes(place[order].astype(np.uint32)), 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in packed], ["key", "size", "sig", "kept", "node", "place"])
+
+    return texts.mapInArrow(emit, "key binary, size binary, sig binary, kept binary, node binary, place binary")
+
+
+def posted(packed: DataFrame, turn: int, parts: int) -> DataFrame:
+    """Blocks of the members of the nodes of pass ``turn``, by the part that a node falls to."""
+
+    def emit(it):
         held: list[tuple[np.ndarray, ...]] = []
 
         def blocks():
             node, key, size, place, sig = (np.concatenate(x) for x in zip(*held))
             held.clear()
             part = (mix(node) // U64(PASSES) % U64(parts)).astype(np.int64)
-            order = np.lexsort((key, node, part))
-            order = order[_first(node[order], key[order])]  # copies of a text give one member
+            order = np.argsort((part.astype(np.uint64) << U64(GRAM_BITS)) | node)  # parts stay below 2**20
             node, key, size, place, sig, part = (x[order] for x in (node, key, size, place, sig, part))
             edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
             rows = []
@@ -241,35 +275,23 @@ def posted(texts: DataFrame, shared, min_words: int, wanted: Wanted, sides: bool
                 columns = list(zip(*rows[k : k + 64]))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["part", "node", "key", "size", "place", "sig"])
 
-        for b, t in _batches(it):
-            g, row = _stage_grams(t, min_words)
-            if not len(g):
-                continue
-            g, row = _ordered_sets(g, row, len(t), counts)
-            side = b.column("side").to_numpy(zero_copy_only=False).astype(np.int64)
-            key = b.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
-            n = np.bincount(row, minlength=len(t))
-            sig = _parity(g, row, len(t))
-            place = np.arange(len(g)) - (np.cumsum(n) - n)[row]
-            at = _bucket(g)
-            if sides:  # a text meets only grams that the other side has
-                partner = np.where(side[row] == 0, counts.seen[1][at], counts.seen[0][at])
-            else:
-                partner = counts.total[at] > 1
-            keep = (place < wanted.prefix(n, side)[row]) & partner
-            above = counts.total[at[keep]] - counts.mean - 3 * np.sqrt(counts.mean)
-            node, row, place = _cells(g[keep], row[keep], place[keep], key, above)
-            mine = mix(node) % U64(PASSES) == turn
-            node, row, place = node[mine], row[mine], place[mine]
-            if not len(node):
-                continue
-            held.append((node, key[row], (n[row] * 2 + side[row]).astype(np.uint32), place.astype(np.uint32), sig[row]))
-            if sum(len(x[0]) for x in held) >= HELD:
-                yield from blocks()
+        for b in it:
+            for r in b.to_pylist():
+                n = len(r["node"]) // 6
+                node = _from_planes(r["node"] + bytes(2 * n), np.uint64)
+                at = np.flatnonzero(mix(node) % U64(PASSES) == turn)
+                if not len(at):
+                    continue
+                row = np.repeat(np.arange(len(r["kept"]) // 4), np.frombuffer(r["kept"], np.uint32))[at]
+                key, size = np.frombuffer(r["key"], np.uint64)[row], np.frombuffer(r["size"], np.uint32)[row]
+                place = _from_planes(zlib.decompress(r["place"]), np.uint32)[at]
+                held.append((node[at], key, size, place, np.frombuffer(r["sig"], np.uint64).reshape(-1, SIG_WORDS)[row]))
+                if sum(len(x[0]) for x in held) >= HELD:
+                    yield from blocks()
         if held:
             yield from blocks()
 
-    return texts.mapInArrow(emit, BLOCK)
+    return packed.mapInArrow(emit, BLOCK)
 
 
 def _first(node: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -280,42 +302,64 @@ def _first(node: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def _spans(node: np.ndarray, size: np.ndarray, place: np.ndarray, side: np.ndarray, wanted: Wanted, sides: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(i, first, last, other): member i meets the members other[first:last]; the arrays are ordered by node and size."""
+    """(i, first, width, other): member i meets ``other[first : first + width]``; the arrays are ordered by node and size.
+
+    A member takes no part where even the smallest set of its node asks for more grams in
+    common than it has from the node on.
+    """
     group = np.cumsum(np.concatenate(([0], node[1:] != node[:-1])))
+    low, high = (np.clip(x, -1, 2**32 - 1).astype(np.int64) for x in wanted.sizes(size, size - place))
+    smallest = size[np.searchsorted(group, group)]
+    able = np.flatnonzero((high >= smallest) | ((side == 0) & wanted.contained))
+    group, low, high, size, side = group[able], low[able], high[able], size[able], side[able]
     edge = group << 32
     key = edge + size
-    low, high = (np.clip(x, -1, 2**32 - 1).astype(np.int64) for x in wanted.sizes(size, size - place))
     if sides:
         other, i = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         first = np.searchsorted(key[other], edge[i] + low[i], side="left")
         last = np.searchsorted(key[other], edge[i] + high[i], side="right")
     else:
-        other = i = np.arange(len(node))
+        other = i = np.arange(len(able))
         first = i + 1
         last = np.searchsorted(key, edge + high, side="right")
-    return i, first, np.maximum(first, last), other
+    return able[i], first, np.maximum(last - first, 0), able[other]
 
 
-def _pairs_of(node, key, size2, place, sig, wanted: Wanted, sides: bool, most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs_of(node, key, size2, place, sig, wanted: Wanted, sides: bool, most: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Keys (a, b) of the plausible pairs of a part's members, in pieces."""
-    size, side = (size2 >> np.uint32(1)).astype(np.int64), (size2 & np.uint32(1)).astype(np.int8)
-    order = np.lexsort((key, size, node))
+    order = np.lexsort((key, size2, node))
     order = order[_first(node[order], key[order])]
-    node, key, size, side, place, sig = node[order], key[order], size[order], side[order], place[order].astype(np.int64), sig[order]
-    i, first, last, other = _spans(node, size, place, side, wanted, sides)
-    width = last - first
+    node, key, size2, place, sig = node[order], key[order], size2[order], place[order].astype(np.int64), sig[order]
+    size, side = (size2 >> np.uint32(1)).astype(np.int64), (size2 & np.uint32(1)).astype(np.int8)
+    i, first, width, other = _spans(node, size, place, side, wanted, sides)
+    some = width > 0
+    i, first, width = i[some], first[some], width[some]
+    bits = [np.ascontiguousarray(sig[:, k]) for k in range(SIG_WORDS)]
     total = np.cumsum(width)
-    for start in range(0, int(total[-1]) if len(total) else 0, most):
-        flat = np.arange(start, min(start + most, int(total[-1])))
-        at = np.searchsorted(total, flat, side="right")
-        x, y = i[at], other[first[at] + flat - (total[at] - width[at])]
-        n1, n0 = size[x], size[y]
-        common = wanted.common(n0, n1)
-        ok = np.minimum(n1 - place[x], n0 - place[y]) >= common - 1e-6
-        x, y, spare = x[ok], y[ok], (n0 + n1 - 2 * common)[ok]
-        ok = np.bitwise_count(sig[x] ^ sig[y]).sum(axis=1) <= spare + 1e-6
-        a, b = key[y[ok]].view(np.int64), key[x[ok]].view(np.int64)
+    low, skipped = 0, 0  # members before ``low`` are done, and ``skipped`` partners of member ``low``
+    while low < len(i):
+        high = max(low + 1, int(np.searchsorted(total, total[low] - width[low] + skipped + most, side="right")))
+        w, f = width[low:high].copy(), first[low:high].copy()
+        w[0] -= skipped
+        f[0] += skipped
+        if w[0] > most:  # one member with very many partners: in pieces
+            w, f, high, skipped = np.array([most]), f[:1], low, skipped + most
+        else:
+            skipped = 0
+        one = i[low : max(high, low + 1)]
+        y = other[np.repeat(f - (np.cumsum(w) - w), w) + np.arange(int(w.sum()))]
+        n0, n1 = size[y], np.repeat(size[one], w)
+        spare = n0 + n1 - 2 * wanted.common(n0, n1) + 1e-6
+        x = np.repeat(one, w)
+        for words in (range(SIG_WORDS // 2), range(SIG_WORDS // 2, SIG_WORDS)):
+            differ = np.zeros(len(x), np.int16) if not words.start else differ
+            for k in words:
+                differ += np.bitwise_count(bits[k][x] ^ bits[k][y])
+            ok = differ <= spare
+            x, y, spare, differ = x[ok], y[ok], spare[ok], differ[ok]
+        a, b = key[y].view(np.int64), key[x].view(np.int64)
         yield (a, b) if sides else (np.minimum(a, b), np.maximum(a, b))
+        low = high
 
 
 def met(blocks: DataFrame, wanted: Wanted, sides: bool) -> DataFrame:
@@ -395,9 +439,10 @@ def verified(pairs: DataFrame, texts: DataFrame, wanted: Wanted) -> DataFrame:
 def similar_texts(texts: DataFrame, wanted: Wanted, *, min_words: int, sides: bool = False) -> DataFrame:
     """Verified pairs among ``texts (key, check, side, text)``; see :func:`keyed`. Written to the checkpoint folder."""
     counts = gram_counts(texts, min_words, sides)
-    parts = max(16, -(-counts.grams // (2 * PASSES * PART)))
+    parts = min(max(8, -(-counts.grams // (2 * PASSES * PART))), (1 << 20) - 1)
     shared = texts.sparkSession.sparkContext.broadcast(counts)
-    turns = [cut_lineage(met(posted(texts, shared, min_words, wanted, sides, turn, parts), wanted, sides)) for turn in range(PASSES)]
+    packed = cut_lineage(prefixes(texts, shared, min_words, wanted, sides))
+    turns = [cut_lineage(met(posted(packed, turn, parts), wanted, sides)) for turn in range(PASSES)]
     found = turns[0]
     for x in turns[1:]:
         found = found.union(x)
