@@ -29,11 +29,13 @@ meet under it and are told apart at the end by ``check`` and the texts themselve
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +54,7 @@ HOT = 16_384  # a gram of more texts, by its count above the mean, is dealt to c
 MAX_BLOCKS = 32  # blocks of texts a gram at most: a row is written that many times
 HELD = 1_000_000  # members that a task collects before it writes blocks
 PART = 100_000  # members a part, on the average
+CELL = 4_096  # pairs checked together, on the average
 BROADCAST_IDS = 500_000  # 8 bytes an id: a few MB at most
 U64 = np.uint64
 BLOCK = "part int, node binary, key binary, size binary, place binary, sig binary"
@@ -242,6 +245,8 @@ def prefixes(texts: DataFrame, shared, min_words: int, wanted: Wanted, sides: bo
             else:
                 partner = counts.total[at] > 1
             node, row, place, at = node[partner], row[partner], place[partner], at[partner]
+            if not len(node):
+                continue
             above = counts.total[at] - counts.mean - 3 * np.sqrt(counts.mean)
             node, row, place = _cells(node, row, place, key, above)
             kept = np.bincount(row, minlength=len(t))
@@ -330,6 +335,8 @@ def _pairs_of(node, key, size2, place, sig, wanted: Wanted, sides: bool, most: i
     order = np.lexsort((key, size2, node))
     order = order[_first(node[order], key[order])]
     node, key, size2, place, sig = node[order], key[order], size2[order], place[order].astype(np.int64), sig[order]
+    if not len(node):
+        return
     size, side = (size2 >> np.uint32(1)).astype(np.int64), (size2 & np.uint32(1)).astype(np.int8)
     i, first, width, other = _spans(node, size, place, side, wanted, sides)
     some = width > 0
@@ -397,18 +404,25 @@ def _pair_rows(found: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, 0]), pa.int64()), pa.array(np.ascontiguousarray(p[:, 1]), pa.int64())], ["a", "b"])
 
 
-def overlaps(texts_a: list, texts_b: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each pair of texts: sizes of the three-word sets and of their intersection."""
-    sets = []
-    for t in (texts_a, texts_b):
-        g, r, _ = ngrams(*word_hashes(t), STAGE_WORDS)
-        sets.append(distinct_per_row(g, r))
-    n = len(texts_a)
-    g, r = np.concatenate([sets[0][0], sets[1][0]]), np.concatenate([sets[0][1], sets[1][1]])
-    order = np.argsort((r.astype(U64) << U64(64 - ROW_BITS)) | (g >> U64(ROW_BITS)))
-    g, r = g[order], r[order]
-    both = r[1:][(g[1:] == g[:-1]) & (r[1:] == r[:-1])]
-    return np.bincount(sets[0][1], minlength=n), np.bincount(sets[1][1], minlength=n), np.bincount(both, minlength=n)
+def common_grams(g: np.ndarray, offsets: np.ndarray, ia: np.ndarray, ib: np.ndarray, most: int = 4_000_000) -> np.ndarray:
+    """Of each pair of rows (ia, ib): how many grams both hold; row i has the distinct ``g[offsets[i]:offsets[i + 1]]``."""
+    n = np.diff(offsets)
+    out = np.zeros(len(ia), np.int64)
+    total = np.cumsum(n[ia] + n[ib])
+    low = 0
+    while low < len(ia):
+        high = int(np.searchsorted(total, (total[low - 1] if low else 0) + most, side="right"))
+        high = min(max(high, low + 1), low + (1 << ROW_BITS) - 1)
+        rows = np.concatenate([ia[low:high], ib[low:high]])
+        w = n[rows]
+        at = np.repeat(offsets[rows] - (np.cumsum(w) - w), w) + np.arange(int(w.sum()))
+        pair = np.repeat(np.tile(np.arange(high - low), 2), w)
+        key = (pair.astype(U64) << U64(64 - ROW_BITS)) | (g[at] >> U64(ROW_BITS))
+        key.sort()
+        both = (key[1:][key[1:] == key[:-1]] >> U64(64 - ROW_BITS)).astype(np.int64)
+        out[low:high] = np.bincount(both, minlength=high - low)
+        low = high
+    return out
 
 
 def only(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
@@ -418,22 +432,59 @@ def only(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, wanted: Wanted) -> DataFrame:
-    """Pairs that reach the threshold: (a, a_check, b, b_check, size_a, size_b, common); one row a pair of texts."""
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    mine = only(texts.select("key", "check", "text"), "key", keys).groupBy("key", "check").agg(F.first("text").alias("text"))
-    end = lambda x: mine.select(F.col("key").alias(x), F.col("check").alias(f"{x}_check"), F.col("text").alias(f"text_{x}"))
+    """Pairs that reach the threshold: (a, a_check, b, b_check, size_a, size_b, common); one row a pair of texts.
 
-    def check(it):
-        for b in it:
-            for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
-                na, nb, common = overlaps(part.column("text_a").to_pylist(), part.column("text_b").to_pylist())
-                at = np.flatnonzero(wanted.holds(na, nb, common))
-                keep = part.select(["a", "a_check", "b", "b_check"]).take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([*keep.columns, *(pa.array(x[at].astype(np.int32)) for x in (na, nb, common))], ["a", "a_check", "b", "b_check", "size_a", "size_b", "common"])
+    Texts are dealt to blocks, and a pair is checked in the cell of its two blocks, to which
+    each text goes once, however many partners it has there. The number of blocks grows with
+    the root of the pairs, so a cell stays near ``CELL`` pairs.
+    """
+    blocks = max(1, math.ceil((2 * pairs.count() / CELL) ** 0.5))
+    block = lambda c: F.pmod(F.xxhash64(c, F.lit(11)), F.lit(blocks))
+    placed = pairs.select((block("a") * blocks + block("b")).alias("cell"), "a", "b")
+    ends = placed.select("cell", F.col("a").alias("key")).union(placed.select("cell", "b")).distinct()
+    mine = only(texts.select("key", "check", "text"), "key", ends.select("key").distinct()).groupBy("key", "check").agg(F.first("text").alias("text"))
+    none = F.lit(None).cast("bigint")
+    rows = ends.join(mine, "key").select("cell", "key", "check", "text", none.alias("b")).union(placed.select("cell", "a", none, F.lit(None).cast("string"), "b"))
+
+    def cell_pairs(keys: list, checks: list, held: list, a: list, b: list) -> Iterator[pa.RecordBatch]:
+        g, r, _ = ngrams(*word_hashes(held), STAGE_WORDS)
+        g, r = distinct_per_row(g, r)
+        n = np.bincount(r, minlength=len(held))
+        offsets = np.concatenate(([0], np.cumsum(n)))
+        rows_of: dict[int, list[int]] = {}
+        for i, k in enumerate(keys):
+            rows_of.setdefault(k, []).append(i)
+        each = [(i, j) for x, y in zip(a, b) for i in rows_of.get(x, ()) for j in rows_of.get(y, ())]
+        ia, ib = np.array(each, np.int64).reshape(-1, 2).T
+        common = common_grams(g, offsets, ia, ib)
+        ok = wanted.holds(n[ia], n[ib], common)
+        ia, ib, common = ia[ok], ib[ok], common[ok]
+        k, c = np.array(keys, np.int64), np.array(checks, np.int64)
+        columns = [k[ia], c[ia], k[ib], c[ib], n[ia].astype(np.int32), n[ib].astype(np.int32), common.astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["a", "a_check", "b", "b_check", "size_a", "size_b", "common"])
 
-    both = pairs.join(end("a"), "a").join(end("b"), "b").select("a", "a_check", "b", "b_check", "text_a", "text_b")
-    return both.mapInArrow(check, "a bigint, a_check bigint, b bigint, b_check bigint, size_a int, size_b int, common int")
+    def check(it):
+        now, state = None, ([], [], [], [], [])
+        for rb in it:
+            cell = rb.column("cell").to_numpy()
+            edge = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True]))) if len(cell) else []
+            for low, high in zip(edge[:-1], edge[1:]):
+                if cell[low] != now:
+                    if state[3]:
+                        yield from cell_pairs(*state)
+                    now, state = cell[low], ([], [], [], [], [])
+                part = rb.slice(low, high - low)
+                pair = part.column("b").is_valid()
+                own = part.filter(pa.compute.invert(pair))
+                for k, name in enumerate(("key", "check", "text")):
+                    state[k].extend(own.column(name).to_pylist())
+                links = part.filter(pair)
+                state[3].extend(links.column("key").to_pylist())
+                state[4].extend(links.column("b").to_pylist())
+        if state[3]:
+            yield from cell_pairs(*state)
+
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(check, "a bigint, a_check bigint, b bigint, b_check bigint, size_a int, size_b int, common int")
 
 
 def similar_texts(texts: DataFrame, wanted: Wanted, *, min_words: int, sides: bool = False) -> DataFrame:
@@ -446,7 +497,7 @@ def similar_texts(texts: DataFrame, wanted: Wanted, *, min_words: int, sides: bo
     found = turns[0]
     for x in turns[1:]:
         found = found.union(x)
-    out = cut_lineage(verified(found.distinct(), texts, wanted))
+    out = cut_lineage(verified(cut_lineage(found.distinct()), texts, wanted))
     shared.unpersist()
     return out
 
