@@ -5,11 +5,12 @@ are contracted to one node first (a minimum per mailbox, combined on the map sid
 mailbox with a third of all mails is one node; processes then link nodes, and
 :func:`pauta.components.components` finds the connected components.
 
-Placement: label vectors are summed per component. Components above ``large`` of all mails
-(at most 1 / ``large`` of them) are placed one by one on the driver: the component that
-holds the rarest outstanding label first, into the split that needs that label most. The
-others are placed in parallel: per rarest label, in hash order, along the running sum of
-that label, into the intervals of what each split still needs of it.
+Placement: label vectors are summed per component. Labels are taken by rarity, the rarest
+outstanding first; the components that hold it and aren't placed yet are dealt to the splits
+by what each still needs of that label, the largest components first, into the split that
+needs most first. The needs of all labels are then updated before the next label. One rule
+for components of every size: they lie along a running sum, and the needs are intervals of
+it. The ``LABELS`` most frequent labels have needs of their own, the others one together.
 
 Defined results: null and empty addresses and bodies link nothing; a null or empty label is
 a label of its own; repeated rows are one record; an empty table gives no rows. The split
@@ -26,8 +27,10 @@ from pauta.cluster import cut_lineage
 from pauta.components import components
 from pauta.llm.lookalikes import jvm_plain
 
-LARGE = 1e-4
 BUCKETS = 1024
+LABELS = 32
+OTHER = "\x00other"
+MOST_SPLITS = 1000
 
 PROCESS = r"(?iu)(?<![\p{L}\p{N}])(?:processos?|procs?\.?[ºo°]?|p\.?\s?[ºo°]\.?)[\s:]*(?:n\.?\s?[ºo°]\.?|num\.|número)?\s*[-–]?\s*([0-9]{1,12})\s*[/.–-]\s*([0-9]{1,12})(?![0-9])"
 YEAR = "^(?:19|20)[0-9]{2}$"
@@ -77,63 +80,107 @@ def label_name(c: str) -> Column:
     return F.regexp_replace(F.regexp_replace(plain, r"[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
-def grouped_splits(mails: DataFrame, targets: DataFrame, label: str = "label", large: float = LARGE) -> DataFrame:
+def _strata(comps: DataFrame, labels: list[str]) -> list[str]:
+    """Labels in the order in which their components are placed: each time the rarest outstanding one.
+
+    Outstanding are the records of components without a label placed before, so the order
+    depends on no placement.
+    """
+    order: list[str] = []
+    while len(order) < len(labels):
+        left = comps.where(~F.arrays_overlap(F.map_keys("vector"), F.array(*[F.lit(k) for k in order]).cast("array<string>"))) if order else comps
+        counts = {r["label"]: r["n"] for r in left.select(F.explode("vector").alias("label", "n")).groupBy("label").agg(F.sum("n").alias("n")).collect()}
+        rest = [k for k in labels if counts.get(k)]
+        if not rest:
+            break
+        order.append(min(rest, key=lambda k: (counts[k], k)))
+    return order
+
+
+def _placed(own: DataFrame, label: str, lanes: list[tuple[str, float]]) -> DataFrame:
+    """``own (group_id, vector)`` with ``split``: components by size class, largest first, along the running sum of ``label``.
+
+    The sum runs over ``BUCKETS`` hash buckets a size class, so no task gets a class whole;
+    the offsets collected are at most 4 * 64 * ``BUCKETS`` numbers, whatever the data.
+    """
+    n = F.element_at("vector", F.lit(label))
+    own = own.withColumns({"n": n, "class": (-F.floor(4 * F.log2(n))).cast("int"), "bucket": F.pmod(F.xxhash64("group_id"), F.lit(BUCKETS)).cast("int")})
+    sums = sorted((r["class"], r["bucket"], r["n"]) for r in own.groupBy("class", "bucket").agg(F.sum("n").alias("n")).collect())
+    run, offsets = 0, []
+    for c, b, k in sums:
+        offsets.append((c, b, run))
+        run += k
+    scale = run / (sum(w for _, w in lanes) or 1.0)
+    edge, cut = 0.0, F.lit(lanes[-1][0])
+    edges = []
+    for name, w in lanes:
+        edge += w * scale
+        edges.append((name, edge))
+    for name, e in reversed(edges[:-1]):
+        cut = F.when(F.col("at") < e, F.lit(name)).otherwise(cut)
+    at = F.sum("n").over(W.partitionBy("class", "bucket").orderBy("group_id")) - F.col("n") / 2 + F.col("start")
+    starts = F.broadcast(own.sparkSession.createDataFrame(offsets, "class int, bucket int, start bigint"))
+    return own.join(starts, ["class", "bucket"]).withColumn("at", at).select("group_id", "vector", cut.alias("split"))
+
+
+def grouped_splits(mails: DataFrame, targets: DataFrame, label: str = "label") -> DataFrame:
     """(id, group_id, split) of every mail; all mails of a group get the same split."""
     groups = cut_lineage(related(mails))
-    labels = mails.where("id is not null").groupBy(F.col("id").cast("bigint").alias("id")).agg(F.min(label_name(label)).alias("label"))
-    counts = cut_lineage(groups.join(labels, "id").groupBy("group_id", "label").agg(F.count("*").alias("n")))
-    shares = {r["split_name"]: float(r["share"]) for r in targets.select("split_name", "share").collect()}
+    named = mails.where("id is not null").groupBy(F.col("id").cast("bigint").alias("id")).agg(F.min(label_name(label)).alias("label"))
+    counts = cut_lineage(groups.join(named, "id").groupBy("group_id", "label").agg(F.count("*").alias("n")))
+    shares = {r["split_name"]: float(r["share"]) for r in targets.select("split_name", "share").limit(MOST_SPLITS).collect()}
     whole = sum(shares.values()) or 1.0
-    splits = sorted(shares)
-    totals = {r["label"]: r["n"] for r in counts.groupBy("label").agg(F.sum("n").alias("n")).collect()}
-    every = sum(totals.values())
-    need = {s: {k: shares[s] / whole * n for k, n in totals.items()} for s in splits}
-    sizes = counts.groupBy("group_id").agg(F.sum("n").alias("size"))
-    big = counts.join(sizes.where(F.col("size") > max(1.0, large * every)), "group_id")  # at most 1 / large groups
-    vectors: dict[int, dict[str, int]] = {}
-    for r in big.collect():
-        vectors.setdefault(r["group_id"], {})[r["label"]] = r["n"]
-    placed: list[tuple[int, str]] = []
-    while vectors:
-        left = {k: sum(v.get(k, 0) for v in vectors.values()) for k in totals}
-        rare = min((k for k in left if left[k]), key=lambda k: (left[k], k))
-        for g in sorted((g for g, v in vectors.items() if v.get(rare)), key=lambda g: (-vectors[g][rare], g)):
-            v = vectors.pop(g)
-            s = max(splits, key=lambda s: (need[s][rare], sum(need[s].values()), s))
-            for k, n in v.items():
-                need[s][k] -= n
-            placed.append((g, s))
-    spark = mails.sparkSession
-    placed_df = spark.createDataFrame(placed, "group_id bigint, split string")
-    rest = counts.join(F.broadcast(placed_df.select("group_id")), "group_id", "left_anti")
-    order = {k: i for i, k in enumerate(sorted(totals, key=lambda k: (totals[k], k)))}
-    rank = F.element_at(F.create_map(*([x for k, i in order.items() for x in (F.lit(k), F.lit(i))] or [F.lit(""), F.lit(0)])), F.col("label"))
-    one = rest.groupBy("group_id").agg(F.min(F.struct(rank.alias("rank"), F.col("label"), F.col("n"))).alias("r")).select("group_id", "r.label", "r.n")
-    one = one.withColumn("bucket", F.pmod(F.xxhash64("group_id"), F.lit(BUCKETS)).cast("int"))
-    sums = {}
-    for r in one.groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect():  # labels times BUCKETS rows
-        sums.setdefault(r["label"], {})[r["bucket"]] = r["n"]
-    offsets, cuts = [], []
-    for k, per in sums.items():
-        run = 0
-        for b in sorted(per):
-            offsets.append((k, b, run))
-            run += per[b]
-        wanted = [max(0.0, need[s][k]) for s in splits]
-        scale = run / (sum(wanted) or 1.0)
-        edge = 0.0
-        for s, w in zip(splits, wanted):
-            cuts.append((k, s, edge, edge + w * scale))
-            edge += w * scale
-    at = F.sum("n").over(W.partitionBy("label", "bucket").orderBy("group_id")) - F.col("n") / 2 + F.col("start")
-    spread = one.join(F.broadcast(spark.createDataFrame(offsets, "label string, bucket int, start bigint")), ["label", "bucket"]).select("group_id", "label", at.alias("at"))
-    lanes = F.broadcast(spark.createDataFrame(cuts, "label string, split string, low double, high double"))
-    small = spread.join(lanes, "label").where("at >= low and at < high").select("group_id", "split")
-    return groups.join(small.union(placed_df), "group_id", "left").select("id", "group_id", F.coalesce("split", F.lit(splits[0] if splits else None)).alias("split"))
+    if not shares:
+        return groups.select("id", "group_id", F.lit(None).cast("string").alias("split"))
+    top = counts.groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label").limit(LABELS).collect()
+    kept = [r["label"] for r in top]
+    pooled = F.when(F.col("label").isin(*kept), F.col("label")).otherwise(F.lit(OTHER)) if kept else F.lit(OTHER)
+    vectors = counts.groupBy("group_id", pooled.alias("label")).agg(F.sum("n").alias("n")).groupBy("group_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("vector"))
+    comps = cut_lineage(vectors)  # a vector has at most LABELS + 1 entries
+    totals = {r["label"]: r["n"] for r in comps.select(F.explode("vector").alias("label", "n")).groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    need = {s: {k: shares[s] / whole * n for k, n in totals.items()} for s in shares}
+    before: list[str] = []
+    out = []
+    for k in _strata(comps, list(totals)):
+        has = lambda ls: F.arrays_overlap(F.map_keys("vector"), F.array(*[F.lit(x) for x in ls]).cast("array<string>"))
+        own = comps.where(has([k]) & (~has(before) if before else F.lit(True)))
+        lanes = sorted(((s, max(0.0, need[s][k])) for s in shares), key=lambda x: (-x[1], x[0]))
+        placed = cut_lineage(_placed(own, k, lanes))
+        for r in placed.select("split", F.explode("vector").alias("label", "n")).groupBy("split", "label").agg(F.sum("n").alias("n")).collect():
+            need[r["split"]][r["label"]] -= r["n"]
+        out.append(placed.select("group_id", "split"))
+        before.append(k)
+    if not out:
+        return groups.select("id", "group_id", F.lit(None).cast("string").alias("split"))
+    every = out[0]
+    for x in out[1:]:
+        every = every.union(x)
+    return groups.join(every, "group_id").select("id", "group_id", "split")
 
 
 def split_report(assigned: DataFrame, targets: DataFrame) -> DataFrame:
     """(split, records, groups, share, wanted) of an assignment."""
-    total = F.sum("records").over(W.partitionBy())
-    got = assigned.groupBy("split").agg(F.count("*").alias("records"), F.countDistinct("group_id").alias("groups"))
-    return got.withColumn("share", F.round(F.col("records") / total, 6)).join(F.broadcast(targets.select(F.col("split_name").alias("split"), F.col("share").alias("wanted"))), "split", "left")
+    total = F.sum("records").over(W.partitionBy())  # over one row a split
+    got = assigned.groupBy("split").agg(F.count("*").alias("records"), F.count_distinct("group_id").alias("groups"))
+    return got.withColumn("share", F.round(F.col("records") / total, 6)).join(F.broadcast(targets.select(F.col("split_name").alias("split"), F.col("share").alias("wanted")).limit(MOST_SPLITS)), "split", "left")
+
+
+def label_shares(assigned: DataFrame, mails: DataFrame, targets: DataFrame, label: str = "label") -> DataFrame:
+    """(label, split, records, share, wanted): how each label's records are dealt to the splits."""
+    named = mails.where("id is not null").groupBy(F.col("id").cast("bigint").alias("id")).agg(F.min(label_name(label)).alias("label"))
+    got = assigned.join(named, "id").groupBy("label", "split").agg(F.count("*").alias("records"))
+    whole = got.groupBy("label").agg(F.sum("records").alias("every"))
+    wanted = targets.select(F.col("split_name").alias("split"), F.col("share").alias("wanted")).limit(MOST_SPLITS)
+    return got.join(whole, "label").join(F.broadcast(wanted), "split", "left").select("label", "split", "records", F.round(F.col("records") / F.col("every"), 6).alias("share"), "wanted")
+
+
+def split_check(assigned: DataFrame, targets: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """One row: records, groups in more than one split, and whether every share is met.
+
+    A share is met where it deviates by no more than ``tolerance`` or half the largest group's share.
+    """
+    groups = assigned.groupBy("group_id").agg(F.count("*").alias("n"), F.count_distinct("split").alias("splits"))
+    of_groups = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.count_if(F.col("splits") > 1).alias("divided_groups"), F.max("n").alias("largest"))
+    off = split_report(assigned, targets).agg(F.max(F.abs(F.col("share") - F.col("wanted"))).alias("off"))
+    met = F.coalesce(F.col("off") <= F.greatest(F.lit(tolerance), F.col("largest") / F.col("records") / 2), F.lit(True))
+    return of_groups.crossJoin(off).select("records", "divided_groups", met.alias("shares_met"))  # one row each

