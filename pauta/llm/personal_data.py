@@ -7,7 +7,10 @@ mention's borders and validates it; overlaps go to the earlier kind of ``KINDS``
 characters are brought to one form first, and all places are those of the stored text.
 
 Name tokens come from name columns of the mails themselves. They are a vocabulary, broadcast
-up to ``NAME_TOKENS`` distinct tokens (checked; more raise an error).
+up to ``NAME_TOKENS`` distinct tokens (checked; more raise an error). Context speaks for and
+against a name: capitalised words after a title, or alone after a greeting, are one whether
+listed or not; a listed token in lower case is none after an article ("a rosa") or with so
+few letters as ``SHORT``, unless another name stands beside it.
 
 Defined results: null and empty fields give no mentions and stay as they are; texts are read
 whole; repeated rows give each mention once; an empty table gives no rows.
@@ -46,6 +49,14 @@ STREETS = (
     "rua", "r.", "avenida", "av.", "travessa", "tv.", "trav.", "largo", "lg.", "lgo.", "praca", "pc.", "pca.", "praceta", "pct.", "pcta.", "beco", "bc.", "alameda", "al.", "estrada", "estr.",
     "calcada", "cc.", "calc.", "rotunda", "rot.", "azinhaga", "viela", "ladeira", "caminho", "escadinhas", "escadas", "patio", "bairro", "urbanizacao", "urb.", "avda.", "est.",
 )
+#: Titles and greetings that a name follows, and words that follow them without being one.
+TITLES = ("dr.", "dra.", "dr.ª", "sr.", "sra.", "sr.ª", "prof.", "prof.ª", "profa.", "eng.", "eng.º", "eng.ª", "arq.", "doutor", "doutora", "senhor", "senhora", "professor", "professora")
+GREETINGS = ("caro", "cara", "ola", "bom dia", "boa tarde", "boa noite", "estimado", "estimada", "querido", "querida")
+NO_PERSONS = frozenset(
+    "colega colegas todos todas equipa equipe professor professora professores docente docentes doutor doutora doutores dr dra sr sra prof profa eng arq senhor senhora senhores senhoras engenheiro engenheira director directora "
+    "diretor diretora coordenador coordenadora presidente vice reitor reitora secretario secretaria aluno aluna alunos alunas estudante estudantes membro membros conselho departamento comissao cliente clientes utilizador "
+    "associado associada auxiliar catedratico catedratica adjunto adjunta convidado convidada responsavel chefe tecnico tecnica assistente investigador investigadora orientador orientadora e mestre juiz juiza".split()
+)
 MONEY = r"(?:ienes|euros?|eur|€|dolares|libras|reais|francos|escudos|contos|usd|jpy|yen)\b|€"
 
 _FOLD = {}
@@ -74,6 +85,8 @@ _ABROAD = re.compile(r"(?:\+|00)[1-9][0-9]{0,2}(?:[ .\-]?\(?[0-9]{1,4}\)?){2,5}(
 _PERIODS = re.compile(r"\s?" + MONEY)
 _STREET = re.compile(r"\s*((?:[^\W\d_][\w'’.\-]*\s+|[^\W\d_][\w'’.\-]*(?=,)){1,9}?),?\s*(n\.?\s?[ºo°]\.?\s*|numero\s+|num\.\s*|n\.\s*)?([0-9]{1,4})(?:\s?-?[a-d](?![\w]))?(?![0-9])(?![.:h/][0-9])")
 _POSTAL = re.compile(r"[0-9]{4}-[0-9]{3}\s+$")
+_NAMED = re.compile(r"\s{1,2}([^\W\d_a-zà-öø-ÿ][a-zà-öø-ÿ'’\-]+(?: (?:(?:d[aeo]s?|e) )?[^\W\d_a-zà-öø-ÿ][a-zà-öø-ÿ'’\-]+){0,5})(?![\w@])")
+_NOUN = re.compile(r"(?:^|[^a-z])(?:o|a|os|as|um|uma|do|da|no|na|ao|pelo|pela) $")
 _INITIAL = re.compile(r" [a-z]\.(?![a-z])")
 
 
@@ -108,6 +121,10 @@ class Finder:
             cue(x, "digits")
         for x in self.names:
             cue(x, "name")
+        for x in TITLES:
+            cue(fold(x), "title")
+        for x in GREETINGS:
+            cue(x, "greeting")
         for k, v in cues.items():
             a.add_word(k, (len(k), v))
         a.make_automaton()
@@ -138,6 +155,8 @@ class Finder:
                         found["email"].append(m)
                 elif start and (low[start - 1].isalnum() or low[start - 1] == "_"):
                     continue
+                elif kind in ("title", "greeting"):
+                    tokens += self._titled(plain, low, end, kind)
                 elif kind == "label":
                     if m := _TAIL[what].match(low, end):
                         found["id_number"].append(m.span(1))
@@ -201,6 +220,17 @@ class Finder:
             return None
         return start, m.end()
 
+    @staticmethod
+    def _titled(plain: str, low: str, end: int, kind: str) -> list[tuple[int, int]]:
+        """Tokens of a capitalised name that follows a title, or stands alone after a greeting, known or not."""
+        m = _NAMED.match(plain, end)
+        if not m or "\n" in m.group() or (kind == "greeting" and plain[m.end() : m.end() + 1] not in (",", "!", ".", "\n", "\r", "")):
+            return []
+        words = [(m.start(1) + w.start(), m.start(1) + w.end()) for w in re.finditer(r"[^\s]+", m.group(1))]
+        if any(low[a:b] in NO_PERSONS and low[a:b] not in LINKS and low[a:b] != "e" for a, b in words):
+            return []
+        return [(a, b) for a, b in words if low[a:b] not in LINKS and low[a:b] != "e"]
+
     @staticmethod
     def _joined(gap: str) -> bool:
         """Whether two tokens with this text between them are parts of one name."""
@@ -208,13 +238,15 @@ class Finder:
         return "\n" not in gap and (gap.isspace() or (len(words) <= 2 and gap[:1] == " " and gap[-1:] == " " and all(w in LINKS for w in words)))
 
     def _named(self, plain: str, low: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        """The tokens without short ones that have neither a capital nor a name beside them."""
+        """The tokens without those in lower case that have no name beside them and are short or follow an article."""
         tokens = sorted(set(tokens))
-        sure = [b - a > SHORT or plain[a].isupper() for a, b in tokens]
-        for k in range(1, len(tokens)):  # onwards from a name, then back from one
-            sure[k] = sure[k] or (sure[k - 1] and self._joined(low[tokens[k - 1][1] : tokens[k][0]]))
+        sure = [plain[a].isupper() or (b - a > SHORT and not _NOUN.search(low, max(0, a - 6), a)) for a, b in tokens]
+        gaps = [low[b:c] for (_, b), (c, _) in zip(tokens, tokens[1:])]
+        for k in range(1, len(tokens)):  # onwards from a name, then back from one; a linking word leads to no noun
+            sure[k] = sure[k] or (sure[k - 1] and self._joined(gaps[k - 1]))
         for k in range(len(tokens) - 2, -1, -1):
-            sure[k] = sure[k] or (sure[k + 1] and self._joined(low[tokens[k][1] : tokens[k + 1][0]]))
+            noun = not plain[tokens[k][0]].isupper() and _NOUN.search(low, max(0, tokens[k][0] - 6), tokens[k][0])
+            sure[k] = sure[k] or (sure[k + 1] and (gaps[k].isspace() if noun else self._joined(gaps[k])))
         return [t for t, ok in zip(tokens, sure) if ok]
 
     def _names(self, low: str, tokens: list[tuple[int, int]], taken: bytearray) -> list[tuple[int, int]]:

@@ -260,3 +260,23 @@ def test_names_are_slots_where_given(spark):
     assert r["kind"] == "reparameterised"
     many = spark.createDataFrame([("Falou Quintela hoje. Quintela disse que sim; veio Quintela.",)], "text string")
     assert [r["word"] for r in name_words(many).collect()] == ["quintela"]
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("A rosa do Porto é bonita.", ["Porto"]),  # a place that is also a listed surname: by its text alone a name
+        ("Uma rosa para a Rosa.", ["Rosa"]),
+        ("falei com rosa matos ontem", ["rosa matos"]),
+        ("Vi a rosa matos ontem", ["rosa matos"]),
+        ("Falei com a Ana e o Rui Gil.", ["Ana", "Rui Gil"]),
+        ("Ana confirmou", ["Ana"]),
+        ("Segue o parecer do Dr. Bernardo Quintela.", ["Bernardo Quintela"]),
+        ("Olá Bernardo,\nsegue o texto.", ["Bernardo"]),
+        ("Olá Equipa, Caros Colegas, Sr. Director, Bom dia Professora,", []),
+        ("Professor Auxiliar do Departamento", []),
+    ],
+)
+def test_names_by_context(text, found):
+    f = Finder(["ana", "rui", "gil", "rosa", "porto", "matos"])
+    assert [text[a:b] for kind, a, b in f.mentions(text) if kind == "name"] == found
