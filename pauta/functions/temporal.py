@@ -5,18 +5,29 @@ normalised date, time or interval as ISO text, the precision and a confidence. R
 tried in a fixed order, the first that fits wins: explicit date, day of the month, weekday
 or relative day with a period, numeric offset, weekday, relative day, period, clock time.
 
-The reference is a timestamp without zone; days and clock are computed on whole numbers.
-Null and empty expressions are of type ``unknown``; a null reference gives null.
+What an expression states (:class:`Stated`) doesn't depend on the reference, and collections
+of mails repeat few expressions, so it is read once a worker and expression; what remains a
+row is arithmetic on whole days and seconds. As a tree of column expressions the rules took
+the driver seconds to build and were interpreted inside lambdas; here they run in Arrow
+batches, together with the search of the spans.
+
+The reference is a timestamp without zone. Null and empty expressions are of type
+``unknown``; a null reference gives null.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import datetime as dt
+import functools
+import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pauta.functions.text import let, plain_key, truthy
+from pauta.functions.matching import per_row, plain
+from pauta.functions.text import let
 
 #: The recognised notations.
 TIME = r"(?:(?:as?|pelas?)\s*)?(\d{1,2})(?:h(?:(\d{2}))?|[:\.](\d{1,2})|\s*horas?)(?:\s*min)?(?!\s*de)"
@@ -34,213 +45,237 @@ DAYS = {"hoje": 0, "agora": 0, "amanha": 1, "depois de amanha": 2, "depois amanh
 PERIODS = [("manha", 360, 720), ("tarde", 720, 1080), ("noite", 1080, 1439), ("final do dia", 1020, 1140), ("almoco", 750, 840), ("cafe", 540, 630)]
 
 RESULT = "struct<type:string,datetime:string,date:string,time:string,interval_start:string,interval_end:string,precision:string,confidence:double>"
+FIELDS = ("type", "datetime", "date", "time", "interval_start", "interval_end", "precision", "confidence")
+ARROW_RESULT = pa.struct([(f, pa.float64() if f == "confidence" else pa.string()) for f in FIELDS])
+DAY_S = 86400
+_EPOCH = dt.date(1970, 1, 1).toordinal()
+_RE = {k: re.compile(p, re.ASCII) for k, p in {"time": TIME, "date": DATE, "day": DAY, "weekday": WEEKDAY, "relative": RELATIVE, "period": PERIOD, "offset": OFFSET}.items()}
 
 
-def _map(d: dict) -> Column:
-    return F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.lit(v))])
+class Stated:
+    """What an expression states, whatever the reference."""
 
+    def __init__(self, expression: str | None) -> None:
+        e = plain(expression or "")
+        self.clock = self._clock(e)
+        found = m.group() if (m := _RE["period"].search(e)) else ""
+        self.period = next(((a, b) for part, a, b in PERIODS if part in found), None)
+        self.date = self._date(m) if (m := _RE["date"].search(e)) else None
+        self.day = int(m.group(1)) if (m := _RE["day"].search(e)) else None
+        self.weekday = (m.group(1) or "", WEEKDAYS.get(m.group(2))) if (m := _RE["weekday"].search(e)) else None
+        self.relative = m.group(1) if (m := _RE["relative"].search(e)) else None
+        m = _RE["offset"].search(e)
+        self.offset = (int(m.group(1)), m.group(2)) if m and len(m.group(1)) < 8 and int(m.group(1)) < 2_000_000 else None
+        self.dated = bool(_RE["date"].search(e)) or self.weekday is not None or self.relative is not None
 
-def _date(days: Column) -> Column:
-    return F.date_from_unix_date(days.cast("int")).cast("string")
+    @staticmethod
+    def _clock(e: str) -> int | None:
+        """Minutes of the day of the first clock time, None where there is none or it is out of range."""
+        if not (m := _RE["time"].search(e)):
+            return None
+        h, minute = int(m.group(1)), int(m.group(2) or m.group(3) or 0)
+        return h * 60 + minute if h < 24 and minute < 60 else None
 
+    @staticmethod
+    def _date(m: re.Match) -> tuple[int | None, int | None, int]:
+        """(year, month, day) as written; a year of two digits is of this century."""
+        month = MONTHS.get(m.group(2)) if m.group(1) else int(m.group(6))
+        year = m.group(3) or m.group(7)
+        year = int(year) if year else None
+        return (year + 2000 if year is not None and year < 100 else year), month, int(m.group(1) or m.group(4))
 
-def _clock(seconds: Column) -> Column:
-    two = lambda c: F.lpad(c.cast("int").cast("string"), 2, "0")
-    return F.concat(two(F.floor(seconds / 3600)), F.lit(":"), two(F.floor(seconds / 60) % 60), F.lit(":"), two(seconds % 60))
 
+stated = functools.lru_cache(maxsize=200_000)(Stated)
 
-def _iso(seconds: Column) -> Column:
-    day = F.floor(seconds / 86400)
-    return F.concat(_date(day), F.lit("T"), _clock(seconds - day * 86400))
 
+class Reference:
+    """Whole numbers of a moment without zone."""
 
-def _result(kind: str, precision: str, confidence: float, *, moment: Column | None = None, day: Column | None = None, start: Column | None = None, end: Column | None = None) -> Column:
-    none = F.lit(None).cast("string")
-    whole = moment if moment is not None else start
-    days = day if day is not None else F.floor(whole / 86400) if whole is not None else None
-    return F.struct(
-        F.lit(kind).alias("type"),
-        (_iso(moment) if moment is not None else none).alias("datetime"),
-        (_date(days) if days is not None else none).alias("date"),
-        (_clock(moment - F.floor(moment / 86400) * 86400) if moment is not None else none).alias("time"),
-        (_iso(start) if start is not None else none).alias("interval_start"),
-        (_iso(end) if end is not None else none).alias("interval_end"),
-        F.lit(precision).alias("precision"),
-        F.lit(confidence).alias("confidence"),
-    )
+    def __init__(self, moment: int) -> None:
+        self.moment = moment
+        self.day = moment // DAY_S
+        self.weekday = (self.day + 3) % 7
+        date = dt.date.fromordinal(self.day + _EPOCH) if -719162 <= self.day <= 2932896 else dt.date(1, 1, 1)
+        self.year, self.month = date.year, date.month
 
 
-def clock_of(e: Column) -> Column:
-    """Minutes of the day of the first clock time, null where there is none or it is out of range."""
+def _days(year: int, month: int | None, day: int) -> int | None:
+    try:
+        return dt.date(year, month, day).toordinal() - _EPOCH
+    except (ValueError, TypeError):
+        return None
 
-    def made(g: Column) -> Column:
-        h, m = g[0].cast("int"), F.coalesce(truthy(g[1]), truthy(g[2]), F.lit("0")).cast("int")
-        return F.when((g[3] != "") & (h < 24) & (m < 60), h * 60 + m)
 
-    return let(F.array(F.coalesce(truthy(F.regexp_extract(e, TIME, 1)), F.lit("99")), F.regexp_extract(e, TIME, 2), F.regexp_extract(e, TIME, 3), F.regexp_extract(e, TIME, 0)), made)
+def _date_text(day: int) -> str:
+    text = str(np.datetime64(day, "D"))
+    return text if day <= 2932896 else f"+{text}"
 
 
-def period_of(e: Column) -> Column:
-    """``[start, end]`` minutes of the first period of the day, else null."""
-    found = F.regexp_extract(e, PERIOD, 0)
-    out = F.lit(None).cast("array<int>")
-    for part, a, b in reversed(PERIODS):
-        out = F.when(F.contains(found, F.lit(part)), F.array(F.lit(a), F.lit(b))).otherwise(out)
-    return out
+def _clock_text(seconds: int) -> str:
+    return f"{seconds // 3600:02d}:{seconds // 60 % 60:02d}:{seconds % 60:02d}"
 
 
-def _dated(kind: str, day: Column, clock: Column, period: Column, confidence: float) -> Column:
-    """A day with a clock time, else with a period, else alone."""
-    return (
-        F.when(clock.isNotNull(), _result("datetime", "exact", confidence, moment=day * 86400 + clock * 60))
-        .when(period.isNotNull(), _result("interval", "time_of_day", confidence, start=day * 86400 + period[0] * 60, end=day * 86400 + period[1] * 60))
-        .otherwise(_result(kind, "day", confidence, day=day))
-    )
-
-
-def _days_of(year: Column, month: Column, day: Column) -> Column:
-    two = lambda c: F.lpad(c.cast("string"), 2, "0")
-    text = F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-"), two(month), F.lit("-"), two(day))
-    return F.unix_date(text.try_cast("date")).cast("bigint")
-
-
-def _explicit(e, clock, period, ref) -> Column:
-    def made(g: Column) -> Column:
-        named = g[0] != ""
-        month = F.when(named, F.element_at(_map(MONTHS), g[1])).otherwise(truthy(g[4]).cast("int"))
-        year = F.coalesce(truthy(g[2]), truthy(g[5])).cast("int")
-        year = F.coalesce(F.when(year < 100, year + 2000).otherwise(year), ref["year"])
-        day = F.coalesce(truthy(g[0]), truthy(g[3])).cast("int")
-        return let(_days_of(year, month, day), lambda d: F.when(d.isNotNull(), _dated("date", d, clock, period, 0.95)))
-
-    return let(F.array(*[F.regexp_extract(e, DATE, k) for k in (1, 2, 3, 4, 6, 7)]), made)
-
-
-def _day_of_month(e, clock, period, ref) -> Column:
-    def made(n: Column) -> Column:
-        month = lambda i: ref["year"] * 12 + ref["month"] - 1 + i
-        days = F.transform(F.sequence(F.lit(0), F.lit(12)), lambda i: _days_of(F.floor(month(i) / 12), month(i) % 12 + 1, n))
-        later = F.filter(days, lambda d: d.isNotNull() & F.when(clock.isNotNull(), d * 86400 + clock * 60 > ref["moment"]).otherwise(d >= ref["day"]))
-        return let(F.get(later, F.lit(0)), lambda d: F.when(d.isNotNull(), _dated("date", d, clock, period, 0.88)))
-
-    return let(truthy(F.regexp_extract(e, DAY, 1)).cast("int"), made)
-
-
-def _weekday_day(e, clock, ref) -> Column:
-    """The day that a weekday expression denotes, else null."""
-
-    def made(g: Column) -> Column:
-        ahead = F.element_at(_map(WEEKDAYS), g[1]) - ref["weekday"]
-        week = F.when(ahead < 0, ahead + 7).otherwise(ahead)
-        today = F.when(clock * 60 > ref["moment"] - ref["day"] * 86400, 0).otherwise(7)
-        bare = F.when(week == 0, F.coalesce(today, F.lit(7))).otherwise(week)
-        return ref["day"] + F.when(g[0].isin("proxima", "proximo"), F.when(ahead <= 0, ahead + 7).otherwise(ahead)).when(g[0].isin("esta", "este"), week).otherwise(bare)
-
-    return let(F.array(F.regexp_extract(e, WEEKDAY, 1), F.regexp_extract(e, WEEKDAY, 2)), made)
-
-
-def _weekday(e, clock, ref) -> Column:
-    return let(_weekday_day(e, clock, ref), lambda d: F.when(d.isNotNull(), _dated("date", d, clock, F.lit(None).cast("array<int>"), 0.9)))
+def _iso(moment: int) -> str:
+    return f"{_date_text(moment // DAY_S)}T{_clock_text(moment % DAY_S)}"
 
 
-def _relative(e, clock, period, ref, with_period: bool) -> Column:
-    def made(x: Column) -> Column:
-        monday = (ref["day"] - ref["weekday"]) * 86400
-        week = lambda shift: _result("interval", "week", 0.75, start=monday + shift, end=monday + shift + 7 * 86400 - 1)
-        first = lambda i: let(ref["year"] * 12 + ref["month"] - 1 + i, lambda m: _days_of(F.floor(m / 12), m % 12 + 1, F.lit(1)))
-        month = lambda i: _result("interval", "month", 0.75, start=first(i) * 86400, end=first(i + 1) * 86400 - 1)
-        p = period if with_period else F.lit(None).cast("array<int>")
-        offset = F.element_at(_map(DAYS), x)
-        sunday = ref["day"] - ref["weekday"] + 6
-        end = F.when(p.isNotNull() & clock.isNull(), _result("interval", "time_of_day", 0.85, start=sunday * 86400 + p[0] * 60, end=sunday * 86400 + p[1] * 60)).otherwise(_result("date", "day", 0.85, day=sunday))
-        return (
-            F.when(x == "", F.lit(None))
-            .when(offset.isNotNull(), let(ref["day"] + offset, lambda d: _dated("relative", d, clock, p, 0.85)))
-            .when(x.isin("esta semana"), week(0))
-            .when(x.isin("para a semana", "na proxima semana", "proxima semana"), week(7 * 86400))
-            .when(x == "este mes", month(0))
-            .when(x == "proximo mes", month(1))
-            .when(x == "em breve", _result("interval", "vague", 0.75, start=ref["moment"], end=ref["moment"] + 3 * 86400))
-            .otherwise(end)
-        )
+def _at(kind: str, precision: str, confidence: float, moment: int) -> tuple:
+    return kind, _iso(moment), _date_text(moment // DAY_S), _clock_text(moment % DAY_S), None, None, precision, confidence
 
-    return let(F.regexp_extract(e, RELATIVE, 1), made)
 
+def _between(precision: str, confidence: float, start: int, end: int) -> tuple:
+    return "interval", None, _date_text(start // DAY_S), None, _iso(start), _iso(end), precision, confidence
 
-def _offset(e, clock, ref) -> Column:
-    def made(g: Column) -> Column:
-        n = g[0].try_cast("bigint")
-        unit = F.when(g[1].startswith("semana"), 7 * 86400).when(g[1].startswith("hora"), 3600).otherwise(86400)
-        target = ref["moment"] + n * unit
-        day = F.floor(target / 86400)
-        minute = F.floor(target / 60) * 60
-        return F.when(
-            n.isNotNull() & (n < 2_000_000),
-            F.when(clock.isNotNull(), _result("datetime", "exact", 0.9, moment=day * 86400 + clock * 60)).when(g[1].startswith("hora"), _result("datetime", "hour", 0.9, moment=minute)).otherwise(_result("relative", "day", 0.9, day=day)),
-        )
-
-    return let(F.array(F.regexp_extract(e, OFFSET, 1), F.regexp_extract(e, OFFSET, 2)), made)
 
+def _dated(kind: str, day: int, clock: int | None, period: tuple[int, int] | None, confidence: float) -> tuple:
+    """A day with a clock time, else with a period, else alone."""
+    if clock is not None:
+        return _at("datetime", "exact", confidence, day * DAY_S + clock * 60)
+    if period is not None:
+        return _between("time_of_day", confidence, day * DAY_S + period[0] * 60, day * DAY_S + period[1] * 60)
+    return kind, None, _date_text(day), None, None, None, "day", confidence
+
+
+def _next_day_of_month(s: Stated, ref: Reference) -> int | None:
+    """The first such day from the reference on, within a year."""
+    for i in range(13):
+        month = ref.year * 12 + ref.month - 1 + i
+        day = _days(month // 12, month % 12 + 1, s.day)
+        if day is not None and (day * DAY_S + s.clock * 60 > ref.moment if s.clock is not None else day >= ref.day):
+            return day
+    return None
+
+
+def _weekday(s: Stated, ref: Reference) -> int | None:
+    """The day that a weekday expression denotes."""
+    which, wanted = s.weekday
+    if wanted is None:
+        return None
+    ahead = wanted - ref.weekday
+    if which in ("proxima", "proximo"):
+        return ref.day + (ahead + 7 if ahead <= 0 else ahead)
+    week = ahead % 7
+    if week == 0 and which == "":
+        later = s.clock is not None and s.clock * 60 > ref.moment - ref.day * DAY_S
+        return ref.day + (0 if later else 7)
+    return ref.day + week
+
+
+def _relative(s: Stated, ref: Reference, with_period: bool) -> tuple | None:
+    x = s.relative
+    if x is None:
+        return None
+    period = s.period if with_period else None
+    monday = (ref.day - ref.weekday) * DAY_S
+    if x in DAYS:
+        return _dated("relative", ref.day + DAYS[x], s.clock, period, 0.85)
+    if x in ("esta semana", "para a semana", "na proxima semana", "proxima semana"):
+        start = monday + (0 if x == "esta semana" else 7 * DAY_S)
+        return _between("week", 0.75, start, start + 7 * DAY_S - 1)
+    if x in ("este mes", "proximo mes"):
+        month = ref.year * 12 + ref.month - 1 + (x == "proximo mes")
+        first, end = (_days(k // 12, k % 12 + 1, 1) for k in (month, month + 1))
+        return _between("month", 0.75, first * DAY_S, end * DAY_S - 1)
+    if x == "em breve":
+        return _between("vague", 0.75, ref.moment, ref.moment + 3 * DAY_S)
+    sunday = ref.day - ref.weekday + 6
+    if period is not None and s.clock is None:
+        return _between("time_of_day", 0.85, sunday * DAY_S + period[0] * 60, sunday * DAY_S + period[1] * 60)
+    return "date", None, _date_text(sunday), None, None, None, "day", 0.85
+
+
+def _offset(s: Stated, ref: Reference) -> tuple:
+    n, unit = s.offset
+    target = ref.moment + n * (7 * DAY_S if unit.startswith("semana") else 3600 if unit.startswith("hora") else DAY_S)
+    if s.clock is not None:
+        return _at("datetime", "exact", 0.9, target // DAY_S * DAY_S + s.clock * 60)
+    if unit.startswith("hora"):
+        return _at("datetime", "hour", 0.9, target // 60 * 60)
+    return "relative", None, _date_text(target // DAY_S), None, None, None, "day", 0.9
+
+
+def resolve(expression: str | None, ref: Reference) -> tuple:
+    """The values of ``FIELDS`` of an expression against a reference."""
+    s = stated(expression)
+    if s.date is not None:
+        year, month, day = s.date
+        found = _days(ref.year if year is None else year, month, day)
+        if found is not None:
+            return _dated("date", found, s.clock, s.period, 0.95)
+    if s.day is not None and (day := _next_day_of_month(s, ref)) is not None:
+        return _dated("date", day, s.clock, s.period, 0.88)
+    if s.weekday is not None and s.period is not None:
+        if (day := _weekday(s, ref)) is not None:
+            if s.clock is not None:
+                return _at("datetime", "exact", 0.9, day * DAY_S + s.clock * 60)
+            return _between("time_of_day", 0.75, day * DAY_S + s.period[0] * 60, day * DAY_S + s.period[1] * 60)
+    elif out := _relative(s, ref, True):
+        return out
+    if s.offset is not None:
+        return _offset(s, ref)
+    if s.weekday is not None and (day := _weekday(s, ref)) is not None:
+        return _dated("date", day, s.clock, None, 0.9)
+    if out := _relative(s, ref, False):
+        return out
+    if s.period is not None and not s.dated:
+        return _between("time_of_day", 0.75, ref.day * DAY_S + s.period[0] * 60, ref.day * DAY_S + s.period[1] * 60)
+    if s.clock is not None:
+        return _at("time", "time_only", 0.8, ref.day * DAY_S + s.clock * 60)
+    return "unknown", None, None, None, None, None, "", 0.0
+
+
+def canonical_text(values: tuple) -> str | None:
+    """Interval ``a/b``, else date-time, else date, else time, of the values of ``FIELDS``."""
+    _, moment, date, time, start, end, _, _ = values
+    return f"{start}/{end}" if start is not None else moment if moment is not None else date if date is not None else time
+
+
+def reference_of(value: dt.datetime | None) -> Reference | None:
+    return None if value is None else Reference((value.toordinal() - _EPOCH) * DAY_S + value.hour * 3600 + value.minute * 60 + value.second)
+
+
+def _normalized(expression: str | None, reference: dt.datetime | None) -> dict | None:
+    ref = reference_of(reference)
+    return None if ref is None else dict(zip(FIELDS, resolve(expression, ref)))
 
-def _period(e, period, ref) -> Column:
-    other = e.rlike(DATE) | e.rlike(WEEKDAY) | e.rlike(RELATIVE)
-    return F.when(period.isNotNull() & ~other, _result("interval", "time_of_day", 0.75, start=ref["day"] * 86400 + period[0] * 60, end=ref["day"] * 86400 + period[1] * 60))
 
+def normalize(expression: Column, reference: Column) -> Column:
+    """The struct ``RESULT`` of an expression against a ``timestamp_ntz`` reference."""
+    return per_row(_normalized, RESULT, ARROW_RESULT, expression, reference)
 
-def _combined(e, clock, period, ref) -> Column:
-    """Weekday or relative day together with a period or a clock time."""
 
-    def with_weekday(d: Column) -> Column:
-        between = _result("interval", "time_of_day", 0.75, start=d * 86400 + period[0] * 60, end=d * 86400 + period[1] * 60)
-        return F.when(d.isNull(), F.lit(None)).when(clock.isNotNull(), _result("datetime", "exact", 0.9, moment=d * 86400 + clock * 60)).otherwise(between)
+def canonical(n: Column) -> Column:
+    """Interval ``a/b``, else date-time, else date, else time."""
+    return let(n, lambda x: F.coalesce(F.concat(x["interval_start"], F.lit("/"), x["interval_end"]), x["datetime"], x["date"], x["time"]))
 
-    both = e.rlike(WEEKDAY) & period.isNotNull()
-    return F.when(both, let(_weekday_day(e, clock, ref), with_weekday)).otherwise(_relative(e, clock, period, ref, True))
 
+#: The keys under which a mail may hold its date, in this order.
+DATE_KEYS = ("sent_datetime", "sent_at", "email_date", "date", "Date", "created_at", "timestamp")
+_RFC_2822 = r"^(?:[A-Za-z]{3},?\s+)?(\d{1,2})\s+([A-Za-z]{3})[a-z]*\s+(\d{4})\s+(\d{1,2}):(\d{2})(?::(\d{2}))?(?:\s+(?:[+-]\d{4}|[A-Za-z]{1,5}))?(?:\s*\([^)]*\))?$"
 
-def reference_parts(reference: Column) -> Column:
-    """Whole numbers of a zone-less reference: moment and day since 1970, year, month, weekday."""
-    day = F.unix_date(reference.cast("date")).cast("bigint")
-    return F.struct(
-        (day * 86400 + F.hour(reference) * 3600 + F.minute(reference) * 60 + F.floor(F.second(reference))).cast("bigint").alias("moment"),
-        day.alias("day"),
-        F.year(reference).alias("year"),
-        F.month(reference).alias("month"),
-        F.weekday(reference).alias("weekday"),
-    )
 
+def _iso_moment(value: Column) -> Column:
+    return F.regexp_replace(value, r"(?:Z|[+-]\d{2}:?\d{2})$", "").try_cast("timestamp_ntz")
 
-def normalize(expression: Column, reference: Column) -> Column:
-    """The struct ``RESULT`` of an expression against a ``timestamp_ntz`` reference."""
 
-    def rules(x: Column) -> Column:
-        e, clock, period, ref = x["e"], x["clock"], x["period"], x["ref"]
-        tried: list[Callable[[], Column]] = [
-            lambda: _explicit(e, clock, period, ref),
-            lambda: _day_of_month(e, clock, period, ref),
-            lambda: _combined(e, clock, period, ref),
-            lambda: _offset(e, clock, ref),
-            lambda: _weekday(e, clock, ref),
-            lambda: _relative(e, clock, period, ref, False),
-            lambda: _period(e, period, ref),
-            lambda: F.when(clock.isNotNull(), _result("time", "time_only", 0.8, moment=ref["day"] * 86400 + clock * 60)),
-        ]
-        unknown = _result("unknown", "", 0.0)
-        return F.when(ref["day"].isNull(), F.lit(None)).otherwise(F.coalesce(*[t() for t in tried], unknown))
-
-    plain = plain_key(F.coalesce(expression, F.lit("")))
-    return let(
-        plain,
-        lambda e: let(F.struct(e.alias("e"), clock_of(e).alias("clock"), period_of(e).alias("period"), reference_parts(reference).alias("ref")), rules),
-    )
+def _mail_moment(value: Column) -> Column:
+    """A date as mail headers write it."""
+    part = lambda k: F.regexp_extract(value, _RFC_2822, k)
+    month = (F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(part(2))) + 2) / 3
+    whole = F.when((part(2) != "") & (month == F.floor(month)) & (month >= 1), month.cast("int").cast("string"))
+    two = lambda c: F.lpad(c, 2, "0")
+    text = F.concat(part(3), F.lit("-"), two(whole), F.lit("-"), two(part(1)), F.lit(" "), two(part(4)), F.lit(":"), part(5), F.lit(":"), F.when(part(6) == "", "00").otherwise(part(6)))
+    return text.try_cast("timestamp_ntz")
 
 
-def canonical(n: Column) -> Column:
-    """Interval ``a/b``, else date-time, else date, else time."""
-    return let(n, lambda x: F.coalesce(F.concat(x["interval_start"], F.lit("/"), x["interval_end"]), x["datetime"], x["date"], x["time"]))
+def parse_reference(*values: Column) -> Column:
+    """First value that reads as ISO date-time or as a mail header's date (zone dropped), as ``timestamp_ntz``."""
+    one = lambda v: F.coalesce(_iso_moment(v), _mail_moment(v))
+    return F.coalesce(*[one(F.trim(v.cast("string"))) for v in values])
 
 
-def parse_reference(*values: Column) -> Column:
-    """First value that reads as ISO date-time (zone dropped), as ``timestamp_ntz``."""
-    one = lambda v: F.regexp_replace(v, r"(?:Z|[+-]\d{2}:?\d{2})$", "").try_cast("timestamp_ntz")
-    return F.coalesce(*[one(v) for v in values])
+def mail_reference(columns: list[str], fallback: Column | None = None) -> Column:
+    """The moment of a mail: of its columns named in ``DATE_KEYS`` the first, in that order, that reads as one."""
+    have = [F.col(f"`{k}`") for k in DATE_KEYS if k in columns]
+    found = [parse_reference(*have)] if have else []
+    return F.coalesce(*found, *([fallback] if fallback is not None else []), F.lit(None).cast("timestamp_ntz"))

@@ -36,7 +36,7 @@ def _accents() -> tuple[str, str]:
     return "".join(have), "".join(give)
 
 
-_HAVE, _GIVE = _accents()
+ACCENTS = _HAVE, _GIVE = _accents()
 
 
 def let(value: Column, body) -> Column:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-from pauta.functions.text import strip
+from pauta.functions.matching import compiled, per_row
 
 #: Patterns by kind.
 TRIGGERS = {
-    "reunir": [r"\breunir(?:mos|em|ão|ia)?(?:\s+(?:com|a))?", r"\breunião\b"],
+    "reunir": [r"\breunir(?:mos|em|ão|ia)?(?:\s+(?:com|a))?", r"\breunião\b", r"\b(?:uma|uma\s+)?reunião\b"],
     "marcar": [r"\bmarcar(?:\s+(?:uma|a|o))?(?:\s+reunião)?", r"\bmarquei\b", r"\bmarca(?:do|da)?\b"],
     "cancelar": [r"\bcancelar(?:\s+(?:a|o|uma))?(?:\s+reunião)?", r"\bcancelado\b", r"\bcancelamento\b", r"\bfaltar(?:\s+à|ao)?(?:\s+reunião)?"],
     "confirmar": [r"\bconfirmar(?:\s+(?:a|o|que|se))?", r"\bconfirmado\b", r"\bconfirmação\b"],
@@ -45,32 +47,32 @@ TOPICS = [
 ]
 
 
-def _all(text: Column, patterns: list[str]) -> Column:
-    found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(f"(?iU){p}"), F.lit(0)) for p in patterns]))
-    return F.array_distinct(F.filter(F.transform(found, strip), lambda x: x != ""))
+_TRIGGERS = [(kind, re.compile("|".join(f"(?:{p})" for p in ps), re.IGNORECASE)) for kind, ps in TRIGGERS.items()]
+_PEOPLE = [(re.compile(p, re.IGNORECASE), least) for p, least in PEOPLE]
+_KINDS = {"time": compiled(TIMES), "location": compiled(PLACES), "topic": compiled(TOPICS)}
+_SURE = {"trigger": 0.9, "participants": 0.75, "time": 0.8, "location": 0.85, "topic": 0.7}
+_LIST = pa.list_(pa.string())
+_KIND = pa.struct([("trigger", _LIST), ("arguments", pa.struct([(k, _LIST) for k in ("participants", *_KINDS)])), ("confidence", pa.map_(pa.string(), pa.float64()))])
+_TYPE = "struct<trigger:array<string>,arguments:struct<participants:array<string>,time:array<string>,location:array<string>,topic:array<string>>,confidence:map<string,double>>"
+
+
+def _all(text: str, patterns: list[re.Pattern]) -> list[str]:
+    return list(dict.fromkeys(x for p in patterns for m in p.finditer(text) if (x := m.group().strip())))
 
 
-def _people(text: Column) -> Column:
-    every = []
-    for p, least in PEOPLE:
-        names = F.transform(F.regexp_extract_all(text, F.lit(f"(?iU){p}"), F.lit(1)), strip)
-        every.append(F.filter(names, _at_least(least)))
-    found = F.array_distinct(F.flatten(F.array(*every)))
-    return F.array_sort(F.filter(found, lambda x: ~F.get(F.split(x, r"\s+"), F.lit(0)).isin(TITLES)))
+def _people(text: str) -> list[str]:
+    names = {x for p, least in _PEOPLE for m in p.finditer(text) if len(x := m.group(1).strip()) >= least}
+    return sorted(x for x in names if x.split(maxsplit=1)[0] not in TITLES)
 
 
-def _at_least(n: int):
-    return lambda x: F.length(x) >= n
+def _annotated(text: str | None) -> dict:
+    text = text or ""
+    trigger = next((kind for kind, p in _TRIGGERS if p.search(text)), None)
+    values = {"participants": _people(text), **{k: _all(text, ps) for k, ps in _KINDS.items()}}
+    sure = [(k, _SURE[k] if v else 0.0) for k, v in (("trigger", trigger), *values.items())]
+    return {"trigger": [trigger] if trigger else [], "arguments": values, "confidence": sure}
 
 
 def annotation(text: Column) -> Column:
     """Struct of the first trigger, arrays of values in order of sight, and confidences (0 where empty)."""
-    text = F.coalesce(text, F.lit(""))
-    trigger = F.coalesce(*[F.when(text.rlike("(?iU)" + "|".join(f"(?:{p})" for p in ps)), F.lit(k)) for k, ps in TRIGGERS.items()])
-    kinds = {"participants": (_people(text), 0.75), "time": (_all(text, TIMES), 0.8), "location": (_all(text, PLACES), 0.85), "topic": (_all(text, TOPICS), 0.7)}
-    sure = lambda a, c: F.when(F.size(a) > 0, F.lit(c)).otherwise(F.lit(0.0))
-    return F.struct(
-        F.when(trigger.isNotNull(), F.array(trigger)).otherwise(F.array().cast("array<string>")).alias("trigger"),
-        F.struct(*[a.alias(k) for k, (a, _) in kinds.items()]).alias("arguments"),
-        F.map_from_arrays(F.array(*[F.lit(k) for k in ("trigger", *kinds)]), F.array(F.when(trigger.isNotNull(), 0.9).otherwise(0.0), *[sure(a, c) for a, c in kinds.values()])).alias("confidence"),
-    )
+    return per_row(_annotated, _TYPE, _KIND, text)

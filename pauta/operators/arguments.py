@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pauta.functions.spans import SPAN, earliest_longest, first_per_key, group_spans, spans
-from pauta.functions.text import let, plain_key, squeeze, strip, tokens, truthy
+from pauta.functions.matching import ARROW_SPAN, SPANS, Span, by_start, compiled, earliest_longest, first_per_key, per_row, plain, spans, squeezed
+from pauta.functions.text import let, strip, truthy
 
 _MONTH = "janeiro|fevereiro|março|abril|maio|junho|julho|agosto|setembro|outubro|novembro|dezembro|jan|fev|mar|abr|mai|jun|jul|ago|set|out|nov|dez"
 #: The patterns by kind.
@@ -31,7 +34,10 @@ PLACE_SPANS = [
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 
 NOT_MEETING = ["nao_reuniao", "nao reuniao", "não", "nao", "infelizmente"]
-TOPIC_STOP = "de do da dos das e ou um uma uns umas o a os as em para por com sem sob sobre que qual quais ao aos ser estar ter teve temos tenho reuniao reunioes meeting meetings email emails".split()
+TOPIC_STOP = [
+    "de", "do", "da", "dos", "das", "e", "ou", "um", "uma", "uns", "umas", "o", "a", "os", "as", "em", "para", "por", "com", "sem", "sob", "sobre", "que", "qual", "quais", "ao", "aos", "ser", "estar", "ter", "teve", "temos",
+    "tenho", "reuniao", "reunioes", "meeting", "meetings", "email", "emails",
+]
 GENERIC = [
     "agendamento", "cancelamento", "confirmacao", "disponibilidade", "informacao", "marcacao", "pedido", "ponto de situacao", "processo", "remarcacao", "reuniao", "reuniao confirmada", "assunto", "esse assunto", "este assunto",
     "aquilo", "consigo", "isso", "isto",
@@ -48,62 +54,135 @@ TOPIC_BODY = [
 ]
 TOPIC_SUBJECT = [r"\breuni(?:ao|ão)(?:\s+convocada)?\s*(?:sobre|[-:])\s*(.+)$", r"\b(?:agendamento|cancelamento|confirma(?:cao|ção)|imprevisto|pedido\s+de\s+reuni(?:ao|ão))\s*[-:]\s*(.+)$"]
 ONLY_TIME_OR_PLACE = r"(?iU)^(?:(?:hoje|amanha|amanhã|ontem|segunda|terca|terça|quarta|quinta|sexta)|(?:as|às)?\s*\d{1,2}(?:h\d{0,2}|:\d{2})|(?:zoom|teams|google meet|remoto|presencial|sala|gabinete))$"
+#: Temporal hints.
+_LONG_MONTH = "(?:janeiro|fevereiro|mar[çc]o|abril|maio|junho|julho|agosto|setembro|outubro|novembro|dezembro)"
+_CLOCK = r"(?:\s+(?:às|as|pelas)\s+\d{1,2}(?:h\d{0,2}|:\d{2}|\s+horas?))?\b"
+_DAYS = "segunda|ter[çc]a|quarta|quinta|sexta|s[áa]bado|domingo"
+_HINTS = compiled([
+    rf"\bdia\s+\d{{1,2}}(?:\s+de\s+{_LONG_MONTH})?{_CLOCK}",
+    rf"\b\d{{1,2}}\s+de\s+{_LONG_MONTH}(?:\s+de\s+\d{{4}})?{_CLOCK}",
+    rf"\b\d{{1,2}}[/-]\d{{1,2}}(?:[/-]\d{{2,4}})?{_CLOCK}",
+    rf"\b(depois\s+de\s+amanh[ãa]|amanh[ãa]|hoje|ontem|(?:na\s+)?pr[óo]xima\s+semana|para\s+a\s+semana|esta\s+semana|(?:pr[óo]xima|esta)\s+(?:{_DAYS})|{_DAYS})(?:-feira)?(?:\s+(?:de|à|a|pela|ao)\s+(?:manh[ãa]|tarde|noite))?{_CLOCK}",
+    r"\b(?:durante\s+a\s+manh[ãa]|ao\s+final\s+do\s+dia|depois\s+de\s+almo[çc]o|depois\s+da\s+aula|antes\s+do\s+semin[áa]rio|mais\s+logo)\b",
+    rf"\b(?:daqui\s+a|dentro\s+de|em)\s+\d+\s+(?:dias?|semanas?|horas?){_CLOCK}",
+    r"\b(?:às|as|pelas)?\s*\d{1,2}(?:h\d{0,2}|:\d{2}|\.\d{2}|\s+horas?)\b",
+])
+
+_TIMES = [(re.compile(p, re.IGNORECASE), f"regex_{kind}") for kind, ps in TIME_SPANS.items() for p in ps]
+_PLACES = compiled(PLACE_SPANS)
+_EMAIL = compiled([EMAIL])[0]
+_BODY, _SUBJECT = compiled([p + _CAPTURE for p in TOPIC_BODY]), compiled(TOPIC_SUBJECT)
+_EDGE = " \t\r\n-:;,.'\""
+_ABOUT = re.compile(r"^(?:sobre\s+|acerca\s+(?:de|do|da|dos|das)\s+)", re.IGNORECASE)
+_ARTICLE = re.compile(r"^(?:o|a|os|as)\s+", re.IGNORECASE)
+_REPLY = re.compile(r"^\s*(?:(?:re|fw|fwd|enc)\s*:\s*)+", re.IGNORECASE)
+_NO_TOPIC = re.compile(ONLY_TIME_OR_PLACE.removeprefix("(?iU)"), re.IGNORECASE)
+_WORD = re.compile("[a-z0-9]+")
+
+
+def find_times(text: str) -> list[Span]:
+    """Spans of temporal expressions, without overlaps (earliest, then longest)."""
+    return earliest_longest([x for p, method in _TIMES for x in spans(text, p, 0.9, method)])
 
 
-def time_spans(text: Column) -> Column:
-    """Spans of temporal expressions, without overlaps (earliest, then longest)."""
-    every = [spans(text, f"(?iU){p}", 0.9, f"regex_{kind}") for kind, ps in TIME_SPANS.items() for p in ps]
-    return earliest_longest(F.concat(*every))
+def find_places(text: str) -> list[Span]:
+    return earliest_longest([x for p in _PLACES for x in spans(text, p, 0.85, "regex_location")])
 
 
-def place_spans(text: Column) -> Column:
-    return earliest_longest(F.concat(*[spans(text, f"(?iU){p}", 0.85, "regex_location") for p in PLACE_SPANS]))
+def find_participants(text: str, people=None) -> list[Span]:
+    """E-mail addresses, one a spelling, and what ``people`` finds.
+
+    ``people`` is a function of a text that gives (start, end) of person names; names that
+    overlap an address are left out, and each is kept once.
+    """
+    found = spans(text, _EMAIL, 0.95, "regex_email")
+    named = [] if people is None else [(a, b) for a, b in people(text) if not any(a < x["end"] and b > x["start"] for x in found)]
+    found += [{"text": text[a:b], "start": a, "end": b, "confidence": 0.85, "method": "person"} for a, b in named]
+    return sorted(first_per_key(found, lambda x: x["text"].lower()), key=by_start)
 
 
-def participant_spans(text: Column) -> Column:
-    """E-mail addresses as participants, one a spelling; person names need a model and are optional."""
-    return F.array_sort(first_per_key(spans(text, EMAIL, 0.95, "regex_email"), lambda x: F.lower(x["text"])), lambda a, b: a["start"] - b["start"])
+def _candidate(raw: str) -> str:
+    c = _ABOUT.sub("", squeezed(raw).strip(_EDGE))
+    return _ARTICLE.sub("", c).strip(_EDGE)
 
 
-def _candidate(raw: Column) -> Column:
-    edge = r"^[ \t\r\n\-:;,.'\"]+|[ \t\r\n\-:;,.'\"]+$"
-    c = F.regexp_replace(squeeze(raw), edge, "")
-    c = F.regexp_replace(c, r"(?iU)^(?:sobre\s+|acerca\s+(?:de|do|da|dos|das)\s+)", "")
-    return F.regexp_replace(F.regexp_replace(c, r"(?iU)^(?:o|a|os|as)\s+", ""), edge, "")
+def _valid(c: str) -> bool:
+    if not c or len(c) > 140 or len(c.split()) > 14:
+        return False
+    key = plain(c)
+    return key not in GENERIC and not _NO_TOPIC.search(c) and any(w not in TOPIC_STOP for w in _WORD.findall(key))
 
 
-def _valid(c: Column) -> Column:
-    key = plain_key(c)
-    stop = F.array(*[F.lit(w) for w in TOPIC_STOP])
-    content = F.exists(F.regexp_extract_all(key, F.lit("[a-z0-9]+"), F.lit(0)), lambda w: ~F.array_contains(stop, w))
-    return (c != "") & (F.length(c) <= 140) & (F.size(tokens(c)) <= 14) & ~key.isin(GENERIC) & ~c.rlike(ONLY_TIME_OR_PLACE) & content
+def _topics(text: str, patterns: list[re.Pattern], confidence: float, method: str) -> list[Span]:
+    out = []
+    for p in patterns:
+        for x in spans(text, p, confidence, method, group=1):
+            c = _candidate(x["text"])
+            if _valid(c):
+                at = x["start"] + max(x["text"].lower().find(c.lower()), 0)
+                out.append(x | {"text": c, "start": at, "end": at + len(c)})
+    return out
 
 
-def _topic_spans(text: Column, patterns: list[str], confidence: float, method: str) -> Column:
-    found = F.concat(*[group_spans(text, f"(?iU){p}", 1, confidence, method) for p in patterns])
+def find_topics(body: str | None, subject: str | None, intent: str | None) -> list[Span]:
+    """At most one topic span: body phrases before subject phrases, then the longest."""
+    if intent is not None and plain(intent) in NOT_MEETING:
+        return []
+    title = _REPLY.sub("", subject or "").strip()
+    both = _topics(body or "", _BODY, 0.98, "regex_topic_body") + _topics(title, _SUBJECT, 0.9, "regex_topic_subject")
+    return sorted(first_per_key(both, lambda x: plain(x["text"])), key=lambda x: (-x["confidence"], -len(x["text"])))[:1]
+
 
-    def cleaned(x: Column) -> Column:
-        def made(c: Column) -> Column:
-            at = x["start"] + F.greatest(F.instr(F.lower(x["text"]), F.lower(c)) - 1, F.lit(0))
-            return F.when(_valid(c), F.struct(c.alias("text"), at.alias("start"), (at + F.length(c)).alias("end"), x["confidence"].alias("confidence"), x["method"].alias("method")))
+def find_hints(text: str) -> list[Span]:
+    """Longer temporal hints (dates and days with their clock times), without overlaps, one a spelling."""
+    found = [x | {"text": x["text"].strip()} for x in earliest_longest([x for p in _HINTS for x in spans(text, p, 0.9, "regex_hint")])]
+    return first_per_key(found, lambda x: squeezed(x["text"]).lower())
 
-        return let(_candidate(x["text"]), made)
 
-    return F.filter(F.transform(found, cleaned), lambda x: x.isNotNull())
+_ARROW_SPANS = pa.list_(ARROW_SPAN)
+
+
+def _spans_column(function, *columns: Column) -> Column:
+    return per_row(function, SPANS, _ARROW_SPANS, *columns)
+
+
+def _of_text(function):
+    return lambda text: function(text or "")
+
+
+def time_spans(text: Column) -> Column:
+    """Spans of temporal expressions, without overlaps (earliest, then longest); none for null."""
+    return _spans_column(_of_text(find_times), text)
+
+
+def place_spans(text: Column) -> Column:
+    return _spans_column(_of_text(find_places), text)
+
+
+def participant_spans(text: Column, people=None) -> Column:
+    """E-mail addresses as participants; ``people`` adds person names (see :func:`find_participants`)."""
+    return _spans_column(_of_text(lambda t: find_participants(t, people)), text)
 
 
 def topic_spans(body: Column, subject: Column, intent: Column) -> Column:
     """At most one topic span: body phrases before subject phrases, then the longest."""
-    title = strip(F.regexp_replace(subject, r"(?iU)^\s*(?:(?:re|fw|fwd|enc)\s*:\s*)+", ""))
-    both = F.concat(_topic_spans(F.coalesce(body, F.lit("")), [p + _CAPTURE for p in TOPIC_BODY], 0.98, "regex_topic_body"), _topic_spans(F.coalesce(title, F.lit("")), TOPIC_SUBJECT, 0.9, "regex_topic_subject"))
-    indexed = F.transform(first_per_key(both, lambda x: plain_key(x["text"])), lambda x, i: F.struct((-x["confidence"]).alias("a"), (-F.length(x["text"])).alias("b"), i.alias("c"), x.alias("x")))
-    best = F.slice(F.transform(F.array_sort(indexed), lambda s: s["x"]), 1, 1)
-    none = F.expr(f"cast(array() as array<{SPAN}>)")
-    return F.when(F.coalesce(plain_key(intent).isin(NOT_MEETING), F.lit(False)), none).otherwise(best)
+    return _spans_column(find_topics, body, subject, intent)
+
+
+def hint_spans(text: Column) -> Column:
+    """Longer temporal hints (dates and days with their clock times), without overlaps."""
+    return _spans_column(_of_text(find_hints), text)
 
 
-def arguments(body: Column, subject: Column, intent: Column) -> Column:
-    return F.struct(participant_spans(body).alias("participants"), time_spans(body).alias("times"), place_spans(body).alias("locations"), topic_spans(body, subject, intent).alias("topics"))
+def arguments(body: Column, subject: Column, intent: Column, people=None) -> Column:
+    """Struct of the spans of participants, times, locations and topics, in one pass over the text."""
+
+    def every(b, s, i) -> dict:
+        text = b or ""
+        return {"participants": find_participants(text, people), "times": find_times(text), "locations": find_places(text), "topics": find_topics(b, s, i)}
+
+    names = ("participants", "times", "locations", "topics")
+    return per_row(every, "struct<" + ",".join(f"{n}:{SPANS}" for n in names) + ">", pa.struct([(n, _ARROW_SPANS) for n in names]), body, subject, intent)
 
 
 #: Places of meetings.
@@ -142,23 +221,3 @@ def place_of_mail(body: Column, label: Column) -> Column:
     """For meeting labels the place a body names, by default a remote one; else null."""
     meeting = label.isin("agendamento_reuniao", "cancelamento_reuniao", "reuniao_confirmada")
     return F.when(meeting, F.coalesce(canonical_place(explicit_place(body)), F.lit("remoto - zoom")))
-
-
-def hint_spans(text: Column) -> Column:
-    """Longer temporal hints (dates and days with their clock times), without overlaps."""
-    long_month = "(?:janeiro|fevereiro|mar[çc]o|abril|maio|junho|julho|agosto|setembro|outubro|novembro|dezembro)"
-    clock = r"(?:\s+(?:às|as|pelas)\s+\d{1,2}(?:h\d{0,2}|:\d{2}|\s+horas?))?\b"
-    days = "segunda|ter[çc]a|quarta|quinta|sexta|s[áa]bado|domingo"
-    patterns = [
-        rf"\bdia\s+\d{{1,2}}(?:\s+de\s+{long_month})?{clock}",
-        rf"\b\d{{1,2}}\s+de\s+{long_month}(?:\s+de\s+\d{{4}})?{clock}",
-        rf"\b\d{{1,2}}[/-]\d{{1,2}}(?:[/-]\d{{2,4}})?{clock}",
-        rf"\b(depois\s+de\s+amanh[ãa]|amanh[ãa]|hoje|ontem|(?:na\s+)?pr[óo]xima\s+semana|para\s+a\s+semana|esta\s+semana|(?:pr[óo]xima|esta)\s+(?:{days})|{days})(?:-feira)?(?:\s+(?:de|à|a|pela|ao)\s+(?:manh[ãa]|tarde|noite))?{clock}",
-        r"\b(?:durante\s+a\s+manh[ãa]|ao\s+final\s+do\s+dia|depois\s+de\s+almo[çc]o|depois\s+da\s+aula|antes\s+do\s+semin[áa]rio|mais\s+logo)\b",
-        rf"\b(?:daqui\s+a|dentro\s+de|em)\s+\d+\s+(?:dias?|semanas?|horas?){clock}",
-        r"\b(?:às|as|pelas)?\s*\d{1,2}(?:h\d{0,2}|:\d{2}|\.\d{2}|\s+horas?)\b",
-    ]
-    found = earliest_longest(F.concat(*[spans(text, f"(?iU){p}", 0.9, "regex_hint") for p in patterns]))
-    return first_per_key(F.transform(found, lambda x: x.withField("text", strip(x["text"]))), lambda x: F.lower(squeeze(x["text"])))
-
-

@@ -6,12 +6,14 @@ answer, confidence``; the fallbacks are column expressions and need no model.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pauta.functions.temporal import canonical, normalize, parse_reference
+from pauta.functions.matching import per_row
+from pauta.functions.temporal import canonical_text, parse_reference, reference_of, resolve
 from pauta.functions.text import answer_text, first_text, let, squeeze, strip, tokens, truthy
-from pauta.operators.arguments import ANY_PLACE, canonical_place, explicit_place, hint_spans
+from pauta.operators.arguments import ANY_PLACE, canonical_place, explicit_place, find_hints
 
 #: Categories with their main questions, markers of auxiliary context.
 QUESTIONS = {
@@ -78,9 +80,15 @@ def is_bad(answer: Column, confidence: Column, body: Column) -> Column:
     return (a == "") | (F.coalesce(confidence, F.lit(0.0)) < 0.35) | (low == answer_text(body, lowercase=True)) | marked | (F.size(tokens(a)) > 8)
 
 
+def _hints(body: str | None, reference) -> list[dict]:
+    ref = reference_of(reference)
+    return [{"text": x["text"], "canonical": "" if ref is None else canonical_text(resolve(x["text"], ref)) or ""} for x in find_hints(body or "")]
+
+
 def hints(body: Column, reference: Column) -> Column:
     """Temporal hints of a body with their canonical values: array<struct<text, canonical>>."""
-    return F.transform(hint_spans(F.coalesce(body, F.lit(""))), lambda x: F.struct(x["text"].alias("text"), F.coalesce(canonical(normalize(x["text"], reference)), F.lit("")).alias("canonical")))
+    kind = pa.list_(pa.struct([("text", pa.string()), ("canonical", pa.string())]))
+    return per_row(_hints, "array<struct<text:string,canonical:string>>", kind, body, reference)
 
 
 def _related(a: Column, b: Column) -> Column:
