@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import zipfile
 from pathlib import Path
@@ -48,17 +49,22 @@ def share_code(spark: SparkSession) -> None:
     """Make this package importable in Python workers, wherever they start.
 
     The package goes once a context as a small zip file through Spark's own file
-    distribution; it is written to the shared folder where that is a plain path.
+    distribution; it is written to the shared folder, whatever file system that is on.
     """
     sc = spark.sparkContext
     if getattr(sc, "_pauta_shared", False):
         return
     here = Path(__file__).resolve().parent
-    folder = shared_folder(spark).removeprefix("file://")
-    target = Path(folder if folder.startswith("/") else tempfile.mkdtemp(prefix="pauta-code-")) / f"pauta-{sc.applicationId}.zip"
-    target.parent.mkdir(parents=True, exist_ok=True)
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(here.rglob("*.py")):
             z.write(f, f"pauta/{f.relative_to(here)}")
-    sc.addPyFile(str(target))
+    target = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/pauta-{sc.applicationId}.zip")
+    files = target.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = files.create(target, True)
+    try:
+        out.write(bytearray(packed.getvalue()))
+    finally:
+        out.close()
+    sc.addPyFile(str(files.makeQualified(target).toString()))
     sc._pauta_shared = True

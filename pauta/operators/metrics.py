@@ -22,13 +22,21 @@ def prf(tp: Column, fp: Column, fn: Column) -> tuple[Column, Column, Column]:
     return p, r, ratio(2 * tp, 2 * tp + fp + fn)
 
 
-def pair_counts(df: DataFrame, true: str = "true_label", pred: str = "predicted_label") -> DataFrame:
-    return df.where(F.col(true).isNotNull()).groupBy(F.col(true).alias("t"), F.coalesce(F.col(pred), F.lit("")).alias("p")).agg(F.count("*").alias("n"))
+def pair_counts(df: DataFrame, true: str = "true_label", pred: str = "predicted_label", weight: str | None = None) -> DataFrame:
+    """(t, p, n); ``weight`` names a column of counts where the rows are counted already."""
+    n = F.count("*") if weight is None else F.sum(weight)
+    return df.where(F.col(true).isNotNull()).groupBy(F.col(true).alias("t"), F.coalesce(F.col(pred), F.lit("")).alias("p")).agg(n.alias("n"))
 
 
-def class_metrics(df: DataFrame, true: str = "true_label", pred: str = "predicted_label") -> DataFrame:
-    """(label, tp, fp, fn, support, precision, recall, f1) for every label seen on either side."""
-    c = pair_counts(df, true, pred)
+def class_metrics(df: DataFrame, true: str = "true_label", pred: str = "predicted_label", *, weight: str | None = None, labels: list[str] | None = None) -> DataFrame:
+    """(label, tp, fp, fn, support, precision, recall, f1) for every label seen on either side.
+
+    ``labels`` (a model's classes) that stand on neither side are rows of zeros.
+    """
+    c = pair_counts(df, true, pred, weight)
+    if labels:
+        unseen = df.sparkSession.createDataFrame([(x, x, 0) for x in labels], "t string, p string, n bigint")
+        c = c.union(unseen)
     side = c.select(F.explode(F.array(F.struct(F.col("t").alias("label"), F.lit("t").alias("side")), F.struct(F.col("p").alias("label"), F.lit("p").alias("side")))).alias("x"), "t", "p", "n")
     g = side.groupBy("x.label").agg(
         F.sum(F.when((F.col("x.side") == "t") & (F.col("t") == F.col("p")), F.col("n")).otherwise(0)).alias("tp"),
@@ -39,17 +47,19 @@ def class_metrics(df: DataFrame, true: str = "true_label", pred: str = "predicte
     return g.select("label", "tp", "fp", "fn", (F.col("tp") + F.col("fn")).alias("support"), p.alias("precision"), r.alias("recall"), f.alias("f1"))
 
 
-def summary_metrics(df: DataFrame, true: str = "true_label", pred: str = "predicted_label") -> DataFrame:
+def summary_metrics(df: DataFrame, true: str = "true_label", pred: str = "predicted_label", *, weight: str | None = None, labels: list[str] | None = None) -> DataFrame:
     """One row: rows, accuracy, macro and support-weighted precision, recall and F1."""
-    m = class_metrics(df, true, pred)
+    m = class_metrics(df, true, pred, weight=weight, labels=labels)
     s = F.sum("support")
     weighted = lambda c: ratio(F.sum(F.col(c) * F.col("support")), s).alias(f"weighted_{c}")
     return m.agg(F.coalesce(s, F.lit(0)).alias("rows"), ratio(F.sum("tp"), s).alias("accuracy"), *[F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")], *[weighted(c) for c in ("precision", "recall", "f1")])
 
 
-def confusion(df: DataFrame, true: str = "true_label", pred: str = "predicted_label") -> DataFrame:
-    """Dense (true_label, predicted_label, n) over all labels seen; the label set is small."""
+def confusion(df: DataFrame, true: str = "true_label", pred: str = "predicted_label", labels: list[str] | None = None) -> DataFrame:
+    """Dense (true_label, predicted_label, n) over all labels seen and given; the label set is small."""
     c = pair_counts(df, true, pred)
+    if labels:
+        c = c.union(df.sparkSession.createDataFrame([(x, x, 0) for x in labels], "t string, p string, n bigint")).groupBy("t", "p").agg(F.sum("n").alias("n"))
     labels = c.select(F.col("t").alias("label")).union(c.select("p")).distinct()
     grid = labels.select(F.col("label").alias("t"), F.lit(1).alias("k")).join(labels.select(F.col("label").alias("p"), F.lit(1).alias("k")), "k").drop("k")
     return grid.join(c, ["t", "p"], "left").select(F.col("t").alias("true_label"), F.col("p").alias("predicted_label"), F.coalesce("n", F.lit(0)).alias("n"))

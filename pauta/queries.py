@@ -856,6 +856,9 @@ def _texts(spark, d) -> DataFrame:
     return m.select("id", text.alias("text"), X.label_key(F.col("label")).alias("label")).dropDuplicates(["id"])
 
 
+MODELS = ["logistic_regression", "naive_bayes", "decision_tree"]
+
+
 @query()
 def model_folds(spark, d):
     """Accuracy and F1 of the Bayes model in each of three folds, everything fitted anew."""
@@ -867,8 +870,7 @@ def model_consensus(spark, d):
     """Confusion counts of the three models' majority on a stratified test part."""
     parts = cut_lineage(splits.stratified_split(_texts(spark, d), "id", "label"))
     train, test = parts.where("part = 'train'"), parts.where("part = 'test'")
-    kinds = {"lr": "logistic_regression", "nb": "naive_bayes", "dt": "decision_tree"}
-    both = ml.consensus({k: ml.predict(ml.fit(train, v), test, "id") for k, v in kinds.items()}, "id")
+    both = ml.consensus_of(ml.fit_all(train, MODELS), test, "id")
     return metrics.confusion(test.select("id", F.col("label").alias("true_label")).join(both.select("id", F.col("intent").alias("predicted_label")), "id"))
 
 
@@ -883,14 +885,8 @@ def generated_mails(spark, d):
 def model_metrics(spark, d):
     """Accuracy, macro and weighted F1 of three models on a stratified test part."""
     parts = cut_lineage(splits.stratified_split(_texts(spark, d), "id", "label"))
-    train, test = parts.where("part = 'train'"), parts.where("part = 'test'")
-    truth = test.select("id", F.col("label").alias("true_label"))
-    out = None
-    for kind in ("logistic_regression", "naive_bayes", "decision_tree"):
-        p = ml.predict(ml.fit(train, kind), test, "id")
-        one = metrics.summary_metrics(truth.join(p, "id")).select(F.lit(kind).alias("model"), "rows", "accuracy", "macro_f1", "weighted_f1")
-        out = one if out is None else out.union(one)
-    return _rounded(out)
+    models = ml.fit_all(parts.where("part = 'train'"), MODELS)
+    return _rounded(ml.evaluate(models, parts.where("part = 'test'"), "id").select("model", "rows", "accuracy", "macro_f1", "weighted_f1"))
 
 
 # ---------------------------------------------------------------- questions and answers

@@ -113,6 +113,30 @@ def test_model_tables(spark, labelled):
     assert both.where("intent <> lr").count() == 0
 
 
+def test_models_together(spark, labelled):
+    models = ml.fit_all(labelled, ["logistic_regression", "naive_bayes", "decision_tree"], size=100)
+    apart = {k: {r["id"]: r["predicted_label"] for r in ml.predict(m, labelled, "id").collect()} for k, m in models.items()}
+    both = ml.predict_all(models, labelled, "id").collect()
+    assert all(r[k]["predicted_label"] == apart[k][r["id"]] for r in both for k in models)
+    rows = {r["model"]: r for r in ml.evaluate(models, labelled, "id").collect()}
+    right = {r["id"]: r["label"] for r in labelled.collect()}
+    for k in models:
+        assert rows[k]["rows"] == 100 and math.isclose(rows[k]["accuracy"], sum(right[i] == p for i, p in apart[k].items()) / 100)
+    top = ml.top_labels(ml.predict(models["naive_bayes"], labelled, "id"), "id", 2).collect()
+    assert len(top) == 200 and all(r["label"] == apart["naive_bayes"][r["id"]] for r in top if r["rank"] == 1)
+    terms = [r["term"] for r in ml.feature_importance(models["decision_tree"], 5, spark).collect()]
+    assert terms and all("assunto 0" != t for t in terms)
+
+
+def test_folds_and_grid(spark, labelled):
+    folds = ml.cross_validate(labelled, "naive_bayes", "id", k=2)
+    summary = {r["metric"]: (r["mean"], r["std"]) for r in ml.fold_summary(folds).collect()}
+    got = [r["accuracy"] for r in folds.collect()]
+    assert set(summary) == set(ml.FOLD_METRICS) and math.isclose(summary["accuracy"][0], sum(got) / 2)
+    grid = ml.grid_search(labelled, "naive_bayes", "id", [{"smoothing": 1.0}, {"smoothing": 1000.0}], k=2).collect()
+    assert [r["rank"] for r in grid] == [1, 2] and grid[0]["mean"] >= grid[1]["mean"]
+
+
 GOLD = readers.GOLD
 
 
