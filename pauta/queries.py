@@ -13,7 +13,7 @@ from pauta.functions import spans as S
 from pauta.functions import temporal as N
 from pauta.functions import text as X
 from pauta.operators import annotate, anonymize, arguments, errors, metrics, ml, qa, splits, validate
-from pauta.operators.triggers import PHRASES, trigger
+from pauta.operators.triggers import PATTERNS, PHRASES, trigger
 from pauta.plans import pipelines
 from pauta.sources import generate
 from pauta.timestamps import LISBON, instants, zone_violations
@@ -32,6 +32,9 @@ def query(sql: str | None = None):
     return add
 
 
+_LABEL = "regexp_replace(regexp_replace(strip_accents(lower(trim(coalesce({0}, '')))), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
+
+
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
@@ -184,7 +187,25 @@ def span_hints(spark, d):
     return _mails(spark, d, "body").select("id", F.explode(arguments.hint_spans(F.coalesce("body", F.lit("")))).alias("s")).select("id", "s.*")
 
 
-@query()
+def _trigger_sql() -> str:
+    """The phrases and patterns as one CASE an intent; word borders as classes of letters, as the SQL's ``\\b`` knows ASCII only."""
+    edge, word = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
+    quote = lambda x: x.replace("'", "''")
+    cases = []
+    for intent in PHRASES:
+        tried = []
+        for p in sorted(dict.fromkeys(PHRASES[intent]), key=len, reverse=True):
+            tried.append(f"WHEN regexp_matches(t, '{edge}{quote(p)}{word}') THEN 'exact|{quote(p)}'")
+        for p in PATTERNS[intent]:
+            core = p.removeprefix(r"\b").removesuffix(r"\b")
+            guard = f"(?i){edge}({core})" + (word if p.endswith(r"\b") else "")
+            tried.append(f"WHEN regexp_matches(t, '{quote(guard)}') THEN 'regex|' || regexp_extract(t, '{quote(guard)}', 1)")
+        cases.append(f"WHEN '{intent}' THEN CASE {' '.join(tried)} END")
+    folded = r"regexp_replace(translate(lower(regexp_replace(body, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), 'ãõç', 'aoc'), '[\s\p{Z}]+', ' ', 'g')"
+    return f"WITH m AS (SELECT DISTINCT id, body, label FROM dataset), x AS (SELECT id, {folded} AS t, {_LABEL.format('label')} AS intent FROM m), f AS (SELECT id, CASE intent {' '.join(cases)} END AS found FROM x) SELECT id, nullif(split_part(found, '|', 2), '') AS trigger, nullif(split_part(found, '|', 1), '') AS method FROM f"
+
+
+@query(_trigger_sql())
 def extract_triggers(spark, d):
     t = trigger(F.col("body"), X.label_key(F.col("label")))
     return _mails(spark, d, "body", "label").withColumn("t", t).select("id", "t.trigger", "t.method")
@@ -263,70 +284,32 @@ def anonymize_counts(spark, d):
 
 _REF = "try_cast(regexp_replace(sent_datetime, '(?:Z|[+-][0-9]{2}:?[0-9]{2})$', '') AS TIMESTAMP)"
 _EXPR = r"trim(regexp_replace(lower(strip_accents(coalesce(time_expression, ''))), '\s+', ' ', 'g'))"
-_CLOCK = r"regexp_extract(e, '([0-9]{1,2})(?:h([0-9]{2})?|:([0-9]{1,2}))$', 1)"
-_MINUTE = r"coalesce(nullif(regexp_extract(e, '([0-9]{1,2})(?:h([0-9]{2})?|:([0-9]{1,2}))$', 2), ''), nullif(regexp_extract(e, '([0-9]{1,2})(?:h([0-9]{2})?|:([0-9]{1,2}))$', 3), ''), '0')"
-_TEMPORAL = f"WITH a AS (SELECT DISTINCT id, {_EXPR} AS e, {_REF} AS r FROM dataset), "
-
-
-def _temporal(spark, d, where: str) -> DataFrame:
-    m = _mails(spark, d, "time_expression", "sent_datetime").withColumn("e", X.plain_key(F.coalesce("time_expression", F.lit(""))))
-    n = N.normalize(F.col("time_expression"), N.parse_reference(F.col("sent_datetime")))
-    return m.where(F.col("e").rlike(where)).withColumn("n", n).where("n is not null")
-
-
-@query(
-    _TEMPORAL
-    + rf"""b AS (SELECT id, r, regexp_extract(e, '^(segunda|terca|quarta|quinta|sexta|sabado|domingo)', 1) AS w, CAST({_CLOCK} AS INT) AS h, CAST({_MINUTE} AS INT) AS m FROM a
-WHERE r IS NOT NULL AND regexp_matches(e, '^(segunda|terca|quarta|quinta|sexta|sabado|domingo) as [0-9]{{1,2}}(h([0-9]{{2}})?|:[0-9]{{2}})$')),
-c AS (SELECT *, CASE w WHEN 'segunda' THEN 0 WHEN 'terca' THEN 1 WHEN 'quarta' THEN 2 WHEN 'quinta' THEN 3 WHEN 'sexta' THEN 4 WHEN 'sabado' THEN 5 ELSE 6 END - (isodow(r) - 1) AS ahead FROM b),
-e AS (SELECT id, CAST(date_trunc('day', r) AS TIMESTAMP) + to_days(CAST(CASE WHEN ahead < 0 THEN ahead + 7 WHEN ahead = 0 THEN CASE WHEN h * 3600 + m * 60 > hour(r) * 3600 + minute(r) * 60 + second(r) THEN 0 ELSE 7 END ELSE ahead END AS INT)) + to_minutes(h * 60 + m) AS t FROM c)
-SELECT id, strftime(t, '%Y-%m-%dT%H:%M:%S') AS value FROM e"""
-)
-def temporal_weekday(spark, d):
-    w = r"^(segunda|terca|quarta|quinta|sexta|sabado|domingo) as [0-9]{1,2}(h([0-9]{2})?|:[0-9]{2})$"
-    return _temporal(spark, d, w).select("id", "n.datetime").withColumnRenamed("datetime", "value")
-
-
-@query(
-    _TEMPORAL
-    + rf"""b AS (SELECT id, r, CAST(regexp_extract(e, '^dia ([0-9]{{1,2}})', 1) AS INT) AS n, CAST({_CLOCK} AS INT) AS h, CAST({_MINUTE} AS INT) AS m FROM a WHERE r IS NOT NULL AND regexp_matches(e, '^dia [0-9]{{1,2}} as [0-9]{{1,2}}(h([0-9]{{2}})?|:[0-9]{{2}})$')),
-c AS (SELECT b.id, b.r, try_cast(strftime(date_trunc('month', r) + to_months(CAST(k AS INT)), '%Y-%m-') || lpad(CAST(n AS VARCHAR), 2, '0') AS TIMESTAMP) + to_minutes(h * 60 + m) AS t FROM b, range(13) x(k))
-SELECT id, strftime(min(t), '%Y-%m-%dT%H:%M:%S') AS value FROM c WHERE t > r GROUP BY id, r"""
-)
-def temporal_day_of_month(spark, d):
-    return _temporal(spark, d, r"^dia [0-9]{1,2} as [0-9]{1,2}(h([0-9]{2})?|:[0-9]{2})$").select("id", F.col("n.datetime").alias("value"))
-
-
-@query(
-    _TEMPORAL
-    + rf"""b AS (SELECT id, CAST(date_trunc('day', r) AS TIMESTAMP) + to_days(CASE WHEN e LIKE 'depois de amanha%' THEN 2 WHEN e LIKE 'amanha%' THEN 1 WHEN e LIKE 'ontem%' THEN -1 ELSE 0 END) + to_minutes(CAST({_CLOCK} AS INT) * 60 + CAST({_MINUTE} AS INT)) AS t FROM a
-WHERE r IS NOT NULL AND regexp_matches(e, '^(depois de amanha|amanha|hoje|ontem) as [0-9]{{1,2}}(h([0-9]{{2}})?|:[0-9]{{2}})$'))
-SELECT id, strftime(t, '%Y-%m-%dT%H:%M:%S') AS value FROM b"""
-)
-def temporal_relative_day(spark, d):
-    return _temporal(spark, d, r"^(depois de amanha|amanha|hoje|ontem) as [0-9]{1,2}(h([0-9]{2})?|:[0-9]{2})$").select("id", F.col("n.datetime").alias("value"))
+_MONTHS_SQL = "['janeiro', 'fevereiro', 'marco', 'abril', 'maio', 'junho', 'julho', 'agosto', 'setembro', 'outubro', 'novembro', 'dezembro']"
+_DAYS_SQL = "['segunda', 'terca', 'quarta', 'quinta', 'sexta', 'sabado', 'domingo']"
+_CLOCK = "'([0-9]{1,2})(?:h([0-9]{2})?|:([0-9]{2}))$'"
+#: The notations of the tables' expressions, written anew as relational rules: a day (date, day of the month, weekday,
+#: relative day, next week, days from now) and a clock time or a part of the day; all else is unknown.
+_TEMPORAL = f"""WITH a AS (SELECT DISTINCT id, {_EXPR} AS e, {_REF} AS r FROM dataset),
+b AS (SELECT *, CAST(r AS DATE) AS today, try_cast(regexp_extract(e, {_CLOCK}, 1) AS INT) AS h, coalesce(try_cast(regexp_extract(e, {_CLOCK}, 2) AS INT), try_cast(regexp_extract(e, {_CLOCK}, 3) AS INT), 0) AS m, CASE WHEN e LIKE '% de manha' THEN [360, 720] WHEN e LIKE '% a tarde' THEN [720, 1080] END AS part,
+ try_cast(regexp_extract(e, '^dia ([0-9]{{1,2}})\\b', 1) AS INT) AS n, list_position({_MONTHS_SQL}, regexp_extract(e, '^dia [0-9]{{1,2}} de ([a-z]+)\\b', 1)) AS k, regexp_extract(e, '^(segunda|terca|quarta|quinta|sexta|sabado|domingo)(-feira)?\\b', 0) AS w, regexp_extract(e, '^(hoje|amanha|depois de amanha|ontem)\\b', 1) AS rel, try_cast(regexp_extract(e, '^daqui a ([0-9]+) dias?\\b', 1) AS INT) AS ahead FROM a),
+c AS (SELECT *, CASE WHEN h < 24 AND m < 60 THEN h * 60 + m END AS clock, try_cast(year(r) || '-' || lpad(CAST(k AS VARCHAR), 2, '0') || '-' || lpad(CAST(n AS VARCHAR), 2, '0') AS DATE) AS named, CASE WHEN w <> 'terca-feira' THEN list_position({_DAYS_SQL}, replace(w, '-feira', '')) - isodow(r) END AS off FROM b),
+d AS (SELECT *, (SELECT min(t) FROM (SELECT try_cast(strftime(date_trunc('month', c.today) + to_months(CAST(i AS INT)), '%Y-%m-') || lpad(CAST(c.n AS VARCHAR), 2, '0') AS DATE) AS t FROM range(13) x(i)) WHERE CASE WHEN c.clock IS NULL THEN t >= c.today ELSE CAST(t AS TIMESTAMP) + to_minutes(c.clock) > c.r END) AS next_day, today + CAST(CASE WHEN off < 0 THEN off + 7 WHEN off > 0 THEN off WHEN clock * 60 > epoch(r) - epoch(today) THEN 0 ELSE 7 END AS INT) AS on_weekday FROM c),
+f AS (SELECT *, CASE WHEN r IS NULL THEN NULL WHEN named IS NOT NULL THEN 'named' WHEN next_day IS NOT NULL THEN 'month' WHEN off IS NOT NULL AND part IS NOT NULL AND clock IS NULL THEN 'weekday_part' WHEN rel <> '' THEN 'relative' WHEN e LIKE 'na proxima semana%' THEN 'week' WHEN ahead IS NOT NULL THEN 'ahead' WHEN off IS NOT NULL THEN 'weekday' WHEN clock IS NOT NULL THEN 'clock' ELSE 'unknown' END AS rule FROM d),
+g AS (SELECT *, CASE rule WHEN 'named' THEN named WHEN 'month' THEN next_day WHEN 'weekday_part' THEN on_weekday WHEN 'weekday' THEN on_weekday WHEN 'relative' THEN today + CASE rel WHEN 'hoje' THEN 0 WHEN 'amanha' THEN 1 WHEN 'ontem' THEN -1 ELSE 2 END WHEN 'ahead' THEN today + ahead WHEN 'clock' THEN today WHEN 'week' THEN CAST(date_trunc('week', today) AS DATE) + 7 END AS day, CASE WHEN rule IN ('named', 'month', 'weekday_part', 'relative') THEN part END AS used FROM f),
+o AS (SELECT *, CASE WHEN rule IS NULL THEN NULL WHEN rule = 'week' OR (used IS NOT NULL AND clock IS NULL) THEN 'interval' WHEN rule = 'clock' THEN 'time' WHEN rule = 'unknown' THEN 'unknown' WHEN clock IS NOT NULL THEN 'datetime' WHEN rule IN ('relative', 'ahead') THEN 'relative' WHEN rule IS NOT NULL THEN 'date' END AS type FROM g) """
 
 
 @query(
     _TEMPORAL
-    + rf"""b AS (SELECT id, CAST(date_trunc('day', r + to_days(CAST(regexp_extract(e, '^daqui a ([0-9]+)', 1) AS INT))) AS TIMESTAMP) + to_minutes(CAST({_CLOCK} AS INT) * 60 + CAST({_MINUTE} AS INT)) AS t FROM a
-WHERE r IS NOT NULL AND regexp_matches(e, '^daqui a [0-9]+ dias? as [0-9]{{1,2}}(h([0-9]{{2}})?|:[0-9]{{2}})$'))
-SELECT id, strftime(t, '%Y-%m-%dT%H:%M:%S') AS value FROM b"""
+    + """SELECT id, type, CASE WHEN rule = 'week' THEN strftime(day, '%Y-%m-%dT00:00:00') || '/' || strftime(day + 6, '%Y-%m-%dT23:59:59') WHEN type = 'interval' THEN strftime(CAST(day AS TIMESTAMP) + to_minutes(used[1]), '%Y-%m-%dT%H:%M:%S') || '/' || strftime(CAST(day AS TIMESTAMP) + to_minutes(used[2]), '%Y-%m-%dT%H:%M:%S')
+WHEN type IN ('datetime', 'time') THEN strftime(CAST(day AS TIMESTAMP) + to_minutes(clock), '%Y-%m-%dT%H:%M:%S') WHEN type IN ('date', 'relative') THEN strftime(day, '%Y-%m-%d') END AS canonical,
+CASE WHEN rule = 'week' THEN 'week' WHEN type = 'interval' THEN 'time_of_day' WHEN type = 'datetime' THEN 'exact' WHEN type = 'time' THEN 'time_only' WHEN type = 'unknown' THEN '' WHEN type IS NOT NULL THEN 'day' END AS precision,
+CAST(CASE rule WHEN 'named' THEN 0.95 WHEN 'month' THEN 0.88 WHEN 'weekday_part' THEN 0.75 WHEN 'relative' THEN 0.85 WHEN 'week' THEN 0.75 WHEN 'ahead' THEN 0.9 WHEN 'weekday' THEN 0.9 WHEN 'clock' THEN 0.8 WHEN 'unknown' THEN 0.0 END AS DOUBLE) AS confidence FROM o"""
 )
-def temporal_offset(spark, d):
-    return _temporal(spark, d, r"^daqui a [0-9]+ dias? as [0-9]{1,2}(h([0-9]{2})?|:[0-9]{2})$").select("id", F.col("n.datetime").alias("value"))
-
-
-@query(
-    _TEMPORAL
-    + r"""b AS (SELECT id, r, e, CAST(regexp_extract(e, '([0-9]{1,2}) de', 1) AS INT) AS n, list_position(['janeiro','fevereiro','marco','abril','maio','junho','julho','agosto','setembro','outubro','novembro','dezembro'], regexp_extract(e, 'de ([a-z]+)', 1)) AS k FROM a
-WHERE r IS NOT NULL AND regexp_matches(e, '^(dia )?[0-9]{1,2} de [a-z]+ (de manha|a tarde)$')),
-c AS (SELECT id, e, try_cast(year(r) || '-' || lpad(CAST(k AS VARCHAR), 2, '0') || '-' || lpad(CAST(n AS VARCHAR), 2, '0') AS TIMESTAMP) AS t FROM b)
-SELECT id, CASE WHEN e LIKE '%de manha' THEN strftime(t, '%Y-%m-%dT06:00:00') || '/' || strftime(t, '%Y-%m-%dT12:00:00') ELSE strftime(t, '%Y-%m-%dT12:00:00') || '/' || strftime(t, '%Y-%m-%dT18:00:00') END AS value FROM c WHERE t IS NOT NULL"""
-)
-def temporal_explicit_period(spark, d):
-    out = _temporal(spark, d, r"^(dia )?[0-9]{1,2} de [a-z]+ (de manha|a tarde)$")
-    return out.where("n.precision = 'time_of_day' and n.confidence = 0.95").select("id", N.canonical(F.col("n")).alias("value"))
+def temporal_normalize(spark, d):
+    """Every expression of the largest table against its mail's date."""
+    n = N.normalize(F.col("time_expression"), N.parse_reference(F.col("sent_datetime")))
+    return _mails(spark, d, "time_expression", "sent_datetime").withColumn("n", n).select("id", "n.type", N.canonical(F.col("n")).alias("canonical"), "n.precision", "n.confidence")
 
 
 @query(
@@ -338,12 +321,6 @@ def temporal_week_month(spark, d):
     return _read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), say("esta semana").alias("this_week"), say("próximo mês").alias("next_month"), say("fim da semana").alias("week_end")).distinct()
 
 
-@query()
-def temporal_normalize(spark, d):
-    n = N.normalize(F.col("time_expression"), N.parse_reference(F.col("sent_datetime")))
-    return _mails(spark, d, "time_expression", "sent_datetime").withColumn("n", n).select("id", "n.type", N.canonical(F.col("n")).alias("canonical"), "n.precision", "n.confidence")
-
-
 @query(
     """SELECT DISTINCT id, strftime(coalesce(try_cast(regexp_replace(sent_datetime, '(?:Z|[+-][0-9]{2}:?[0-9]{2})$', '') AS TIMESTAMP), try_cast(regexp_replace(time_expression, '(?:Z|[+-][0-9]{2}:?[0-9]{2})$', '') AS TIMESTAMP)), '%Y-%m-%dT%H:%M:%S') AS reference FROM dataset"""
 )
@@ -354,7 +331,6 @@ def temporal_reference(spark, d):
 
 # ---------------------------------------------------------------- joins
 
-_LABEL = "regexp_replace(regexp_replace(strip_accents(lower(trim(coalesce({0}, '')))), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
 _L, _I = _LABEL.format("label"), _LABEL.format("intent")
 
 
@@ -666,19 +642,10 @@ def score_stats(spark, d):
 
 
 @query(
-    r"""WITH c AS (SELECT DISTINCT id, array_to_string(regexp_extract_all(strip_accents(lower(coalesce(gold_topic, ''))), '[a-z0-9]+'), ' ') AS g, array_to_string(regexp_extract_all(strip_accents(lower(coalesce(regexp_extract(subject, '(?i)reunião (?:sobre|d[aeo]s?) (.+)$', 1), ''))), '[a-z0-9]+'), ' ') AS p FROM topic_extraction_holdout WHERE NOT regexp_matches(coalesce(gold_topic, ''), '[^ -~À-ÿ]'))
-SELECT count(*) AS cases, count_if(g = '' AND p <> '') AS spurious, count_if(g <> '' AND p = '') AS missed, round(avg(CASE WHEN g = p THEN 1.0 ELSE 0.0 END), 6) AS exact FROM c"""
+    r"""WITH c AS (SELECT DISTINCT id, array_to_string(regexp_extract_all(strip_accents(lower(translate(coalesce(gold_topic, ''), 'ªº²³¹', 'ao231'))), '[a-z0-9]+'), ' ') AS g, array_to_string(regexp_extract_all(strip_accents(lower(translate(coalesce(regexp_extract(subject, '(?i)reunião (?:sobre|d[aeo]s?) (.+)$', 1), ''), 'ªº²³¹', 'ao231'))), '[a-z0-9]+'), ' ') AS p FROM topic_extraction_holdout)
+SELECT count(*) AS cases, CAST(count_if(g = '' AND p <> '') AS BIGINT) AS spurious, CAST(count_if(g <> '' AND p = '') AS BIGINT) AS missed, round(avg(CASE WHEN g = p THEN 1.0 ELSE 0.0 END), 6) AS exact FROM c"""
 )
 def topic_detection(spark, d):
-    c = _read(spark, d, "topic_extraction_holdout").where(~F.coalesce("gold_topic", F.lit("")).rlike("[^ -~À-ÿ]"))
-    said = F.regexp_extract("subject", r"(?iU)reunião (?:sobre|d[aeo]s?) (.+)$", 1)
-    m = metrics.topic_metrics(c.select("id", F.col("gold_topic").alias("gold"), F.coalesce(said, F.lit("")).alias("predicted")).distinct())
-    return m.select("cases", "spurious", "missed", F.round("exact", 6).alias("exact"))
-
-
-@query()
-def topic_detection_all(spark, d):
-    """``topic_detection`` over every case, those included whose topics the SQL can't fold."""
     c = _read(spark, d, "topic_extraction_holdout")
     said = F.regexp_extract("subject", r"(?iU)reunião (?:sobre|d[aeo]s?) (.+)$", 1)
     m = metrics.topic_metrics(c.select("id", F.col("gold_topic").alias("gold"), F.coalesce(said, F.lit("")).alias("predicted")).distinct())

@@ -13,7 +13,7 @@ def test_topics_of_all_cases(spark, tmp_path):
         (5, "Reunião de equipa", None),
     ]
     spark.createDataFrame(rows, "id bigint, subject string, gold_topic string").write.parquet(f"{tmp_path}/topic_extraction_holdout.parquet")
-    got = QUERIES["topic_detection_all"](spark, str(tmp_path)).first()
+    got = QUERIES["topic_detection"](spark, str(tmp_path)).first()
     assert (got["cases"], got["spurious"], got["missed"]) == (5, 1, 1)
 
 
