@@ -127,6 +127,18 @@ SQL: dict[str, str] = {
     "p1_found": f"""WITH t AS (SELECT DISTINCT id, lower(trim(split)) AS split, {_WORDS.format("coalesce(body, '')")} AS w FROM topic_extraction_holdout WHERE lower(trim(split)) IN ('train', 'dev', 'holdout')),
 g AS ({_TRIGRAMS} AND len(w) >= 15), {_PAIRS} SELECT x AS id_a, y AS id_b FROM p JOIN t a ON a.id = x JOIN t b ON b.id = y WHERE (a.split = 'train') <> (b.split = 'train')""",
     "p3_found": f"""WITH t AS (SELECT DISTINCT id, {_WORDS.format("coalesce(subject, '') || ' ' || coalesce(body, '')")} AS w FROM dataset), g AS ({_TRIGRAMS} AND len(w) >= 30), {_PAIRS} SELECT x AS id_a, y AS id_b FROM p""",
+    "p1_links": f"""WITH t AS (SELECT DISTINCT id, lower(trim(split)) = 'train' AS train, coalesce(body, '') AS body, {_WORDS.format("coalesce(body, '')")} AS w FROM topic_extraction_holdout WHERE lower(trim(split)) IN ('train', 'dev', 'holdout')), h AS (SELECT train, body, min(id) AS id, count(DISTINCT id) AS n, any_value(w) AS w FROM t WHERE len(w) >= 15 GROUP BY 1, 2),
+g AS (SELECT DISTINCT id, train, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM h, range(1, 3000) r(i) WHERE i <= len(w) - 2), s AS (SELECT id, train, count(*) AS n FROM g GROUP BY 1, 2), c AS (SELECT a.id AS x, b.id AS y, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.train AND NOT b.train GROUP BY 1, 2)
+SELECT x AS train_id, y AS eval_id, p.n AS train_records, q.n AS eval_records, round(k / (a.n + b.n - k), 6) AS resemblance, round(k / b.n, 6) AS containment FROM c JOIN s a ON a.id = x AND a.train JOIN s b ON b.id = y AND NOT b.train JOIN h p ON p.id = x AND p.train JOIN h q ON q.id = y AND NOT q.train WHERE 3 * k >= a.n + b.n""",
+    "p1_report": f"""WITH t AS (SELECT DISTINCT id, lower(trim(split)) AS split, source, {_WORDS.format("coalesce(body, '')")} AS w FROM topic_extraction_holdout WHERE lower(trim(split)) IN ('train', 'dev', 'holdout')), g AS (SELECT DISTINCT id, split = 'train' AS train, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM t, range(1, 3000) r(i) WHERE i <= len(w) - 2 AND len(w) >= 15),
+s AS (SELECT id, train, count(*) AS n FROM g GROUP BY 1, 2), c AS (SELECT a.id AS x, b.id AS y, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.train AND NOT b.train GROUP BY 1, 2), p AS (SELECT y, 3 * k >= a.n + b.n AS near, CASE WHEN 5 * k >= 4 * b.n THEN k / b.n END AS held FROM c JOIN s a ON a.id = x AND a.train JOIN s b ON b.id = y AND NOT b.train),
+e AS (SELECT y AS id, bool_or(near) AS near, max(held) AS held FROM p GROUP BY 1) SELECT split, source, count(*) AS records, CAST(count_if(coalesce(near, false)) AS BIGINT) AS leaked, count(held) AS contained, round(avg(held), 6) AS mean_containment FROM (SELECT DISTINCT id, split, source FROM t WHERE split <> 'train') LEFT JOIN e USING (id) GROUP BY 1, 2""",
+    "p3_links": f"""WITH m AS (SELECT id, coalesce(subject, '') || ' ' || coalesce(body, '') AS text FROM dataset), h AS (SELECT text, min(id) AS id FROM m GROUP BY 1), t AS (SELECT id, {_WORDS.format("text")} AS w FROM h), g AS ({_TRIGRAMS} AND len(w) >= 30), s AS (SELECT id, count(*) AS n FROM g GROUP BY id), c AS (SELECT a.id AS x, b.id AS y, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
+SELECT x AS class_a, y AS class_b, round(k / (a.n + b.n - k), 6) AS resemblance FROM c JOIN s a ON a.id = x JOIN s b ON b.id = y WHERE 3 * k >= a.n + b.n""",
+    "p3_groups": f"""WITH RECURSIVE m AS (SELECT DISTINCT id, coalesce(subject, '') || ' ' || coalesce(body, '') AS text FROM dataset), h AS (SELECT text, min(id) AS id FROM m GROUP BY 1), t AS (SELECT id, {_WORDS.format("text")} AS w FROM h), g AS ({_TRIGRAMS} AND len(w) >= 30), s AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+c AS (SELECT a.id AS x, b.id AS y, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2), p AS (SELECT x, y FROM c JOIN s a ON a.id = x JOIN s b ON b.id = y WHERE 3 * k >= a.n + b.n), e AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p), own AS (SELECT m.id, h.id AS class_id FROM m JOIN h USING (text) JOIN s ON s.id = h.id),
+reach(id, other) AS (SELECT x, x FROM e UNION SELECT r.id, e.y FROM reach r JOIN e ON e.x = r.other), groups AS (SELECT id, min(other) AS group_id FROM reach GROUP BY 1), links AS (SELECT x AS id, count(*) AS links FROM e GROUP BY 1), copies AS (SELECT class_id FROM own GROUP BY 1 HAVING count(*) > 1)
+SELECT own.id, own.class_id, coalesce(group_id, own.class_id) AS group_id, coalesce(links, 0) AS links FROM own LEFT JOIN groups ON groups.id = own.class_id LEFT JOIN links ON links.id = own.class_id WHERE links IS NOT NULL OR own.class_id IN (SELECT class_id FROM copies)""",
     "p4_check": "SELECT count(DISTINCT id) AS records, CAST(0 AS BIGINT) AS divided_groups, true AS shares_met FROM test_dataset WHERE id IS NOT NULL",
     "p8_found": f"""WITH t AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents), b AS (SELECT item_id, {_WORDS.format("text")} AS w FROM benchmark),
 d AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 11], ' ') AS g FROM t, range(1, 100000) r(i) WHERE i <= len(w) - 11), e AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM b, range(1, 1000) r(i) WHERE i <= len(w) - 11) SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (g)""",
