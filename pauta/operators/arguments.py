@@ -42,7 +42,7 @@ GENERIC = [
     "agendamento", "cancelamento", "confirmacao", "disponibilidade", "informacao", "marcacao", "pedido", "ponto de situacao", "processo", "remarcacao", "reuniao", "reuniao confirmada", "assunto", "esse assunto", "este assunto",
     "aquilo", "consigo", "isso", "isto",
 ]
-_CAPTURE = r"([A-Za-zÀ-ÖØ-öø-ÿ0-9][^,.;?!\n]{0,160}?)(?=\s+(?:para|em|no|na|às|as|pelas|fica|ficou|vai|sera|será|quando|ate|até)\b|[,.;?!\n]|$)"
+CAPTURE = r"([A-Za-zÀ-ÖØ-öø-ÿ0-9][^,.;?!\n]{0,160}?)(?=\s+(?:para|em|no|na|às|as|pelas|fica|ficou|vai|sera|será|quando|ate|até)\b|[,.;?!\n]|$)"
 TOPIC_BODY = [
     r"\breuni(?:ao|ão)\s+(?:sobre|relacionad[ao]\s+com)\s+", r"\b(?:falar(?:mos)?|conversar(?:mos)?)\s+(?:consigo\s+)?(?:sobre|acerca\s+(?:de|do|da|dos|das))\s+",
     r"\b(?:discutir(?:mos)?|abordar(?:mos)?|rever(?:mos)?|analisar(?:mos)?|avaliar(?:mos)?|debater(?:mos)?)\s+(?:consigo\s+)?(?:o\s+tema\s+de\s+)?",
@@ -58,7 +58,7 @@ ONLY_TIME_OR_PLACE = r"(?iU)^(?:(?:hoje|amanha|amanhã|ontem|segunda|terca|terç
 _LONG_MONTH = "(?:janeiro|fevereiro|mar[çc]o|abril|maio|junho|julho|agosto|setembro|outubro|novembro|dezembro)"
 _CLOCK = r"(?:\s+(?:às|as|pelas)\s+\d{1,2}(?:h\d{0,2}|:\d{2}|\s+horas?))?\b"
 _DAYS = "segunda|ter[çc]a|quarta|quinta|sexta|s[áa]bado|domingo"
-_HINTS = compiled([
+HINTS = [
     rf"\bdia\s+\d{{1,2}}(?:\s+de\s+{_LONG_MONTH})?{_CLOCK}",
     rf"\b\d{{1,2}}\s+de\s+{_LONG_MONTH}(?:\s+de\s+\d{{4}})?{_CLOCK}",
     rf"\b\d{{1,2}}[/-]\d{{1,2}}(?:[/-]\d{{2,4}})?{_CLOCK}",
@@ -66,12 +66,13 @@ _HINTS = compiled([
     r"\b(?:durante\s+a\s+manh[ãa]|ao\s+final\s+do\s+dia|depois\s+de\s+almo[çc]o|depois\s+da\s+aula|antes\s+do\s+semin[áa]rio|mais\s+logo)\b",
     rf"\b(?:daqui\s+a|dentro\s+de|em)\s+\d+\s+(?:dias?|semanas?|horas?){_CLOCK}",
     r"\b(?:às|as|pelas)?\s*\d{1,2}(?:h\d{0,2}|:\d{2}|\.\d{2}|\s+horas?)\b",
-])
+]
+_HINTS = compiled(HINTS)
 
 _TIMES = [(re.compile(p, re.IGNORECASE), f"regex_{kind}") for kind, ps in TIME_SPANS.items() for p in ps]
 _PLACES = compiled(PLACE_SPANS)
 _EMAIL = compiled([EMAIL])[0]
-_BODY, _SUBJECT = compiled([p + _CAPTURE for p in TOPIC_BODY]), compiled(TOPIC_SUBJECT)
+_BODY, _SUBJECT = compiled([p + CAPTURE for p in TOPIC_BODY]), compiled(TOPIC_SUBJECT)
 _EDGE = " \t\r\n-:;,.'\""
 _ABOUT = re.compile(r"^(?:sobre\s+|acerca\s+(?:de|do|da|dos|das)\s+)", re.IGNORECASE)
 _ARTICLE = re.compile(r"^(?:o|a|os|as)\s+", re.IGNORECASE)

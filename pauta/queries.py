@@ -16,6 +16,7 @@ from pauta.operators import annotate, anonymize, arguments, errors, metrics, ml,
 from pauta.operators.triggers import PATTERNS, PHRASES, trigger
 from pauta.plans import pipelines
 from pauta.sources import generate
+from pauta.span_sql import annotations_sql, spans_sql, topics_sql
 from pauta.timestamps import LISBON, instants, zone_violations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,17 +173,17 @@ def span_numbers(spark, d):
     return _mails(spark, d, "body").where("body is not null").select("id", covered.alias("covered"), F.size(m).cast("bigint").alias("n"))
 
 
-@query()
+@query(spans_sql("dataset", "id", "body", [(p, 0.9, f"regex_{kind}") for kind, ps in arguments.TIME_SPANS.items() for p in ps]))
 def span_times(spark, d):
     return _mails(spark, d, "body").select("id", F.explode(arguments.time_spans(F.coalesce("body", F.lit("")))).alias("s")).select("id", "s.*")
 
 
-@query()
+@query(spans_sql("dataset", "id", "body", [(p, 0.85, "regex_location") for p in arguments.PLACE_SPANS]))
 def span_places(spark, d):
     return _mails(spark, d, "body").select("id", F.explode(arguments.place_spans(F.coalesce("body", F.lit("")))).alias("s")).select("id", "s.*")
 
 
-@query()
+@query(spans_sql("dataset", "id", "body", [(p, 0.9, "regex_hint") for p in arguments.HINTS], first_of_a_spelling=True))
 def span_hints(spark, d):
     return _mails(spark, d, "body").select("id", F.explode(arguments.hint_spans(F.coalesce("body", F.lit("")))).alias("s")).select("id", "s.*")
 
@@ -211,7 +212,13 @@ def extract_triggers(spark, d):
     return _mails(spark, d, "body", "label").withColumn("t", t).select("id", "t.trigger", "t.method")
 
 
-@query()
+def _topics_sql(table: str, key: str, columns: str) -> str:
+    body = [("body", p + arguments.CAPTURE, 0.98) for p in arguments.TOPIC_BODY]
+    title = [("title", p, 0.9) for p in arguments.TOPIC_SUBJECT]
+    return topics_sql(table, key, columns, body + title, not_meeting=arguments.NOT_MEETING, stop=arguments.TOPIC_STOP, generic=arguments.GENERIC, no_topic=arguments.ONLY_TIME_OR_PLACE.replace("(?iU)", "(?i)"))
+
+
+@query(_topics_sql("dataset", "id", f"{_LABEL.format('label')} AS intent") + "SELECT id, topic FROM said")
 def extract_topics(spark, d):
     t = arguments.topic_spans(F.col("body"), F.col("subject"), X.label_key(F.col("label")))
     return _mails(spark, d, "body", "subject", "label").select("id", F.get(t, F.lit(0))["text"].alias("topic"))
@@ -245,7 +252,7 @@ def extract_mail_places(spark, d):
     return _mails(spark, d, "body", "label").select("id", arguments.place_of_mail(F.col("body"), X.label_key(F.col("label"))).alias("place"))
 
 
-@query()
+@query(annotations_sql("dataset", "id", annotate))
 def extract_annotations(spark, d):
     a = annotate.annotation(X.strip(F.concat_ws("\n", F.coalesce("subject", F.lit("")), F.coalesce("body", F.lit("")))))
     return _mails(spark, d, "body", "subject").select("id", a.alias("a")).select("id", "a.trigger", F.to_json("a.arguments").alias("arguments"), F.to_json("a.confidence").alias("confidence"))
@@ -652,7 +659,17 @@ def topic_detection(spark, d):
     return m.select("cases", "spurious", "missed", F.round("exact", 6).alias("exact"))
 
 
-@query()
+_FOLDED = "regexp_extract_all(strip_accents(lower(translate(coalesce({0}, ''), 'ªº²³¹', 'ao231'))), '[a-z0-9]+')"
+
+
+@query(
+    _topics_sql("topic_extraction_holdout", "id", f"subject AS given, label AS given_label, gold_topic, {_LABEL.format('label')} AS intent")
+    + f""", t AS (SELECT {_FOLDED.format("gold_topic")} AS g, {_FOLDED.format("topic")} AS p FROM said), n AS (SELECT g, p, len(g) > 0 AS pos, len(p) > 0 AS told, g = p AS same, coalesce(list_sum(list_transform(list_distinct(g), lambda x: least(len(list_filter(g, lambda y: y = x)), len(list_filter(p, lambda y: y = x))))), 0) AS c FROM t),
+k AS (SELECT *, CASE WHEN told THEN c / len(p) ELSE 0 END AS pr, c / len(g) AS re, CASE WHEN told THEN 2.0 * c / (len(p) + len(g)) ELSE 0 END AS f FROM n), q AS (SELECT count(*) AS cases, avg(CASE WHEN same THEN 1.0 ELSE 0 END) AS exact, avg(CASE WHEN pos THEN CASE WHEN same THEN 1.0 ELSE 0 END END) AS exact_positive, avg(CASE WHEN pos THEN pr END) AS token_precision, avg(CASE WHEN pos THEN re END) AS token_recall, avg(CASE WHEN pos THEN f END) AS token_f1,
+avg(CASE WHEN NOT pos THEN CASE WHEN told THEN 0.0 ELSE 1 END END) AS negative_accuracy, count_if(pos AND told) AS tp, count_if(NOT pos AND told) AS fp, count_if(pos AND NOT told) AS fn, count_if(pos) AS positives, count_if(pos AND told AND NOT same) AS different FROM k)
+SELECT cases, round(exact, 6) AS exact, round(exact_positive, 6) AS exact_positive, round(token_precision, 6) AS token_precision, round(token_recall, 6) AS token_recall, round(token_f1, 6) AS token_f1, round(negative_accuracy, 6) AS negative_accuracy, round(fp / (cases - positives), 6) AS false_positive_rate, round(tp / positives, 6) AS coverage,
+round(tp / (tp + fp), 6) AS detection_precision, round(tp / (tp + fn), 6) AS detection_recall, round(2 * tp / (2 * tp + fp + fn), 6) AS detection_f1, CAST(fn AS BIGINT) AS missed, CAST(fp AS BIGINT) AS spurious, CAST(different AS BIGINT) AS different FROM q"""
+)
 def topic_report(spark, d):
     """The topic extractor on all labelled cases."""
     c = _read(spark, d, "topic_extraction_holdout").select("id", "subject", "body", "label", "gold_topic").distinct()
