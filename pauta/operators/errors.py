@@ -53,3 +53,8 @@ def coverage(df: DataFrame, columns: list[str]) -> DataFrame:
     one = df.agg(n.alias("n"), *[F.count_if(F.size(F.coalesce(F.col(c), F.array().cast("array<string>"))) > 0).alias(f"c{i}") for i, c in enumerate(columns)])
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("filled")) for i, c in enumerate(columns)])).alias("x")
     return one.select("n", rows).select("x.column", "x.filled", F.round(ratio(F.col("x.filled"), F.col("n")), 6).alias("share"))
+
+
+def worst_answers(answers: DataFrame, n: int = 5) -> DataFrame:
+    """The ``n`` answers (id, category, predicted, reference, f1) without exact match that have the lowest F1; ties by id and category."""
+    return answers.where("exact = 0").orderBy("f1", "id", "category").limit(n)

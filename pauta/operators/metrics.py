@@ -119,6 +119,29 @@ def token_scores(predicted: Column, reference: Column) -> Column:
     return F.struct(exact.alias("exact"), score(ratio(common, F.size(p))).alias("precision"), score(ratio(common, F.size(r))).alias("recall"), score(ratio(2 * common, F.size(p) + F.size(r))).alias("f1"))
 
 
+def best_reference(predicted: Column, references: Column) -> Column:
+    """``struct<reference, exact, precision, recall, f1>`` of the reference that fits best: by exact match, F1, recall, the first of equals.
+
+    Without references the answer is compared with an empty text.
+    """
+    some = F.when(F.size(F.coalesce(references, F.array().cast("array<string>"))) > 0, references).otherwise(F.array(F.lit("")))
+
+    def scored(r: Column, i: Column) -> Column:
+        s = token_scores(predicted, r)
+        return F.struct(s["exact"].alias("exact"), s["f1"].alias("f1"), s["recall"].alias("recall"), (-i).alias("first"), s["precision"].alias("precision"), r.alias("reference"))
+
+    best = F.array_max(F.transform(some, scored))
+    return F.struct(*[best[k].alias(k) for k in ("reference", "exact", "precision", "recall", "f1")])
+
+
+def category_answer(spans: Column) -> Column:
+    """``struct<answer, confidence, valid>`` of spans: their texts joined, the mean of their confidences."""
+    kept = F.filter(spans, lambda x: strip(F.coalesce(x["text"], F.lit(""))) != "")
+    n = F.size(kept)
+    mean = ratio(F.aggregate(kept, F.lit(0.0), lambda a, x: a + F.coalesce(x["confidence"], F.lit(0.0))), n)
+    return F.struct(F.when(n > 0, F.array_join(F.transform(kept, lambda x: strip(x["text"])), "; ")).alias("answer"), F.when(n > 0, mean).otherwise(0.0).alias("confidence"), (n > 0).alias("valid"))
+
+
 def multiset_scores(predicted: Column, reference: Column) -> Column:
     """``struct<precision, recall, f1>`` on multisets of tokens given as arrays."""
     common = F.aggregate(

@@ -228,6 +228,12 @@ def fold_summary(per_fold: DataFrame) -> DataFrame:
     return long.groupBy("metric").agg(F.avg("value").alias("mean"), F.coalesce(F.stddev_pop("value"), F.lit(0.0)).alias("std"))
 
 
+def choose_folds(df: DataFrame, label: str, wanted: int) -> int:
+    """As many folds as wanted, but no more than the smallest class has rows; 0 without rows."""
+    least = df.where(F.col(label).isNotNull()).groupBy(label).count().agg(F.min("count")).first()[0]
+    return max(0, min(wanted, least or 0))
+
+
 def grid_search(df: DataFrame, kind: str, key: str, grid: list[dict], text: str = "text", label: str = "label", k: int = 3) -> DataFrame:
     """(rank, options, mean, std) of the weighted F1 over ``k`` folds of every combination of ``grid``; the best first."""
     out = None
@@ -245,4 +251,4 @@ def leaked_texts(train: DataFrame, test: DataFrame, text: str = "text") -> DataF
     return a.intersect(b)
 
 
-__all__ = ["classifier", "consensus", "consensus_of", "cross_validate", "evaluate", "feature_importance", "features", "fit", "fit_all", "fold_summary", "grid_search", "leaked_texts", "naive_bayes_table", "predict", "predict_all", "term_counts", "terms", "tfidf", "top_labels", "top_terms", "vocabulary"]
+__all__ = ["choose_folds", "classifier", "consensus", "consensus_of", "cross_validate", "evaluate", "feature_importance", "features", "fit", "fit_all", "fold_summary", "grid_search", "leaked_texts", "naive_bayes_table", "predict", "predict_all", "term_counts", "terms", "tfidf", "top_labels", "top_terms", "vocabulary"]

@@ -6,6 +6,7 @@ answer, confidence``; the fallbacks are column expressions and need no model.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,28 @@ QUESTIONS = {
     "location": "Onde é a reunião?",
     "topic": "Qual é o tema da reunião?",
 }
+#: Other ways of asking, and parts of answers that show another category.
+VARIATIONS = {
+    "participants": [
+        "Quem são as pessoas envolvidas?", "Com quem é a reunião?", "Quem vai estar presente?", "Que pessoas vão participar?", "Quem está envolvido?", "Quem mais vai estar lá?", "Há alguém mais na reunião?",
+    ],
+    "time": [
+        "A que horas é a reunião?", "Qual é a hora da reunião?", "Em que dia e hora?", "Quando nos reunimos?", "Qual é o dia?", "Qual é o horário?", "Em que altura?", "Para que horas?", "A que hora marcou?",
+        "Para que horas ficou marcada a reunião?", "Para quando é que ficou marcada?",
+    ],
+    "location": [
+        "Qual é o local da reunião?", "Em que sítio é?", "Qual é o espaço?", "Onde vamos reunir?", "Em que local?", "Para onde é?", "Qual é o endereço?", "Que sala?", "Presencial ou online?",
+    ],
+    "topic": [
+        "O que vai ser discutido?", "Qual é o assunto?", "Que se vai tratar?", "De que é que vamos falar?", "Qual é a temática?", "Qual é o tema?", "O que precisamos discutir?", "Qual é o objetivo?", "Que vamos abordar?", "vamos falar do quê?",
+    ],
+}
+WRONG_PARTS = {
+    "participants": ["reunião", "sexta", "Teams", "10h", "na sala", "o dataset", "a", "m", "amanhã", "hoje", "32", "cento e vinte e cinco"],
+    "time": ["Ana", "Teams", "dataset", "na sala", "o professor", "o professor", "online", "presencial", "a"],
+    "location": ["Ana", "sexta", "15h", "dataset", "professor"],
+    "topic": ["Ana", "sexta", "15h", "Teams"],
+}
 NOT_MEETING = ["nao_reuniao", "não_reuniao", "nao reuniao"]
 AUXILIARY = ["informacao auxiliar", "assunto", "remetente", "participante por defeito", "localizacao por defeito", "expressoes temporais normalizadas"]
 MEETING_WORDS = ["reuni", "call", "disponibilidade", "combinar", "encontro"]
@@ -34,6 +57,59 @@ def questions(mails: DataFrame, key: str = "id", context: str = "context") -> Da
     return mails.select(key, F.col(context).alias("context"), F.explode(items).alias("q")).select(key, "context", "q.category", "q.question")
 
 
+def asked(mails: DataFrame, key: str = "id", context: str = "context", *, main: bool = True, seed: int = 42) -> DataFrame:
+    """Like :func:`questions`, each in one of its wordings, drawn by the hash of the key; ``main`` lets the main one in."""
+    rows = questions(mails, key, context).drop("question")
+    out = F.lit(None).cast("string")
+    for k, q in QUESTIONS.items():
+        ways = ([q] if main else []) + VARIATIONS[k]
+        at = F.pmod(F.xxhash64(F.col(key), F.lit(k), F.lit(seed)), F.lit(len(ways))).cast("int")
+        out = F.when(F.col("category") == k, F.get(F.array(*[F.lit(w) for w in ways]), at)).otherwise(out)
+    return rows.withColumn("question", out)
+
+
+def fits_category(answer: Column, category: Column) -> Column:
+    """Whether an answer isn't blank and holds no part that shows another category; unknown categories give null."""
+    low = F.lower(strip(F.coalesce(answer, F.lit(""))))
+    out = F.lit(None).cast("boolean")
+    for k, parts in WRONG_PARTS.items():
+        wrong = F.lit(False)
+        for p in dict.fromkeys(parts):
+            wrong = wrong | F.contains(low, F.lit(p.lower()))
+        out = F.when(category == k, (low != "") & ~wrong).otherwise(out)
+    return out
+
+
+BEAM = 20
+LONGEST_ANSWER = 64
+
+
+def _best_span(start: list | None, end: list | None, context: list | None, most: int) -> dict | None:
+    if not start or not end or not context:
+        return None
+    inside = np.array(context, bool)
+    if not inside.any():
+        return {"first": None, "last": None, "score": 0.0}
+    s, e = (np.where(inside, np.array(x, float), -np.inf) for x in (start, end))
+    top = lambda x: [int(k) for k in np.argsort(-x, kind="stable")[:BEAM] if inside[k]]
+    pairs = [(a, b) for a in top(s) for b in top(e) if a <= b < a + min(most, LONGEST_ANSWER)]
+    first = int(np.flatnonzero(inside)[0])
+    a, b = max(pairs, key=lambda p: s[p[0]] + e[p[1]]) if pairs else (first, first)
+    chance = lambda x, k: np.exp(x[k] - x.max()) / np.exp(x - x.max()).sum()
+    return {"first": a, "last": b, "score": float(np.sqrt(chance(s, a) * chance(e, b)))}
+
+
+def best_span(start: Column, end: Column, context: Column, most: int = LONGEST_ANSWER) -> Column:
+    """``struct<first, last, score>``: the answer's tokens by a model's start and end logits.
+
+    Only tokens that ``context`` marks count; of the ``BEAM`` best starts and ends the pair with
+    the largest sum that isn't longer than ``most`` (64 at most); the score is the geometric mean
+    of the two softmax probabilities. This is the seam for a model: its logits are columns.
+    """
+    kind = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())])
+    return per_row(lambda s, e, c: _best_span(s, e, c, most), "struct<first:int,last:int,score:double>", kind, start, end, context)
+
+
 def enriched(body: Column, subject: Column, sender: Column) -> Column:
     """The body with hints about subject and sender below it."""
     s = truthy(strip(F.regexp_replace(squeeze(sender), r"^[<>]+|[<>]+$", "")))

@@ -12,7 +12,7 @@ from pauta.cluster import cut_lineage
 from pauta.functions import spans as S
 from pauta.functions import temporal as N
 from pauta.functions import text as X
-from pauta.operators import annotate, anonymize, arguments, errors, metrics, ml, qa, splits, validate
+from pauta.operators import annotate, anonymize, arguments, errors, gold, metrics, ml, qa, splits, validate
 from pauta.operators.triggers import PATTERNS, PHRASES, trigger
 from pauta.plans import pipelines
 from pauta.sources import generate
@@ -873,6 +873,39 @@ def model_metrics(spark, d):
     return _rounded(ml.evaluate(models, parts.where("part = 'test'"), "id").select("model", "rows", "accuracy", "macro_f1", "weighted_f1"))
 
 
+# ---------------------------------------------------------------- gold records
+
+_SHOWN = "contains(lower(coalesce(subject, '') || ' ' || coalesce(body, '')), lower({0})) AND {0} <> ''"
+_TRIMMED = r"regexp_replace(coalesce({0}, ''), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+
+
+@query(
+    f"""WITH m AS (SELECT DISTINCT id, subject, body, coalesce(label, '') AS intent, participants, sender, recipient, {_TRIMMED.format("time_expression")} AS x, {_TRIMMED.format("topic")} AS y FROM dataset), n AS (SELECT *, intent IN ('agendamento_reuniao', 'cancelamento_reuniao', 'reuniao_confirmada') AS meeting FROM m)
+SELECT id AS dataset_id, coalesce(body, '') AS text, intent, CASE WHEN meeting AND {_SHOWN.format("x")} THEN x ELSE '' END AS time, CASE WHEN meeting AND {_SHOWN.format("y")} THEN y ELSE '' END AS topic FROM n"""
+)
+def gold_metadata(spark, d):
+    """Gold records from the mails' fields: times and topics that the texts show."""
+    g = gold.gold_from_metadata(_read(spark, d, "dataset").select("id", "subject", "body", "label", "participants", "sender", "recipient", "sent_datetime", "time_expression", "topic").distinct())
+    return g.select("dataset_id", "text", "intent", F.array_join("arguments.time", "; ").alias("time"), F.array_join("arguments.topic", "; ").alias("topic"))
+
+
+_WRONG_SQL = " ".join(
+    f"WHEN '{k}' THEN " + " OR ".join(f"contains(a, '{p.lower()}')" for p in dict.fromkeys(parts)) for k, parts in qa.WRONG_PARTS.items()
+)
+
+
+@query(
+    f"""WITH m AS (SELECT DISTINCT id, sender, time_expression, location, topic FROM dataset), r AS (SELECT id, 'participants' AS category, sender AS v FROM m UNION ALL SELECT id, 'time', time_expression FROM m UNION ALL SELECT id, 'location', location FROM m UNION ALL SELECT id, 'topic', topic FROM m), n AS (SELECT category, lower({_TRIMMED.format("v")}) AS a FROM r)
+SELECT category, count(*) AS n, CAST(count_if(a <> '' AND NOT (CASE category {_WRONG_SQL} END)) AS BIGINT) AS fitting FROM n GROUP BY 1"""
+)
+def qa_fitting(spark, d):
+    """Of the mails' own values by category, those that fit the category's answers."""
+    m = _read(spark, d, "dataset").select("id", "sender", "time_expression", "location", "topic").distinct()
+    values = F.explode(F.array(*[F.struct(F.lit(k).alias("category"), F.col(c).alias("v")) for k, c in (("participants", "sender"), ("time", "time_expression"), ("location", "location"), ("topic", "topic"))])).alias("x")
+    r = m.select(values).select("x.category", qa.fits_category(F.col("x.v"), F.col("x.category")).alias("ok"))
+    return r.groupBy("category").agg(F.count("*").alias("n"), F.count_if("ok").alias("fitting"))
+
+
 # ---------------------------------------------------------------- questions and answers
 
 

@@ -57,3 +57,44 @@ def markdown(df: DataFrame) -> str:
     """A small table as Markdown."""
     head = "| " + " | ".join(df.columns) + " |\n" + "|" + " --- |" * len(df.columns) + "\n"
     return head + "".join("| " + " | ".join("" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v) for v in r) + " |\n" for r in df.limit(SMALL).toLocalIterator())
+
+
+#: The columns of the reports' files.
+SUMMARY_COLUMNS = ["model", "accuracy", "precision_macro", "recall_macro", "f1_macro", "f1_weighted", "cv_f1_macro_mean", "cv_f1_macro_std", "cv_accuracy_mean", "cv_accuracy_std", "train_seconds", "predict_seconds"]
+CLASSIC_COLUMNS = ["email_id", "subject", "participants", "time", "location", "topic"]
+COMPARISON_COLUMNS = ["category", "exact_a", "exact_b", "f1_a", "f1_b", "f1_delta", "winner"]
+
+
+def summary_rows(evaluation: DataFrame, folds: DataFrame | None = None, seconds: DataFrame | None = None) -> DataFrame:
+    """The models' summary with its fixed columns.
+
+    ``evaluation`` is of ``ml.evaluate``, ``folds`` has (model, metric, mean, std), ``seconds``
+    (model, train_seconds, predict_seconds); what is missing stays null. One row a model.
+    """
+    out = evaluation.select("model", "accuracy", *[F.col(f"macro_{a}").alias(f"{a}_macro") for a in ("precision", "recall", "f1")], F.col("weighted_f1").alias("f1_weighted"))
+    if folds is not None:
+        value = lambda metric, c: F.max(F.when(F.col("metric") == metric, F.col(c)))
+        named = [(m, c, f"cv_{n}_{c}") for m, n in (("macro_f1", "f1_macro"), ("accuracy", "accuracy")) for c in ("mean", "std")]
+        out = out.join(folds.groupBy("model").agg(*[value(m, c).alias(n) for m, c, n in named]), "model", "left")
+    if seconds is not None:
+        out = out.join(seconds, "model", "left")
+    return out.select(*[F.col(c) if c in out.columns else F.lit(None).cast("double").alias(c) for c in SUMMARY_COLUMNS])
+
+
+def classic_rows(answers: DataFrame) -> DataFrame:
+    """One row a mail from (id, subject, and a struct with ``answer`` a category): null answers are empty texts."""
+    return answers.select(F.col("id").alias("email_id"), F.coalesce("subject", F.lit("")).alias("subject"), *[F.coalesce(F.col(f"{c}.answer"), F.lit("")).alias(c) for c in CLASSIC_COLUMNS[2:]])
+
+
+def latex(df: DataFrame) -> str:
+    """A small table as LaTeX."""
+    sign = str.maketrans({c: "\\" + c for c in "&%$#_{}"})
+    cell = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v).translate(sign)
+    lines = [" & ".join(cell(v) for v in r) + r" \\" for r in [df.columns, *df.limit(SMALL).toLocalIterator()]]
+    return "\n".join([rf"\begin{{tabular}}{{{'l' * len(df.columns)}}}", r"\hline", lines[0], r"\hline", *lines[1:], r"\hline", r"\end{tabular}", ""])
+
+
+def report_errors(errors: DataFrame, most: int = 100) -> DataFrame:
+    """The report's error list: missed values by id, values found wrongly only where none is missed; at most ``most``."""
+    missed = errors.where("error = 'false_negative'")
+    return (missed if missed.limit(1).count() else errors.where("error = 'false_positive'")).orderBy("id", "pos").limit(most)

@@ -1,8 +1,9 @@
 import math
+import random
 
 import pytest
 from pauta.components import components
-from pauta.operators import metrics, ml, qa, splits, validate
+from pauta.operators import errors, gold, metrics, ml, qa, splits, validate
 from pauta.sources import mime, readers, writers
 from pauta.streaming import mails as stream
 from pyspark.sql import functions as F
@@ -251,3 +252,90 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     batch = df.groupBy(F.date_trunc("hour", "imported_at").alias("hour")).count()
     assert spark.table("hours").exceptAll(batch).count() == 0
+
+
+def test_gold_from_metadata(spark):
+    schema = "id bigint, subject string, body string, label string, participants array<string>, sender string, recipient string, date string, time_expression string, topic string"
+    rows = [
+        (1, "Obras", "Reunião amanhã no Zoom, com Rita Alves", "agendamento_reuniao", ["Ana Sá"], "Dr. Rui Gil", "ana sá", "Tue, 21 Apr 2026 10:00:00 +0100", "Amanhã", "obras"),
+        (2, "Obras", "nada", "agendamento_reuniao", None, None, None, None, "amanhã", "verbas"),
+        (3, "Obras amanhã", None, "nao_reuniao", [], None, None, None, "amanhã", "obras"),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    people = lambda t: [(t.index("com Rita"), t.index("com Rita") + 14)] if "com Rita" in t else []
+    got = {r["dataset_id"]: r["arguments"] for r in gold.gold_from_metadata(df).collect()}
+    assert (got[1]["time"], got[1]["time_normalized"], got[1]["topic"]) == (["Amanhã"], ["2026-04-22"], ["obras"])
+    assert got[1]["participants"] == ["Ana Sá", "Dr. Rui Gil"] and got[1]["location"] == ["remoto - zoom"]
+    assert (got[2]["time"], got[2]["topic"], got[2]["participants"]) == ([], [], [])
+    assert (got[3]["time"], got[3]["topic"], got[3]["location"]) == ([], [], [])
+    assert "com Rita Alves" in gold.gold_from_metadata(df, people).where("dataset_id = 1").first()["arguments"]["participants"]
+    assert [gold.participant_name(x) for x in ("Olá Ana Sá,", "Ana", "Enviado do Outlook", "Prof. Ana", "Exma. Dra. Rita Gil", None)] == ["Ana Sá", None, None, None, "Dra. Rita Gil", None]
+    t = {r["id"]: r for r in gold.gold_from_text(df).collect()}
+    assert t[3]["text"] == "Obras amanhã" and t[3]["arguments"]["time"] == ["amanhã"] and t[2]["trigger"] == ""
+
+
+def test_answers(spark):
+    one = spark.range(1)
+    best = lambda p, rs: one.select(metrics.best_reference(F.lit(p), F.lit(rs) if rs is None else F.array(*[F.lit(r) for r in rs])).alias("b")).first()["b"]
+    assert best("sala 3", ["sala", "sala 3", "Sala 3"])["reference"] == "sala 3"
+    assert best("ana sá", ["rui", "ana"])["reference"] == "ana" and best("x", ["a", "b"])["reference"] == "a"
+    assert best("x", None)["exact"] == 0.0
+    spans = F.expr("array(struct('Ana' as text, 0.5D as confidence), struct(' ' as text, 0.1D as confidence), struct(' Rui ' as text, 1.0D as confidence))")
+    a = one.select(metrics.category_answer(spans).alias("a"), metrics.category_answer(F.slice(spans, 2, 1)).alias("b")).first()
+    assert (a["a"]["answer"], a["a"]["confidence"], a["a"]["valid"]) == ("Ana; Rui", 0.75, True) and (a["b"]["answer"], a["b"]["confidence"], a["b"]["valid"]) == (None, 0.0, False)
+    rows = spark.createDataFrame([(i, "time", "p", "r", float(i == 3), i / 10) for i in range(9, 0, -1)], "id bigint, category string, predicted string, reference string, exact double, f1 double")
+    assert [r["id"] for r in errors.worst_answers(rows).collect()] == [1, 2, 4, 5, 6]
+
+
+def test_best_span_against_brute_force(spark):
+    rng = random.Random(2)
+    rows = []
+    for i in range(40):
+        n = rng.randint(1, 30)
+        rows.append((i, [rng.gauss(0, 3) for _ in range(n)], [rng.gauss(0, 3) for _ in range(n)], [rng.random() < 0.7 for _ in range(n)]))
+    rows.append((99, None, None, None))
+    df = spark.createDataFrame(rows, "id int, s array<double>, e array<double>, c array<boolean>")
+    got = {r["id"]: r["b"] for r in df.select("id", qa.best_span(F.col("s"), F.col("e"), F.col("c"), 5).alias("b")).collect()}
+    assert got[99] is None
+    for i, s, e, c in rows[:-1]:
+        pairs = [(s[a] + e[b], a, b) for a in range(len(s)) for b in range(a, min(a + 5, len(s))) if c[a] and c[b]]
+        if sum(c) and len(s) <= 20:
+            assert (got[i]["first"], got[i]["last"]) == max(pairs)[1:]
+            z = [sum(math.exp(v) for v, k in zip(x, c) if k) for x in (s, e)]
+            assert math.isclose(got[i]["score"], math.sqrt(math.exp(s[got[i]["first"]]) / z[0] * math.exp(e[got[i]["last"]]) / z[1]))
+
+
+def test_questions_in_other_words(spark):
+    df = spark.range(200).select("id", F.lit("t").alias("context"))
+    rows = qa.asked(df).collect()
+    assert len(rows) == 800 and all(r["question"] in [qa.QUESTIONS[r["category"]], *qa.VARIATIONS[r["category"]]] for r in rows)
+    assert len({r["question"] for r in rows}) == sum(1 + len(v) for v in qa.VARIATIONS.values())
+    assert all(r["question"] != qa.QUESTIONS[r["category"]] for r in qa.asked(df, main=False).collect())
+
+
+def test_report_columns(spark, labelled):
+    models = ml.fit_all(labelled, ["naive_bayes"], size=100)
+    folds = ml.fold_summary(ml.cross_validate(labelled, "naive_bayes", "id", k=2)).withColumn("model", F.lit("naive_bayes"))
+    out = writers.summary_rows(ml.evaluate(models, labelled, "id"), folds)
+    r = out.first()
+    assert out.columns == writers.SUMMARY_COLUMNS and r["cv_f1_macro_mean"] is not None and r["train_seconds"] is None
+    assert ml.choose_folds(labelled, "label", 40) == 25 and ml.choose_folds(labelled.limit(0), "label", 5) == 0
+    table = writers.latex(spark.createDataFrame([("a_b", 0.5)], "x string, y double"))
+    assert r"a\_b & 0.5000 \\" in table
+    answers = spark.createDataFrame([(1, None, ("Ana",), (None,), ("Zoom",), None)], "id int, subject string, participants struct<answer:string>, time struct<answer:string>, location struct<answer:string>, topic struct<answer:string>")
+    assert tuple(writers.classic_rows(answers).first()) == (1, "", "Ana", "", "Zoom", "")
+
+
+def test_mail_dates(spark):
+    from pauta.functions.temporal import mail_reference
+
+    rows = [
+        ("Tue, 21 Apr 2026 10:00:05 +0100", None, "2026-04-21 10:00:05"),
+        ("1 Jan 2026 9:05 GMT (x)", None, "2026-01-01 09:05:00"),
+        ("sem data", "2026-04-21T10:00:00Z", "2026-04-21 10:00:00"),
+        ("Mon, 31 Feb 2026 10:00:00 +0000", None, None),
+        (None, None, None),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, email_date string, timestamp string, want string")
+    got = {r["i"]: r["r"] for r in df.select("i", mail_reference(df.columns).cast("string").alias("r")).collect()}
+    assert [got[i] for i in range(len(rows))] == [r[2] for r in rows]
