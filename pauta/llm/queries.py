@@ -13,7 +13,7 @@ from pauta.llm.encoding import encode, token_counts
 from pauta.llm.grouped_splits import group_pairs, grouped_splits, label_shares, split_check, split_report
 from pauta.llm.leakage import leak_report, leaks
 from pauta.llm.near_duplicates import near_duplicate_groups, near_duplicate_links, near_duplicate_pairs
-from pauta.llm.lookalikes import odd_records, one_form, records_of
+from pauta.llm.lookalikes import odd_records, one_form, records_of, representatives
 from pauta.llm.personal_data import mentions, redacted
 from pauta.llm.repetition import line_frequency, repeated_share, repetitive_documents
 
@@ -123,7 +123,18 @@ _WORDS = "regexp_extract_all(strip_accents(lower(" + _ORDINALS + ")), '[a-z0-9]+
 _TRIGRAMS = "SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM t, range(1, 3000) r(i) WHERE i <= len(w) - 2"
 _PAIRS = "s AS (SELECT id, count(*) AS n FROM g GROUP BY id), c AS (SELECT a.id AS x, b.id AS y, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2), p AS (SELECT x, y FROM c JOIN s a ON a.id = x JOIN s b ON b.id = y WHERE 3 * k >= a.n + b.n)"
 
+_SINGLE = {k: v for k, v in representatives().items() if len(k) == 1 and len(v) <= 1 and k != "\x00"}
+_KEPT = [k for k, v in _SINGLE.items() if v] + [k for k, v in _SINGLE.items() if not v]
+_PLAIN = "translate(body, '{}', '{}')".format("".join(_KEPT).replace("'", "''"), "".join(_SINGLE[k] for k in _KEPT).replace("'", "''"))
+_BOX = "regexp_replace(regexp_replace(regexp_replace(coalesce(nullif(regexp_extract(lower(sender_email), '(?s).*<([^<>]*)>', 1), ''), lower(sender_email)), '[\\s\\p{Z}<>\"''()\\[\\]]+', '', 'g'), '^mailto:', ''), '\\+[^@]*@', '@', 'g')"
+#: A process's name in the SQL's regular expressions: the character before and the digits' end are part of the match.
+_NAMED = r"(?i)(?:^|[^\p{L}\p{N}])(?:processos?|procs?\.?[ºo°]?|p\.?\s?[ºo°]\.?)[\s:]*(?:n\.?\s?[ºo°]\.?|num\.|número)?\s*[-–]?\s*([0-9]{1,12})\s*[/.–-]\s*([0-9]{1,12})(?:[^0-9]|$)"
+
 SQL: dict[str, str] = {
+    "p4_found": f"""WITH RECURSIVE m AS (SELECT DISTINCT id, sender_email, body FROM test_dataset WHERE id IS NOT NULL), b AS (SELECT id, {_BOX} AS box, {_PLAIN} AS t FROM m), x AS (SELECT id, regexp_extract_all(t, '{_NAMED}', 1) AS one, regexp_extract_all(t, '{_NAMED}', 2) AS two FROM b),
+y AS (SELECT id, unnest(one) AS one, unnest(two) AS two FROM x), z AS (SELECT id, CASE WHEN regexp_full_match(one, '(?:19|20)[0-9]{{2}}') THEN one || '/' || regexp_replace(two, '^0+([0-9])', '\\1') WHEN regexp_full_match(two, '(?:19|20)[0-9]{{2}}') THEN two || '/' || regexp_replace(one, '^0+([0-9])', '\\1') END AS k FROM y),
+keys AS (SELECT DISTINCT id, 'p' || k AS k FROM z WHERE k IS NOT NULL UNION SELECT id, 'm' || box FROM b WHERE regexp_full_match(box, '[^@]+@[^@]+')), lows AS (SELECT k, min(id) AS low FROM keys GROUP BY 1), e AS (SELECT DISTINCT id AS x, low AS y FROM keys JOIN lows USING (k) WHERE id <> low), f AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+reach(id, other) AS (SELECT x, x FROM f UNION SELECT r.id, f.y FROM reach r JOIN f ON f.x = r.other) SELECT min(other) AS group_id, id FROM reach GROUP BY id HAVING min(other) <> id""",
     "p1_found": f"""WITH t AS (SELECT DISTINCT id, lower(trim(split)) AS split, {_WORDS.format("coalesce(body, '')")} AS w FROM topic_extraction_holdout WHERE lower(trim(split)) IN ('train', 'dev', 'holdout')),
 g AS ({_TRIGRAMS} AND len(w) >= 15), {_PAIRS} SELECT x AS id_a, y AS id_b FROM p JOIN t a ON a.id = x JOIN t b ON b.id = y WHERE (a.split = 'train') <> (b.split = 'train')""",
     "p3_found": f"""WITH t AS (SELECT DISTINCT id, {_WORDS.format("coalesce(subject, '') || ' ' || coalesce(body, '')")} AS w FROM dataset), g AS ({_TRIGRAMS} AND len(w) >= 30), {_PAIRS} SELECT x AS id_a, y AS id_b FROM p""",
