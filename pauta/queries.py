@@ -173,7 +173,11 @@ def span_numbers(spark, d):
     return _mails(spark, d, "body").where("body is not null").select("id", covered.alias("covered"), F.size(m).cast("bigint").alias("n"))
 
 
-@query(spans_sql("dataset", "id", "body", [(p, 0.9, f"regex_{kind}") for kind, ps in arguments.TIME_SPANS.items() for p in ps]))
+_TIME_RULES = [(p, 0.9, f"regex_{kind}") for kind, ps in arguments.TIME_SPANS.items() for p in ps]
+_PLAIN_LABEL = "lower(coalesce(label, ''))"
+
+
+@query(spans_sql("dataset", "id", "body", _TIME_RULES))
 def span_times(spark, d):
     return _mails(spark, d, "body").select("id", F.explode(arguments.time_spans(F.coalesce("body", F.lit("")))).alias("s")).select("id", "s.*")
 
@@ -188,7 +192,7 @@ def span_hints(spark, d):
     return _mails(spark, d, "body").select("id", F.explode(arguments.hint_spans(F.coalesce("body", F.lit("")))).alias("s")).select("id", "s.*")
 
 
-def _trigger_sql() -> str:
+def _trigger_sql(label: str) -> str:
     """The phrases and patterns as one CASE an intent; word borders as classes of letters, as the SQL's ``\\b`` knows ASCII only."""
     edge, word = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
     quote = lambda x: x.replace("'", "''")
@@ -203,10 +207,10 @@ def _trigger_sql() -> str:
             tried.append(f"WHEN regexp_matches(t, '{quote(guard)}') THEN 'regex|' || regexp_extract(t, '{quote(guard)}', 1)")
         cases.append(f"WHEN '{intent}' THEN CASE {' '.join(tried)} END")
     folded = r"regexp_replace(translate(lower(regexp_replace(body, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), 'ãõç', 'aoc'), '[\s\p{Z}]+', ' ', 'g')"
-    return f"WITH m AS (SELECT DISTINCT id, body, label FROM dataset), x AS (SELECT id, {folded} AS t, {_LABEL.format('label')} AS intent FROM m), f AS (SELECT id, CASE intent {' '.join(cases)} END AS found FROM x) SELECT id, nullif(split_part(found, '|', 2), '') AS trigger, nullif(split_part(found, '|', 1), '') AS method FROM f"
+    return f"WITH m AS (SELECT DISTINCT id, body, label FROM dataset), x AS (SELECT id, {folded} AS t, {label} AS intent FROM m), f AS (SELECT id, CASE intent {' '.join(cases)} END AS found FROM x) SELECT id, nullif(split_part(found, '|', 2), '') AS trigger, nullif(split_part(found, '|', 1), '') AS method FROM f"
 
 
-@query(_trigger_sql())
+@query(_trigger_sql(_LABEL.format("label")))
 def extract_triggers(spark, d):
     t = trigger(F.col("body"), X.label_key(F.col("label")))
     return _mails(spark, d, "body", "label").withColumn("t", t).select("id", "t.trigger", "t.method")
@@ -258,18 +262,6 @@ def extract_annotations(spark, d):
     return _mails(spark, d, "body", "subject").select("id", a.alias("a")).select("id", "a.trigger", F.to_json("a.arguments").alias("arguments"), F.to_json("a.confidence").alias("confidence"))
 
 
-@query()
-def extract_records(spark, d):
-    out = pipelines.records(_mails(spark, d, "subject", "body", "label", "sent_datetime"))
-    return out.select("id", "trigger.trigger", F.to_json("times").alias("times"), F.array_join("locations", "; ").alias("locations"), F.array_join("participants", "; ").alias("participants"), "topic")
-
-
-@query()
-def flagship(spark, d):
-    """Trigger, time spans with canonical times, places, participants and topic of every mail."""
-    return extract_records(spark, d)
-
-
 @query()
 def anonymized(spark, d):
     base = _read(spark, d, "imported_emails").select("email_id", "subject", "body", "sender").distinct()
@@ -296,23 +288,20 @@ _DAYS_SQL = "['segunda', 'terca', 'quarta', 'quinta', 'sexta', 'sabado', 'doming
 _CLOCK = "'([0-9]{1,2})(?:h([0-9]{2})?|:([0-9]{2}))$'"
 #: The notations of the tables' expressions, written anew as relational rules: a day (date, day of the month, weekday,
 #: relative day, next week, days from now) and a clock time or a part of the day; all else is unknown.
-_TEMPORAL = f"""WITH a AS (SELECT DISTINCT id, {_EXPR} AS e, {_REF} AS r FROM dataset),
-b AS (SELECT *, CAST(r AS DATE) AS today, try_cast(regexp_extract(e, {_CLOCK}, 1) AS INT) AS h, coalesce(try_cast(regexp_extract(e, {_CLOCK}, 2) AS INT), try_cast(regexp_extract(e, {_CLOCK}, 3) AS INT), 0) AS m, CASE WHEN e LIKE '% de manha' THEN [360, 720] WHEN e LIKE '% a tarde' THEN [720, 1080] END AS part,
- try_cast(regexp_extract(e, '^dia ([0-9]{{1,2}})\\b', 1) AS INT) AS n, list_position({_MONTHS_SQL}, regexp_extract(e, '^dia [0-9]{{1,2}} de ([a-z]+)\\b', 1)) AS k, regexp_extract(e, '^(segunda|terca|quarta|quinta|sexta|sabado|domingo)(-feira)?\\b', 0) AS w, regexp_extract(e, '^(hoje|amanha|depois de amanha|ontem)\\b', 1) AS rel, try_cast(regexp_extract(e, '^daqui a ([0-9]+) dias?\\b', 1) AS INT) AS ahead FROM a),
-c AS (SELECT *, CASE WHEN h < 24 AND m < 60 THEN h * 60 + m END AS clock, try_cast(year(r) || '-' || lpad(CAST(k AS VARCHAR), 2, '0') || '-' || lpad(CAST(n AS VARCHAR), 2, '0') AS DATE) AS named, CASE WHEN w <> 'terca-feira' THEN list_position({_DAYS_SQL}, replace(w, '-feira', '')) - isodow(r) END AS off FROM b),
+_RULES = f"""b AS (SELECT *, CAST(r AS DATE) AS today, try_cast(regexp_extract(e, {_CLOCK}, 1) AS INT) AS h, coalesce(try_cast(regexp_extract(e, {_CLOCK}, 2) AS INT), try_cast(regexp_extract(e, {_CLOCK}, 3) AS INT), 0) AS m, CASE WHEN regexp_matches(e, '(?:^|de )manha$') THEN [360, 720] WHEN regexp_matches(e, '(?:^|a |de )tarde$') THEN [720, 1080] WHEN regexp_matches(e, '(?:^|a |de )noite$') THEN [1080, 1439] END AS part, e IN ('manha', 'de manha', 'tarde', 'a tarde', 'de tarde', 'noite', 'a noite', 'de noite') AS alone,
+ try_cast(regexp_extract(e, '^dia ([0-9]{{1,2}})\\b', 1) AS INT) AS n, try_cast(regexp_extract(e, '^(?:dia )?([0-9]{{1,2}}) de ', 1) AS INT) AS nd, list_position({_MONTHS_SQL}, regexp_extract(e, '^(?:dia )?[0-9]{{1,2}} de ([a-z]+)\\b', 1)) AS k, regexp_extract(e, '^(segunda|terca|quarta|quinta|sexta|sabado|domingo)(-feira)?\\b', 0) AS w, regexp_extract(e, '^(hoje|amanha|depois de amanha|ontem)\\b', 1) AS rel, try_cast(regexp_extract(e, '^daqui a ([0-9]+) dias?\\b', 1) AS INT) AS ahead FROM a),
+c AS (SELECT *, CASE WHEN h < 24 AND m < 60 THEN h * 60 + m END AS clock, try_cast(year(r) || '-' || lpad(CAST(k AS VARCHAR), 2, '0') || '-' || lpad(CAST(nd AS VARCHAR), 2, '0') AS DATE) AS named, CASE WHEN w <> 'terca-feira' THEN list_position({_DAYS_SQL}, replace(w, '-feira', '')) - isodow(r) END AS off FROM b),
 d AS (SELECT *, (SELECT min(t) FROM (SELECT try_cast(strftime(date_trunc('month', c.today) + to_months(CAST(i AS INT)), '%Y-%m-') || lpad(CAST(c.n AS VARCHAR), 2, '0') AS DATE) AS t FROM range(13) x(i)) WHERE CASE WHEN c.clock IS NULL THEN t >= c.today ELSE CAST(t AS TIMESTAMP) + to_minutes(c.clock) > c.r END) AS next_day, today + CAST(CASE WHEN off < 0 THEN off + 7 WHEN off > 0 THEN off WHEN clock * 60 > epoch(r) - epoch(today) THEN 0 ELSE 7 END AS INT) AS on_weekday FROM c),
-f AS (SELECT *, CASE WHEN r IS NULL THEN NULL WHEN named IS NOT NULL THEN 'named' WHEN next_day IS NOT NULL THEN 'month' WHEN off IS NOT NULL AND part IS NOT NULL AND clock IS NULL THEN 'weekday_part' WHEN rel <> '' THEN 'relative' WHEN e LIKE 'na proxima semana%' THEN 'week' WHEN ahead IS NOT NULL THEN 'ahead' WHEN off IS NOT NULL THEN 'weekday' WHEN clock IS NOT NULL THEN 'clock' ELSE 'unknown' END AS rule FROM d),
-g AS (SELECT *, CASE rule WHEN 'named' THEN named WHEN 'month' THEN next_day WHEN 'weekday_part' THEN on_weekday WHEN 'weekday' THEN on_weekday WHEN 'relative' THEN today + CASE rel WHEN 'hoje' THEN 0 WHEN 'amanha' THEN 1 WHEN 'ontem' THEN -1 ELSE 2 END WHEN 'ahead' THEN today + ahead WHEN 'clock' THEN today WHEN 'week' THEN CAST(date_trunc('week', today) AS DATE) + 7 END AS day, CASE WHEN rule IN ('named', 'month', 'weekday_part', 'relative') THEN part END AS used FROM f),
-o AS (SELECT *, CASE WHEN rule IS NULL THEN NULL WHEN rule = 'week' OR (used IS NOT NULL AND clock IS NULL) THEN 'interval' WHEN rule = 'clock' THEN 'time' WHEN rule = 'unknown' THEN 'unknown' WHEN clock IS NOT NULL THEN 'datetime' WHEN rule IN ('relative', 'ahead') THEN 'relative' WHEN rule IS NOT NULL THEN 'date' END AS type FROM g) """
+f AS (SELECT *, CASE WHEN r IS NULL THEN NULL WHEN named IS NOT NULL THEN 'named' WHEN next_day IS NOT NULL THEN 'month' WHEN off IS NOT NULL AND part IS NOT NULL AND clock IS NULL THEN 'weekday_part' WHEN rel <> '' THEN 'relative' WHEN regexp_matches(e, '^(?:na )?proxima semana|^para a semana') THEN 'week' WHEN e LIKE 'esta semana%' THEN 'this_week' WHEN ahead IS NOT NULL THEN 'ahead' WHEN off IS NOT NULL THEN 'weekday' WHEN alone THEN 'part' WHEN clock IS NOT NULL THEN 'clock' ELSE 'unknown' END AS rule FROM d),
+g AS (SELECT *, CASE rule WHEN 'named' THEN named WHEN 'month' THEN next_day WHEN 'weekday_part' THEN on_weekday WHEN 'weekday' THEN on_weekday WHEN 'relative' THEN today + CASE rel WHEN 'hoje' THEN 0 WHEN 'amanha' THEN 1 WHEN 'ontem' THEN -1 ELSE 2 END WHEN 'ahead' THEN today + ahead WHEN 'clock' THEN today WHEN 'part' THEN today WHEN 'week' THEN CAST(date_trunc('week', today) AS DATE) + 7 WHEN 'this_week' THEN CAST(date_trunc('week', today) AS DATE) END AS day, CASE WHEN rule IN ('named', 'month', 'weekday_part', 'relative', 'part') THEN part END AS used FROM f),
+o AS (SELECT *, CASE WHEN rule IS NULL THEN NULL WHEN rule IN ('week', 'this_week') OR (used IS NOT NULL AND clock IS NULL) THEN 'interval' WHEN rule = 'clock' THEN 'time' WHEN rule = 'unknown' THEN 'unknown' WHEN clock IS NOT NULL THEN 'datetime' WHEN rule IN ('relative', 'ahead') THEN 'relative' WHEN rule IS NOT NULL THEN 'date' END AS type FROM g),
+z AS (SELECT *, CASE WHEN rule IN ('week', 'this_week') THEN strftime(day, '%Y-%m-%dT00:00:00') || '/' || strftime(day + 6, '%Y-%m-%dT23:59:59') WHEN type = 'interval' THEN strftime(CAST(day AS TIMESTAMP) + to_minutes(used[1]), '%Y-%m-%dT%H:%M:%S') || '/' || strftime(CAST(day AS TIMESTAMP) + to_minutes(used[2]), '%Y-%m-%dT%H:%M:%S')
+WHEN type IN ('datetime', 'time') THEN strftime(CAST(day AS TIMESTAMP) + to_minutes(clock), '%Y-%m-%dT%H:%M:%S') WHEN type IN ('date', 'relative') THEN strftime(day, '%Y-%m-%d') END AS canonical,
+CASE WHEN rule IN ('week', 'this_week') THEN 'week' WHEN type = 'interval' THEN 'time_of_day' WHEN type = 'datetime' THEN 'exact' WHEN type = 'time' THEN 'time_only' WHEN type = 'unknown' THEN '' WHEN type IS NOT NULL THEN 'day' END AS precision,
+CAST(CASE rule WHEN 'named' THEN 0.95 WHEN 'month' THEN 0.88 WHEN 'weekday_part' THEN 0.75 WHEN 'relative' THEN 0.85 WHEN 'week' THEN 0.75 WHEN 'this_week' THEN 0.75 WHEN 'part' THEN 0.75 WHEN 'ahead' THEN 0.9 WHEN 'weekday' THEN 0.9 WHEN 'clock' THEN 0.8 WHEN 'unknown' THEN 0.0 END AS DOUBLE) AS confidence FROM o) """
 
 
-@query(
-    _TEMPORAL
-    + """SELECT id, type, CASE WHEN rule = 'week' THEN strftime(day, '%Y-%m-%dT00:00:00') || '/' || strftime(day + 6, '%Y-%m-%dT23:59:59') WHEN type = 'interval' THEN strftime(CAST(day AS TIMESTAMP) + to_minutes(used[1]), '%Y-%m-%dT%H:%M:%S') || '/' || strftime(CAST(day AS TIMESTAMP) + to_minutes(used[2]), '%Y-%m-%dT%H:%M:%S')
-WHEN type IN ('datetime', 'time') THEN strftime(CAST(day AS TIMESTAMP) + to_minutes(clock), '%Y-%m-%dT%H:%M:%S') WHEN type IN ('date', 'relative') THEN strftime(day, '%Y-%m-%d') END AS canonical,
-CASE WHEN rule = 'week' THEN 'week' WHEN type = 'interval' THEN 'time_of_day' WHEN type = 'datetime' THEN 'exact' WHEN type = 'time' THEN 'time_only' WHEN type = 'unknown' THEN '' WHEN type IS NOT NULL THEN 'day' END AS precision,
-CAST(CASE rule WHEN 'named' THEN 0.95 WHEN 'month' THEN 0.88 WHEN 'weekday_part' THEN 0.75 WHEN 'relative' THEN 0.85 WHEN 'week' THEN 0.75 WHEN 'ahead' THEN 0.9 WHEN 'weekday' THEN 0.9 WHEN 'clock' THEN 0.8 WHEN 'unknown' THEN 0.0 END AS DOUBLE) AS confidence FROM o"""
-)
+@query(f"WITH a AS (SELECT DISTINCT id, {_EXPR} AS e, {_REF} AS r FROM dataset), " + _RULES + "SELECT id, type, canonical, precision, confidence FROM z")
 def temporal_normalize(spark, d):
     """Every expression of the largest table against its mail's date."""
     n = N.normalize(F.col("time_expression"), N.parse_reference(F.col("sent_datetime")))
@@ -328,6 +317,33 @@ def temporal_week_month(spark, d):
     return _read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), say("esta semana").alias("this_week"), say("próximo mês").alias("next_month"), say("fim da semana").alias("week_end")).distinct()
 
 
+def _records_sql() -> str:
+    """Trigger, spans with canonical times, places, addresses and topic, each by its own SQL, put together."""
+    plain = r"trim(regexp_replace(lower(strip_accents(text)), '\s+', ' ', 'g'))"
+    times = spans_sql("dataset", "id", "body", _TIME_RULES)
+    places = spans_sql("dataset", "id", "body", [(p, 0.85, "regex_location") for p in arguments.PLACE_SPANS])
+    people = spans_sql("dataset", "id", "body", [(arguments.EMAIL, 0.95, "regex_email")], first_of_a_spelling=True)
+    topics = _topics_sql("dataset", "id", "coalesce(label, '') AS intent") + "SELECT id, topic FROM said"
+    one = """'{"text":' || to_json(text) || ',"start":' || start || ',"end":' || "end" || coalesce(',"canonical":"' || canonical || '"', '') || '}'"""
+    return (
+        f"WITH a AS (SELECT s.*, {plain} AS e, r FROM ({times}) s JOIN (SELECT DISTINCT id, {_REF} AS r FROM dataset) USING (id)), {_RULES}, every AS (SELECT DISTINCT id FROM dataset), t AS (SELECT id, '[' || string_agg({one}, ',' ORDER BY start) || ']' AS times FROM z GROUP BY 1), "
+        f"l AS (SELECT id, string_agg(text, '; ' ORDER BY start) AS locations FROM ({places}) GROUP BY 1), q AS (SELECT id, string_agg(text, '; ' ORDER BY start) AS participants FROM ({people}) GROUP BY 1), w AS ({_trigger_sql(_PLAIN_LABEL)}), v AS ({topics}) "
+        "SELECT every.id, w.trigger, coalesce(times, '[]') AS times, coalesce(locations, '') AS locations, coalesce(participants, '') AS participants, v.topic FROM every LEFT JOIN w USING (id) LEFT JOIN v USING (id) LEFT JOIN t USING (id) LEFT JOIN l USING (id) LEFT JOIN q USING (id)"
+    )
+
+
+@query(_records_sql())
+def extract_records(spark, d):
+    out = pipelines.records(_mails(spark, d, "subject", "body", "label", "sent_datetime"))
+    return out.select("id", "trigger.trigger", F.to_json("times").alias("times"), F.array_join("locations", "; ").alias("locations"), F.array_join("participants", "; ").alias("participants"), "topic")
+
+
+@query(_records_sql())
+def flagship(spark, d):
+    """Trigger, time spans with canonical times, places, participants and topic of every mail."""
+    return extract_records(spark, d)
+
+
 @query(
     """SELECT DISTINCT id, strftime(coalesce(try_cast(regexp_replace(sent_datetime, '(?:Z|[+-][0-9]{2}:?[0-9]{2})$', '') AS TIMESTAMP), try_cast(regexp_replace(time_expression, '(?:Z|[+-][0-9]{2}:?[0-9]{2})$', '') AS TIMESTAMP)), '%Y-%m-%dT%H:%M:%S') AS reference FROM dataset"""
 )
