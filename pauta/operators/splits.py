@@ -24,7 +24,7 @@ def stratified_split(df: DataFrame, key: str, label: str, test_share: float = 0.
     b = df.withColumn("__b", bucket).withColumn("__o", _order(key, seed)[0])
     sums = b.groupBy(label, "__b").agg(F.count("*").alias("n"))
     before = sums.withColumn("before", F.sum("n").over(W.partitionBy(label).orderBy("__b")) - F.col("n")).withColumn("total", F.sum("n").over(W.partitionBy(label))).drop("n")
-    joined = b.join(F.broadcast(before.withColumnRenamed(label, "__l")), F.col(label).eqNullSafe(F.col("__l")) & (b["__b"] == before["__b"])).drop("__l", before["__b"])
+    joined = b.join(before.withColumnRenamed(label, "__l"), F.col(label).eqNullSafe(F.col("__l")) & (b["__b"] == before["__b"])).drop("__l", before["__b"])
     rank = F.row_number().over(W.partitionBy(label, "__b").orderBy("__o", key)) + F.col("before")
     return joined.withColumn("part", F.when(rank <= F.ceil(F.lit(test_share) * F.col("total")), "test").otherwise("train")).drop("__b", "__o", "before", "total")
 

@@ -708,9 +708,12 @@ def gold_report(spark, d):
 
 @query("WITH m AS (SELECT DISTINCT id, sender_email FROM dataset) SELECT id, row_number() OVER (PARTITION BY coalesce(sender_email, '') ORDER BY id, sender_email) - 1 AS position FROM m")
 def window_positions(spark, d):
-    """A record's place among its sender's records."""
-    w = W.partitionBy(F.coalesce("sender_email", F.lit(""))).orderBy("id", "sender_email")
-    return _mails(spark, d, "sender_email").select("id", (F.row_number().over(w) - 1).cast("bigint").alias("position"))
+    """A record's place among its sender's records, from counts of id ranges and short windows: no sender is sorted in one task."""
+    m = _mails(spark, d, "sender_email").select("id", "sender_email", F.coalesce("sender_email", F.lit("")).alias("sender"), F.floor(F.col("id") / 4096).alias("range"))
+    counts = m.groupBy("sender", "range").agg(F.count("*").alias("n"))
+    before = counts.select("sender", "range", (F.sum("n").over(W.partitionBy("sender").orderBy("range")) - F.col("n")).alias("before"))
+    w = W.partitionBy("sender", "range").orderBy("id", "sender_email")
+    return m.withColumn("k", F.row_number().over(w)).join(before, ["sender", "range"]).select("id", (F.col("k") - 1 + F.col("before")).cast("bigint").alias("position"))
 
 
 @query(
@@ -811,24 +814,9 @@ def split_grouped(spark, d):
     return splits.group_split(g, "mail", [("train", 0.8), ("validation", 0.1), ("test", 0.1)]).select("id", "mail", "part")
 
 
-_TFIDF_SQL = r"""WITH m AS (SELECT id, min(coalesce(subject, '')) AS t FROM dataset GROUP BY id), w AS (SELECT id, regexp_extract_all(lower(t), '[\p{L}\p{N}_][\p{L}\p{N}_]+') AS ws FROM m),
+_TFIDF_SQL = r"""WITH m AS (SELECT id, min(coalesce(subject, '') || ' ' || coalesce(body, '')) AS t FROM dataset GROUP BY id), w AS (SELECT id, regexp_extract_all(lower(t), '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]{2,}') AS ws FROM m),
 x AS (SELECT id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM w), c AS (SELECT id, term, count(*) AS tf FROM x GROUP BY 1, 2),
-v AS (SELECT term, sum(tf) AS total, count(*) AS df FROM c GROUP BY 1 ORDER BY total DESC, term LIMIT 500) """
-
-
-@query(_TFIDF_SQL + ", s AS (SELECT c.id, c.term, tf * (ln((1.0 + (SELECT count(*) FROM m)) / (1 + df)) + 1) AS w FROM c JOIN v USING (term)), n AS (SELECT id, sqrt(sum(w * w)) AS norm FROM s GROUP BY 1) SELECT id, term, round(w / norm, 6) AS weight FROM s JOIN n USING (id)")
-def tfidf_weights(spark, d):
-    m = _mails(spark, d, "subject").groupBy("id").agg(F.min(F.coalesce("subject", F.lit(""))).alias("t"))
-    return _rounded(ml.tfidf(m, "id", "t", 500))
-
-
-@query(
-    _TFIDF_SQL
-    + f", l AS (SELECT id, min({_L}) AS label FROM dataset GROUP BY id), b AS (SELECT label, term, sum(tf) AS n FROM c JOIN v USING (term) JOIN l USING (id) GROUP BY 1, 2), t AS (SELECT label, sum(n) AS total FROM b GROUP BY 1) SELECT t.label, v.term, round(ln((coalesce(b.n, 0) + 1.0) / (t.total + 500)), 6) AS log_prob FROM t CROSS JOIN v LEFT JOIN b ON b.label = t.label AND b.term = v.term"
-)
-def naive_bayes_table(spark, d):
-    m = _mails(spark, d, "subject", "label").groupBy("id").agg(F.min(F.coalesce("subject", F.lit(""))).alias("t"), F.min(X.label_key(F.col("label"))).alias("label"))
-    return _rounded(ml.naive_bayes_table(m, "id", "t", "label", 500))
+v AS (SELECT term, sum(tf) AS total, count(*) AS df FROM c GROUP BY 1 ORDER BY total DESC, term LIMIT 5000) """
 
 
 def _whole_mails(spark, d) -> DataFrame:
@@ -838,15 +826,18 @@ def _whole_mails(spark, d) -> DataFrame:
     return m.groupBy("id").agg(F.min(t).alias("t"), F.min(X.label_key(F.col("label"))).alias("label"))
 
 
-@query()
-def tfidf_mails(spark, d):
-    """``tfidf_weights`` over subject and body with the operator's whole vocabulary."""
+@query(_TFIDF_SQL + ", s AS (SELECT c.id, c.term, tf * (ln((1.0 + (SELECT count(*) FROM m)) / (1 + df)) + 1) AS w FROM c JOIN v USING (term)), n AS (SELECT id, sqrt(sum(w * w)) AS norm FROM s GROUP BY 1) SELECT id, term, round(w / norm, 6) AS weight FROM s JOIN n USING (id)")
+def tfidf_weights(spark, d):
+    """Weights over subject and body with the operator's whole vocabulary."""
     return _rounded(ml.tfidf(_whole_mails(spark, d), "id", "t"))
 
 
-@query()
-def naive_bayes_mails(spark, d):
-    """``naive_bayes_table`` over subject and body with the operator's whole vocabulary."""
+@query(
+    _TFIDF_SQL
+    + f", l AS (SELECT id, min({_L}) AS label FROM dataset GROUP BY id), b AS (SELECT label, term, sum(tf) AS n FROM c JOIN v USING (term) JOIN l USING (id) GROUP BY 1, 2), t AS (SELECT label, sum(n) AS total FROM b GROUP BY 1) SELECT t.label, v.term, round(ln((coalesce(b.n, 0) + 1.0) / (t.total + 5000)), 6) AS log_prob FROM t CROSS JOIN v LEFT JOIN b ON b.label = t.label AND b.term = v.term"
+)
+def naive_bayes_table(spark, d):
+    """The model's table over subject and body with the operator's whole vocabulary."""
     return _rounded(ml.naive_bayes_table(_whole_mails(spark, d), "id", "t", "label"))
 
 

@@ -64,7 +64,7 @@ def parts_of(value: Column) -> Column:
     day_first = _groups(v, _shift(_DAY_FIRST, 1), ["$2$9$12", "$4$8", "$5$6$10", "$11", "$13", "$14", "$15", "$16", "$17", "$18", "$19", "$20"])
     time_first = _groups(v, _shift(_TIME_FIRST, 4), ["$5$12$15", "$7$11", "$8$9$13", "$14", "$1", "$2", "$3", "$4", "$16", "$17", "$18", "$19"])
     compact = _groups(v, _COMPACT, ["$1", "$2", "$3", "", "$4", "$5", "$6", "", "$7", "$8", "$9", "$10"])
-    marked = F.when(v.rlike(r"^[0-9]{10}$|^[0-9]{13}$|^[0-9]{12}$"), F.lit(None)).when(day_first.startswith(_MARK), day_first).when(time_first.startswith(_MARK), time_first).when(compact.startswith(_MARK), compact)
+    marked = F.when(v.rlike(r"^[0-9]{9,11}$|^[0-9]{13}$"), F.lit(None)).when(day_first.startswith(_MARK), day_first).when(time_first.startswith(_MARK), time_first).when(compact.startswith(_MARK), compact)
     return F.slice(F.split(marked, _MARK), 2, len(_PARTS))
 
 
@@ -116,7 +116,10 @@ def with_seconds(df: DataFrame, value: str, name: str, zone: Column | str = LISB
     out = out.withColumns({at("first"): F.when(before + offset_at(before, region) == wall, before), at("second"): F.when(after + offset_at(after, region) == wall, after)})
     first, second = F.col(at("first")), F.col(at("second"))
     local = F.when(first.isNull(), second).when(second.isNull() | (first == second), first)  # two instants: the clocks repeat it
-    epoch = F.when(digits.rlike("^[0-9]{10}$"), digits.try_cast("bigint")).when(digits.rlike("^[0-9]{13}$"), F.floor(digits.try_cast("bigint") / 1000))
+    number = digits.try_cast("bigint")
+    # twelve digits are a date with a clock time where they can be one, else milliseconds of before September 2001
+    short = digits.rlike("^[0-9]{12}$") & (wall.isNull() | ~digits.rlike("^(?:19|20)"))
+    epoch = F.when(digits.rlike("^[0-9]{9,11}$"), number).when(digits.rlike("^[0-9]{13}$") | short, F.floor(number / 1000))
     instant = F.coalesce(epoch, F.when(F.col(at("zoned")), wall - F.col(at("fixed"))).otherwise(local))
     # the partition's number keeps a filter on the result from being copied into all steps below
     out = out.withColumn(name, F.when(F.spark_partition_id() >= 0, instant))

@@ -27,7 +27,7 @@ def test_sql_agrees(spark):
     con = duckdb.connect()
     for f in os.listdir(D):
         con.execute(f"create view {f.removesuffix('.parquet')} as select * from '{D}/{f}'")
-    for name in ("class_report", "join_lookup_cascade", "temporal_weekday", "split_stratified", "text_clean_body"):
+    for name in ("class_report", "join_lookup_cascade", "temporal_normalize", "extract_records", "extract_annotations", "split_stratified", "text_clean_body"):
         df = e.queries()[name](spark, D)
         r = con.execute(e.oracle_sql()[name])
         cols = [c[0] for c in r.description]

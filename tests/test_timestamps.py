@@ -79,3 +79,14 @@ def test_zone_estimate(spark):
     df = spark.createDataFrame(rows, "sent string, at string").selectExpr("sent", "cast(at as timestamp) as at")
     got = zone_violations(df, "sent", "at", ["Europe/Lisbon", "Europe/Madrid", "UTC"]).where("chosen").collect()
     assert [(r["zone"], r["violations"]) for r in got] == [("Europe/Madrid", 0)]
+
+
+def test_values_of_digits(spark):
+    """Seconds of 9 to 11 digits, milliseconds of 12 and 13, compact dates of 12 and 14; eight digits are a day without a clock."""
+    want = {
+        "999999999": "2001-09-09T01:46:39Z", "1709377900": "2024-03-02T11:11:40Z", "10000000000": "2286-11-20T17:46:40Z", "1711840873965": "2024-03-30T23:21:13Z", "946684800000": "2000-01-01T00:00:00Z",
+        "202603011530": "2026-03-01T15:30:00Z", "20260301153045": "2026-03-01T15:30:45Z", "202699011530": "1976-06-04T01:16:51Z", "20260301": None, "20269901153045": None,
+    }
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(want)], "id bigint, v string")
+    got = {r["id"]: r["utc"] for r in instants(df, "id", ["v"]).collect()}
+    assert {v: got.get(i) for i, v in enumerate(want)} == want

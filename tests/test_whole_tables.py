@@ -21,9 +21,9 @@ def test_terms_of_whole_mails(spark, tmp_path):
     body = " ".join(f"palavra{i:04d}" for i in range(700))
     rows = [(1, "Obras", body, "a"), (2, "Obras", "fim", "b"), (3, None, "só corpo", "b")]
     spark.createDataFrame(rows, "id bigint, subject string, body string, label string").write.parquet(f"{tmp_path}/dataset.parquet")
-    weights = {(r["id"], r["term"]) for r in QUERIES["tfidf_mails"](spark, str(tmp_path)).collect()}
+    weights = {(r["id"], r["term"]) for r in QUERIES["tfidf_weights"](spark, str(tmp_path)).collect()}
     assert {(1, f"palavra{i:04d}") for i in range(700)} <= weights and (3, "corpo") in weights and (1, "obras palavra0000") in weights
-    table = QUERIES["naive_bayes_mails"](spark, str(tmp_path)).collect()
+    table = QUERIES["naive_bayes_table"](spark, str(tmp_path)).collect()
     assert {r["term"] for r in table} == {t for _, t in weights} and {r["label"] for r in table} == {"a", "b"}
 
 
