@@ -90,8 +90,11 @@ def near_duplicate_groups(df: DataFrame, key: str = "id", fields: tuple[str, ...
     classes = cut_lineage(_classes(members, pairs, copies))
     heads = classes.select("key", "check", "class_id").distinct()
     both = pairs.join(named(heads, "a", F.col("class_id")), ["a", "a_check"]).join(named(heads, "b", F.col("class_id")), ["b", "b_check"])
-    edges = both.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).union(classes.where("id <> class_id").select("id", "class_id"))
+    # copies need no edges of their own; an id under several texts links their classes
+    several = classes.groupBy("id").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low <> high")
+    across = classes.join(several, "id").where("class_id <> low").select("class_id", "low")
+    edges = both.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).union(across)
     links = _ends(pairs).groupBy("key", "check").agg(F.count("*").alias("links"))
     own = classes.join(links, ["key", "check"], "left").groupBy("id").agg(F.min("class_id").alias("class_id"), F.coalesce(F.max("links"), F.lit(0)).alias("links"))
-    groups = components(edges.where("a <> b"))
-    return own.join(groups, "id", "left").select("id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), "links")
+    groups = components(edges.where("a <> b")).withColumnRenamed("id", "class_id")
+    return own.join(groups, "class_id", "left").select("id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), "links")

@@ -88,6 +88,13 @@ def test_copies_in_both_forms(spark, corpus, copies):
     assert groups == {i: (0 if i < 1000 else i, 0, 3) for i in ids}
 
 
+def test_an_id_under_two_texts_joins_their_groups(spark):
+    one, two = (" ".join(VOCABULARY[k : k + 40]) for k in (0, 200))
+    rows = [(1, "", one), (2, "", one), (2, "", two), (5, "", two), (6, "", two + " fim")]
+    got = {r["id"]: r["group_id"] for r in near_duplicate_groups(spark.createDataFrame(rows, "id bigint, subject string, body string")).collect()}
+    assert got == {1: 1, 2: 1, 5: 1, 6: 1}
+
+
 def test_short_copies_take_no_part(spark):
     df = spark.createDataFrame([(1, "a", "b"), (2, "a", "b"), (3, None, None), (4, "", "")], "id bigint, subject string, body string")
     assert near_duplicate_pairs(df).collect() == []
