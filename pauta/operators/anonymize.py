@@ -133,3 +133,17 @@ def anonymize(df: DataFrame, fields: list[str], pseudonymize: bool = False) -> D
     if pseudonymize:
         parts.append(F.map_from_entries(F.array_distinct(F.transform("__all", lambda x: F.struct(key(x), x["replacement"])))).alias("mapping"))
     return out.withColumn("anonymization", F.struct(*parts)).drop("__all", *[f"__e{i}" for i in range(len(fields))])
+
+
+def anonymize_pending(df: DataFrame, fields: list[str], pseudonymize: bool = False) -> DataFrame:
+    """Like :func:`anonymize` for rows that have none yet; rows with an ``anonymization`` stay as they are."""
+    if "anonymization" not in df.columns:
+        return anonymize(df, fields, pseudonymize)
+    done = df.where("anonymization is not null")
+    return done.unionByName(anonymize(df.where("anonymization is null").drop("anonymization"), fields, pseudonymize))
+
+
+def anonymized_rows(df: DataFrame) -> DataFrame:
+    """One row: rows, and how many of them hold an ``anonymization``."""
+    have = F.count("anonymization") if "anonymization" in df.columns else F.lit(0).cast("bigint")
+    return df.agg(F.count("*").alias("rows"), have.alias("anonymized"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+RANGE = 4096
+
 
 def _order(key: str, seed: int) -> tuple[Column, Column]:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}"))), F.col(key)
@@ -46,3 +48,19 @@ def group_split(df: DataFrame, group: str, shares: list[tuple[str, float]], seed
     for name, e in reversed(cuts):
         part = F.when(h < e, name).otherwise(part)
     return df.withColumn("part", part)
+
+
+def sequential_split(df: DataFrame, order: str, share: float = 0.8) -> DataFrame:
+    """``df`` with ``part``: of n rows the first floor(n * share) by the whole number ``order`` are train, the rest test.
+
+    Places come from counts of ranges of ``RANGE`` numbers and short windows inside them; only
+    the counts (one row a range that has rows) are put in one order. Nulls come last.
+    """
+    at = F.coalesce(F.floor(F.col(order) / RANGE), F.lit(2**62))
+    b = df.withColumn("__range", at)
+    counts = b.groupBy("__range").agg(F.count("*").alias("__n"))
+    whole = W.orderBy("__range")
+    before = counts.select("__range", (F.sum("__n").over(whole) - F.col("__n")).alias("__before"), F.sum("__n").over(W.partitionBy()).alias("__all"))
+    place = F.row_number().over(W.partitionBy("__range").orderBy(F.col(order).asc_nulls_last())) + F.col("__before")
+    out = b.join(before, "__range").withColumn("part", F.when(place <= F.floor(F.lit(share) * F.col("__all")), "train").otherwise("test"))
+    return out.drop("__range", "__before", "__all")

@@ -73,3 +73,13 @@ def require_labels(labels: DataFrame) -> None:
     lost = [r["label"] for r in missing_labels(labels).collect()]
     if lost:
         raise ValueError(f"labels without examples: {', '.join(sorted(lost))}")
+
+
+def intent_of(predicted: Column, label: Column) -> Column:
+    """The predicted intent, else the label, else an empty text; empty texts count as missing."""
+    return F.coalesce(F.when(predicted != "", predicted), label, F.lit(""))
+
+
+def without_class(df: DataFrame, label: str, dropped: str) -> DataFrame:
+    """``df`` without the rows of one class; rows without a label stay."""
+    return df.where(~F.col(label).eqNullSafe(F.lit(dropped)))

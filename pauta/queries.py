@@ -814,6 +814,20 @@ def split_grouped(spark, d):
     return splits.group_split(g, "mail", [("train", 0.8), ("validation", 0.1), ("test", 0.1)]).select("id", "mail", "part")
 
 
+@query(f"WITH m AS (SELECT id, min({_L}) AS label FROM dataset GROUP BY id), r AS (SELECT *, row_number() OVER (ORDER BY id) AS k, count(*) OVER () AS n FROM m) SELECT id, label, CASE WHEN k <= floor(0.8 * n) THEN 'train' ELSE 'test' END AS part FROM r")
+def split_sequential(spark, d):
+    return splits.sequential_split(_labelled(spark, d), "id").select("id", "label", "part")
+
+
+@query(f"WITH g AS (SELECT DISTINCT id, dataset_id, {_I} AS intent FROM gold_annotations), m AS (SELECT id, min({_L}) AS label FROM test_dataset GROUP BY id) SELECT g.id, coalesce(nullif(intent, ''), label, '') AS intent FROM g LEFT JOIN m ON m.id = g.dataset_id WHERE coalesce(nullif(intent, ''), label, '') <> 'nao_reuniao'")
+def intent_fallback(spark, d):
+    """An annotation's intent, else its mail's label; the class without meetings left out."""
+    g = _read(spark, d, "gold_annotations").select("id", "dataset_id", X.label_key(F.col("intent")).alias("intent")).distinct()
+    m = _tests(spark, d, "label").groupBy("id").agg(F.min(X.label_key(F.col("label"))).alias("label")).withColumnRenamed("id", "dataset_id")
+    out = g.join(m, "dataset_id", "left").select("id", validate.intent_of(F.col("intent"), F.col("label")).alias("intent"))
+    return validate.without_class(out, "intent", "nao_reuniao")
+
+
 _TFIDF_SQL = r"""WITH m AS (SELECT id, min(coalesce(subject, '') || ' ' || coalesce(body, '')) AS t FROM dataset GROUP BY id), w AS (SELECT id, regexp_extract_all(lower(t), '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]{2,}') AS ws FROM m),
 x AS (SELECT id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM w), c AS (SELECT id, term, count(*) AS tf FROM x GROUP BY 1, 2),
 v AS (SELECT term, sum(tf) AS total, count(*) AS df FROM c GROUP BY 1 ORDER BY total DESC, term LIMIT 5000) """

@@ -3,7 +3,7 @@ import random
 
 import pytest
 from pauta.components import components
-from pauta.operators import errors, gold, metrics, ml, qa, splits, validate
+from pauta.operators import anonymize, errors, gold, metrics, ml, qa, splits, validate
 from pauta.sources import mime, readers, writers
 from pauta.streaming import mails as stream
 from pyspark.sql import functions as F
@@ -339,3 +339,20 @@ def test_mail_dates(spark):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, email_date string, timestamp string, want string")
     got = {r["i"]: r["r"] for r in df.select("i", mail_reference(df.columns).cast("string").alias("r")).collect()}
     assert [got[i] for i in range(len(rows))] == [r[2] for r in rows]
+
+
+def test_sequential_split(spark):
+    ids = [5, 9000, 4096, 4095, 7, None, 123456, 8]
+    df = spark.createDataFrame([(i,) for i in ids], "id bigint")
+    got = {r["id"]: r["part"] for r in splits.sequential_split(df, "id", 0.5).collect()}
+    assert {i for i, p in got.items() if p == "train"} == {5, 7, 8, 4095}
+    assert splits.sequential_split(df.limit(0), "id").collect() == []
+
+
+def test_anonymize_only_what_is_pending(spark):
+    df = spark.createDataFrame([(1, "Escreva a ana@x.pt"), (2, "nada")], "id bigint, body string")
+    once = anonymize.anonymize(df, ["body"])
+    both = anonymize.anonymize_pending(once.unionByName(df.withColumn("id", F.col("id") + 10).withColumn("anonymization", F.lit(None).cast(once.schema["anonymization"].dataType))), ["body"])
+    got = {r["id"]: r["body"] for r in both.collect()}
+    assert got == {1: "Escreva a [EMAIL_1]", 11: "Escreva a [EMAIL_1]", 2: "nada", 12: "nada"}
+    assert tuple(anonymize.anonymized_rows(both).first()) == (4, 4) and tuple(anonymize.anonymized_rows(df).first()) == (2, 0)
