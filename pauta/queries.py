@@ -251,7 +251,18 @@ def extract_people(spark, d):
     return m.select("id", F.array_join(X.unique_people(F.concat(F.coalesce("participants", empty), F.array("sender", "recipient"))), "; ").alias("people"))
 
 
-@query()
+def _mail_places_sql() -> str:
+    """Words as classes of letters; a lookahead of the patterns is tested on the found place."""
+    end = r"(?:$|[^\p{L}\p{N}_])"
+    sql = lambda p: p.replace("(?iU)", "").replace(r"(?!\s+academica)", "").replace(r"\b", "").replace(r"\w", r"[\p{L}\p{N}_]")
+    hit = lambda p: f"regexp_extract(p || ' ', '(?i)^(?:.*[^\\p{{L}}\\p{{N}}_])?({sql(p)}){end}', 1)"
+    here = lambda p: f"WHEN {hit(p)} <> '' THEN 'presencial - ' || trim({hit(p)})"
+    remote = f"lower({hit(arguments.REMOTE)})"
+    return f"""WITH m AS (SELECT DISTINCT id, body, {_LABEL.format('label')} AS label FROM dataset), x AS (SELECT id, label, regexp_extract(coalesce(body, ''), '(?i)(?:em|no|na|por|via)\\s+({sql(arguments.ANY_PLACE)}){end}', 1) AS p FROM m)
+SELECT id, CASE WHEN label IN ('agendamento_reuniao', 'cancelamento_reuniao', 'reuniao_confirmada') THEN CASE WHEN p = '' THEN 'remoto - zoom' WHEN {remote} <> '' THEN 'remoto - ' || CASE WHEN contains({remote}, 'team') THEN 'teams' WHEN contains({remote}, 'meet') THEN 'google meet' ELSE 'zoom' END {here(arguments.DEPARTMENT_ROOM)} {here(arguments.ROOM)} {here(arguments.OFFICE)} {here(arguments.PRESENT)} ELSE 'remoto - zoom' END END AS place FROM x"""
+
+
+@query(_mail_places_sql())
 def extract_mail_places(spark, d):
     return _mails(spark, d, "body", "label").select("id", arguments.place_of_mail(F.col("body"), X.label_key(F.col("label"))).alias("place"))
 
