@@ -553,7 +553,23 @@ def argument_metrics(spark, d):
     return _rounded(out)
 
 
-@query()
+_LOW = r"regexp_replace(lower({0}), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+_CHARS = "CASE WHEN {0} = '' AND {1} = '' THEN 1.0 WHEN {0} = '' OR {1} = '' THEN 0.0 ELSE len(list_intersect(list_distinct(string_split({0}, '')), list_distinct(string_split({1}, ''))))::DOUBLE / len(list_distinct(list_concat(string_split({0}, ''), string_split({1}, '')))) END"
+_SQUEEZED = r"trim(regexp_replace(lower({0}), '[\s\p{{Z}}]+', ' ', 'g'))"
+#: The greedy pairing as a recursion over a row's predictions: each takes the best value that none before it took.
+_PAIRING = (
+    _ARGS.split("\nr AS ")[0].replace("WITH m AS", "WITH RECURSIVE m AS")
+    + "\nr AS "
+    + _ARGS.split("\nr AS ")[1].split("),\n")[0]
+    + f"""), w AS (SELECT row_number() OVER () AS rid, id, kind, list_filter(coalesce(gold, []), lambda x: x IS NOT NULL) AS gold, list_filter(coalesce(predicted, []), lambda x: x IS NOT NULL) AS predicted FROM r), ps AS (SELECT rid, unnest(predicted) AS p, generate_subscripts(predicted, 1) AS n FROM w), gs AS (SELECT rid, unnest(gold) AS g, generate_subscripts(gold, 1) AS i FROM w),
+sc AS (SELECT rid, n, p, g, i, CASE WHEN {_LOW.format("g")} = {_LOW.format("p")} THEN 2.0 ELSE {_CHARS.format(_LOW.format("g"), _LOW.format("p"))} END AS s FROM ps JOIN gs USING (rid)), ca AS (SELECT ps.rid, ps.n, ps.p, coalesce(list({{'i': i, 's': s, 'g': g}} ORDER BY s DESC, i) FILTER (WHERE i IS NOT NULL), []) AS c FROM ps LEFT JOIN sc USING (rid, n, p) GROUP BY 1, 2, 3),
+st(rid, n, used, g, p) AS (SELECT rid, 0::BIGINT, CAST([] AS BIGINT[]), NULL::VARCHAR, NULL::VARCHAR FROM w UNION ALL SELECT rid, n, CASE WHEN b.s >= 0.6 THEN list_append(used, b.i) ELSE used END, CASE WHEN b.s >= 0.6 THEN b.g END, p FROM (SELECT ca.rid, ca.n, st.used, ca.p, list_filter(ca.c, lambda x: NOT list_contains(st.used, x.i))[1] AS b FROM st JOIN ca ON ca.rid = st.rid AND ca.n = st.n + 1)),
+fin AS (SELECT rid, arg_max(used, n) AS used, max(n) AS k FROM st GROUP BY 1), raw AS (SELECT rid, n - 1 AS pos, g AS gold, p AS predicted FROM st WHERE n > 0 UNION ALL SELECT rid, fin.k + row_number() OVER (PARTITION BY rid ORDER BY i) - 1, g, NULL FROM gs JOIN fin USING (rid) WHERE NOT list_contains(used, i)),
+pr AS (SELECT w.id, w.kind, pos, raw.gold, raw.predicted, CASE WHEN raw.gold IS NULL OR raw.predicted IS NULL THEN 'none' WHEN {_SQUEEZED.format("raw.gold")} = {_SQUEEZED.format("raw.predicted")} THEN 'exact' WHEN {_CHARS.format(_SQUEEZED.format("raw.gold"), _SQUEEZED.format("raw.predicted"))} >= 0.7 THEN 'partial' WHEN {_CHARS.format(_SQUEEZED.format("raw.gold"), _SQUEEZED.format("raw.predicted"))} >= 0.6 THEN 'fuzzy' ELSE 'none' END AS match FROM raw JOIN w USING (rid)) """
+)
+
+
+@query(_PAIRING + "SELECT kind, match, count(*) AS n FROM pr GROUP BY 1, 2")
 def argument_pairs(spark, d):
     """Greedy one-to-one pairs of annotated and given values with their match type."""
     r = _argument_rows(spark, d)
@@ -562,12 +578,20 @@ def argument_pairs(spark, d):
     return r.select("kind", F.explode(p).alias("x")).groupBy("kind", "x.match").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    _PAIRING
+    + """, er AS (SELECT *, CASE WHEN predicted IS NULL THEN 'false_negative' WHEN gold IS NULL THEN 'false_positive' WHEN match = 'partial' THEN 'partial_match' END AS error FROM pr), nu AS (SELECT *, row_number() OVER (PARTITION BY kind, error ORDER BY id, pos, gold NULLS FIRST, predicted NULLS FIRST) AS k FROM er WHERE error IS NOT NULL)
+SELECT kind, error, count(*) AS n, string_agg(coalesce(gold, predicted), ' | ' ORDER BY k) FILTER (WHERE k <= 3) AS examples FROM nu GROUP BY 1, 2"""
+)
 def argument_errors(spark, d):
     return errors.error_summary(errors.error_records(errors.paired(_argument_rows(spark, d))))
 
 
-@query()
+@query(
+    _PAIRING
+    + """, co AS (SELECT count(predicted) AS p, count(gold) AS r, count_if(match = 'exact') AS e, count_if(match = 'partial') AS q, count_if(match <> 'none') AS a FROM pr), mo AS (SELECT p, r, unnest(['exact', 'partial', 'all']) AS mode, unnest([e, q, a]) AS tp FROM co)
+SELECT mode, round(tp / p, 6) AS precision, round(tp / r, 6) AS recall, round(2 * tp / (p + r), 6) AS f1 FROM mo"""
+)
 def argument_match_types(spark, d):
     return _rounded(errors.by_match_type(errors.paired(_argument_rows(spark, d))))
 
