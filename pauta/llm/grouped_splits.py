@@ -180,7 +180,7 @@ def split_check(assigned: DataFrame, targets: DataFrame, tolerance: float = 0.01
     A share is met where it deviates by no more than ``tolerance`` or half the largest group's share.
     """
     groups = assigned.groupBy("group_id").agg(F.count("*").alias("n"), F.count_distinct("split").alias("splits"))
-    of_groups = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.count_if(F.col("splits") > 1).alias("divided_groups"), F.max("n").alias("largest"))
-    off = split_report(assigned, targets).agg(F.max(F.abs(F.col("share") - F.col("wanted"))).alias("off"))
+    of_groups = groups.agg(F.lit(1).alias("one"), F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.count_if(F.col("splits") > 1).alias("divided_groups"), F.max("n").alias("largest"))
+    off = split_report(assigned, targets).agg(F.lit(1).alias("one"), F.max(F.abs(F.col("share") - F.col("wanted"))).alias("off"))
     met = F.coalesce(F.col("off") <= F.greatest(F.lit(tolerance), F.col("largest") / F.col("records") / 2), F.lit(True))
-    return of_groups.crossJoin(off).select("records", "divided_groups", met.alias("shares_met"))  # one row each
+    return of_groups.join(off, "one").select("records", "divided_groups", met.alias("shares_met"))  # one row each
