@@ -10,6 +10,10 @@ replacement of slot values gives a re-parameterised one. A window with fewer tha
 ``LITERAL`` words outside slots (a table of figures) is met by its words only: it can show an
 exact leak, not a re-parameterised one.
 
+Where only exact leaks are asked for, the same template join comes first and leaves out the
+windows of no item's template; the slot words of the others are then met by their hash, so a
+frequent template multiplies nothing, and every word is compared on the hits.
+
 The items' windows are broadcast up to ``BROADCAST_WORDS`` words of items (checked); a
 larger set goes through a shuffled join on the window hash with the same result.
 
@@ -78,44 +82,57 @@ def _name_hashes(names: DataFrame | None) -> np.ndarray:
     return _hashed(" ".join(r[0] for r in rows))
 
 
-def _windows(texts: list, n: int, names: np.ndarray | None, exact_only: bool) -> tuple[np.ndarray, ...]:
-    """(words, offsets, key, exact hash, row, place) of every window.
-
-    The key is the template's hash; where only equal slots count (``exact_only``, or too few
-    literal words) the words' own hash is mixed in.
-    """
+def _windows(texts: list, n: int, names: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """(words, which are slots, template hash, row, place) of every window."""
     h, o, digits = word_hashes(texts, with_digits=True)
     t, slot = templates(h, digits, names)
-    tg, row, at = ngrams(t, o, n)
-    exact = ngrams(h, o, n)[0]
-    if exact_only:
-        equal = np.ones(len(tg), bool)
-    else:
-        run = np.concatenate(([0], np.cumsum(~slot)))
-        equal = run[at + n] - run[at] < LITERAL
+    return h, slot, *ngrams(t, o, n)
+
+
+def _keys(h: np.ndarray, slot: np.ndarray, tg: np.ndarray, at: np.ndarray, n: int, exact_only: bool) -> np.ndarray:
+    """What windows meet by: the template's hash.
+
+    Where only equal slots count (``exact_only``, or too few literal words) the hash of the
+    slot words at their places is mixed in; with an equal template that makes equal windows.
+    """
+    run = np.concatenate(([0], np.cumsum(~slot)))
+    equal = np.flatnonzero((run[at + n] - run[at] < LITERAL) | exact_only)
+    value = np.where(slot, h, np.uint64(0))
+    keys = tg.copy()
     with np.errstate(over="ignore"):
-        return h, o, np.where(equal, tg * np.uint64(3) + mix(exact), tg), exact, row, at
+        g = np.zeros(len(equal), np.uint64)
+        for k in range(n):
+            g = (g + value[at[equal] + k]) * np.uint64(0xD6E8FEB86659FD93)
+            g ^= g >> np.uint64(32)
+        keys[equal] = tg[equal] * np.uint64(3) + mix(g)
+    return keys
 
 
 class _Index:
-    """Sorted template windows of the items, with their exact hashes and slot words."""
+    """Templates of the items' windows, and the windows sorted by key with their words."""
 
     def __init__(self, ids: np.ndarray, texts: list, n: int, names: np.ndarray | None, exact_only: bool) -> None:
         self.n, self.names, self.exact_only = n, names, exact_only
-        self.h, self.o, tg, exact, row, at = _windows(texts, n, names, exact_only)
-        order = np.lexsort((exact, tg))
-        self.keys, self.exact, self.at, self.item = tg[order], exact[order], at[order], np.asarray(ids)[row[order]]
+        self.h, slot, tg, row, at = _windows(texts, n, names)
+        keys = _keys(self.h, slot, tg, at, n, exact_only)
+        order = np.argsort(keys, kind="stable")
+        self.templates, self.keys, self.at, self.item = np.unique(tg), keys[order], at[order], np.asarray(ids)[row[order]]
+
+    def meeting(self, texts: list) -> tuple[np.ndarray, ...]:
+        """(words, which are slots, template hash, row, place) of the windows whose template is an item's."""
+        h, slot, tg, row, at = _windows(texts, self.n, self.names)
+        low = np.searchsorted(self.templates, tg)
+        near = low < len(self.templates)
+        near[near] = self.templates[low[near]] == tg[near]
+        return h, slot, tg[near], row[near], at[near]
 
     def hits(self, texts: list) -> tuple[np.ndarray, ...]:
         """(words, row, item, exact, place in words, place in items) of all meeting windows."""
-        h, o, tg, _, row, at = _windows(texts, self.n, self.names, self.exact_only)
-        low = np.searchsorted(self.keys, tg, "left")
-        near = low < len(self.keys)
-        near[near] = self.keys[low[near]] == tg[near]
-        hit = np.flatnonzero(near)
-        low, high = low[hit], np.searchsorted(self.keys, tg[hit], "right")
+        h, slot, tg, row, at = self.meeting(texts)
+        keys = _keys(h, slot, tg, at, self.n, self.exact_only)
+        low, high = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
         times = high - low
-        i = np.repeat(hit, times)
+        i = np.repeat(np.arange(len(keys)), times)
         j = np.repeat(low, times) + np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times)
         eq = np.ones(len(i), bool)
         for k in range(self.n):  # the slots' check, exact on every word
@@ -186,12 +203,12 @@ def leaks(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, exact_only
 
 
 def _joined(docs: DataFrame, items: DataFrame, window: int, exact_only: bool, names: np.ndarray) -> DataFrame:
-    """The shuffled form: candidates by window hash, then the same slot check on each pair's texts."""
+    """The shuffled form: candidates by the windows' keys, then the same slot check on each pair's texts."""
 
     def keyed(it):
         for b, texts in _batches(it):
-            _, _, tg, _, row, _ = _windows(texts, window, names, exact_only)
-            pairs = np.unique(np.stack([row.astype(np.uint64), tg], axis=1), axis=0)
+            h, slot, tg, row, at = _windows(texts, window, names)
+            pairs = np.unique(np.stack([row.astype(np.uint64), _keys(h, slot, tg, at, window, exact_only)], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(pairs[:, 0].astype(np.int64))), pa.array(np.ascontiguousarray(pairs[:, 1]).view(np.int64))], ["id", "k"])
 
     d = docs.withColumnRenamed("doc_id", "id").mapInArrow(keyed, "id bigint, k bigint").withColumnRenamed("id", "doc_id")

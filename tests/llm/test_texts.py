@@ -3,6 +3,7 @@
 import base64
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from hypothesis import given, settings
@@ -251,6 +252,26 @@ def test_number_tables_show_exact_leaks_only(spark):
     assert [(r["doc_id"], r["kind"], r["windows"]) for r in leaks(d, b, exact_only=False).collect()] == [(1, "exact", 289)]
 
 
+def test_exact_leaks_go_through_templates(monkeypatch):
+    """Exact leaks only: a window's template decides whether its slots are compared, the slots whether it is a hit."""
+    item = "um comboio parte na segunda com 120 pessoas e demora 45 minutos a chegar ao destino final da linha"
+    changed = item.replace("120", "77").replace("45", "90").replace("segunda", "sexta")
+    other = "uma carta segue na segunda com 120 folhas e espera 45 minutos a sair do posto central da vila"
+    texts = [item, changed, other, " ".join(str(i) for i in range(5000, 6000)), None, ""]
+    ids, items = np.array([7, 8]), [item, " ".join(str(i) for i in range(100, 400))]
+
+    def counts():
+        index = leakage._Index(ids, items, 12, None, True)
+        met, hits = index.meeting(texts)[3], index.hits(texts)
+        assert hits[3].all()
+        return np.bincount(met, minlength=6).tolist(), sorted(zip(hits[1].tolist(), hits[2].tolist()))
+
+    exact = [(0, 7)] * 8
+    assert counts() == ([8, 8, 0, 989, 0, 0], exact)  # a template of figures alone meets everywhere, its slots nowhere
+    monkeypatch.setattr(leakage, "templates", lambda h, digits, names: (h, np.zeros(len(h), bool)))
+    assert counts() == ([8, 0, 0, 0, 0, 0], exact)
+
+
 def test_names_are_slots_where_given(spark):
     b = spark.createDataFrame([(1, "o director Quintela pediu a todos que enviem já o novo relatório")], "item_id bigint, text string")
     d = spark.createDataFrame([(1, "o director Bragança pediu a todos que enviem já o novo relatório")], "doc_id bigint, text string")
